@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import licenses, mixing
 
 QUERIES = {
+    "op6_license_scan": licenses.op6_license_scan,
     "op10_mixing": mixing.op10_mixing,
 }
 
