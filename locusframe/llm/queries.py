@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import licenses, mixing
+from . import exact_dedup, licenses, mixing
 
 QUERIES = {
+    "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op6_license_scan": licenses.op6_license_scan,
     "op10_mixing": mixing.op10_mixing,
 }
 
 ORACLES = {
+    "op2_exact_dedup": exact_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
