@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, mixing
+from . import bpe, exact_dedup, licenses, mixing
 
 QUERIES = {
+    "op4_bpe": bpe.op4_bpe,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op6_license_scan": licenses.op6_license_scan,
     "op10_mixing": mixing.op10_mixing,
