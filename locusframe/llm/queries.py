@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, mixing
+from . import bpe, exact_dedup, licenses, mixing, toxicity
 
 QUERIES = {
+    "op5_toxicity": toxicity.op5_toxicity,
     "op4_bpe": bpe.op4_bpe,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op6_license_scan": licenses.op6_license_scan,
