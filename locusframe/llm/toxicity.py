@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,6 +29,9 @@ WINDOW = 5
 #: How much a quoted or reported term counts.
 QUOTE_WEIGHT = 0.3
 THRESHOLD = 0.3
+FEATURES = 5
+#: Lengths of stems that fit() tries.
+STEMS = range(4, 11)
 
 
 def edits(term: str) -> int:
@@ -38,6 +42,8 @@ def edits(term: str) -> int:
 class FuzzyTrie:
     """All words within edits(term) of a lexicon term: trie and Levenshtein automata as one DFA.
 
+    A term that ends in * is a stem: it takes words that begin with it and go on, unmisspelled.
+
     A state is the set of (trie node, errors so far); its arcs are determinised when first taken
     and kept, so a word costs a table lookup per letter and most words die after a few.
     """
@@ -46,9 +52,10 @@ class FuzzyTrie:
         self.children: list[dict[str, int]] = [{}]
         self.bears: list[int] = [0]
         self.ends: list[int] = [-1]
+        self.stems: set[int] = set()
         for term in terms:
             node, path = 0, [0]
-            for c in term:
+            for c in term.removesuffix("*"):
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
@@ -56,6 +63,9 @@ class FuzzyTrie:
                     self.ends.append(-1)
                 node = self.children[node][c]
                 path.append(node)
+            if term.endswith("*"):
+                self.stems.add(node)
+                continue
             self.ends[node] = edits(term)
             for n in path:
                 self.bears[n] = max(self.bears[n], edits(term))
@@ -66,6 +76,8 @@ class FuzzyTrie:
         self.accept: list[int] = []
         self.dead = self.number(frozenset())
         self.start = self.number(self.closure({(0, 0)}))
+        self.within = self.number(frozenset({(-1, 0)}))
+        self.accept[self.within] = 0
 
     def closure(self, items: set[tuple[int, int]]) -> frozenset:
         """Adds skipped letters and keeps the fewest errors of each node."""
@@ -84,10 +96,12 @@ class FuzzyTrie:
             self.states[items] = len(self.sets)
             self.sets.append(items)
             self.arcs.append({})
-            self.accept.append(min((e for n, e in items if e <= self.ends[n]), default=-1))
+            self.accept.append(min((e for n, e in items if n >= 0 and e <= self.ends[n]), default=-1))
         return self.states[items]
 
     def arc(self, state: int, c: str) -> int:
+        if state == self.within or any(e == 0 and node in self.stems for node, e in self.sets[state]):
+            return self.within
         items = set()
         for node, e in self.sets[state]:
             items.add((node, e + 1))
@@ -111,7 +125,7 @@ class FuzzyTrie:
 
 @dataclass(frozen=True)
 class Model:
-    """What fit() learned: terms, harmless neighbours of terms, weights of features() and their intercept last."""
+    """What fit() learned: terms, harmless neighbours of terms, weights of features() and last their intercept."""
 
     terms: tuple[str, ...]
     harmless: tuple[str, ...]
@@ -124,7 +138,6 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.trie = FuzzyTrie(model.terms)
-        self.terms = frozenset(model.terms)
         self.harmless = frozenset(model.harmless)
         self.weights = np.array(model.weights)
         self.seen: set[str] = set()
@@ -140,18 +153,17 @@ class Scorer:
                 self.hit.clear()
                 fresh = some
             for w in fresh:
-                if w in self.terms:
-                    self.hit[w] = True
-                elif 4 <= len(w) <= 40 and w not in self.harmless and self.trie.errors(w) > 0:
-                    self.hit[w] = False
+                e = self.trie.errors(w)
+                if e == 0 or e > 0 and w not in self.harmless:
+                    self.hit[w] = e == 0
             self.seen |= fresh
         return not some.isdisjoint(self.hit)
 
-    def features(self, text: str) -> tuple[float, float, float, float]:
-        """Exact and misspelled terms (log of 1 + weighed counts), their share of the words, share spoken to somebody."""
+    def features(self, text: str) -> tuple[float, ...]:
+        """Exact and misspelled terms (log of 1 + weighed counts), their share of the words, share spoken to somebody, whether several."""
         low = text.lower()
         if not self.trie.children[0] or not self.hits(words := WORD.findall(low)):
-            return 0.0, 0.0, 0.0, 0.0
+            return (0.0,) * FEATURES
         marks = [m.span() for m in QUOTED.finditer(low)]
         exact = near = spoken = 0.0
         at = 0
@@ -167,7 +179,7 @@ class Scorer:
             exact, near = exact + weight * kind, near + weight * (not kind)
             spoken += weight * (not ADDRESS.isdisjoint(around))
         share = (exact + near) / len(words)
-        return math.log1p(exact), math.log1p(near), min(1.0, 20 * share), spoken / (exact + near)
+        return math.log1p(exact), math.log1p(near), min(1.0, 20 * share), spoken / (exact + near), float(exact + near >= 2)
 
     def score(self, text: str) -> float:
         z = float(np.dot(self.weights[:-1], self.features(text)) + self.weights[-1])
@@ -194,20 +206,73 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40
     return w
 
 
+def tokens(text: str) -> set[str]:
+    """Words and their stems, the latter marked by *."""
+    words = set(WORD.findall(text.lower()))
+    return words | {w[:k] + "*" for w in words for k in STEMS if k < len(w)}
+
+
+def contexts(text: str) -> dict[str, int]:
+    """tokens() with a bit for each pair of neighbours that a token stands between."""
+    words = WORD.findall(text.lower())
+    found: dict[str, int] = {}
+    for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+        bit = 1 << zlib.crc32(f"{before} {after}".encode()) % 63
+        for token in (w, *[w[:k] + "*" for k in STEMS if k < len(w)]):
+            found[token] = found.get(token, 0) | bit
+    return found
+
+
+def evidence(n: int, mask: int) -> int:
+    """How many texts speak for a token: copies of one text share its neighbours and count once."""
+    bits = mask.bit_count()
+    return n if bits > 56 else min(n, round(-63 * math.log(1 - bits / 63)))
+
+
+def lexicon(in_bad: dict[str, int], in_good: dict[str, int], base: float, tried: int, most: int) -> tuple[str, ...]:
+    """Terms by likelihood ratio, which has to beat the number of tokens tried; a stem needs three words of its own."""
+    gain, words_of = {}, Counter(w[:k] + "*" for w in in_bad if w[-1] != "*" for k in STEMS if k < len(w))
+    for w, c1 in in_bad.items():
+        if not c1:
+            continue
+        c0 = in_good.get(w, 0)
+        p = c1 / (c1 + c0)
+        stem = w[-1] == "*"
+        if p <= max(base, 0.9 if stem else 0.5) or len(w) < 3 or stem and words_of[w] < 3:
+            continue
+        ratio = c1 * math.log(p / base) + (c0 * math.log((1 - p) / (1 - base)) if c0 else 0.0)
+        if ratio >= math.log(tried + 1) + 3:
+            gain[w] = ratio
+    stems: list[str] = []
+    for w in sorted((w for w in gain if w[-1] == "*"), key=lambda w: (-gain[w], w)):
+        if not any(w[:-1].startswith(x[:-1]) or x[:-1].startswith(w[:-1]) for x in stems):
+            stems.append(w)
+    heads = {x[:-1] for x in stems}
+    whole = [w for w in gain if w[-1] != "*" and not any(w[:k] in heads for k in STEMS if k < len(w))]
+    return tuple(sorted(sorted([*stems, *whole], key=lambda w: (-gain[w], w))[:most]))
+
+
 def counted(sample: DataFrame, words_of) -> DataFrame:
-    """Rows (word, n): in how many texts of sample words_of finds each word."""
+    """Rows (word, n, mask): in how many texts of sample words_of finds each word, and its bits if it gives any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n: Counter = Counter()
+            mask: dict[str, int] = {}
             for t in b.column("text").to_pylist():
-                n.update(words_of(t or ""))
-            yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+                found = words_of(t or "")
+                n.update(list(found))
+                if isinstance(found, dict):
+                    for w, bits in found.items():
+                        mask[w] = mask.get(w, 0) | bits
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([mask.get(w, 0) for w in n], pa.int64())], names=["word", "n", "mask"])
 
-    return sample.select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    found = sample.select("text").mapInArrow(run, "word string, n bigint, mask bigint")
+    return found.groupBy("word").agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, terms: int = 1_000, candidates: int = 20_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, terms: int = 1_000, candidates: int = 200_000) -> Model:
     """Learn terms, harmless neighbours and weights from labelled rows outside the held-out fold.
 
     At most `bound` labelled documents are read, those whose doc_id hashes lowest; at most
@@ -222,25 +287,17 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, terms: int = 1_
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
-        return Model((), (), (0.0, 0.0, 0.0, 0.0, 4.0 if n1 else -4.0))
+        return Model((), (), (0.0,) * FEATURES + (4.0 if n1 else -4.0,))
     base = n1 / (n1 + n0)
     bad, good = sample.where("toxic = 1"), sample.where("toxic = 0")
-    every = counted(bad, lambda t: set(WORD.findall(t.lower()))).persist()
+    every = counted(bad, contexts).persist()
     tried = every.count()
-    in_bad = {r["word"]: r["n"] for r in every.where("n >= 3").orderBy(F.desc("n"), "word").limit(candidates).collect()}
+    in_bad = {r["word"]: evidence(r["n"], r["mask"]) for r in every.where("n >= 3").orderBy(F.desc("n"), "word").limit(candidates).collect()}
     every.unpersist()
     wanted = frozenset(in_bad)
-    in_good = {r["word"]: r["n"] for r in counted(good, lambda t: wanted.intersection(WORD.findall(t.lower()))).collect()}
-    gain = {}
-    for w, c1 in in_bad.items():
-        c0 = in_good.get(w, 0)
-        p = c1 / (c1 + c0)
-        if p >= 0.5 and p > base and len(w) >= 3:
-            ratio = c1 * math.log(p / base) + (c0 * math.log((1 - p) / (1 - base)) if c0 else 0.0)
-            if ratio >= math.log(tried + 1) + 3:
-                gain[w] = ratio
-    lexicon = tuple(sorted(sorted(gain, key=lambda w: (-gain[w], w))[:terms]))
-    blank = Model(lexicon, (), (0.0,) * 5)
+    in_good = {r["word"]: r["n"] for r in counted(good, lambda t: wanted & tokens(t)).collect()}
+    found = lexicon(in_bad, in_good, base, tried, terms)
+    blank = Model(found, (), (0.0,) * (FEATURES + 1))
 
     def neighbours(t: str) -> set[str]:
         s, words = scorer(blank), set(WORD.findall(t.lower()))
@@ -248,17 +305,18 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, terms: int = 1_
         return {w for w in words if s.hit.get(w) is False}
 
     near = counted(good, neighbours).orderBy(F.desc("n"), "word").limit(candidates).collect()
-    model = Model(lexicon, tuple(sorted(r["word"] for r in near)), blank.weights)
+    model = Model(found, tuple(sorted(r["word"] for r in near)), blank.weights)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scorer(model)
         for b in batches:
-            x = np.array([s.features(t or "") for t in b.column("text").to_pylist()]).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(4)] + [b.column("toxic")], names=["a", "b", "c", "d", "toxic"])
+            x = np.array([s.features(t or "") for t in b.column("text").to_pylist()]).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(FEATURES)] + [b.column("toxic")], names=[*names, "toxic"])
 
-    x = sample.mapInArrow(features, "a double, b double, c double, d double, toxic int").toPandas().sort_values(["a", "b", "c", "d", "toxic"]).to_numpy()
-    w = logistic(x[:, :4], x[:, 4])
-    w[:4] = np.maximum(w[:4], 0)  # a term never speaks for a text
+    names = [f"x{i}" for i in range(FEATURES)]
+    x = sample.mapInArrow(features, ", ".join(f"{c} double" for c in names) + ", toxic int").toPandas().sort_values([*names, "toxic"]).to_numpy()
+    w = logistic(x[:, :FEATURES], x[:, FEATURES])
+    w[:FEATURES] = np.maximum(w[:FEATURES], 0)  # a term never speaks for a text
     if not x[:, 1].any():  # no misspelling among the labelled texts: they count like half a term
         w[1] = w[0] / 2
     return Model(model.terms, model.harmless, tuple(float(v) for v in w))
