@@ -9,6 +9,8 @@ from .common import SPACE, documents, staged
 
 #: Bytes of the first digit, and how much wider each further digit is.
 FIRST, GROWTH = 64, 16
+#: 64-bit words of the map that marks first digits with more than one row: 2 MB, whatever the input.
+WORDS = 1 << 18
 
 
 def normalised(text: Column) -> Column:
@@ -24,8 +26,9 @@ def exact_groups(docs: DataFrame, text: str = "text", with_rows: bool = False) -
     digits so far, later the row that leads it; rows go on while their group has others and bytes
     are left. Counts per digit are summed before they are shuffled, so a group of a third of all
     rows arrives as one row per task, and the joins back can be split by adaptive execution. Only
-    rows with a possible copy carry their text past the first digit. Equality compares bytes; the
-    digest is only returned.
+    rows whose first digit others may share are shuffled with their text: a broadcast bit map of
+    fixed size marks such digits (it may mark too many, never too few). Equality compares bytes;
+    the digest is only returned.
 
     Of equal texts the row with the smallest doc_id is kept, a null doc_id counting as largest; of
     repeated rows with that doc_id exactly one. Null text counts as empty, and all empty texts
@@ -36,20 +39,24 @@ def exact_groups(docs: DataFrame, text: str = "text", with_rows: bool = False) -
     norm = normalised(F.col(f"row.{text}"))
     d = docs.select(row.alias("row")).select("row", norm.alias("norm")).select(
         "row", F.octet_length("norm").alias("n"), F.substring(F.col("norm").cast("binary"), 1, FIRST).alias("head"), F.sha2("norm", 256).alias("sha"))
-    several = d.groupBy("n", "head").agg(F.count("*").alias("members")).where("members > 1")
-    slim = F.col("row") if with_rows else F.when(F.col("members").isNotNull(), F.col("row")).otherwise(
+    several = staged(d.groupBy("n", "head").agg(F.count("*").alias("members")).where("members > 1"), "digit0")
+    word, bit = F.expr(f"xxhash64(n, head) >>> 6 & {WORDS - 1}"), F.expr("shiftleft(1L, cast(xxhash64(n, head) & 63 as int))")
+    marks = several.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("marks"))
+    d = d.withColumn("word", word).join(F.broadcast(marks), "word", "left").withColumn("maybe", F.coalesce(F.col("marks").bitwiseAND(bit) != 0, F.lit(False)))
+    slim = F.col("row") if with_rows else F.when(F.col("maybe"), F.col("row")).otherwise(
         F.struct(*[(F.lit(None).cast(t) if c == text else F.col(f"row.{c}")).alias(c) for c, t in d.select("row.*").dtypes]))
-    first = d.join(several, ["n", "head"], "left").select(
-        F.monotonically_increasing_id().alias("rid"), slim.alias("row"), "sha", "n", "members",
-        F.struct("n", F.when(F.col("members").isNotNull(), F.col("head")).otherwise(F.lit(b"")).alias("head"), F.lit(-1).cast("long").alias("lead")).alias("grp"))
-    first = staged(first, "digit0")
+    first = staged(d.select(F.monotonically_increasing_id().alias("rid"), slim.alias("row"), "sha", "n", "maybe", F.when(F.col("maybe"), F.col("head")).alias("head")), "rows")
 
     def result(x: DataFrame, keep_id: Column, size: Column, kept: Column) -> DataFrame:
         return x.select(F.col("row.doc_id").alias("doc_id"), keep_id.alias("keep_id"), size.cast("long").alias("group_size"),
                         kept.alias("kept"), F.col("sha").alias("text_sha256"), *(["row"] if with_rows else []))
 
-    parts = [result(first.where("members is null"), F.col("row.doc_id"), F.lit(1), F.lit(True))]
-    alive, seen, width = first.where("members is not null"), FIRST, FIRST
+    parts = [result(first.where("not maybe"), F.col("row.doc_id"), F.lit(1), F.lit(True))]
+    some = first.where("maybe").join(several, ["n", "head"], "left").select(
+        "rid", "row", "sha", "n", F.coalesce("members", F.lit(1)).alias("members"), F.struct("n", "head", F.lit(-1).cast("long").alias("lead")).alias("grp"))
+    some = staged(some, "digit")
+    parts.append(result(some.where("members = 1"), F.col("row.doc_id"), F.lit(1), F.lit(True)))
+    alive, seen, width = some.where("members > 1"), FIRST, FIRST
     while not alive.isEmpty():
         width *= GROWTH
         x = alive.select("rid", "row", "sha", "n", "grp", F.substring(norm.cast("binary"), seen + 1, width).alias("digit"))
