@@ -12,11 +12,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents
 
 #: The fixed pre-split of byte-level BPE, with white space spelled out as Unicode has it.
-_WS = r"\t-\r \x85\xa0  -     　"
+_WS = r"\t-\r " + "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 SPLIT = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Words whose encoding a Python worker keeps; beyond that it starts afresh.
@@ -186,11 +187,9 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, digests
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     new = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids",)
-    from pyspark.sql import types as T
-
     schema = T.StructType([f for f in docs.schema if f.name not in new])
     for n in new:
-        schema.add(n, "bigint" if n == "n_tokens" else "array<int>" if n == "ids" else "string")
+        schema.add(n, T.LongType() if n == "n_tokens" else T.ArrayType(T.IntegerType()) if n == "ids" else T.StringType())
     return docs.mapInArrow(ids_of, schema)
 
 

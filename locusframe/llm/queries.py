@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, licenses, mixing, toxicity
+from . import bpe, chat, exact_dedup, licenses, mixing, toxicity
 
 QUERIES = {
+    "op7_chat_format": chat.op7_chat_format,
     "op5_toxicity": toxicity.op5_toxicity,
     "op4_bpe": bpe.op4_bpe,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op7_chat_format": chat.ORACLE,
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
