@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, licenses, mixing, toxicity
+from . import bpe, chat, exact_dedup, jaccard, licenses, mixing, toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op7_chat_format": chat.op7_chat_format,
     "op5_toxicity": toxicity.op5_toxicity,
     "op4_bpe": bpe.op4_bpe,
