@@ -42,8 +42,6 @@ class Automaton:
     path spells a word, so the token that ends at each byte of it is unique.
     """
 
-    START = -1
-
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
         letters = byte_alphabet()
         self.spell = {i: bytes(letters[c] for c in t) for t, i in vocabulary.items() if all(c in letters for c in t)}
@@ -51,7 +49,7 @@ class Automaton:
         #: What a token shows at its ends: (token, rank of the merge that hides it), innermost last.
         self.right: dict[int, list[tuple[int, int]]] = {}
         self.left: dict[int, list[tuple[int, int]]] = {}
-        self.arc: dict[tuple[int, int], bool] = {}
+        self.arc: dict[int, bool] = {}
         self.by_bytes: dict[bytes, int] = {}
         never = len(merges)
         for c in letters:
@@ -61,7 +59,10 @@ class Automaton:
                 self.by_bytes[self.spell[i]] = i
         for r, (a, b) in enumerate(merges):
             self.gadget(r, vocabulary[a], vocabulary[b], vocabulary[a + b], never)
-        self.longest = max(map(len, self.by_bytes), default=1)
+        #: Length of the longest token by its first two bytes.
+        self.reach: dict[bytes, int] = {}
+        for b in self.by_bytes:
+            self.reach[b[:2]] = max(len(b), self.reach.get(b[:2], 1))
 
     def gadget(self, r: int, a: int, b: int, whole: int, never: int) -> None:
         self.rank.setdefault((a, b), r)
@@ -81,27 +82,54 @@ class Automaton:
         return True
 
     def step(self, state: int, token: int) -> bool:
-        if state == self.START:
-            return True
-        ok = self.arc.get((state, token))
+        """Whether the arc from `state` labelled `token` exists."""
+        key = state << 32 | token
+        ok = self.arc.get(key)
         if ok is None:
-            ok = self.arc[state, token] = self.joins(state, token, len(self.rank) + 1)
+            ok = self.arc[key] = self.joins(state, token, len(self.rank) + 1)
         return ok
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
+        """The labels of the path that spells a word.
+
+        From each place the longest token with an arc is taken. A place without a way on is dead
+        for good, because only one path spells the bytes before it; the token before is shortened.
+        """
         n, find = len(word), self.by_bytes.get
-        last = [self.START] * (n + 1)
-        reached = [True] + [False] * n
-        for end in range(1, n + 1):
-            for begin in range(max(0, end - self.longest), end):
-                if reached[begin] and (t := find(word[begin:end])) is not None and self.step(last[begin], t):
-                    last[end], reached[end] = t, True
+        if (whole := find(word)) is not None:
+            return (whole,)
+        out: list[int] = []
+        ends: list[int] = []
+        dead: set[int] = set()
+        at, end = 0, min(n, self.reach.get(word[:2], 1))
+        while at < n:
+            while end > at:
+                if end not in dead and (t := find(word[at:end])) is not None and (not out or self.step(out[-1], t)):
                     break
-        out, end = [], n
-        while end:
-            out.append(last[end])
-            end -= len(self.spell[last[end]])
-        return tuple(reversed(out))
+                end -= 1
+            if end > at:
+                out.append(t)
+                ends.append(end)
+                at = end
+                end = min(n, at + self.reach.get(word[at : at + 2], 1))
+            else:
+                dead.add(at)
+                out.pop()
+                end = ends.pop() - 1
+                at = ends[-1] if ends else 0
+        return tuple(out)
+
+
+class Memo(dict):
+    """Encodings of words met so far."""
+
+    def __init__(self, automaton: Automaton):
+        super().__init__()
+        self.automaton = automaton
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = self[word] = self.automaton.encode_word(word.encode())
+        return ids
 
 
 class Coder:
@@ -117,32 +145,21 @@ class Coder:
         self.special = special
         self.at_special = regex.compile("|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
         self.spell = self.automaton.spell | {i: t.encode() for t, i in special.items()}
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo = Memo(self.automaton)
 
-    def words(self, text: str) -> list[tuple[int, ...]]:
-        memo, out, encode = self.memo, [], self.automaton.encode_word
-        if len(memo) > MEMO:
-            memo.clear()
+    def encode(self, text: str) -> list[int]:
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        if len(self.automaton.arc) > 4 * MEMO:
             self.automaton.arc.clear()
-        at = 0
-        pieces = []
+        find, at, out = self.memo.__getitem__, 0, []
         for m in self.at_special.finditer(text) if self.at_special else ():
-            pieces += [(text[at : m.start()], None), ("", self.special[m[0]])]
+            out += chain.from_iterable(map(find, SPLIT.findall(text[at : m.start()])))
+            out.append(self.special[m[0]])
             at = m.end()
-        for piece, token in [*pieces, (text[at:], None)]:
-            if token is not None:
-                out.append((token,))
-                continue
-            for w in SPLIT.findall(piece):
-                ids = memo.get(w)
-                if ids is None:
-                    ids = memo[w] = encode(w.encode())
-                out.append(ids)
+        out += chain.from_iterable(map(find, SPLIT.findall(text[at:] if at else text)))
         return out
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.words(text)))
-
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.spell.__getitem__, ids)).decode("utf-8", errors="replace")
 
