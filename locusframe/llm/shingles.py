@@ -109,7 +109,7 @@ def shingle_sets(texts: list[bytes], width: int) -> Iterator[tuple[int, np.ndarr
             if b - a >= width:
                 yield i, np.unique(full[a : b - width + 1])
             elif b > a:
-                yield i, mixed((words[a:b] * PLACE[: b - a]).sum(keepdims=True) + U(b - a) * U(LENGTH))
+                yield i, mixed((words[a:b] * PLACE[: b - a]).sum(keepdims=True) + np.array([b - a], U) * U(LENGTH))
             else:
                 yield i, np.empty(0, U)
 
