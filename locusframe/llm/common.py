@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,3 +84,36 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def linked_components(met: DataFrame, extras: list[str], allowed: Column, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components (id, component) of all pairs of items that share a token, are allowed and pass verify.
+
+    met: rows (token, set_id, *extras). allowed: a condition on a pair, the second item's extras
+    named other_*. verify: keeps the linked ones of pairs (a, b). Items without a link are absent.
+
+    Each token's items are compared with one of them, drawn per token by hash. Where the items of
+    a token are then still in several components, those outside its largest component are compared
+    with the items of all others there. So every allowed pair is in one component already or
+    verified, and no group is expanded into all its pairs.
+    """
+    drawn = met.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "set_id").alias("h"), "set_id", *extras)).alias("o"), F.count("*").alias("c")).where("c > 1")
+    drawn = drawn.select("token", F.col("o.set_id").alias("other"), *[F.col(f"o.{x}").alias(f"other_{x}") for x in extras])
+    pair = (F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b"))
+    tried = staged(met.join(drawn, "token").where((F.col("set_id") != F.col("other")) & allowed).select(*pair).distinct(), "pairs")
+    links = staged(verify(tried), "links")
+    member = components(links)
+    placed = staged(met.join(member, met.set_id == member.id, "left").select("set_id", "token", *extras, F.coalesce("component", "set_id").alias("component")), "placed")
+    held = placed.groupBy("token", "component").agg(F.count("*").alias("c"))
+    held = held.groupBy("token").agg(F.count("*").alias("several"), F.max(F.struct("c", "component")).alias("m")).where("several > 1").select("token", F.col("m.component").alias("main"))
+    still = staged(placed.join(held, "token"), "open")
+    minor = still.where("component != main").select("set_id", "token", "component", *extras)
+    every = still.select("token", F.col("set_id").alias("other"), *[F.col(x).alias(f"other_{x}") for x in extras], F.col("component").alias("other_component"), "main")
+    rest = minor.join(every, "token").where(
+        (F.col("component") != F.col("other_component")) & ((F.col("other_component") == F.col("main")) | (F.col("set_id") < F.col("other"))) & allowed)
+    rest = staged(rest.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        more = staged(verify(rest), "links")
+        if not more.isEmpty():
+            member = components(links.union(more))
+    return member

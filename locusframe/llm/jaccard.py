@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, documents, staged
+from .common import documents, linked_components, staged
 from .shingles import U, set_digest, shingle_sets
 
 #: Bytes of text whose postings go out together, and postings that one range or set partition gets.
@@ -251,25 +251,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", width: int = 5, perc
     dealt = shared(postings(docs, text, width, parts), parts)
     sets = staged(candidates(dealt, percent), "candidates")
     met = staged(sets.select("set_id", "n", F.explode("prefix").alias("p")).select("set_id", "n", "p.token", "p.pos"), "prefixes")
-    drawn = met.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "set_id").alias("h"), "set_id", "n", "pos")).alias("o"), F.count("*").alias("c")).where("c > 1")
-    drawn = drawn.select("token", F.col("o.set_id").alias("other"), F.col("o.n").alias("other_n"), F.col("o.pos").alias("other_pos"))
-    pair = (F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b"))
-    tried = staged(met.join(drawn, "token").where((F.col("set_id") != F.col("other")) & can_link(percent)).select(*pair).distinct(), "pairs")
-    links = staged(linked(tried, sets, percent), "links")
-    member = components(links)
-    placed = staged(met.join(member, met.set_id == member.id, "left").select("set_id", "n", "token", "pos", F.coalesce("component", "set_id").alias("component")), "placed")
-    held = placed.groupBy("token", "component").agg(F.count("*").alias("c"))
-    held = held.groupBy("token").agg(F.count("*").alias("several"), F.max(F.struct("c", "component")).alias("m")).where("several > 1").select("token", F.col("m.component").alias("main"))
-    open_ = staged(placed.join(held, "token"), "open")
-    minor = open_.where("component != main").select("set_id", "n", "token", "pos", "component")
-    every = open_.select("token", F.col("set_id").alias("other"), F.col("n").alias("other_n"), F.col("pos").alias("other_pos"), F.col("component").alias("other_component"), "main")
-    rest = minor.join(every, "token").where(
-        (F.col("component") != F.col("other_component")) & ((F.col("other_component") == F.col("main")) | (F.col("set_id") < F.col("other"))) & can_link(percent))
-    rest = staged(rest.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        more = staged(linked(rest, sets, percent), "links")
-        if not more.isEmpty():
-            member = components(links.union(more))
+    member = linked_components(met, ["n", "pos"], can_link(percent), lambda pairs: linked(pairs, sets, percent))
     placed = ids.join(member, ids.set_id == member.id, "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component", "set_id").alias("_c"))
     placed = staged(placed, "documents")
     smallest = placed.where("n_shingles > 0").groupBy("_c").agg(F.min("doc_id").alias("_m"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embeddings, exact_dedup, jaccard, licenses, mixing, repeats, toxicity
+from . import bpe, chat, embeddings, exact_dedup, jaccard, licenses, lines, mixing, repeats, toxicity
 
 QUERIES = {
+    "op9_line_dedup": lines.op9_line_dedup,
     "op3_suffix_dedup": repeats.op3_suffix_dedup,
     "op8_embedding_dedup": embeddings.op8_embedding_dedup,
     "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
