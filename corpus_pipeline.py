@@ -13,10 +13,17 @@ from locusframe.llm import bpe, exact_dedup, jaccard, mixing, toxicity
 from locusframe.llm.common import SPACE, count_runs, documents, staged
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = "_" + name
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the toxicity threshold; the model learns from the labels of sf_dir."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, column="_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD).drop("_toxicity")
+    model, score = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")), fresh(docs, "score")
+    return toxicity.score(docs, model, column=score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +33,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 5-word shingles at 0.8 the one with the smallest doc_id; texts without words all stay."""
-    kept = jaccard.jaccard_components(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept, key = jaccard.jaccard_components(docs.select("doc_id", "text")), fresh(docs, "kept")
+    kept = kept.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(key)), "left_semi")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +45,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     block of the mix and goes.
     """
     taken = mixing.mix(docs.select("doc_id", "source", "text")).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
-    times = taken.select(*[F.col(c).alias(f"_{c}") for c in ("doc_id", "source", "size")], F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times")).where("_times > 0")
-    sized = docs.withColumn("_n", count_runs(F.col("text"), f"^{SPACE}", SPACE))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    return sized.join(times, same).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    size, times, copy, i, s, n = (fresh(docs, x) for x in ("size_", "times_", "copy_", "id_", "source_", "words_"))
+    taken = taken.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(n), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(times))
+    sized = docs.withColumn(size, count_runs(F.col("text"), f"^{SPACE}", SPACE))
+    same = F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(size) == F.col(n))
+    return sized.join(taken.where(F.col(times) > 0), same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
