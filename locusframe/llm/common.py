@@ -66,17 +66,18 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")
     ).where("u != v").distinct()
     e = staged(e, "edges")
-    state = None
+    check = (F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)))
+    state = e.agg(*check).first()
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+            low.where("m < u").select("u", F.col("m").alias("v"))).repartition("u").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             low.select("u", F.col("m").alias("v"))).distinct()
         e = staged(small, "stars")
-        now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0))).first()
+        now = e.agg(*check).first()
         if now == state:
             break
         state = now
@@ -86,34 +87,47 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def linked_components(met: DataFrame, extras: list[str], allowed: Column, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_components(met: DataFrame, extras: list[str], allowed: Column, verify: Callable[[DataFrame], DataFrame], rank: str = "0") -> DataFrame:
     """Components (id, component) of all pairs of items that share a token, are allowed and pass verify.
 
     met: rows (token, set_id, *extras). allowed: a condition on a pair, the second item's extras
-    named other_*. verify: keeps the linked ones of pairs (a, b). Items without a link are absent.
-
-    Each token's items are compared with one of them, drawn per token by hash. Where the items of
-    a token are then still in several components, those outside its largest component are compared
-    with the items of all others there. So every allowed pair is in one component already or
-    verified, and no group is expanded into all its pairs.
+    named other_*. verify: keeps the linked ones of pairs (a, b). rank: an expression over met,
+    least for the items that likely link with most others. Items without a link are absent.
+
+    1. Each token's items are compared with its item of least rank, ties drawn per token by hash.
+    2. Where the items of a token are still in several components, those outside its largest
+       component are compared with one drawn from that.
+    3. Where they still are, those outside its largest component are compared with the items of
+       all others there. So every allowed pair is in one component already or verified, and no
+       group is expanded into all its pairs.
     """
-    drawn = met.groupBy("token").agg(F.min(F.struct(F.xxhash64("token", "set_id").alias("h"), "set_id", *extras)).alias("o"), F.count("*").alias("c")).where("c > 1")
-    drawn = drawn.select("token", F.col("o.set_id").alias("other"), *[F.col(f"o.{x}").alias(f"other_{x}") for x in extras])
     pair = (F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b"))
-    tried = staged(met.join(drawn, "token").where((F.col("set_id") != F.col("other")) & allowed).select(*pair).distinct(), "pairs")
+    other = [F.col("o.set_id").alias("other"), *[F.col(f"o.{x}").alias(f"other_{x}") for x in extras]]
+    drawn = lambda rows, first: F.min(F.struct(first.alias("r"), F.xxhash64("token", "set_id").alias("h"), "set_id", *extras)).alias("o")
+
+    heads = met.groupBy("token").agg(drawn(met, F.expr(rank)), F.count("*").alias("c")).where("c > 1").select("token", *other)
+    tried = staged(met.join(heads, "token").where((F.col("set_id") != F.col("other")) & allowed).select(*pair).distinct(), "pairs")
     links = staged(verify(tried), "links")
-    member = components(links)
-    placed = staged(met.join(member, met.set_id == member.id, "left").select("set_id", "token", *extras, F.coalesce("component", "set_id").alias("component")), "placed")
-    held = placed.groupBy("token", "component").agg(F.count("*").alias("c"))
-    held = held.groupBy("token").agg(F.count("*").alias("several"), F.max(F.struct("c", "component")).alias("m")).where("several > 1").select("token", F.col("m.component").alias("main"))
-    still = staged(placed.join(held, "token"), "open")
-    minor = still.where("component != main").select("set_id", "token", "component", *extras)
-    every = still.select("token", F.col("set_id").alias("other"), *[F.col(x).alias(f"other_{x}") for x in extras], F.col("component").alias("other_component"), "main")
-    rest = minor.join(every, "token").where(
-        (F.col("component") != F.col("other_component")) & ((F.col("other_component") == F.col("main")) | (F.col("set_id") < F.col("other"))) & allowed)
-    rest = staged(rest.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
+    member, still = components(links), None
+    for last in (False, True):
+        if still is None:
+            placed = staged(met.join(member, met.set_id == member.id, "left").select("set_id", "token", *extras, F.coalesce("component", "set_id").alias("component")), "placed")
+            held = placed.groupBy("token", "component").agg(F.count("*").alias("c"), drawn(placed, F.lit(0)))
+            held = held.groupBy("token").agg(F.count("*").alias("several"), F.max(F.struct("c", "component", "o")).alias("m")).where("several > 1")
+            still = staged(placed.join(held.select("token", "m"), "token"), "open")
+        minor = still.where("component != m.component")
+        if not last:
+            rest = minor.withColumn("o", F.col("m.o")).select("set_id", "token", *extras, *other).where(allowed)
+        else:
+            every = still.select("token", F.col("set_id").alias("other"), *[F.col(x).alias(f"other_{x}") for x in extras], F.col("component").alias("other_component"))
+            apart = (F.col("component") != F.col("other_component")) & ((F.col("other_component") == F.col("m.component")) | (F.col("set_id") < F.col("other")))
+            rest = minor.join(every, "token").where(apart & allowed)
+        rest = staged(rest.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if rest.isEmpty():
+            continue
+        tried = tried.union(rest)
         more = staged(verify(rest), "links")
         if not more.isEmpty():
-            member = components(links.union(more))
+            links = links.union(more)
+            member, still = components(links), None
     return member

@@ -154,7 +154,7 @@ def shared(posted: DataFrame, parts: int) -> DataFrame:
 
 
 def candidates(dealt: DataFrame, percent: int) -> DataFrame:
-    """Rows (set_id, n, tokens, prefix) of the sets that can have a partner at all.
+    """Rows (set_id, n, shared, tokens, prefix) of the sets that can have a partner at all.
 
     A set needs need(n) shared shingles. In order of df, single ones first, two linked sets share
     one of their first n - need(n) + 1 shingles; `prefix` is what of these is shared, as
@@ -181,19 +181,21 @@ def candidates(dealt: DataFrame, percent: int) -> DataFrame:
             tokens, rare = t[a : a + c], np.lexsort((t[a : a + c], df[a : a + c]))
             single = size - c
             first = tokens[rare[: size - need(size, percent) + 1 - single]]
-            out.append((int(i[a]), size, small(np.sort(tokens)), [{"token": int(x), "pos": single + k} for k, x in enumerate(first)]))
-        cols2 = list(zip(*out, strict=True)) or [[]] * 4
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int64())]))]
-        return pa.table([pa.array(c, k) for c, k in zip(cols2, kinds, strict=True)], names=["set_id", "n", "tokens", "prefix"])
+            out.append((int(i[a]), size, int(c), small(np.sort(tokens)), [{"token": int(x), "pos": single + k} for k, x in enumerate(first)]))
+        cols2 = list(zip(*out, strict=True)) or [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int64())]))]
+        return pa.table([pa.array(c, k) for c, k in zip(cols2, kinds, strict=True)], names=["set_id", "n", "shared", "tokens", "prefix"])
 
-    return dealt.groupBy("part").applyInArrow(run, "set_id bigint, n bigint, tokens binary, prefix array<struct<token:bigint,pos:bigint>>")
+    return dealt.groupBy("part").applyInArrow(run, "set_id bigint, n bigint, shared bigint, tokens binary, prefix array<struct<token:bigint,pos:bigint>>")
 
 
 def can_link(percent: int) -> Column:
-    """Size-derived bounds of a pair that meets at positions pos and other_pos."""
-    return F.expr(
-        f"100 * least(n, other_n) >= {percent} * greatest(n, other_n) and "
-        f"(100 + {percent}) * (least(pos, other_pos) + least(n - pos, other_n - other_pos)) >= {percent} * (n + other_n)")
+    """Size-derived bounds of a pair that meets at positions pos and other_pos.
+
+    At the first shingle in order that both have, their overlap is at most the lesser number of
+    shingles from there on. Later common ones needn't pass.
+    """
+    return F.expr(f"100 * least(n, other_n) >= {percent} * greatest(n, other_n) and (100 + {percent}) * least(n - pos, other_n - other_pos) >= {percent} * (n + other_n)")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -233,11 +235,10 @@ def jaccard_components(docs: DataFrame, text: str = "text", width: int = 5, perc
 
     1. Shingle hashes with their sets, by range of hash; those of a single set end there.
     2. By set: sets with too few shared shingles for any partner end; the others give a prefix.
-    3. Sets that share a prefix shingle are compared with one of them, drawn per shingle, if sizes
-       and positions allow a link; overlaps are counted in blocks of the incidence product.
-    4. Where a shingle's sets are still in several components, those outside its largest one are
-       compared with the sets of all other components there. So every pair that can link is either
-       in one component already or counted; no group is expanded into all its pairs.
+    3. Sets that share a prefix shingle are compared, first with the one of fewest single shingles,
+       if sizes and positions allow a link, then where they are still in several components; see
+       linked_components(). Overlaps are counted in blocks of the incidence product. Every pair
+       that can link is in one component already or counted.
 
     Shingles are told apart by 64-bit hashes, in the product by 48 of these bits together with the
     pair. Null and empty texts and texts of spaces have no shingles and link with nothing. Repeated rows and ties
@@ -250,8 +251,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", width: int = 5, perc
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARE))
     dealt = shared(postings(docs, text, width, parts), parts)
     sets = staged(candidates(dealt, percent), "candidates")
-    met = staged(sets.select("set_id", "n", F.explode("prefix").alias("p")).select("set_id", "n", "p.token", "p.pos"), "prefixes")
-    member = linked_components(met, ["n", "pos"], can_link(percent), lambda pairs: linked(pairs, sets, percent))
+    met = staged(sets.select("set_id", "n", "shared", F.explode("prefix").alias("p")).select("set_id", "n", "shared", "p.token", "p.pos"), "prefixes")
+    member = linked_components(met, ["n", "shared", "pos"], can_link(percent), lambda pairs: linked(pairs, sets, percent), "n - shared")
     placed = ids.join(member, ids.set_id == member.id, "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component", "set_id").alias("_c"))
     placed = staged(placed, "documents")
     smallest = placed.where("n_shingles > 0").groupBy("_c").agg(F.min("doc_id").alias("_m"))
