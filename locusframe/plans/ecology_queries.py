@@ -1,4 +1,4 @@
-"""Ecology: nations are samples, brands taxa, summed quantity the count."""
+"""Ecology: nations are samples, parts taxa, order lines the count."""
 
 from __future__ import annotations
 
@@ -9,17 +9,14 @@ from locusframe.operators import ecology as E
 from .registry import query, table
 from .stats_queries import R
 
-OTU = """o as (select n_name as sample, p_brand as taxon, cast(sum(l_quantity) as bigint) as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join part on l_partkey = p_partkey
- where l_linenumber = 1 and l_shipdate < timestamp '1996-01-01' group by 1, 2)"""
+OTU = """o as (select n_name as sample, cast(l_partkey as varchar) as taxon, count(*) as n from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2)"""
 
 
 def otu(spark, d):
-    x = table(spark, d, "lineitem").where("l_linenumber = 1 and l_shipdate < timestamp_ntz '1996-01-01 00:00:00'").select("l_orderkey", "l_partkey", "l_quantity")
-    x = x.join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    x = table(spark, d, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     x = x.join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    x = x.join(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
-    x = x.join(table(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    return x.groupBy(F.col("n_name").alias("sample"), F.col("p_brand").alias("taxon")).agg(F.sum("l_quantity").cast("long").alias("n"))
+    x = x.join(table(spark, d, "nation").select("n_nationkey", "n_name"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return x.groupBy(F.col("n_name").alias("sample"), F.col("l_partkey").cast("string").alias("taxon")).agg(F.count("*").alias("n"))
 
 
 @query(f"""with {OTU}, x as (select *, n / sum(n) over (partition by sample) as p, sum(n) over (partition by sample) as t from o where n > 0),
@@ -43,15 +40,15 @@ def centred_log_ratio(spark, d):
     return R(E.clr(otu(spark, d)).select("sample", "taxon", "clr"))
 
 
-@query(f"""with {OTU}, t as (select *, sum(n) over (partition by sample)::bigint as t from o), q as (select *, n * 200 // t as low, n * 200 % t as rest from t where t >= 200)
- select sample, taxon, cast(low + case when row_number() over (partition by sample order by rest desc, taxon) <= 200 - sum(low) over (partition by sample) then 1 else 0 end as bigint) as rarefied from q""")
+@query(f"""with {OTU}, t as (select *, sum(n) over (partition by sample)::bigint as t from o), q as (select *, n * 1000 // t as low, n * 1000 % t as rest from t where t >= 1000)
+ select sample, taxon, cast(low + case when row_number() over (partition by sample order by rest desc, taxon) <= 1000 - sum(low) over (partition by sample) then 1 else 0 end as bigint) as rarefied from q""")
 def rarefied_counts(spark, d):
-    return E.rarefy(otu(spark, d), 200).select("sample", "taxon", "rarefied")
+    return E.rarefy(otu(spark, d), 1000).select("sample", "taxon", "rarefied")
 
 
-@query(f"with {OTU}, g as (select taxon from o group by 1 having sum(n) >= 1500 and count(*) >= 0.5 * (select count(distinct sample) from o)) select sample, taxon, n from o where taxon in (select taxon from g)")
+@query(f"with {OTU}, g as (select taxon from o group by 1 having sum(n) >= 35 and count(*) >= 0.7 * (select count(distinct sample) from o)) select sample, taxon, n from o where taxon in (select taxon from g)")
 def prevalence_filter(spark, d):
-    return E.prevalence(otu(spark, d), 1500, 0.5).select("sample", "taxon", "n")
+    return E.prevalence(otu(spark, d), 35, 0.7).select("sample", "taxon", "n")
 
 
 @query("""select n_name as sample, c_mktsegment as phylum, o_orderpriority as genus, count(*) as n, 2 - cast(round(log2(grouping(c_mktsegment) * 2 + grouping(o_orderpriority) + 1)) as int) as depth
@@ -63,7 +60,7 @@ def taxonomy_rollup(spark, d):
 
 
 @query(f"""with {OTU}, x as (select o.*, n_regionkey as region from o join nation on n_name = sample), c as (select region, taxon, avg(n) as m, count(*) filter (n > 0) / count(*) as f from x group by 1, 2)
- select region, taxon, round(m / sum(m) over (partition by taxon) * f, 6) as indicator from c""")
+ select region, taxon, round(m / sum(m) over (partition by taxon) * f, 9) as indicator from c""")
 def indicator_species(spark, d):
     x = otu(spark, d).join(table(spark, d, "nation").select(F.col("n_name").alias("sample"), F.col("n_regionkey").alias("region")), "sample")
-    return R(E.indicator(x, "region"))
+    return R(E.indicator(x, "region"), 9)

@@ -71,12 +71,12 @@ def mutual_information(spark, d):
     return x.select(F.round("mi", 7).alias("mi"), F.round("entropy_a", 6).alias("entropy_a"), F.round("entropy_b", 6).alias("entropy_b"), F.round("nmi", 7).alias("nmi"))
 
 
-EDGES = "g as (select distinct l_suppkey as src, l_partkey % 100 as dst from lineitem where l_orderkey % 20 = 0)"
+EDGES = "g as (select distinct l_suppkey as src, l_suppkey + l_linenumber * l_linenumber as dst from lineitem)"
 NEXT = "u as (select distinct least(src, dst) as a, greatest(src, dst) as b from g where src <> dst), n as (select a as node, b as other from u union all select b, a from u), k as (select node, count(*) as k from n group by 1)"
 
 
 def edges(spark, d):
-    return table(spark, d, "lineitem").where("l_orderkey % 20 = 0").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") % 100).alias("dst")).distinct()
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_suppkey") + F.col("l_linenumber") * F.col("l_linenumber")).alias("dst")).distinct()
 
 
 @query(f"""with {EDGES}, {NEXT}, v as (select src as node from g union select dst from g) select v.node, (select count(*) from g where src = v.node) as out_degree, (select count(*) from g where dst = v.node) as in_degree, coalesce(k, 0) as degree,
@@ -119,12 +119,12 @@ def breadth_first_search(spark, d):
     return G.bfs(edges(spark, d), 1, 4)
 
 
-EV = "g as (select distinct user_id as src, 1000 + cast(floor(value) as bigint) % 400 as dst from events where event_id % 37 = 0)"
+EV = "g as (select distinct user_id as src, 1000 + cast(floor(value) as bigint) as dst from events)"
 
 
 @query(f"""with recursive {EV}, {NEXT}, b as (select node, node as c, 0 as i from k union select n.other, c, i + 1 from b join n on n.node = b.node where i < 4) select node, min(c) as component from b group by 1""")
 def connected_components(spark, d):
-    x = table(spark, d, "events").where("event_id % 37 = 0").select(F.col("user_id").alias("src"), (F.lit(1000) + F.floor("value") % 400).cast("long").alias("dst")).distinct()
+    x = table(spark, d, "events").select(F.col("user_id").alias("src"), (F.lit(1000) + F.floor("value")).cast("long").alias("dst")).distinct()
     return G.label_components(x, 4)
 
 
