@@ -19,6 +19,8 @@ from .shingles import PIECE, U, _stream, mixed, powers
 KIND, PLACE_IN = (U(x) for x in _stream(21, 2))
 #: Keys of lines that go out together, and words of the bit map that marks wanted lines.
 HELD, WORDS = 3_000_000, 1 << 18
+#: Classes of code points that are counted to rule pairs out.
+LETTERS = 12
 
 
 def line_id(line: bytes) -> int:
@@ -253,7 +255,21 @@ def line_texts(docs: DataFrame, text: str, shortest: int, wanted: DataFrame) ->
     word, bit = F.expr(f"id >>> 6 & {WORDS - 1}"), F.expr("shiftleft(1L, cast(id & 63 as int))")
     marks = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("marks"))
     some = every.withColumn("word", word).join(F.broadcast(marks), "word").where(F.col("marks").bitwiseAND(bit) != 0).select("id", "body")
-    return some.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("body").alias("body"))
+    once = some.groupBy("id").agg(F.first("body").alias("body"))
+    # an inner join: a semi-join would be moved below the bit map's
+    return once.join(wanted.select(F.col("id").alias("_id")), F.col("id") == F.col("_id")).drop("_id")
+
+
+def letter_counts(bodies: DataFrame) -> DataFrame:
+    """Rows (id, c0, c1, ...): code points of each line by remainder; an edit changes their sum of differences by at most 2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [np.bincount(np.frombuffer(x.decode().encode("utf-32-le"), np.uint32) % LETTERS, minlength=LETTERS) for x in b.column("body").to_pylist()]
+            table = np.array(counts, np.int32).reshape(-1, LETTERS)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(table[:, k]) for k in range(LETTERS)]], names=["id", *[f"c{k}" for k in range(LETTERS)]])
+
+    return bodies.mapInArrow(run, "id bigint, " + ", ".join(f"c{k} int" for k in range(LETTERS)))
 
 
 def near_lines(pairs: DataFrame, bodies: DataFrame, edits: int) -> DataFrame:
@@ -279,8 +295,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", edits: int = 2, shortest: i
     (null last) and place, copies and near copies of it go, also within a document. Shorter lines
     stay. removed: the numbers of the lines that went, from 0; kept: the others joined by newlines.
 
-    Distinct lines meet by segment keys; pairs that share one are verified by edit distance, with
-    linked_components() so that a common segment isn't expanded into all pairs. Lines are told apart by 64-bit hashes.
+    Distinct lines meet by segment keys; pairs that share one, and whose lengths and counts of
+    letters allow a link, are verified by edit distance, with linked_components() so that a common
+    segment isn't expanded into all pairs. Lines are told apart by 64-bit hashes.
 
     Null text counts as empty: one line, which stays. Rows alike in doc_id and text count as one
     document; a repeated one loses the same lines. Other columns are not read. An empty table
@@ -292,7 +309,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", edits: int = 2, shortest: i
     stand = staged(occurrences(docs, text, shortest, parts), "lines")
     met = staged(shared_keys(docs, text, shortest, edits, parts), "keys")
     bodies = staged(line_texts(docs, text, shortest, staged(met.select(F.col("set_id").alias("id")).distinct(), "wanted")), "bodies")
-    member = linked_components(met, ["n"], F.abs(F.col("n") - F.col("other_n")) <= edits, lambda pairs: near_lines(pairs, bodies, edits))
+    counts = letter_counts(bodies)
+    met = staged(met.join(counts, met.set_id == counts.id).drop("id"), "keys")
+    apart = sum((F.abs(F.col(f"c{k}") - F.col(f"other_c{k}")) for k in range(LETTERS)), F.lit(0))
+    close = (F.abs(F.col("n") - F.col("other_n")) <= edits) & (apart <= 2 * edits)
+    member = linked_components(met, ["n", *[f"c{k}" for k in range(LETTERS)]], close, lambda pairs: near_lines(pairs, bodies, edits))
     seen = stand.groupBy("id").agg(F.min(F.struct("ord", "line", "hash")).alias("first"), F.count("*").alias("times"))
     seen = seen.join(member.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").select("id", "first", "times", F.coalesce("component", "id").alias("class"))
     seen = staged(seen, "seen")
