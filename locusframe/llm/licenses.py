@@ -19,7 +19,7 @@ BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2
 class Rule(NamedTuple):
     """A signature: the pattern is tried on lower-cased lines that contain the keyword.
 
-    A detection is dropped when it lies within one of a higher priority.
+    keyword may give several, parted by |. A detection is dropped when it lies within one of a higher priority.
     """
 
     label: str
@@ -40,20 +40,20 @@ FAMILIES = {
     "bsd-4-clause": ("bsd", r"(?:original|4[- ]clause) bsd|bsd[- ]4[- ]clause", None, ("",)),
     "0bsd": ("bsd", r"zero[- ]clause bsd|\b0bsd\b", None, ("",)),
     "bsd": ("bsd", r"bsd(?:[- ]style)? licen[cs]e", None, ("",)),
-    "gpl": ("g", r"gnu general public licen[cs]e|\bgnu gpl\b|\bgpl\b", r"gnu\.org/licenses/(?:old-licenses/)?gpl", ("1", "2", "3", "")),
-    "lgpl": ("l", r"gnu (?:lesser|library) general public licen[cs]e|\bgnu lgpl\b|\blgpl\b", r"gnu\.org/licenses/(?:old-licenses/)?lgpl", ("2", "2.1", "3", "")),
-    "agpl": ("a", r"(?:gnu )?affero general public licen[cs]e|\bgnu agpl\b|\bagpl\b", r"gnu\.org/licenses/agpl", ("1", "3", "")),
-    "gfdl": ("g", r"gnu free documentation licen[cs]e|\bgfdl\b", r"gnu\.org/licenses/fdl", ("1.1", "1.2", "1.3", "")),
-    "mpl": ("m", r"mozilla public licen[cs]e|\bmpl\b", r"mozilla\.org/(?:[a-z-]+/)?mpl", ("1.0", "1.1", "2.0", "")),
-    "epl": ("e", r"eclipse public licen[cs]e|\bepl\b", r"eclipse\.org/legal/epl", ("1.0", "2.0", "")),
-    "cddl": ("c", r"common development and distribution licen[cs]e|\bcddl\b", None, ("1.0", "1.1", "")),
+    "gpl": ("gpl|general public", r"gnu general public licen[cs]e|\bgnu gpl\b|\bgpl\b", r"gnu\.org/licenses/(?:old-licenses/)?gpl", ("1", "2", "3", "")),
+    "lgpl": ("lgpl|lesser general|library general", r"gnu (?:lesser|library) general public licen[cs]e|\bgnu lgpl\b|\blgpl\b", r"gnu\.org/licenses/(?:old-licenses/)?lgpl", ("2", "2.1", "3", "")),
+    "agpl": ("agpl|affero", r"(?:gnu )?affero general public licen[cs]e|\bgnu agpl\b|\bagpl\b", r"gnu\.org/licenses/agpl", ("1", "3", "")),
+    "gfdl": ("gfdl|free documentation", r"gnu free documentation licen[cs]e|\bgfdl\b", r"gnu\.org/licenses/fdl", ("1.1", "1.2", "1.3", "")),
+    "mpl": ("mpl|mozilla", r"mozilla public licen[cs]e|\bmpl\b", r"mozilla\.org/(?:[a-z-]+/)?mpl", ("1.0", "1.1", "2.0", "")),
+    "epl": ("epl|eclipse", r"eclipse public licen[cs]e|\bepl\b", r"eclipse\.org/legal/epl", ("1.0", "2.0", "")),
+    "cddl": ("cddl|common development", r"common development and distribution licen[cs]e|\bcddl\b", None, ("1.0", "1.1", "")),
     "cpl": ("common public", r"common public licen[cs]e", None, ("0.5", "1.0", "")),
     "cpal": ("common public", r"common public attribution licen[cs]e", None, ("1.0", "")),
-    "eupl": ("e", r"european union public licen[cs]e|\beupl\b", None, ("1.0", "1.1", "1.2", "")),
+    "eupl": ("eupl|european union", r"european union public licen[cs]e|\beupl\b", None, ("1.0", "1.1", "1.2", "")),
     "osl": ("open software", r"open software licen[cs]e", None, ("1.0", "2.0", "2.1", "3.0", "")),
     "afl": ("academic free", r"academic free licen[cs]e", None, ("1.1", "1.2", "2.0", "2.1", "3.0", "")),
     "artistic": ("artistic", r"artistic licen[cs]e", r"perlfoundation\.org/artistic", ("1.0", "2.0", "")),
-    "lppl": ("l", r"latex project public licen[cs]e|\blppl\b", None, ("1.0", "1.1", "1.2", "1.3", "")),
+    "lppl": ("lppl|latex project", r"latex project public licen[cs]e|\blppl\b", None, ("1.0", "1.1", "1.2", "1.3", "")),
     "ms-pl": ("microsoft", r"microsoft public licen[cs]e", None, ("",)),
     "ms-rl": ("microsoft", r"microsoft reciprocal licen[cs]e", None, ("",)),
     "isc": ("isc", r"\bisc licen[cs]e", None, ("",)),
@@ -63,16 +63,16 @@ FAMILIES = {
     "unlicense": ("unlicense", r"\bthe unlicense\b|\bunlicensed? into the public", r"unlicense\.org", ("",)),
     "wtfpl": ("wtfpl", r"\bwtfpl\b", None, ("2", "")),
     "cc0": ("cc0", r"\bcc0\b", None, ("1.0", "")),
-    "cc-by": ("c", r"creative commons attribution(?! ?-?(?:non|share|no))(?: licen[cs]e)?|\bcc[ -]by\b(?![ -](?:nc|sa|nd))", r"creativecommons\.org/licenses/by/", ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
-    "cc-by-sa": ("c", r"creative commons attribution[ -]share[ -]?alike|\bcc[ -]by[ -]sa\b", r"creativecommons\.org/licenses/by-sa/", ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
-    "cc-by-nd": ("c", r"creative commons attribution[ -]no[ -]?deriv[a-z]*|\bcc[ -]by[ -]nd\b", r"creativecommons\.org/licenses/by-nd/", ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
-    "cc-by-nc": ("c", r"creative commons attribution[ -]non[ -]?commercial(?![ -](?:share|no))|\bcc[ -]by[ -]nc\b(?![ -](?:sa|nd))", r"creativecommons\.org/licenses/by-nc/", ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
-    "cc-by-nc-sa": ("c", r"creative commons attribution[ -]non[ -]?commercial[ -]share[ -]?alike|\bcc[ -]by[ -]nc[ -]sa\b", r"creativecommons\.org/licenses/by-nc-sa/", ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
-    "cc-by-nc-nd": ("c", r"creative commons attribution[ -]non[ -]?commercial[ -]no[ -]?deriv[a-z]*|\bcc[ -]by[ -]nc[ -]nd\b", r"creativecommons\.org/licenses/by-nc-nd/", ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
-    "odbl": ("o", r"open database licen[cs]e|\bodbl\b", r"opendatacommons\.org/licenses/odbl", ("1.0", "")),
-    "odc-by": ("o", r"open data commons attribution|\bodc-by\b", None, ("1.0", "")),
-    "pddl": ("p", r"public domain dedication and licen[cs]e|\bpddl\b", None, ("1.0", "")),
-    "ofl": ("o", r"sil open font licen[cs]e|\bofl\b", r"scripts\.sil\.org/ofl", ("1.0", "1.1", "")),
+    "cc-by": ("cc by|cc-by|creative commons", r"creative commons attribution(?! ?-?(?:non|share|no))(?: licen[cs]e)?|\bcc[ -]by\b(?![ -](?:nc|sa|nd))", r"creativecommons\.org/licenses/by/", ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
+    "cc-by-sa": ("cc by|cc-by|creative commons", r"creative commons attribution[ -]share[ -]?alike|\bcc[ -]by[ -]sa\b", r"creativecommons\.org/licenses/by-sa/", ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
+    "cc-by-nd": ("cc by|cc-by|creative commons", r"creative commons attribution[ -]no[ -]?deriv[a-z]*|\bcc[ -]by[ -]nd\b", r"creativecommons\.org/licenses/by-nd/", ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
+    "cc-by-nc": ("cc by|cc-by|creative commons", r"creative commons attribution[ -]non[ -]?commercial(?![ -](?:share|no))|\bcc[ -]by[ -]nc\b(?![ -](?:sa|nd))", r"creativecommons\.org/licenses/by-nc/", ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
+    "cc-by-nc-sa": ("cc by|cc-by|creative commons", r"creative commons attribution[ -]non[ -]?commercial[ -]share[ -]?alike|\bcc[ -]by[ -]nc[ -]sa\b", r"creativecommons\.org/licenses/by-nc-sa/", ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
+    "cc-by-nc-nd": ("cc by|cc-by|creative commons", r"creative commons attribution[ -]non[ -]?commercial[ -]no[ -]?deriv[a-z]*|\bcc[ -]by[ -]nc[ -]nd\b", r"creativecommons\.org/licenses/by-nc-nd/", ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
+    "odbl": ("odbl|open database", r"open database licen[cs]e|\bodbl\b", r"opendatacommons\.org/licenses/odbl", ("1.0", "")),
+    "odc-by": ("odc-by|open data commons", r"open data commons attribution|\bodc-by\b", None, ("1.0", "")),
+    "pddl": ("pddl|public domain ded", r"public domain dedication and licen[cs]e|\bpddl\b", None, ("1.0", "")),
+    "ofl": ("ofl|open font", r"sil open font licen[cs]e|\bofl\b", r"scripts\.sil\.org/ofl", ("1.0", "1.1", "")),
     "ogl": ("open government", r"open government licen[cs]e", None, ("1.0", "2.0", "3.0", "")),
     "openrail": ("rail", r"open ?rail(?:-m)? licen[cs]e|\bopenrail\b", None, ("",)),
     "psf": ("python", r"python software foundation licen[cs]e", None, ("2", "")),
@@ -83,7 +83,7 @@ FAMILIES = {
     "vim": ("vim", r"\bvim licen[cs]e", None, ("",)),
     "ncsa": ("ncsa", r"university of illinois/ncsa open source licen[cs]e|\bncsa licen[cs]e", None, ("",)),
     "ecl": ("educational", r"educational community licen[cs]e", None, ("1.0", "2.0", "")),
-    "sspl": ("s", r"server side public licen[cs]e|\bsspl\b", None, ("1", "")),
+    "sspl": ("sspl|server side", r"server side public licen[cs]e|\bsspl\b", None, ("1", "")),
     "elastic": ("elastic", r"elastic licen[cs]e", None, ("2.0", "")),
     "upl": ("universal", r"universal permissive licen[cs]e", None, ("1.0", "")),
     "beerware": ("beer", r"beer-?ware licen[cs]e", None, ("42", "")),
@@ -96,11 +96,10 @@ FAMILIES = {
 GRANT = r"\b(?:licen[cs]ed|released|distributed|available) under (?:the terms of )?(?:the )?"
 #: Families whose detections give way to any named license that contains them.
 GENERIC = ("bsd", "copyright", "proprietary", "unknown-license")
-#: Words one of which every detection's line contains; the prefilter of whole documents.
-GATE = ("licen", "gpl", "copyright", "spdx", "creative commons", "creativecommons", "cc by", "cc-by", "cc0", "public domain",
-        "reserved", "gfdl", "mpl", "epl", "cddl", "eupl", "lppl", "bsd", "mit-0", "mit no attribution", "odbl", "odc-by", "pddl", "ofl", "wtfpl",
-        "openrail", "sspl", "gnu.org", "mozilla.org", "eclipse.org", "perlfoundation", "boost.org", "apache.org", "opendatacommons", "open data commons",
-        "sil.org")
+#: Strings one of which every detection's line contains, the prefilter of whole documents; the short ones as words of their own.
+GATE = ("licen", "copyright", "spdx", "creative commons", "cc by", "cc-by", "public domain", "reserved", "mit no attribution", "open data commons", "perlfoundation", "openrail")
+SHORT = ("gpl", "gfdl", "mpl", "epl", "cddl", "lppl", "bsd", "mit-0", "odbl", "odc-by", "pddl", "ofl", "wtfpl", "cc0", "sspl", "eupl")
+SHORT_WORD = r"\b(?:[al]?gpl|gfdl|mpl|epl|cddl|lppl|0?bsd|mit-0|odbl|odc-by|pddl|ofl|wtfpl|cc0|sspl|eupl)"
 
 
 def rules() -> list[Rule]:
@@ -138,6 +137,10 @@ def any_of(text: Column, words: tuple[str, ...]) -> Column:
     return found
 
 
+def gate(text: Column) -> Column:
+    return any_of(text, GATE) | (any_of(text, SHORT) & F.rlike(text, F.lit(SHORT_WORD)))
+
+
 def detections(line: Column, table: Column) -> Column:
     """array<struct<start, stop, priority, label, confidence>>: every match of every rule whose keyword the line has."""
 
@@ -156,7 +159,7 @@ def detections(line: Column, table: Column) -> Column:
             s["start"].alias("start"), (-s["stop"]).alias("back"), (-r["priority"]).alias("low"), r["label"].alias("label"), r["confidence"].alias("confidence")))).otherwise(
             F.array().cast("array<struct<start:int,back:int,low:int,label:string,confidence:double>>"))
 
-    return F.flatten(F.transform(F.filter(table, lambda r: F.contains(line, r["keyword"])), one))
+    return F.flatten(F.transform(F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(line, k))), one))
 
 
 def surviving(found: Column) -> Column:
@@ -192,15 +195,15 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     phrase = "|".join(f"[{SEP}]++".join(words.split()) for words, _ in BASE)
     phrase = rf"(?<![^{SEP}])(?i:{phrase})(?![^{SEP}])"
-    low = F.lower(body)
-    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r._asdict().items()]) for r in rules()])
-    hits = F.when(any_of(low, ("license", "cc")), F.regexp_extract_all(body, F.lit(phrase), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r._asdict().items()], F.array(*map(F.lit, r.keyword.split("|"))).alias("keywords")) for r in rules()])
+    hits = lambda low: F.when(any_of(low, ("license", "cc")), F.regexp_extract_all(body, F.lit(phrase), F.lit(0))).otherwise(F.array().cast("array<string>"))
     hit_label = lambda h: F.when(F.lower(h).like("u%"), F.lit("mit")).when(F.lower(h).like("a%"), F.lit("apache-2")).otherwise(F.lit("cc-by-nc"))
     hit_words = lambda h: F.when(F.lower(h).like("c%"), F.lit(3)).otherwise(F.lit(4))
     words = lambda t: count_runs(t, f"^{SEP}", SEP)
-    by_line = F.transform(
-        F.array_distinct(F.filter(F.split(low, "\n"), lambda x: any_of(x, GATE))), lambda x: surviving(detections(x, table)))
-    found = F.when(any_of(low, GATE), F.array_distinct(F.flatten(by_line))).otherwise(F.array().cast("array<struct<label:string,confidence:double>>"))
+    by_line = lambda low: F.transform(
+        F.array_distinct(F.filter(F.split(low, "\n"), gate)), lambda x: surviving(detections(x, table)))
+    none = F.array().cast("array<struct<label:string,confidence:double>>")
+    found = lambda low: F.when(gate(low), F.array_distinct(F.flatten(by_line(low)))).otherwise(none)
 
     def result(h: Column, f: Column, n: Column) -> Column:
         some = F.size(h) > 0
@@ -215,7 +218,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             F.when(some, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform(f, lambda x: x["confidence"])), F.lit(0.0))).alias("score"),
             f.alias("found"))
 
-    return docs.withColumn("licenses", bind(hits, lambda h: bind(found, lambda f: bind(words(body), lambda n: result(h, f, n)))))
+    return docs.withColumn("licenses", bind(F.lower(body), lambda low: bind(hits(low), lambda h: bind(found(low), lambda f: bind(words(body), lambda n: result(h, f, n))))))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
