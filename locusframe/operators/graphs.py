@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .staging import cut
 from .stats import div
 
 
@@ -60,9 +61,9 @@ def similar_nodes(edges: DataFrame) -> DataFrame:
 
 
 def page_rank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
-    """PageRank of directed edges after a fixed number of rounds; dangling mass is spread evenly. Cut lineage by checkpoint every five."""
-    e = edges.select("src", "dst").distinct()
-    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    """PageRank of directed edges after a fixed number of rounds; dangling mass is spread evenly. Lineage is cut every three."""
+    e = cut(edges.select("src", "dst").distinct())
+    nodes = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct())
     n = nodes.count()
     out = e.groupBy(F.col("src").alias("s")).agg(F.count("*").alias("k"))
     e = e.join(out, F.col("src") == F.col("s")).select("src", "dst", "k")
@@ -72,33 +73,28 @@ def page_rank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame
         flow = e.join(rank, e.src == rank.node).groupBy("dst").agg(F.sum(F.col("rank") / F.col("k")).alias("f"))
         lost = rank.join(dangling, F.col("node") == F.col("_d"), "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         rank = nodes.join(flow, F.col("node") == F.col("dst"), "left").crossJoin(lost).select("node", ((1 - damping) / n + damping * (F.coalesce("f", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if i % 5 == 4 and df_checkpoint_dir(edges):
-            rank = rank.checkpoint()
+        if i % 3 == 2:
+            rank = cut(rank)
     return rank
 
 
-def df_checkpoint_dir(df: DataFrame) -> bool:
-    """Whether the session has a checkpoint folder."""
-    return bool(df.sparkSession.conf.get("spark.checkpoint.dir", "")) and df.sparkSession.sparkContext.getCheckpointDir() is not None
-
-
 def bfs(edges: DataFrame, start, rounds: int) -> DataFrame:  # noqa: ANN001
     """Undirected hop distance from one node, up to `rounds` hops."""
-    n = neighbours(edges)
+    n = cut(neighbours(edges))
     seen = n.where(F.col("node") == start).select("node").distinct().withColumn("distance", F.lit(0))
     for i in range(1, rounds + 1):
         edge = seen.where(F.col("distance") == i - 1).join(n, "node").select(F.col("other").alias("node")).distinct()
-        seen = seen.union(edge.join(seen, "node", "left_anti").withColumn("distance", F.lit(i)))
+        seen = cut(seen.union(edge.join(seen, "node", "left_anti").withColumn("distance", F.lit(i))))
     return seen
 
 
 def label_components(edges: DataFrame, rounds: int) -> DataFrame:
     """Smallest node id within `rounds` hops, the component for graphs of that diameter or less."""
-    n = neighbours(edges)
+    n = cut(neighbours(edges))
     label = n.select("node").distinct().withColumn("component", F.col("node"))
     for _ in range(rounds):
         low = n.join(label.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
-        label = label.join(low, "node").select("node", F.least("component", "c").alias("component"))
+        label = cut(label.join(low, "node").select("node", F.least("component", "c").alias("component")))
     return label
 
 
