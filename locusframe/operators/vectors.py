@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .stats import div
 
@@ -71,11 +77,39 @@ def kmeans(df: DataFrame, seeds: DataFrame, rounds: int) -> tuple[DataFrame, Dat
     return assign(df, centers), centers
 
 
+def distance_sums(df: DataFrame, label: str, tile: int = 1024) -> DataFrame:
+    """Rows (id, l, m, n, total): number and sum of the Euclidean distances of each row, whose label is l, to the other rows of label m.
+
+    Rows are dealt to tiles of about `tile` vectors; a pair of tiles is one row for a worker, which
+    takes a matrix product of it. All pairs are what the measure asks for, the tiles bound memory.
+    """
+    count = df.count()
+    tiles = df.select(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-count // tile)))).alias("t"), "id", F.col(label).alias("l"), "v").groupBy("t").agg(F.collect_list(F.struct("id", "l", "v")).alias("rows"))
+    pairs = tiles.select(F.col("rows").alias("a")).crossJoin(tiles.select(F.col("rows").alias("b"))).repartition(max(1, (-(-count // tile)) ** 2))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, b = batch.column("a")[k].as_py(), batch.column("b")[k].as_py()
+                x, y = np.array([r["v"] for r in a]), np.array([r["v"] for r in b])
+                d = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T))
+                same = np.array([r["id"] for r in a])[:, None] == np.array([r["id"] for r in b])
+                d[same] = 0
+                labels, at = np.unique([r["l"] for r in b], return_inverse=True)
+                one = np.eye(len(labels))[at]
+                total, n = d @ one, (~same).astype(float) @ one
+                out = [(r["id"], r["l"], m, int(n[i, c]), float(total[i, c])) for i, r in enumerate(a) for c, m in enumerate(labels.tolist()) if n[i, c]]
+                yield pa.RecordBatch.from_pydict(dict(zip(("id", "l", "m", "n", "total"), map(list, zip(*out, strict=True)) if out else [[]] * 5, strict=True)), schema=arrow)
+
+    kinds = dict(df.dtypes)
+    schema = f"id {kinds['id']}, l {kinds[label]}, m {kinds[label]}, n bigint, total double"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    return pairs.mapInArrow(run, schema).groupBy("id", "l", "m").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
 def silhouette(df: DataFrame, label: str) -> DataFrame:
     """Silhouette of each row from Euclidean distances; a singleton's a is 0, so its score is 1."""
-    a = df.select("id", F.col(label).alias("l"), F.col("v").alias("_a"))
-    b = df.select(F.col("id").alias("id_b"), F.col(label).alias("m"), F.col("v").alias("_b"))
-    x = a.crossJoin(b).where("id != id_b").groupBy("id", "l", "m").agg(F.avg(distance(F.col("_a"), F.col("_b"), "euclidean")).alias("d"))
+    x = distance_sums(df, label).withColumn("d", F.col("total") / F.col("n"))
     s = x.groupBy("id", "l").agg(F.coalesce(F.max(F.when(F.col("l") == F.col("m"), F.col("d"))), F.lit(0.0)).alias("a"), F.min(F.when(F.col("l") != F.col("m"), F.col("d"))).alias("b"))
     return s.select("id", div(F.col("b") - F.col("a"), F.greatest("a", "b")).alias("silhouette"))
 

@@ -62,11 +62,11 @@ def newick_node_table(spark, d):
     return T.newick_nodes(nation_trees(spark, d, T.upgma).withColumnRenamed("region", "id"))
 
 
-@query("""with s as (select user_id as id, list_distinct(list(event_type || '-' || date_part('day', ts))) as bits from events group by 1), x as (select id, len(bits) as n, unnest(bits) as bit from s),
- p as (select a.id as id_a, b.id as id_b, a.n as na, b.n as nb, count(*) as s from x a join x b on a.bit = b.bit and a.id < b.id group by 1, 2, 3, 4) select id_a, id_b, round(s / (na + nb - s), 6) as tanimoto from p where s / (na + nb - s) >= 0.2""")
+@query("""with s as (select user_id as id, list_distinct(list(event_type || '-' || date_part('day', ts) || '-' || date_part('hour', ts))) as bits from events group by 1), x as (select id, len(bits) as n, unnest(bits) as bit from s),
+ p as (select a.id as id_a, b.id as id_b, a.n as na, b.n as nb, count(*) as s from x a join x b on a.bit = b.bit and a.id < b.id group by 1, 2, 3, 4) select id_a, id_b, round(s / (na + nb - s), 6) as tanimoto from p where s / (na + nb - s) >= 0.02""")
 def tanimoto_pairs(spark, d):
-    x = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.collect_set(F.concat_ws("-", "event_type", F.dayofmonth("ts"))).alias("bits"))
-    return R(M.similar_sets(x, 0.2))
+    x = table(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.collect_set(F.concat_ws("-", "event_type", F.dayofmonth("ts"), F.hour("ts"))).alias("bits"))
+    return R(M.similar_sets(x, 0.02))
 
 
 @query(f"""with {PROT}, p as (select unnest(string_split(regexp_replace(replace(replace(seq, 'KP', 'kP'), 'RP', 'rP'), '([KR])', '\\1|', 'g'), '|')) as p from s), q as (select distinct upper(p) as peptide from p where length(p) between 2 and 12),
