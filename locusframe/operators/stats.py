@@ -34,8 +34,8 @@ def ranks(df: DataFrame, value: str, by: list[str], tie: str) -> DataFrame:
     same = W.partitionBy(*by, value)
     low = F.rank().over(line)
     high = low + F.count("*").over(same) - 1
-    return df.select("*", low.alias("rank_min"), high.alias("rank_max"), ((low + high) / 2).alias("rank_average"), F.dense_rank().over(line).alias("rank_dense"),
-                     F.row_number().over(W.partitionBy(*by).orderBy(value, tie)).alias("rank_ordinal"))
+    ordinal = F.row_number().over(W.partitionBy(*by).orderBy(value, tie))
+    return df.select("*", low.cast("long").alias("rank_min"), high.alias("rank_max"), ((low + high) / 2).alias("rank_average"), F.dense_rank().over(line).cast("long").alias("rank_dense"), ordinal.cast("long").alias("rank_ordinal"))
 
 
 def pearson(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

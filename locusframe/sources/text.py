@@ -184,6 +184,35 @@ def read_maf(spark: SparkSession, path: str) -> DataFrame:
     return x.select("block", "score", cell(0).alias("src"), cell(1, "bigint").alias("start"), cell(2, "bigint").alias("size"), cell(3).alias("strand"), cell(4, "bigint").alias("src_size"), cell(5).alias("text"))
 
 
+def read_sdf(spark: SparkSession, path: str) -> DataFrame:
+    """Molecules (title, atoms array<struct<x, y, z, element>>, bonds array<struct<a, b, order>> from 1, properties map)."""
+    x = spark.read.option("lineSep", "$$$$\n").text(path).where("trim(value) != ''").select(F.split("value", "\r?\n").alias("v"), "value")
+    count = lambda at: F.trim(F.substring(F.get("v", F.lit(3)), at, 3)).try_cast("int")
+    part = lambda r, at, n, kind: F.trim(F.substring(r, at, n)).try_cast(kind)
+    x = x.withColumn("na", count(1)).withColumn("nb", count(4)).where("na is not null and nb is not null")
+    atoms = F.transform(F.slice("v", F.lit(5), F.col("na")), lambda r: F.struct(*[part(r, 1 + 10 * i, 10, "double").alias(c) for i, c in enumerate("xyz")], F.trim(F.substring(r, 32, 3)).alias("element")))
+    bonds = F.transform(F.slice("v", F.col("na") + 5, F.col("nb")), lambda r: F.struct(*[part(r, 1 + 3 * i, 3, "int").alias(c) for i, c in enumerate(("a", "b", "order"))]))
+    fields = F.regexp_extract_all("value", F.lit(r"(?m)^> +<([^>]+)>[^\n]*\n([^\n]*)"), F.lit(0))
+    entry = lambda t: F.struct(F.regexp_extract(t, "<([^>]+)>", 1), F.rtrim(F.substring_index(t, "\n", -1)))
+    return x.select(F.trim(F.get("v", F.lit(0))).alias("title"), atoms.alias("atoms"), bonds.alias("bonds"), F.map_from_entries(F.transform(fields, entry)).alias("properties"))
+
+
+def read_nexus_trees(spark: SparkSession, path: str) -> DataFrame:
+    """Trees (name, newick) of the trees blocks; a file is read by one task."""
+    rows = F.regexp_extract_all("value", F.lit(r"(?im)^\s*u?tree\s+\*?\s*(\S+)\s*=\s*(?:\[[^\]]*\]\s*)*([^;]*;)"), F.lit(0))
+    x = spark.read.text(path, wholetext=True).select(F.explode(rows).alias("t"))
+    return x.select(F.regexp_extract("t", r"(?i)u?tree\s+\*?\s*([^\s=]+)", 1).alias("name"), F.regexp_extract("t", r"=\s*(?:\[[^\]]*\]\s*)*([^;]*;)", 1).alias("newick"))
+
+
+def read_meme(spark: SparkSession, path: str) -> DataFrame:
+    """Motifs (id, name, width, sites, matrix array<array<double>> in order of A, C, G, T)."""
+    x = spark.read.option("lineSep", "MOTIF ").text(path).where(F.contains("value", F.lit("letter-probability matrix")))
+    rows = F.regexp_extract_all("value", F.lit(r"(?m)^[ \t]*((?:[0-9.eE+-]+[ \t]*){4})\r?$"), F.lit(1))
+    matrix = F.transform(rows, lambda r: F.transform(F.split(F.trim(r), r"\s+"), lambda c: c.cast("double")))
+    return x.select(F.regexp_extract("value", r"^(\S+)", 1).alias("id"), F.nullif(F.regexp_extract("value", r"^\S+[ \t]+([^\r\n]+)", 1), F.lit("")).alias("name"),
+                    F.regexp_extract("value", r"w= *(\d+)", 1).try_cast("int").alias("width"), F.regexp_extract("value", r"nsites= *([0-9.]+)", 1).try_cast("double").alias("sites"), matrix.alias("matrix"))
+
+
 def write_lines(df: DataFrame, columns: list[Column], path: str) -> None:
     df.select(F.concat_ws("\t", *[F.coalesce(c.cast("string"), F.lit(".")) for c in columns]).alias("value")).write.text(path)
 

@@ -79,3 +79,15 @@ def test_spectra_structures_chains(spark, tmp_path):
     a = T.read_maf(spark, put(tmp_path, "a.maf", "##maf version=1\na score=5.0\ns hg.chr1 10 4 + 100 AC-GT\ns mm.chr2 20 5 - 90 ACTGT\n\n"))
     assert rows(a, "score", "src", "start", "size", "text") == [(5.0, "hg.chr1", 10, 4, "AC-GT"), (5.0, "mm.chr2", 20, 5, "ACTGT")]
     assert rows(T.read_blast(spark, put(tmp_path, "a.tsv", "q\ts\t99.5\t10\t0\t0\t1\t10\t1\t10\t1e-5\t50\n")), "identity", "evalue") == [(99.5, 1e-5)]
+
+
+def test_molecules_trees_motifs(spark, tmp_path):
+    atom = lambda x, e: f"{x:10.4f}{0:10.4f}{0:10.4f} {e:<3} 0  0"
+    body = "ethanol\n  prog\n\n  3  2  0\n" + "\n".join([atom(0, "C"), atom(1.5, "C"), atom(2, "O"), "  1  2  1  0", "  2  3  1  0", "M  END", "> <ID>", "E1", "", "> <MW>", "46.07", ""]) + "\n$$$$\n"
+    m = T.read_sdf(spark, put(tmp_path, "a.sdf", body + body.replace("ethanol", "two"))).collect()
+    assert [r.title for r in m] == ["ethanol", "two"] and [a.element for a in m[0].atoms] == ["C", "C", "O"] and m[0].atoms[1].x == 1.5
+    assert [tuple(b) for b in m[1].bonds] == [(1, 2, 1), (2, 3, 1)] and m[0].properties == {"ID": "E1", "MW": "46.07"}
+    t = T.read_nexus_trees(spark, put(tmp_path, "a.nex", "#NEXUS\nbegin trees;\n  tree one = [&R] ((A,B),C);\n  tree two = (A,(B,C));\nend;\n"))
+    assert rows(t) == [("one", "((A,B),C);"), ("two", "(A,(B,C));")]
+    q = T.read_meme(spark, put(tmp_path, "a.meme", "MEME version 4\n\nMOTIF M1 first\nletter-probability matrix: alength= 4 w= 2 nsites= 20\n 0.1 0.2 0.3 0.4\n 1.0 0 0 0\n\nMOTIF M2\nletter-probability matrix: w= 1\n 0.25 0.25 0.25 0.25\n")).collect()
+    assert [(r.id, r.name, r.width, r.sites) for r in q] == [("M1", "first", 2, 20.0), ("M2", None, 1, None)] and q[0].matrix == [[0.1, 0.2, 0.3, 0.4], [1.0, 0.0, 0.0, 0.0]]
