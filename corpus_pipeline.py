@@ -39,14 +39,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times, 0 to 3, as the mix takes it: the words taken by its size, rounded half up.
+    """Each document as many times, 0 to 3, as mixing.copies gives it, so that each source's words come near its target.
 
     Rows alike in doc_id, source and size come equally often. A document without words is in no
     block of the mix and goes.
     """
-    taken = mixing.mix(docs.select("doc_id", "source", "text")).where("taken > 0").groupBy("doc_id", "source", "size").agg(F.max("taken").alias("taken"))
     size, times, copy, i, s, n = (fresh(docs, x) for x in ("size_", "times_", "copy_", "id_", "source_", "words_"))
-    taken = taken.select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(n), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias(times))
+    taken = mixing.copies(mixing.mix(docs.select("doc_id", "source", "text"))).select(
+        F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(n), F.col("times").alias(times))
     sized = docs.withColumn(size, count_runs(F.col("text"), f"^{SPACE}", SPACE))
     same = F.col("doc_id").eqNullSafe(F.col(i)) & F.col("source").eqNullSafe(F.col(s)) & (F.col(size) == F.col(n))
     return sized.join(taken.where(F.col(times) > 0), same).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -108,6 +108,31 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
     return d.select("doc_id", "source", "size", "source_size", "target", F.coalesce(F.when(F.col("size") > 0, taken), F.lit(0)).cast("long").alias("taken"), *keep)
 
 
+def copies(mixed: DataFrame, seed: int = 17, rows: int = 4096) -> DataFrame:
+    """Rows (doc_id, source, size, times) of mix's output: how often each document comes as a whole, 0 to 3.
+
+    Rows alike in the three first columns are one item and come equally often. Along each source's
+    items, most words first, times is the step of the rounded running sum of taken / size. So a
+    source's words differ from its taken ones by at most half of its longest item, up to `rows` items
+    of about one length. Items of about one length are one part of the line, more than `rows` of
+    them several by hash; a part's start comes from the sums of the parts before it. Shares are
+    whole numbers of 2^-20, so the sums are exact in any order.
+    """
+    unit = 1 << 20
+    x = mixed.groupBy("doc_id", "source", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("c")).where("taken > 0")
+    x = x.select("doc_id", "source", "size", (F.col("c") * F.col("size")).alias("words"), F.expr(f"taken * {unit} div (c * size)").alias("x"))
+    x = staged(x.withColumn("band", F.floor(16 * F.log2("words")).cast("int")).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")), "items")
+    parts = x.groupBy(F.col("source").alias("s"), F.col("band").alias("b")).agg(F.ceil(F.count("*") / rows).cast("long").alias("parts"))
+    x = x.join(F.broadcast(parts), F.col("source").eqNullSafe(F.col("s")) & (F.col("band") == F.col("b"))).withColumn("part", F.pmod("h", "parts")).drop("s", "b")
+    line = W.partitionBy("s").orderBy(F.col("b").desc(), "p").rowsBetween(W.unboundedPreceding, -1)
+    start = x.groupBy(F.col("source").alias("s"), F.col("band").alias("b"), F.col("part").alias("p")).agg(F.sum("x").alias("of_part"))
+    start = start.withColumn("start", F.coalesce(F.sum("of_part").over(line), F.lit(0)))
+    x = x.join(F.broadcast(start), F.col("source").eqNullSafe(F.col("s")) & (F.col("band") == F.col("b")) & (F.col("part") == F.col("p")))
+    within = W.partitionBy("source", "band", "part").orderBy(F.col("words").desc(), "h", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    x = x.withColumn("end", F.col("start") + F.sum("x").over(within) + unit // 2)
+    return x.select("doc_id", "source", "size", F.expr(f"cast(end div {unit} - (end - x) div {unit} as int)").alias("times"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
