@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA
@@ -121,13 +122,41 @@ def label_propagation(edges: DataFrame, rounds: int) -> DataFrame:
     return label
 
 
-def k_core(edges: DataFrame, k: int, rounds: int) -> DataFrame:
-    """Nodes left after dropping those of degree under k, up to `rounds` times."""
+def k_core(edges: DataFrame, k: int, small: int = 1_000_000) -> DataFrame:
+    """Nodes of the k-core with their degree in it: those of degree under k are dropped until none is left.
+
+    Rounds are joins while more than `small` rows of neighbours remain; the rest is peeled in one task, node by node.
+    """
     n = cut(neighbours(edges))
-    for _ in range(rounds):
+    left = n.count()
+    while left > small:
         stay = n.groupBy("node").agg(F.count("*").alias("d")).where(F.col("d") >= k).select("node")
         n = cut(n.join(stay, "node").join(stay.select(F.col("node").alias("other")), "other").select("node", "other"))
-    return n.groupBy("node").agg(F.count("*").alias("degree"))
+        before, left = left, n.count()
+        if left == before:
+            return n.groupBy("node").agg(F.count("*").alias("degree"))
+
+    def peel(batches):  # noqa: ANN001, ANN202
+        rows = list(batches)
+        if not rows:
+            return
+        x = pd.concat(rows)
+        at, names = pd.factorize(pd.concat([x.node, x.other]))
+        node, other = at[: len(x)], at[len(x):]
+        degree = np.bincount(node, minlength=len(names))
+        other, first = other[np.argsort(node, kind="stable")], np.concatenate([[0], np.cumsum(degree)])
+        gone = degree < k
+        todo = list(np.flatnonzero(gone))
+        while todo:
+            v = todo.pop()
+            near = other[first[v]:first[v + 1]]
+            degree[near] -= 1
+            fall = near[(degree[near] < k) & ~gone[near]]
+            gone[fall] = True
+            todo.extend(fall)
+        yield pd.DataFrame({"node": names[~gone], "degree": degree[~gone]})
+
+    return n.coalesce(1).mapInPandas(peel, f"node {dict(n.dtypes)['node']}, degree long")
 
 
 def entropy_gain(df: DataFrame, feature: str, label: str) -> DataFrame:

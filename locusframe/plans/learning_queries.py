@@ -76,7 +76,7 @@ def _core(k: int) -> str:
 
 @query(f"with {EDGES}, {NEXT.replace('n as (', 'n0 as (').replace('from n group', 'from n0 group')}, {', '.join(map(_core, range(1, 7)))} select node, count(*) as degree from n6 group by 1")
 def core_nodes(spark, d):
-    return L.k_core(edges(spark, d), 8, 6)
+    return L.k_core(edges(spark, d), 8)
 
 
 @query("""with n as (select count(*) as n from lineitem), w as (select -sum(k / n * log2(k / n)) as h from (select count(*) as k from lineitem group by l_returnflag), n), c as (select l_linestatus, l_returnflag, count(*) as k from lineitem group by 1, 2),
