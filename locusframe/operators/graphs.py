@@ -78,13 +78,23 @@ def page_rank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame
     return rank
 
 
-def bfs(edges: DataFrame, start, rounds: int) -> DataFrame:  # noqa: ANN001
-    """Undirected hop distance from one node, up to `rounds` hops."""
+def bfs(edges: DataFrame, start, rounds: int | None = None) -> DataFrame:  # noqa: ANN001
+    """Undirected hop distance from one node to all that it reaches, or up to `rounds` hops.
+
+    A node's neighbours are at most one hop nearer or farther, so a new frontier is held against the last two only.
+    """
     n = cut(neighbours(edges))
-    seen = n.where(F.col("node") == start).select("node").distinct().withColumn("distance", F.lit(0))
-    for i in range(1, rounds + 1):
-        edge = seen.where(F.col("distance") == i - 1).join(n, "node").select(F.col("other").alias("node")).distinct()
-        seen = cut(seen.union(edge.join(seen, "node", "left_anti").withColumn("distance", F.lit(i))))
+    before = last = n.where(F.col("node") == start).select("node").distinct().withColumn("distance", F.lit(0))
+    seen, i = last, 0
+    while rounds is None or i < rounds:
+        i += 1
+        edge = last.join(n, "node").select(F.col("other").alias("node")).distinct()
+        edge = cut(edge.join(before.union(last), "node", "left_anti").withColumn("distance", F.lit(i)))
+        if edge.isEmpty():
+            break
+        before, last, seen = last, edge, seen.union(edge)
+        if i % 16 == 0:
+            seen = cut(seen)
     return seen
 
 

@@ -116,7 +116,7 @@ def page_rank(spark, d):
 
 @query(f"""with recursive {EDGES}, {NEXT}, b as (select cast(1 as bigint) as node, 0 as distance union select n.other, distance + 1 from b join n on n.node = b.node where distance < 4) select node, min(distance) as distance from b group by 1""")
 def breadth_first_search(spark, d):
-    return G.bfs(edges(spark, d), 1, 4)
+    return G.bfs(edges(spark, d), 1)
 
 
 EV = "g as (select distinct user_id as src, 1000 + cast(floor(value) as bigint) as dst from events)"

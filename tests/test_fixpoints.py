@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+from locusframe.operators import graphs
 from locusframe.operators import learning as L
 
 
@@ -22,3 +23,10 @@ def test_k_core_peels_to_the_end(spark):
     short = spark.createDataFrame([p for p in e if p[0] >= 50], "src long, dst long")
     assert {r.node: r.degree for r in L.k_core(short, 4, small=0).collect()} == {x: degree[x] for x in left}
     assert L.k_core(df, 9).collect() == []
+
+
+def test_bfs_reaches_the_end(spark):
+    df = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(20, 0), (50, 51), (3, 3)], "src long, dst long")
+    assert {r.node: r.distance for r in graphs.bfs(df, 0).collect()} == {i: min(i, 21 - i) for i in range(21)}
+    assert {r.node: r.distance for r in graphs.bfs(df, 50, 1).collect()} == {50: 0, 51: 1}
+    assert graphs.bfs(df, 99).collect() == []
