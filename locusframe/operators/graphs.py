@@ -98,14 +98,31 @@ def bfs(edges: DataFrame, start, rounds: int | None = None) -> DataFrame:  # noq
     return seen
 
 
-def label_components(edges: DataFrame, rounds: int) -> DataFrame:
-    """Smallest node id within `rounds` hops, the component for graphs of that diameter or less."""
-    n = cut(neighbours(edges))
-    label = n.select("node").distinct().withColumn("component", F.col("node"))
-    for _ in range(rounds):
-        low = n.join(label.select(F.col("node").alias("other"), F.col("component").alias("c")), "other").groupBy("node").agg(F.min("c").alias("c"))
-        label = cut(label.join(low, "node").select("node", F.least("component", "c").alias("component")))
-    return label
+def components(edges: DataFrame) -> DataFrame:
+    """Components (id, component) of undirected edges (a, b), named by their smallest id; ids without an edge are absent.
+
+    Alternating large-star and small-star rounds until the edges stay the same.
+    """
+    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    check = (F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)))
+    state, now = None, e.agg(*check).first()
+    while now != state:
+        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
+            low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
+            low.select("u", F.col("m").alias("v"))).distinct()
+        e = cut(small)
+        state, now = now, e.agg(*check).first()
+    return e.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
+        e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def label_components(edges: DataFrame) -> DataFrame:
+    """Smallest node id of each node's component, whatever its diameter."""
+    return components(undirected(edges)).select(F.col("id").alias("node"), "component")
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

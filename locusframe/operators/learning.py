@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graphs import neighbours
+from .graphs import components, neighbours
 from .sequences import by_batch
 from .staging import cut
 
@@ -93,21 +93,19 @@ def viterbi(df: DataFrame, start: list[float], move: list[list[float]], emit: li
     return by_batch(df, ["id", "seq"], f"id {dict(df.dtypes)['id']}, path array<int>, log_probability double, log_likelihood double", rows)
 
 
-def dbscan(pairs: DataFrame, points: DataFrame, eps: float, least: int, rounds: int) -> DataFrame:
+def dbscan(pairs: DataFrame, points: DataFrame, eps: float, least: int, rounds: int | None = None) -> DataFrame:
     """Clusters (id, cluster) of points from pairs(id_a, id_b, distance): core points joined within eps, border points to their lowest cluster, others -1.
 
-    A cluster is named by its smallest core id, found within `rounds` hops.
+    A cluster is named by its smallest core id. `rounds` bounds nothing any more: clusters are whole whatever their diameter.
     """
     near = pairs.where(F.col("distance") <= eps)
     both = cut(near.select(F.col("id_a").alias("id"), F.col("id_b").alias("other")).union(near.select("id_b", "id_a")))
     core = both.groupBy("id").agg(F.count("*").alias("k")).where(F.col("k") + 1 >= least).select("id")
     if least <= 1:
         core = points.select("id")
-    label = core.withColumn("cluster", F.col("id"))
-    inner = cut(both.join(core, "id").join(core.select(F.col("id").alias("other")), "other"))
-    for _ in range(rounds):
-        low = inner.join(label.select(F.col("id").alias("other"), F.col("cluster").alias("c")), "other").groupBy("id").agg(F.min("c").alias("c"))
-        label = cut(label.join(low, "id", "left").select("id", F.least("cluster", F.coalesce("c", "cluster")).alias("cluster")))
+    inner = both.join(core, "id").join(core.select(F.col("id").alias("other")), "other")
+    joined = cut(components(inner.select(F.col("id").alias("a"), F.col("other").alias("b"))))
+    label = core.join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
     border = both.join(core, "id", "left_anti").join(label.select(F.col("id").alias("other"), "cluster"), "other").groupBy("id").agg(F.min("cluster").alias("cluster"))
     return points.select("id").join(label.union(border), "id", "left").select("id", F.coalesce("cluster", F.lit(-1)).alias("cluster"))
 

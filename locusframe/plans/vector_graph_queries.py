@@ -125,7 +125,7 @@ EV = "g as (select distinct user_id as src, 1000 + cast(floor(value) as bigint)
 @query(f"""with recursive {EV}, {NEXT}, b as (select node, node as c, 0 as i from k union select n.other, c, i + 1 from b join n on n.node = b.node where i < 4) select node, min(c) as component from b group by 1""")
 def connected_components(spark, d):
     x = table(spark, d, "events").select(F.col("user_id").alias("src"), (F.lit(1000) + F.floor("value")).cast("long").alias("dst")).distinct()
-    return G.label_components(x, 4)
+    return G.label_components(x)
 
 
 @query(f"""with {EDGES}, {NEXT}, m as (select count(*) as m from u), i as (select a % 4 as l, count(*) as e from u where a % 4 = b % 4 group by 1), dd as (select node % 4 as l, count(*) as d from n group by 1) select round(sum(coalesce(e, 0) / m - (d / (2 * m)) ** 2), 8) as modularity from dd left join i using (l), m""")

@@ -30,3 +30,12 @@ def test_bfs_reaches_the_end(spark):
     assert {r.node: r.distance for r in graphs.bfs(df, 0).collect()} == {i: min(i, 21 - i) for i in range(21)}
     assert {r.node: r.distance for r in graphs.bfs(df, 50, 1).collect()} == {50: 0, 51: 1}
     assert graphs.bfs(df, 99).collect() == []
+
+
+def test_components_of_long_chains(spark):
+    chain = [(i, i + 1) for i in range(40)]
+    df = spark.createDataFrame(chain + [(60, 61), (70, 70)], "src long, dst long")
+    assert {r.node: r.component for r in graphs.label_components(df).collect()} == dict.fromkeys(range(41), 0) | {60: 60, 61: 60}
+    pairs = spark.createDataFrame([(a, b, 0.1) for a, b in chain], "id_a long, id_b long, distance double")
+    points = spark.createDataFrame([(i,) for i in range(42)], "id long")
+    assert {r.id: r.cluster for r in L.dbscan(pairs, points, 0.2, 3).collect()} == dict.fromkeys(range(41), 1) | {41: -1}
