@@ -16,11 +16,14 @@ SPACE = r"\x20\x09-\x0D"
 def work_dir(spark: SparkSession) -> str:
     """The folder for staged tables: a subfolder of spark.checkpoint.dir, which all executors share.
 
-    Where that setting is absent (tests in local mode) a temporary folder is set. The subfolder is
-    deleted when the application ends.
+    Where that setting is absent a temporary folder is set, but only under a local master, where
+    one machine does all; elsewhere that is an error. The subfolder is deleted when the
+    application ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="locusframe-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
@@ -55,12 +58,28 @@ def count_runs(text: Column, word: str, other: str) -> Column:
     return (F.length(packed) - F.length(F.regexp_extract(t, f"^[{other}]*+", 0))).cast("long")
 
 
+def beside_group(df: DataFrame, key: list[str], aggregates: list[Column], rows: int) -> DataFrame:
+    """df with aggregates of each row's group beside it; no task holds the rows of a large group.
+
+    rows: at least the number of rows of df. Of groups with more than a thousandth of that there
+    are fewer than a thousand: their aggregates are broadcast. Those of the others meet their
+    rows in a shuffle. Null keys are groups of their own.
+    """
+    total = df.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(key)]).agg(F.count("*").alias("_n"), *aggregates)
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
+    drop = ["_n", *[f"_{i}" for i in range(len(key))]]
+    large = F.broadcast(total.where(F.col("_n") * 1000 > rows))
+    return df.join(large, same).drop(*drop).union(df.join(large, same, "left_anti").join(total.where(F.col("_n") * 1000 <= rows), same).drop(*drop))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (id, component), the smallest id.
 
-    Alternating large-star and small-star rounds; each round is grouped minima and joins that
-    adaptive execution can split, so no node's neighbours meet in one task's memory. Nodes without
-    an edge are absent. Self-loops and repeated edges are harmless.
+    Alternating large-star and small-star rounds of grouped minima, see beside_group(), so no
+    node's neighbours meet in one task. Nodes without an edge are absent. Self-loops and repeated
+    edges are harmless.
     """
     e = edges.select(
         F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")
@@ -68,14 +87,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = staged(e, "edges")
     check = (F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)))
     state = e.agg(*check).first()
+    low = [F.min("v").alias("m")]
     for _ in range(max_rounds):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            low.where("m < u").select("u", F.col("m").alias("v"))).repartition("u").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
-            low.select("u", F.col("m").alias("v"))).distinct()
+        both = beside_group(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), ["u"], low, 2 * state[0])
+        large = both.select(F.when(F.col("v") > F.col("u"), F.col("v")).otherwise(F.col("u")).alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct()
+        small = beside_group(large, ["u"], low, 2 * state[0])
+        small = small.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
         e = staged(small, "stars")
         now = e.agg(*check).first()
         if now == state:
@@ -87,7 +104,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def linked_components(met: DataFrame, extras: list[str], allowed: Column, verify: Callable[[DataFrame], DataFrame], rank: str = "0") -> DataFrame:
+#: Items outside a token's largest component that are compared with all others there.
+FEW = 8
+
+
+def linked_components(met: DataFrame, extras: list[str], allowed: Column, verify: Callable[[DataFrame], DataFrame], rank: str = "0",
+                      refine: Callable[[DataFrame], DataFrame] | None = None, blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Components (id, component) of all pairs of items that share a token, are allowed and pass verify.
 
     met: rows (token, set_id, *extras). allowed: a condition on a pair, the second item's extras
@@ -97,37 +119,80 @@ def linked_components(met: DataFrame, extras: list[str], allowed: Column, verify
     1. Each token's items are compared with its item of least rank, ties drawn per token by hash.
     2. Where the items of a token are still in several components, those outside its largest
        component are compared with one drawn from that.
-    3. Where they still are, those outside its largest component are compared with the items of
-       all others there. So every allowed pair is in one component already or verified, and no
-       group is expanded into all its pairs.
+    3. Where they still are, and at most FEW are outside the largest, these are compared with all
+       others there.
+    4. The rows of the other tokens go to refine or to blocks. refine gives finer rows, such that a
+       linked pair that shares a token shares a finer one made from it and that after finitely many
+       rounds only tokens whose items are all linked are left; they go through all steps again. It
+       returns the columns of met, and others that it wants back. blocks returns links (a, b) that
+       connect what is linked within each token.
+
+    So every allowed pair is in one component already or verified, and the pairs of a round are
+    at most FEW + 2 times its rows: no group is expanded into all its pairs.
     """
     pair = (F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b"))
     other = [F.col("o.set_id").alias("other"), *[F.col(f"o.{x}").alias(f"other_{x}") for x in extras]]
-    drawn = lambda rows, first: F.min(F.struct(first.alias("r"), F.xxhash64("token", "set_id").alias("h"), "set_id", *extras)).alias("o")
-
-    heads = met.groupBy("token").agg(drawn(met, F.expr(rank)), F.count("*").alias("c")).where("c > 1").select("token", *other)
-    tried = staged(met.join(heads, "token").where((F.col("set_id") != F.col("other")) & allowed).select(*pair).distinct(), "pairs")
-    links = staged(verify(tried), "links")
-    member, still = components(links), None
-    for last in (False, True):
-        if still is None:
-            placed = staged(met.join(member, met.set_id == member.id, "left").select("set_id", "token", *extras, F.coalesce("component", "set_id").alias("component")), "placed")
-            held = placed.groupBy("token", "component").agg(F.count("*").alias("c"), drawn(placed, F.lit(0)))
-            held = held.groupBy("token").agg(F.count("*").alias("several"), F.max(F.struct("c", "component", "o")).alias("m")).where("several > 1")
-            still = staged(placed.join(held.select("token", "m"), "token"), "open")
-        minor = still.where("component != m.component")
-        if not last:
-            rest = minor.withColumn("o", F.col("m.o")).select("set_id", "token", *extras, *other).where(allowed)
+    drawn = lambda first: F.min(F.struct(first.alias("r"), F.xxhash64("token", "set_id").alias("h"), "set_id", *extras)).alias("o")
+    spark, tried, links, member = met.sparkSession, None, None, None
+
+    def compare(pairs: DataFrame) -> bool:
+        """Verify the pairs not tried before; whether components changed."""
+        nonlocal tried, links, member
+        pairs = pairs.distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = staged(pairs, "pairs")
+        if pairs.isEmpty():
+            return False
+        tried = pairs if tried is None else tried.union(pairs)
+        more = staged(verify(pairs), "links")
+        if more.isEmpty():
+            return False
+        links = more if links is None else links.union(more)
+        member = components(links)
+        return True
+
+    def unsettled(rows: DataFrame, count: int) -> DataFrame:
+        """rows of the tokens whose items are in several components, with component, minor (whether not in the largest), o (one of that) and minors (how many aren't)."""
+        if member is None:
+            placed = rows.withColumn("component", F.col("set_id"))
         else:
-            every = still.select("token", F.col("set_id").alias("other"), *[F.col(x).alias(f"other_{x}") for x in extras], F.col("component").alias("other_component"))
-            apart = (F.col("component") != F.col("other_component")) & ((F.col("other_component") == F.col("m.component")) | (F.col("set_id") < F.col("other")))
-            rest = minor.join(every, "token").where(apart & allowed)
-        rest = staged(rest.select(*pair).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            placed = rows.join(member.select(F.col("id").alias("_id"), F.col("component")), F.col("set_id") == F.col("_id"), "left").drop("_id").withColumn("component", F.coalesce("component", "set_id"))
+        placed = staged(placed, "placed")
+        held = placed.groupBy("token", "component").agg(F.count("*").alias("c"), drawn(F.lit(0)))
+        held = held.groupBy("token").agg(F.count("*").alias("several"), F.sum("c").alias("all"), F.max(F.struct("c", "component", "o")).alias("most")).where("several > 1")
+        held = staged(held.select(F.col("token").alias("_t"), (F.col("all") - F.col("most.c")).alias("minors"), F.col("most.component").alias("_c"), F.col("most.o").alias("o"), "all"), "held")
+        large = F.broadcast(held.where(F.col("all") * 1000 > count))  # fewer than a thousand
+        same = F.col("token") == F.col("_t")
+        found = placed.join(large, same).union(placed.join(large, same, "left_anti").join(held.where(F.col("all") * 1000 <= count), same))
+        return staged(found.withColumn("minor", F.col("component") != F.col("_c")).drop("_t", "_c", "all"), "open")
+
+    rows, count = met, met.count()
+    while count:
+        if links is None:  # every item is a component of its own
+            heads = rows.groupBy("token").agg(F.count("*").alias("c"), drawn(F.expr(rank))).where("c > 1").select(F.col("token").alias("_t"), "c", "o")
+            large = F.broadcast(heads.where(F.col("c") * 1000 > count))
+            same = F.col("token") == F.col("_t")
+            beside = rows.join(large, same).union(rows.join(large, same, "left_anti").join(heads.where(F.col("c") * 1000 <= count), same))
+            compare(beside.select("set_id", *extras, *other).where((F.col("set_id") != F.col("other")) & allowed).select(*pair))
+        open_ = unsettled(rows, count)
+        if compare(open_.where("minor").select("set_id", *extras, *other).where(allowed).select(*pair)):
+            open_ = unsettled(rows, count)
+        few = open_.where(F.col("minors") <= FEW)
+        one = few.where("minor").select("token", "set_id", "component", *extras)
+        every = few.select("token", F.col("set_id").alias("other"), "minor", F.col("component").alias("other_component"), *[F.col(x).alias(f"other_{x}") for x in extras])
+        apart = (F.col("component") != F.col("other_component")) & (~F.col("minor") | (F.col("set_id") < F.col("other")))
+        compare(one.join(every, "token").where(apart & allowed).select(*pair))
+        rest = open_.where(F.col("minors") > FEW).drop("o", "minors")
         if rest.isEmpty():
-            continue
-        tried = tried.union(rest)
-        more = staged(verify(rest), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            member, still = components(links), None
+            break
+        if refine is None:
+            more = staged(blocks(rest), "links")
+            if not more.isEmpty():
+                member = components(more if links is None else links.union(more))
+            break
+        rows = staged(refine(rest.drop("component", "minor")).distinct(), "finer")
+        count = rows.count()
+    if member is None:
+        return spark.createDataFrame([], "id bigint, component bigint")
     return member

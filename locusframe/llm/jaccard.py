@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, linked_components, staged
+from .common import beside_group, documents, linked_components, staged
 from .shingles import U, set_digest, shingle_sets
 
 #: Bytes of text whose postings go out together, and postings that one range or set partition gets.
@@ -226,6 +226,80 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+#: Shingles and sets that a block of the product has on each side, about.
+SIDE, ROWS = 1_000_000, 1024
+#: Sets that have a shingle from which on its column counts as dense.
+DENSE = 32
+
+
+def product(tokens: list[np.ndarray]) -> np.ndarray:
+    """Overlaps of all pairs of sets: the incidence matrix by its transpose, rare columns pair by pair, dense ones in blocks."""
+    n = len(tokens)
+    row = np.repeat(np.arange(n), [len(t) for t in tokens])
+    t = np.concatenate(tokens)
+    by = np.argsort(t, kind="stable")
+    t, row = t[by], row[by]
+    begin = np.flatnonzero(np.diff(t, prepend=t[:1] ^ U(1)) != 0)
+    df = np.diff(begin, append=len(t))
+    out = np.zeros((n, n))
+    rare = np.repeat(df < DENSE, df)
+    a, r = t[rare], row[rare]
+    for d in range(1, min(DENSE, len(a))):
+        same = np.flatnonzero(a[d:] == a[:-d])
+        if not len(same):
+            break
+        np.add.at(out, (r[same], r[same + d]), 1)
+    out += out.T
+    column = np.repeat(np.cumsum(df >= DENSE) - 1, df)[~rare]
+    r = row[~rare]
+    for k in range(0, int((df >= DENSE).sum()), 4096):
+        here = slice(*np.searchsorted(column, [k, k + 4096]))
+        x = np.zeros((n, 4096), np.float32)
+        x[r[here], column[here] - k] = 1
+        out += x @ x.T
+    return out.astype(np.int64)
+
+
+def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect all linked sets within each token of rows (token, set_id, n).
+
+    The sets of a token are parted by size, so that linked ones are in one band or in neighbouring
+    bands, and bands by hash into tiles of bounded volume; each pair of tiles that sizes allow is a
+    block of the product of its own, which gives back a spanning forest, never its pairs.
+    """
+    band = F.floor(F.log("n") / float(np.log(100.1 / percent))).cast("int")
+    rows = rows.select("token", "set_id", "n", band.alias("band"))
+    tiles = F.greatest(F.ceil(F.sum("n") / SIDE), F.ceil(F.count("*") / ROWS)).cast("int")
+    bands = rows.groupBy("token", "band").agg(tiles.alias("tiles")).groupBy(F.col("token").alias("_t")).agg(F.map_from_entries(F.collect_list(F.struct("band", "tiles"))).alias("tiles"))
+    rows = rows.join(bands, F.col("token") == F.col("_t")).withColumn("tile", F.pmod(F.xxhash64("set_id"), F.col("tiles")[F.col("band")]).cast("int"))
+    others = F.flatten(F.transform(F.sequence(F.col("band") - 1, F.col("band") + 1), lambda b: F.transform(
+        F.sequence(F.lit(0), F.coalesce(F.col("tiles")[b], F.lit(0))), lambda k: F.struct(b.alias("band"), k.cast("int").alias("tile")))))
+    others = F.filter(others, lambda o: o["tile"] < F.coalesce(F.col("tiles")[o["band"]], F.lit(0)))
+    rows = rows.withColumn("own", F.struct("band", "tile")).withColumn("other", F.explode(others)).select("token", "set_id", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    rows = rows.join(sets.select(F.col("set_id").alias("_s"), F.col("n"), F.col("tokens")), F.col("set_id") == F.col("_s"))
+
+    def run(block: pa.Table) -> pa.Table:
+        ids, size = block.column("set_id").to_numpy(), block.column("n").to_numpy()
+        overlap = product([large(x) for x in block.column("tokens").to_pylist()])
+        a, b = np.nonzero(np.triu(100 * overlap >= percent * (size[:, None] + size[None, :] - overlap), 1))
+        root = np.arange(len(ids))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            i, j = find(i), find(j)
+            root[max(i, j)] = min(i, j)
+        top = np.array([find(i) for i in range(len(ids))], np.int64)
+        some = np.flatnonzero(top != np.arange(len(ids)))
+        return pa.table({"a": ids[top[some]], "b": ids[some]})
+
+    return rows.select("token", "set_id", "one", "two", "n", "tokens").groupBy("token", "one", "two").applyInArrow(run, "a bigint, b bigint")
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """Rows (doc_id, n_shingles, set_id, component_id), one per row of docs.
 
@@ -237,13 +311,15 @@ def jaccard_components(docs: DataFrame, text: str = "text", width: int = 5, perc
     2. By set: sets with too few shared shingles for any partner end; the others give a prefix.
     3. Sets that share a prefix shingle are compared, first with the one of fewest single shingles,
        if sizes and positions allow a link, then where they are still in several components; see
-       linked_components(). Overlaps are counted in blocks of the incidence product. Every pair
-       that can link is in one component already or counted.
+       linked_components(). Overlaps are counted in blocks of the incidence product, where many
+       sets that aren't linked share a shingle by tiles of them. Every pair that can link is in
+       one component already or counted.
 
     Shingles are told apart by 64-bit hashes, in the product by 48 of these bits together with the
     pair. Null and empty texts and texts of spaces have no shingles and link with nothing. Repeated rows and ties
     share a component; a null doc_id is never a smallest one unless its component has no other.
-    Other columns are not read. An empty table gives an empty result.
+    Very long texts are read whole. Other columns are not read, whatever their names. An empty
+    table gives an empty result.
     """
     spark = docs.sparkSession
     ids = staged(shingle_ids(docs, text, width), "sets")
@@ -252,11 +328,12 @@ def jaccard_components(docs: DataFrame, text: str = "text", width: int = 5, perc
     dealt = shared(postings(docs, text, width, parts), parts)
     sets = staged(candidates(dealt, percent), "candidates")
     met = staged(sets.select("set_id", "n", "shared", F.explode("prefix").alias("p")).select("set_id", "n", "shared", "p.token", "p.pos"), "prefixes")
-    member = linked_components(met, ["n", "shared", "pos"], can_link(percent), lambda pairs: linked(pairs, sets, percent), "n - shared")
+    member = linked_components(met, ["n", "shared", "pos"], can_link(percent), lambda pairs: linked(pairs, sets, percent), "n - shared",
+                               blocks=lambda rows: block_links(rows, sets, percent))
     placed = ids.join(member, ids.set_id == member.id, "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component", "set_id").alias("_c"))
     placed = staged(placed, "documents")
-    smallest = placed.where("n_shingles > 0").groupBy("_c").agg(F.min("doc_id").alias("_m"))
-    return placed.where("n_shingles > 0").join(smallest, "_c").select("doc_id", "n_shingles", "set_id", F.col("_m").alias("component_id")).union(
+    some = beside_group(placed.where("n_shingles > 0"), ["_c"], [F.min("doc_id").alias("component_id")], placed.count())
+    return some.select("doc_id", "n_shingles", "set_id", "component_id").union(
         placed.where("n_shingles = 0").select("doc_id", "n_shingles", "set_id", F.col("doc_id").alias("component_id")))
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, linked_components, staged
 from .jaccard import pack, texts_of, unpack
@@ -36,44 +38,52 @@ def segments(length: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(size, axis=0) - size, size
 
 
-def line_keys(lines: list[bytes], edits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(line index, key, whether it is an index key) of decoded lines, group by group.
+def points_of(line: bytes) -> str:
+    """The line's code points; each byte that isn't UTF-8 is one of its own kind."""
+    return line.decode(errors="surrogateescape")
 
-    A line is indexed by its edits + 1 segments under its length; it probes the indexes of all
-    lengths up to `edits` below its own with the substrings that the k-th segment can have moved
-    to: at most k places by edits on its left and at most edits - k by those on its right.
-    """
+
+def numbers(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def line_keys(lines: list[bytes], edits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(line index, key, whether it is an index key) of lines, group by group."""
     group: list[int] = []
     size = 0
     for i, x in enumerate(lines):
         group.append(i)
         size += len(x)
         if size >= PIECE or i == len(lines) - 1:
-            yield _group_keys(group, [lines[k] for k in group], edits)
+            text = [points_of(lines[k]) for k in group]
+            row, key, kind, _, _ = segment_keys(numbers("".join(text)), np.array([len(x) for x in text]), edits)
+            yield np.array(group)[row], key, kind
             group, size = [], 0
 
 
-def _group_keys(index: list[int], lines: list[bytes], edits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    text = "".join(x.decode() for x in lines)
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(U)
-    length = np.array([len(x.decode()) for x in lines])
+def segment_keys(points: np.ndarray, length: np.ndarray, edits: int, least: int = 0) -> tuple[np.ndarray, ...]:
+    """(index, key, whether it is an index key, start, size) of strings of these lengths, one after the other in points.
+
+    A string is indexed by its edits + 1 segments under its length; it probes the indexes of all
+    lengths up to `edits` below its own, and at least `least`, with the substrings that the k-th
+    segment can have moved to: at most k places by edits on its left and at most edits - k by
+    those on its right.
+    """
+    points = points.astype(U)
     begin = np.cumsum(length) - length
     up, down = powers(len(points))
     sums = np.empty(len(points) + 1, U)
     sums[0] = 0
     np.cumsum(mixed(points + U(1)) * up[: len(points)], out=sums[1:])
-    at = np.array(index)
-    rows, keys, kinds = [], [], []
+    found: list[tuple] = []
 
     def add(which: np.ndarray, start: np.ndarray, size: np.ndarray, of: np.ndarray, k: int, indexed: bool) -> None:
         a = begin[which] + start
         h = (sums[a + size] - sums[a]) * down[a] + of.astype(U) * KIND + np.array([k], U) * PLACE_IN
-        rows.append(at[which])
-        keys.append(mixed(h))
-        kinds.append(np.full(len(which), indexed))
+        found.append((which, mixed(h), np.full(len(which), indexed), start, size))
 
     for below in range(edits + 1):
-        which = np.flatnonzero(length - below > edits)
+        which = np.flatnonzero(length - below > max(edits, least - 1))
         of = length[which] - below
         starts, sizes = segments(of, edits)
         for k in range(edits + 1):
@@ -84,7 +94,74 @@ def _group_keys(index: list[int], lines: list[bytes], edits: int) -> tuple[np.nd
                 ok = (place >= 0) & (place + sizes[k] <= length[which])
                 if below or shift:  # the line's own segments are index keys already
                     add(which[ok], place[ok], sizes[k][ok], of[ok], k, False)
-    return np.concatenate(rows), np.concatenate(keys), np.concatenate(kinds)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+#: Stand for a segment that is settled and for a place where any code point or none may be.
+SETTLED, ANY = 0xFFFFFFFF, 0xFFFFFFFE
+
+
+def patterns(x: tuple[int, ...], edits: int) -> set[tuple[int, ...]]:
+    """x with `edits` places open, be they its own or put in between; settled segments stay.
+
+    Two strings within `edits` have one in common, and all strings that have one are within `edits`.
+    """
+    found = set()
+    own = [i for i, c in enumerate(x) if c != SETTLED]
+    for many in range(min(edits, len(own)) + 1):
+        for which in combinations(own, many):
+            y = [ANY if i in which else c for i, c in enumerate(x)]
+            for gaps in combinations_with_replacement(range(len(y) + 1), edits - many):
+                z = list(y)
+                for g in reversed(gaps):
+                    z.insert(g, ANY)
+                found.add(tuple(z))
+    return found
+
+
+def finer_keys(rows: DataFrame, bodies: DataFrame, edits: int) -> DataFrame:
+    """Finer tokens for rows (token, set_id, ..., [rest]) of lines that share a token, with rest, what they leave open.
+
+    If two lines within `edits` share a segment that no edit touches, what is left of them, the
+    segment replaced by one sign, is within `edits` too and shares a segment in turn. So a finer
+    token is the old one and a segment of the rest. Rests shrink by each token; where they are too
+    short for segments of two places, their patterns() are the last tokens.
+    """
+    first = "rest" not in rows.columns
+    if first:
+        rows = rows.join(bodies.select(F.col("id").alias("_id"), F.col("body").alias("rest")), F.col("set_id") == F.col("_id")).drop("_id")
+    least = 2 * (edits + 1)
+    kept = [f for f in rows.schema if f.name not in ("token", "rest")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                token = b.column("token").to_numpy().view(U)
+                text = [numbers(points_of(x)) if first else np.frombuffer(x, np.uint32) for x in b.column("rest").to_pylist()]
+                of = np.arange(len(text))
+                if first:
+                    i, key, _, start, size = segment_keys(np.concatenate(text), np.array([len(x) for x in text]), edits)
+                    hit = key == token[i]
+                    of = i[hit]
+                    text = [np.concatenate([text[k][:s], [SETTLED], text[k][s + n :]]).astype(np.uint32) for k, s, n in zip(of, start[hit], size[hit], strict=True)]
+                out: list[tuple[int, int, bytes]] = []
+                if text:
+                    length = np.array([len(x) for x in text])
+                    i, key, _, start, size = segment_keys(np.concatenate(text), length, edits, least)
+                    key = mixed(key ^ token[of[i]])
+                    for k, t, s, n in zip(i.tolist(), key.view(np.int64).tolist(), start.tolist(), size.tolist(), strict=True):
+                        out.append((int(of[k]), t, np.concatenate([text[k][:s], [SETTLED], text[k][s + n :]]).astype(np.uint32).tobytes()))
+                    for k in np.flatnonzero(length < least + edits):
+                        for x in patterns(tuple(text[k].tolist()), edits):
+                            h = xxhash.xxh3_64_intdigest(np.array([int(token[of[k]]), *x], U).tobytes())
+                            out.append((int(of[k]), h - (1 << 64) if h >> 63 else h, b""))
+                index = pa.array([k for k, _, _ in out], pa.int64())
+                yield pa.RecordBatch.from_arrays([*[b.column(f.name).take(index) for f in kept], pa.array([t for _, t, _ in out], pa.int64()), pa.array([x for _, _, x in out], pa.binary())],
+                                                 names=[*[f.name for f in kept], "token", "rest"])
+
+    shape = T.StructType([*kept, T.StructField("token", T.LongType()), T.StructField("rest", T.BinaryType())])
+    return rows.where(F.octet_length("rest") > 0).mapInArrow(run, shape)
 
 
 def plain_distance(a: list[int], b: list[int]) -> int:
@@ -156,12 +233,12 @@ def _banded(left: list[np.ndarray], right: list[np.ndarray], edits: int) -> np.n
 
 def lines_of(text: bytes, shortest: int) -> Iterator[tuple[int, bytes]]:
     for k, x in enumerate(text.split(b"\n")):
-        if len(x) >= shortest and len(x.decode(errors="replace")) >= shortest:
+        if len(x) >= 4 * shortest or len(x) >= shortest and len(points_of(x)) >= shortest:
             yield k, x
 
 
-def occurrences(docs: DataFrame, text: str, shortest: int, parts: int) -> DataFrame:
-    """Rows (part, ord, hash, line, id): where each line stands."""
+def occurrences(docs: DataFrame, text: str, parts: int) -> DataFrame:
+    """Rows (part, ord, hash, line, id): where each line that isn't blank stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -169,7 +246,7 @@ def occurrences(docs: DataFrame, text: str, shortest: int, parts: int) -> DataFr
                 b = whole.slice(at, 1024)
                 body = texts_of(b.column("text"))
                 order, hashed = keys_of(b.column("doc_id"), body)
-                found = [(i, k, line_id(x)) for i, t in enumerate(body) for k, x in lines_of(t, shortest)]
+                found = [(i, k, line_id(x)) for i, t in enumerate(body) for k, x in lines_of(t, 1) if not x.isspace()]
                 i, k, ids = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
                 yield pa.RecordBatch.from_arrays([pa.array(bucket_of(order, parts)[i].astype(np.int32)), pa.array(order[i]), pa.array(hashed.view(np.int64)[i]), pa.array(k), pa.array(ids)],
                                                  names=["part", "ord", "hash", "line", "id"])
@@ -184,7 +261,7 @@ def shared_keys(docs: DataFrame, text: str, shortest: int, edits: int, parts: in
         ids = np.array(list(lines), np.int64)
         got = [np.concatenate(x) for x in zip(*line_keys(list(lines.values()), edits), strict=True)]
         row, key, kind = got
-        sizes = np.array([len(x.decode()) for x in lines.values()], np.uint32)
+        sizes = np.array([len(points_of(x)) for x in lines.values()], np.uint32)
         by = np.argsort(key)
         row, key, kind = row[by], key[by], kind[by]
         out = []
@@ -265,7 +342,7 @@ def letter_counts(bodies: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = [np.bincount(np.frombuffer(x.decode().encode("utf-32-le"), np.uint32) % LETTERS, minlength=LETTERS) for x in b.column("body").to_pylist()]
+            counts = [np.bincount(numbers(points_of(x)) % LETTERS, minlength=LETTERS) for x in b.column("body").to_pylist()]
             table = np.array(counts, np.int32).reshape(-1, LETTERS)
             yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(table[:, k]) for k in range(LETTERS)]], names=["id", *[f"c{k}" for k in range(LETTERS)]])
 
@@ -280,7 +357,7 @@ def near_lines(pairs: DataFrame, bodies: DataFrame, edits: int) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                left, right = ([np.frombuffer(x.decode().encode("utf-32-le"), np.uint32) for x in b.column(c).to_pylist()] for c in ("xa", "xb"))
+                left, right = ([numbers(points_of(x)) for x in b.column(c).to_pylist()] for c in ("xa", "xb"))
                 yes = pa.array(edit_within(left, right, edits))
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(yes), b.column("b").filter(yes)], names=["a", "b"])
 
@@ -291,29 +368,32 @@ def dedup_lines(docs: DataFrame, text: str = "text", edits: int = 2, shortest: i
     """Rows (doc_id, n_lines, n_removed, kept_sha256[, removed, kept]), one per row of docs.
 
     Lines are what newlines part. Lines of at least `shortest` code points link when their edit
-    distance is at most `edits`; of all lines reachable by links the first one stays, by doc_id
-    (null last) and place, copies and near copies of it go, also within a document. Shorter lines
-    stay. removed: the numbers of the lines that went, from 0; kept: the others joined by newlines.
+    distance is at most `edits`, shorter ones when they are equal; of all lines reachable by links
+    the first one stays, by doc_id (null last) and place, copies and near copies of it go, also
+    within a document. Lines of white space alone stay. removed: the numbers of the lines that
+    went, from 0; kept: the others joined by newlines.
 
     Distinct lines meet by segment keys; pairs that share one, and whose lengths and counts of
     letters allow a link, are verified by edit distance, with linked_components() so that a common
-    segment isn't expanded into all pairs. Lines are told apart by 64-bit hashes.
+    segment isn't expanded into all pairs: where many lines that aren't linked share one, they
+    meet again by the segments of what is left of them. Lines are told apart by 64-bit hashes.
 
-    Null text counts as empty: one line, which stays. Rows alike in doc_id and text count as one
-    document; a repeated one loses the same lines. Other columns are not read. An empty table
-    gives an empty result.
+    Null text counts as empty: one line, which stays. A byte that isn't UTF-8 counts as a code
+    point of its own. Very long texts and lines are read whole. Rows alike in doc_id and text count as one
+    document; a repeated one loses the same lines. doc_id is an integer. Other columns are not
+    read, whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARE))
-    stand = staged(occurrences(docs, text, shortest, parts), "lines")
+    stand = staged(occurrences(docs, text, parts), "lines")
     met = staged(shared_keys(docs, text, shortest, edits, parts), "keys")
     bodies = staged(line_texts(docs, text, shortest, staged(met.select(F.col("set_id").alias("id")).distinct(), "wanted")), "bodies")
     counts = letter_counts(bodies)
     met = staged(met.join(counts, met.set_id == counts.id).drop("id"), "keys")
     apart = sum((F.abs(F.col(f"c{k}") - F.col(f"other_c{k}")) for k in range(LETTERS)), F.lit(0))
     close = (F.abs(F.col("n") - F.col("other_n")) <= edits) & (apart <= 2 * edits)
-    member = linked_components(met, ["n", *[f"c{k}" for k in range(LETTERS)]], close, lambda pairs: near_lines(pairs, bodies, edits))
+    member = linked_components(met, ["n", *[f"c{k}" for k in range(LETTERS)]], close, lambda pairs: near_lines(pairs, bodies, edits), refine=lambda rows: finer_keys(rows, bodies, edits))
     seen = stand.groupBy("id").agg(F.min(F.struct("ord", "line", "hash")).alias("first"), F.count("*").alias("times"))
     seen = seen.join(member.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").select("id", "first", "times", F.coalesce("component", "id").alias("class"))
     seen = staged(seen, "seen")

@@ -210,10 +210,10 @@ def test_dedup_lines(messy, spark):
     at = {}
     for i, t in rows:
         for k, x in enumerate((t or "").split("\n")):
-            if len(x) >= 16:
+            if x.strip(" \t\r\v\f"):
                 at.setdefault(x, []).append((LAST if i is None else i, k))
     names = list(at)
-    of = components(len(names), [(a, b) for a in range(len(names)) for b in range(a) if abs(len(names[a]) - len(names[b])) <= 2 and distance(names[a], names[b]) <= 2])
+    of = components(len(names), [(a, b) for a in range(len(names)) for b in range(a) if min(len(names[a]), len(names[b])) >= 16 and abs(len(names[a]) - len(names[b])) <= 2 and distance(names[a], names[b]) <= 2])
     head = {}
     for x, c in zip(names, of):
         head[c] = min(head.get(c, (LAST, LAST)), min(at[x]))
@@ -221,11 +221,85 @@ def test_dedup_lines(messy, spark):
     expected = []
     for i, t in rows:
         all_lines = (t or "").split("\n")
-        kept = [x for k, x in enumerate(all_lines) if len(x) < 16 or head[place[x]] == (LAST if i is None else i, k)]
+        kept = [x for k, x in enumerate(all_lines) if x not in place or head[place[x]] == (LAST if i is None else i, k)]
         expected.append((i, len(all_lines), len(all_lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     assert ordered(lines.dedup_lines(docs, with_text=False).collect()) == ordered(expected)
 
 
+def test_common_segments_are_not_expanded(spark, monkeypatch):
+    """Lines that share a third but aren't linked: pairs in proportion to the lines, links whole."""
+    rnd, pairs = random.Random(5), []
+    found = lines.near_lines
+    monkeypatch.setattr(lines, "near_lines", lambda p, *rest: pairs.append(p.count()) or found(p, *rest))
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    body = lambda: "".join(rnd.choice(alphabet) for _ in range(20))
+    text = ["the very same head: " + body() for _ in range(2000)]
+    text += [x[:25] + "#" + x[26:] for x in text[:300]] + [x[:22] + x[23:39] + "zz" + x[39:] for x in text[100:200]]
+    near = lines.dedup_lines(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")).where("n_removed = 1")
+    assert {r.doc_id for r in near.collect()} >= set(range(2000, 2300)) and near.count() >= 300
+    assert sum(pairs) < 100 * len(text)
+
+
+@pytest.mark.parametrize("few", [0, 8])
+def test_refined_lines_are_brute_force(spark, monkeypatch, few):
+    """Every group is refined down to patterns."""
+    from locusframe.llm import common
+
+    monkeypatch.setattr(common, "FEW", few)
+    rnd = random.Random(11)
+    text = list(dict.fromkeys("xyxyxyxyxyxy" + "".join(rnd.choice("ab") for _ in range(rnd.randint(4, 9))) for _ in range(160)))
+    for edits in (1, 2):
+        of = components(len(text), [(a, b) for a in range(len(text)) for b in range(a) if distance(text[a], text[b]) <= edits])
+        first = {c: k for k, c in reversed(list(enumerate(of)))}
+        got = lines.dedup_lines(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"), edits=edits)
+        assert {r.doc_id for r in got.collect() if not r.n_removed} == set(first.values())
+
+
+def test_patterns():
+    rnd = random.Random(2)
+    pairs = [tuple(tuple(rnd.choice([1, 2, 3, lines.SETTLED]) for _ in range(rnd.randint(0, 6))) for _ in "ab") for _ in range(300)]
+    for a, b in pairs:
+        if a.count(lines.SETTLED) == b.count(lines.SETTLED):
+            # settled segments are neither edited nor put elsewhere: a prohibitive price
+            price = lambda c: 99 if c == lines.SETTLED else 1
+            cost = {(0, 0): 0}
+            for i in range(len(a) + 1):
+                for j in range(len(b) + 1):
+                    ways = [cost[i - 1, j] + price(a[i - 1])] if i else []
+                    ways += [cost[i, j - 1] + price(b[j - 1])] if j else []
+                    ways += [cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]) * max(price(a[i - 1]), price(b[j - 1]))] if i and j else []
+                    cost[i, j] = min(ways, default=0)
+            assert bool(lines.patterns(a, 2) & lines.patterns(b, 2)) == (cost[len(a), len(b)] <= 2), (a, b)
+
+
+def test_lines_that_are_not_utf8(spark):
+    rows = spark.sql("select 1L as doc_id, cast(unhex(concat('FF', hex('a line that is long enough'))) as string) as text union all select 2, cast(unhex(concat('FE', hex('a line that is long enough'))) as string)")
+    assert [r.n_removed for r in lines.dedup_lines(rows).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_product_is_the_overlaps(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    sets = [np.unique(rnd.integers(0, 400, rnd.integers(1, 200))).astype(np.uint64) for _ in range(90)]
+    assert jaccard.product(sets).tolist() == [[len(np.intersect1d(a, b)) if i != j else jaccard.product(sets)[i, j] for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+
+
+def test_common_shingles_are_not_expanded(spark, monkeypatch):
+    """Documents of passages that many share: pairs in proportion, links as by brute force."""
+    rnd, pairs = random.Random(6), []
+    found = jaccard.linked
+    monkeypatch.setattr(jaccard, "linked", lambda p, *rest: pairs.append(p.count()) or found(p, *rest))
+    monkeypatch.setattr(jaccard, "ROWS", 64)
+    passages = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(30)]
+    text = [" ".join(passages[k] for k in sorted(rnd.sample(range(30), 6))) for _ in range(600)]
+    text += [t + " more words here" for t in text[:100]]
+    sets = [{tuple(w[i : i + 4]) for i in range(len(w) - 3)} for w in (t.split() for t in text)]
+    of = components(len(sets), [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])])
+    low = {c: k for k, c in reversed(list(enumerate(of)))}
+    got = jaccard.jaccard_components(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"), width=4, percent=85)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {k: low[c] for k, c in enumerate(of)}
+    assert sum(pairs) < 200 * len(text)
+
+
 def test_edit_within():
     rnd = np.random.default_rng(1)
     pairs = [(rnd.integers(0, 4, rnd.integers(0, 30)).astype(np.uint32), rnd.integers(0, 4, rnd.integers(0, 30)).astype(np.uint32)) for _ in range(300)]
