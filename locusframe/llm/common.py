@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,16 +63,18 @@ def beside_group(df: DataFrame, key: list[str], aggregates: list[Column], rows:
     """df with aggregates of each row's group beside it; no task holds the rows of a large group.
 
     rows: at least the number of rows of df. Of groups with more than a thousandth of that there
-    are fewer than a thousand: their aggregates are broadcast. Those of the others meet their
-    rows in a shuffle. Null keys are groups of their own.
+    are fewer than a thousand: their aggregates are broadcast, and their rows spread out. Those of
+    the others meet their rows in a shuffle. Null keys are groups of their own.
     """
-    total = df.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(key)]).agg(F.count("*").alias("_n"), *aggregates)
-    same = F.lit(True)
-    for i, k in enumerate(key):
-        same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
-    drop = ["_n", *[f"_{i}" for i in range(len(key))]]
-    large = F.broadcast(total.where(F.col("_n") * 1000 > rows))
-    return df.join(large, same).drop(*drop).union(df.join(large, same, "left_anti").join(total.where(F.col("_n") * 1000 <= rows), same).drop(*drop))
+    grouped = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.count("*").alias("_n"), *aggregates)
+    added = grouped.columns[len(key) + 1 :]
+    grouped = grouped.select(F.xxhash64(*grouped.columns[: len(key)]).alias("_h"), *grouped.columns[: len(key)], "_n", F.struct(*added).alias("_a"))
+    same = lambda x: reduce(lambda c, i: c & F.col(key[i]).eqNullSafe(F.col(f"{x}{i}")), range(len(key)), F.lit(True))
+    large = grouped.where(F.col("_n") * 1000 > rows).select(*[F.col(f"_k{i}").alias(f"_l{i}") for i in range(len(key))], F.col("_a").alias("_large"))
+    out = df.join(F.broadcast(large), same("_l"), "left")
+    out = out.withColumn("_at", F.when(F.col("_large").isNull(), F.xxhash64(*key)).otherwise(F.xxhash64(*df.columns)))
+    out = out.join(grouped, (F.col("_at") == F.col("_h")) & same("_k"), "left")
+    return out.select(*df.columns, *[F.when(F.col("_large").isNull(), F.col(f"_a.{c}")).otherwise(F.col(f"_large.{c}")).alias(c) for c in added])
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -170,10 +173,7 @@ def linked_components(met: DataFrame, extras: list[str], allowed: Column, verify
     rows, count = met, met.count()
     while count:
         if links is None:  # every item is a component of its own
-            heads = rows.groupBy("token").agg(F.count("*").alias("c"), drawn(F.expr(rank))).where("c > 1").select(F.col("token").alias("_t"), "c", "o")
-            large = F.broadcast(heads.where(F.col("c") * 1000 > count))
-            same = F.col("token") == F.col("_t")
-            beside = rows.join(large, same).union(rows.join(large, same, "left_anti").join(heads.where(F.col("c") * 1000 <= count), same))
+            beside = beside_group(rows, ["token"], [F.count("*").alias("c"), drawn(F.expr(rank))], count).where("c > 1")
             compare(beside.select("set_id", *extras, *other).where((F.col("set_id") != F.col("other")) & allowed).select(*pair))
         open_ = unsettled(rows, count)
         if compare(open_.where("minor").select("set_id", *extras, *other).where(allowed).select(*pair)):
