@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -32,92 +34,161 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Automaton:
-    """A deterministic automaton over tokens that accepts exactly the BPE encodings.
-
-    States are the last token read (and the start). Each merge (left, right), in order of rank,
-    adds a gadget: a state for the merged token, which remembers through which tokens its two ends
-    were exposed and until which rank, and a cut in every arc whose two tokens expose `left` and
-    `right` to each other while that merge is due. Arcs are the pairs of tokens that no gadget
-    cuts; they are looked up in a table that is filled when an arc is first tried. Exactly one
-    path spells a word, so the token that ends at each byte of it is unique.
+    """A deterministic automaton that accepts exactly the BPE encodings, and byte transitions that find their paths.
+
+    Its states are the last token read (and the start), its arcs tokens. Each merge (left, right),
+    in order of rank, adds a gadget: a state for the merged token, which shows the ends of its two
+    parts until a later merge hides them, and a cut in every arc from a state that shows `left` at
+    its end to a token that shows `right` at its begin while that merge is due.
+
+    compile() turns this into tables. Tokens that show `right` long enough are consecutive when
+    tokens are numbered along their left parts, later merges first; so the cuts of a state are
+    some intervals of token numbers. The spellings make a second automaton, over bytes, in which
+    one table step per byte tells the longest token that ends there.
     """
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]):
         letters = byte_alphabet()
         self.spell = {i: bytes(letters[c] for c in t) for t, i in vocabulary.items() if all(c in letters for c in t)}
-        self.rank: dict[tuple[int, int], int] = {}
-        #: What a token shows at its ends: (token, rank of the merge that hides it), innermost last.
-        self.right: dict[int, list[tuple[int, int]]] = {}
-        self.left: dict[int, list[tuple[int, int]]] = {}
-        self.arc: dict[int, bool] = {}
-        self.by_bytes: dict[bytes, int] = {}
         never = len(merges)
+        rank: dict[tuple[int, int], int] = {}
+        #: What a token shows at its ends: (token, rank of the merge that hides it), innermost last.
+        right: dict[int, list[tuple[int, int]]] = {}
+        left: dict[int, list[tuple[int, int]]] = {}
         for c in letters:
             if c in vocabulary:
-                i = vocabulary[c]
-                self.right[i] = self.left[i] = [(i, never)]
-                self.by_bytes[self.spell[i]] = i
-        for r, (a, b) in enumerate(merges):
-            self.gadget(r, vocabulary[a], vocabulary[b], vocabulary[a + b], never)
-        #: Length of the longest token by its first two bytes.
-        self.reach: dict[bytes, int] = {}
-        for b in self.by_bytes:
-            self.reach[b[:2]] = max(len(b), self.reach.get(b[:2], 1))
-
-    def gadget(self, r: int, a: int, b: int, whole: int, never: int) -> None:
-        self.rank.setdefault((a, b), r)
-        if whole in self.right or a not in self.right or b not in self.left or not self.joins(a, b, r):
+                right[vocabulary[c]] = left[vocabulary[c]] = [(vocabulary[c], never)]
+        for r, (x, y) in enumerate(merges):
+            self.gadget(r, vocabulary[x], vocabulary[y], vocabulary[x + y], never, rank, right, left)
+        self.compile(rank, right, left)
+
+    @staticmethod
+    def gadget(r: int, a: int, b: int, whole: int, never: int, rank: dict, right: dict, left: dict) -> None:
+        """Add merge r; without effect where earlier cuts leave no path that reads a and then b."""
+        rank.setdefault((a, b), r)
+        if whole in right or a not in right or b not in left:
             return
-        self.right[whole] = [(whole, never), (b, r), *[(t, h) for t, h in self.right[b][1:]]]
-        self.left[whole] = [(whole, never), (a, r), *[(t, h) for t, h in self.left[a][1:]]]
-        self.by_bytes[self.spell[whole]] = whole
-
-    def joins(self, x: int, y: int, before: int) -> bool:
-        """No merge of a rank under `before` fires across the border of x and y."""
-        for u, hidden_u in self.right[x]:
-            for v, hidden_v in self.left[y]:
-                r = self.rank.get((u, v))
-                if r is not None and r < before and r < hidden_u and r <= hidden_v:
-                    return False
-        return True
-
-    def step(self, state: int, token: int) -> bool:
-        """Whether the arc from `state` labelled `token` exists."""
-        key = state << 32 | token
-        ok = self.arc.get(key)
-        if ok is None:
-            ok = self.arc[key] = self.joins(state, token, len(self.rank) + 1)
-        return ok
+        for u, hidden_u in right[a]:
+            for v, hidden_v in left[b]:
+                earlier = rank.get((u, v), never)
+                if earlier < r and earlier < hidden_u and earlier <= hidden_v:
+                    return
+        right[whole] = [(whole, never), (b, r), *right[b][1:]]
+        left[whole] = [(whole, never), (a, r), *left[a][1:]]
+
+    def compile(self, rank: dict, right: dict, left: dict) -> None:
+        # numbers along left parts: a token, then what begins with it, by falling rank of the merge that hides it
+        after: dict[int, list[tuple[int, int]]] = {}
+        for t, shown in left.items():
+            if len(shown) > 1:
+                after.setdefault(shown[1][0], []).append((-shown[1][1], t))
+        self.number = [0] * (max(self.spell) + 1)
+        last: dict[int, int] = {}
+        stack, n = [(t, False) for t, shown in left.items() if len(shown) == 1], 0
+        while stack:
+            t, done = stack.pop()
+            if done:
+                last[t] = n
+                continue
+            self.number[t] = n
+            n += 1
+            stack.append((t, True))
+            stack += [(c, False) for _, c in sorted(after.get(t, ()), reverse=True)]
+        # by left part: ranks of its merges, and the numbers of the tokens they cut
+        due: dict[int, tuple[list, list, list]] = {}
+        for (a, b), r in sorted(rank.items(), key=lambda x: x[1]):
+            if a in right and b in left:
+                children = [c for h, c in sorted(after.get(b, ())) if -h >= r]
+                ranks, begins, ends = due.setdefault(a, ([], [], []))
+                ranks.append(r)
+                begins.append(self.number[b])
+                ends.append(last[children[-1]] if children else self.number[b] + 1)
+        states, begins, ends, size = sorted(right), [], [], []
+        for t in states:
+            held = len(begins)
+            for u, hidden in right[t]:
+                if u in due:
+                    ranks, x, y = due[u]
+                    k = bisect_left(ranks, hidden)
+                    begins += x[:k]
+                    ends += y[:k]
+            size.append(len(begins) - held)
+        # cuts of a state as intervals apart from one another
+        state = np.repeat(np.array(states), size)
+        lo, hi = state * (n + 1) + np.array(begins, np.int64), state * (n + 1) + np.array(ends, np.int64)
+        by = np.argsort(lo, kind="stable")
+        state, lo, hi = state[by], lo[by], np.maximum.accumulate(hi[by])
+        new = np.flatnonzero(np.concatenate([[True], lo[1:] > hi[:-1]])) if len(lo) else np.empty(0, np.int64)
+        self.cut_from = memoryview((lo[new] - state[new] * (n + 1)).astype(np.int32))
+        self.cut_to = memoryview((hi[np.concatenate([new[1:] - 1, [len(hi) - 1]])] - state[new] * (n + 1) if len(lo) else hi).astype(np.int32))
+        self.cuts = memoryview(np.searchsorted(state[new], np.arange(len(self.number) + 1)).astype(np.int32))
+        self.bytes_table({self.spell[t]: t for t in states})
+
+    def bytes_table(self, tokens: dict[bytes, int]) -> None:
+        """Byte transitions: places in the trie of spellings, completed by those of the longest suffix that is one too."""
+        child, parent, letter, level = [{}], [0], [0], [0]
+        at_end: dict[int, int] = {}
+        for word, t in tokens.items():
+            node = 0
+            for c in word:
+                if c not in child[node]:
+                    child[node][c] = len(child)
+                    child.append({})
+                    parent.append(node)
+                    letter.append(c)
+                    level.append(level[node] + 1)
+                node = child[node][c]
+            at_end[node] = t
+        up, by, depth = np.array(parent), np.array(letter), np.array(level)
+        table, suffix = np.zeros((len(child), 256), np.int32), np.zeros(len(child), np.int64)
+        longest = np.full(len(child), -1, np.int32)
+        longest[list(at_end)] = list(at_end.values())
+        own = longest.copy()
+        shorter = np.full(len(self.number), -1, np.int32)
+        table[0, by[depth == 1]] = np.flatnonzero(depth == 1)
+        for d in range(1, int(depth.max()) + 1):
+            here = np.flatnonzero(depth == d)
+            if d > 1:
+                suffix[here] = table[suffix[up[here]], by[here]]
+            table[here] = table[suffix[here]]
+            below = np.flatnonzero((depth == d + 1))
+            table[up[below], by[below]] = below
+            shorter[own[here][own[here] >= 0]] = longest[suffix[here]][own[here] >= 0]
+            longest[here] = np.where(own[here] >= 0, own[here], longest[suffix[here]])
+        self.step = memoryview(table.ravel())
+        self.longest, self.shorter = longest.tolist(), shorter.tolist()
+        size = [0] * len(self.number)
+        for word, t in tokens.items():
+            size[t] = len(word)
+        self.size = size
+
+    def joins(self, x: int, y: int) -> bool:
+        """Whether the arc from state x labelled y is there."""
+        at, begin = self.number[y], self.cuts[x]
+        k = bisect_right(self.cut_from, at, begin, self.cuts[x + 1]) - 1
+        return k < begin or self.cut_to[k] <= at
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
         """The labels of the path that spells a word.
 
-        From each place the longest token with an arc is taken. A place without a way on is dead
-        for good, because only one path spells the bytes before it; the token before is shortened.
+        Exactly one path spells each prefix, so the state that it ends in is the one token that
+        ends there, longest first, to which an arc leads from the state before it.
         """
-        n, find = len(word), self.by_bytes.get
-        if (whole := find(word)) is not None:
-            return (whole,)
-        out: list[int] = []
+        step, longest, shorter, size, joins = self.step, self.longest, self.shorter, self.size, self.joins
         ends: list[int] = []
-        dead: set[int] = set()
-        at, end = 0, min(n, self.reach.get(word[:2], 1))
-        while at < n:
-            while end > at:
-                if end not in dead and (t := find(word[at:end])) is not None and (not out or self.step(out[-1], t)):
-                    break
-                end -= 1
-            if end > at:
-                out.append(t)
-                ends.append(end)
-                at = end
-                end = min(n, at + self.reach.get(word[at : at + 2], 1))
-            else:
-                dead.add(at)
-                out.pop()
-                end = ends.pop() - 1
-                at = ends[-1] if ends else 0
-        return tuple(out)
+        place = 0
+        for i, c in enumerate(word):
+            place = step[place << 8 | c]
+            t = longest[place]
+            while size[t] <= i and not joins(ends[i - size[t]], t):
+                t = shorter[t]
+            ends.append(t)
+        out: list[int] = []
+        i = len(word)
+        while i:
+            out.append(ends[i - 1])
+            i -= size[out[-1]]
+        return tuple(out[::-1])
 
 
 class Memo(dict):
@@ -150,8 +221,6 @@ class Coder:
     def encode(self, text: str) -> list[int]:
         if len(self.memo) > MEMO:
             self.memo.clear()
-        if len(self.automaton.arc) > 4 * MEMO:
-            self.automaton.arc.clear()
         find, at, out = self.memo.__getitem__, 0, []
         for m in self.at_special.finditer(text) if self.at_special else ():
             out += chain.from_iterable(map(find, SPLIT.findall(text[at : m.start()])))
