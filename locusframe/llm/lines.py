@@ -248,7 +248,7 @@ def occurrences(docs: DataFrame, text: str, parts: int) -> DataFrame:
                 order, hashed = keys_of(b.column("doc_id"), body)
                 found = [(i, k, line_id(x)) for i, t in enumerate(body) for k, x in lines_of(t, 1) if not x.isspace()]
                 i, k, ids = (np.array(x, np.int64) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-                yield pa.RecordBatch.from_arrays([pa.array(bucket_of(order, parts)[i].astype(np.int32)), pa.array(order[i]), pa.array(hashed.view(np.int64)[i]), pa.array(k), pa.array(ids)],
+                yield pa.RecordBatch.from_arrays([pa.array(bucket_of(order, hashed, parts)[i].astype(np.int32)), pa.array(order[i]), pa.array(hashed.view(np.int64)[i]), pa.array(k), pa.array(ids)],
                                                  names=["part", "ord", "hash", "line", "id"])
 
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, "part int, ord bigint, hash bigint, line bigint, id bigint")

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import tokenizers
 
 from locusframe.llm import bpe, exact_dedup, jaccard, licenses, lines, mixing, repeats, toxicity
 
@@ -106,7 +107,7 @@ def test_maximal_repeats_of_one_text():
     suffixes = sorted(range(len(text)), key=lambda i: text[i:])
     lcp = [0] + [next((k for k in range(len(text)) if text[a + k : a + k + 1] != text[b + k : b + k + 1] or a + k >= len(text) or b + k >= len(text)), 0) for a, b in zip(suffixes, suffixes[1:])]
     left = [text[i - 1] if i else -1 for i in suffixes]
-    found = {text[occ[0] : occ[0] + n]: sorted(occ) for n, occ in repeats.maximal_repeats(suffixes, lcp, left, 2)}
+    found = {text[suffixes[a] : suffixes[a] + n]: sorted(suffixes[a:b]) for n, a, b in repeats.maximal_repeats(np.array(lcp), np.array(left), 2).tolist()}
     expected = {}
     for n in range(2, len(text)):
         for i in range(len(text) - n + 1):
@@ -117,8 +118,32 @@ def test_maximal_repeats_of_one_text():
     assert found == expected
 
 
+def test_repeat_groups_have_all_occurrences(spark):
+    """A group is one string with all documents that have it, and every common string is in one."""
+    rnd = random.Random(8)
+    body = [bytes(rnd.choice(b"ab cd") for _ in range(40)) for _ in range(3)]
+    text = [(bytes(rnd.choice(b"xyz") for _ in range(rnd.randint(0, 5))) + rnd.choice(body) + bytes(rnd.choice(b"ab") for _ in range(rnd.randint(0, 5)))).decode() for _ in range(40)]
+    text += [None, "", text[0], text[1] + text[0]]
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    groups = {}
+    for r in repeats.repeats(docs, length=32).collect():
+        groups.setdefault((r.group, r.length), set()).add((r.doc_id, r.start))
+    for (_, n), occ in groups.items():
+        strings = {(text[i] or "")[s : s + n] for i, s in occ}
+        assert len(strings) == 1
+        s = strings.pop()
+        assert {i for i, _ in occ} == {i for i, t in enumerate(text) if s in (t or "")}
+    named = [((text[i] or "")[s : s + n], {d for d, _ in occ}) for (_, n), occ in groups.items() for i, s in list(occ)[:1]]
+    strings = {}
+    for i, t in enumerate(text):
+        for a in range(len(t or "") - 31):
+            strings.setdefault(t[a : a + 32], set()).add(i)
+    for s, docs_of in strings.items():
+        if len(docs_of) > 1:
+            assert any(s in t and docs_of == d for t, d in named), s
+
+
 def test_bpe_is_the_library_s(messy):
-    tokenizers = pytest.importorskip("tokenizers")
     reference = tokenizers.Tokenizer.from_file(bpe.tokenizer_path())
     odd = ["<|endoftext|> a<|endoftext|>", "I'll  don't x\x1c\x85y", "日本語 and emoji 😀😀", "x" * 500, " \n\n \t"]
     encoded = bpe.encode(messy.select("text", "size").union(messy.sparkSession.createDataFrame([(t, 1) for t in odd], "text string, size long")))
@@ -130,6 +155,30 @@ def test_bpe_is_the_library_s(messy):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
 
 
+def test_bpe_automaton_is_merging_in_order():
+    rnd = random.Random(3)
+    letters = [c for c, b in bpe.byte_alphabet().items() if b in b"abc"]
+    for _ in range(40):
+        merges, vocabulary = [], {c: i for i, c in enumerate(bpe.byte_alphabet())}
+        for _ in range(12):
+            a, b = (rnd.choice([*letters, *(x + y for x, y in merges)]) for _ in range(2))
+            if a + b not in vocabulary:
+                merges.append((a, b))
+                vocabulary[a + b] = len(vocabulary)
+        automaton = bpe.Automaton(vocabulary, merges)
+        for _ in range(60):
+            word = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 14)))
+            # the lowest rank first, again after each merge
+            parts, rank = list(word), {m: r for r, m in enumerate(merges)}
+            while due := min(((rank[p], p) for p in zip(parts, parts[1:]) if p in rank), default=None):
+                i = 0
+                while i < len(parts) - 1:
+                    if (parts[i], parts[i + 1]) == due[1]:
+                        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                    i += 1
+            assert automaton.encode_word(word.encode()) == tuple(vocabulary[p] for p in parts), (word, merges)
+
+
 def test_license_words_and_places(messy):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     for r in licenses.scan(messy.select("text", "size")).collect():
