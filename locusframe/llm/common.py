@@ -107,12 +107,29 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-#: Items outside a token's largest component that are compared with all others there.
-FEW = 8
+def tile_pairs(rows: DataFrame, near: Column, weight: Column, side: int, many: int) -> DataFrame:
+    """Rows of (token, set_id, cell, ...) with (one, two, first): each pair of tiles that the item's tile is in, and whether it is one.
 
+    The items of a token's cell are dealt by hash to tiles of about `many` items and `side` in
+    weight. near: the cells that linked items can be in, the own one included, as an array. Each
+    pair of tiles of a token in such cells is a block to compare, without its items being paired.
+    """
+    size = F.greatest(F.ceil(F.sum(weight) / side), F.ceil(F.count("*") / many)).cast("int")
+    tiles = staged(rows.groupBy(F.col("token").alias("_t"), F.col("cell").alias("_c")).agg(size.alias("_tiles")), "tiles")
+    own = rows.join(tiles, (F.col("token") == F.col("_t")) & (F.col("cell") == F.col("_c"))).drop("_t", "_c")
+    own = own.withColumn("_own", F.struct("cell", F.pmod(F.xxhash64("set_id"), "_tiles").cast("int").alias("tile"))).drop("_tiles").withColumn("_near", F.explode(near))
+    both = own.join(tiles, (F.col("token") == F.col("_t")) & (F.col("_near") == F.col("_c"))).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_tiles") - 1)))
+    both = both.withColumn("_other", F.struct(F.col("_near").alias("cell"), F.col("_other").alias("tile")))
+    return both.withColumn("one", F.least("_own", "_other")).withColumn("two", F.greatest("_own", "_other")).withColumn("first", F.col("_own") == F.col("one")).drop(
+        "_t", "_c", "_tiles", "_near", "_own", "_other", "cell")
+
+
+#: Items outside a token's largest component that are compared with all others there pair by pair.
+FEW = 32
 
-def linked_components(met: DataFrame, extras: list[str], allowed: Column, verify: Callable[[DataFrame], DataFrame], rank: str = "0",
-                      refine: Callable[[DataFrame], DataFrame] | None = None, blocks: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+
+def linked_components(met: DataFrame, extras: list[str], allowed: Column, verify: Callable[[DataFrame], DataFrame],
+                      blocks: Callable[[DataFrame], DataFrame], rank: str = "0") -> DataFrame:
     """Components (id, component) of all pairs of items that share a token, are allowed and pass verify.
 
     met: rows (token, set_id, *extras). allowed: a condition on a pair, the second item's extras
@@ -124,14 +141,11 @@ def linked_components(met: DataFrame, extras: list[str], allowed: Column, verify
        component are compared with one drawn from that.
     3. Where they still are, and at most FEW are outside the largest, these are compared with all
        others there.
-    4. The rows of the other tokens go to refine or to blocks. refine gives finer rows, such that a
-       linked pair that shares a token shares a finer one made from it and that after finitely many
-       rounds only tokens whose items are all linked are left; they go through all steps again. It
-       returns the columns of met, and others that it wants back. blocks returns links (a, b) that
+    4. The rows of the other tokens, with component, go to blocks, which returns links (a, b) that
        connect what is linked within each token.
 
-    So every allowed pair is in one component already or verified, and the pairs of a round are
-    at most FEW + 2 times its rows: no group is expanded into all its pairs.
+    So every allowed pair is in one component already or compared, and the pairs are at most
+    FEW + 2 times the rows of met: no group is expanded into all its pairs.
     """
     pair = (F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b"))
     other = [F.col("o.set_id").alias("other"), *[F.col(f"o.{x}").alias(f"other_{x}") for x in extras]]
@@ -170,29 +184,22 @@ def linked_components(met: DataFrame, extras: list[str], allowed: Column, verify
         found = placed.join(large, same).union(placed.join(large, same, "left_anti").join(held.where(F.col("all") * 1000 <= count), same))
         return staged(found.withColumn("minor", F.col("component") != F.col("_c")).drop("_t", "_c", "all"), "open")
 
-    rows, count = met, met.count()
-    while count:
-        if links is None:  # every item is a component of its own
-            beside = beside_group(rows, ["token"], [F.count("*").alias("c"), drawn(F.expr(rank))], count).where("c > 1")
-            compare(beside.select("set_id", *extras, *other).where((F.col("set_id") != F.col("other")) & allowed).select(*pair))
-        open_ = unsettled(rows, count)
-        if compare(open_.where("minor").select("set_id", *extras, *other).where(allowed).select(*pair)):
-            open_ = unsettled(rows, count)
-        few = open_.where(F.col("minors") <= FEW)
-        one = few.where("minor").select("token", "set_id", "component", *extras)
-        every = few.select("token", F.col("set_id").alias("other"), "minor", F.col("component").alias("other_component"), *[F.col(x).alias(f"other_{x}") for x in extras])
-        apart = (F.col("component") != F.col("other_component")) & (~F.col("minor") | (F.col("set_id") < F.col("other")))
-        compare(one.join(every, "token").where(apart & allowed).select(*pair))
-        rest = open_.where(F.col("minors") > FEW).drop("o", "minors")
-        if rest.isEmpty():
-            break
-        if refine is None:
-            more = staged(blocks(rest), "links")
-            if not more.isEmpty():
-                member = components(more if links is None else links.union(more))
-            break
-        rows = staged(refine(rest.drop("component", "minor")).distinct(), "finer")
-        count = rows.count()
+    count = met.count()
+    beside = beside_group(met, ["token"], [F.count("*").alias("c"), drawn(F.expr(rank))], count).where("c > 1")
+    compare(beside.select("set_id", *extras, *other).where((F.col("set_id") != F.col("other")) & allowed).select(*pair))
+    open_ = unsettled(met, count)
+    if compare(open_.where("minor").select("set_id", *extras, *other).where(allowed).select(*pair)):
+        open_ = unsettled(met, count)
+    few = open_.where(F.col("minors") <= FEW)
+    one = few.where("minor").select("token", "set_id", "component", *extras)
+    every = few.select("token", F.col("set_id").alias("other"), "minor", F.col("component").alias("other_component"), *[F.col(x).alias(f"other_{x}") for x in extras])
+    apart = (F.col("component") != F.col("other_component")) & (~F.col("minor") | (F.col("set_id") < F.col("other")))
+    compare(one.join(every, "token").where(apart & allowed).select(*pair))
+    rest = open_.where(F.col("minors") > FEW).drop("o", "minors", "minor")
+    if not rest.isEmpty():
+        more = staged(blocks(rest), "links")
+        if not more.isEmpty():
+            member = components(more if links is None else links.union(more))
     if member is None:
         return spark.createDataFrame([], "id bigint, component bigint")
     return member

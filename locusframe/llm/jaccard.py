@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import beside_group, documents, linked_components, staged
+from .common import beside_group, documents, linked_components, staged, tile_pairs
 from .shingles import U, set_digest, shingle_sets
 
 #: Bytes of text whose postings go out together, and postings that one range or set partition gets.
@@ -267,21 +267,15 @@ def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     bands, and bands by hash into tiles of bounded volume; each pair of tiles that sizes allow is a
     block of the product of its own, which gives back a spanning forest, never its pairs.
     """
-    band = F.floor(F.log("n") / float(np.log(100.1 / percent))).cast("int")
-    rows = rows.select("token", "set_id", "n", band.alias("band"))
-    tiles = F.greatest(F.ceil(F.sum("n") / SIDE), F.ceil(F.count("*") / ROWS)).cast("int")
-    bands = rows.groupBy("token", "band").agg(tiles.alias("tiles")).groupBy(F.col("token").alias("_t")).agg(F.map_from_entries(F.collect_list(F.struct("band", "tiles"))).alias("tiles"))
-    rows = rows.join(bands, F.col("token") == F.col("_t")).withColumn("tile", F.pmod(F.xxhash64("set_id"), F.col("tiles")[F.col("band")]).cast("int"))
-    others = F.flatten(F.transform(F.sequence(F.col("band") - 1, F.col("band") + 1), lambda b: F.transform(
-        F.sequence(F.lit(0), F.coalesce(F.col("tiles")[b], F.lit(0))), lambda k: F.struct(b.alias("band"), k.cast("int").alias("tile")))))
-    others = F.filter(others, lambda o: o["tile"] < F.coalesce(F.col("tiles")[o["band"]], F.lit(0)))
-    rows = rows.withColumn("own", F.struct("band", "tile")).withColumn("other", F.explode(others)).select("token", "set_id", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
-    rows = rows.join(sets.select(F.col("set_id").alias("_s"), F.col("n"), F.col("tokens")), F.col("set_id") == F.col("_s"))
+    band = F.struct(F.floor(F.log("n") / float(np.log(100.1 / percent))).cast("int").alias("x"))
+    near = F.array(*[F.struct((F.col("cell.x") + d).alias("x")) for d in (-1, 0, 1)])
+    rows = tile_pairs(rows.select("token", "set_id", "n", band.alias("cell")), near, F.col("n"), SIDE, ROWS)
+    rows = rows.join(sets.select(F.col("set_id").alias("_s"), F.col("tokens")), F.col("set_id") == F.col("_s"))
 
     def run(block: pa.Table) -> pa.Table:
         ids, size = block.column("set_id").to_numpy(), block.column("n").to_numpy()
         overlap = product([large(x) for x in block.column("tokens").to_pylist()])
-        a, b = np.nonzero(np.triu(100 * overlap >= percent * (size[:, None] + size[None, :] - overlap), 1))
+        a, b = np.nonzero(np.triu(100 * overlap >= percent * (size[:, None] + size[None, :] - overlap), 1))  # of tiles with themselves too: a link less for other blocks
         root = np.arange(len(ids))
 
         def find(i: int) -> int:
@@ -328,8 +322,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", width: int = 5, perc
     dealt = shared(postings(docs, text, width, parts), parts)
     sets = staged(candidates(dealt, percent), "candidates")
     met = staged(sets.select("set_id", "n", "shared", F.explode("prefix").alias("p")).select("set_id", "n", "shared", "p.token", "p.pos"), "prefixes")
-    member = linked_components(met, ["n", "shared", "pos"], can_link(percent), lambda pairs: linked(pairs, sets, percent), "n - shared",
-                               blocks=lambda rows: block_links(rows, sets, percent))
+    member = linked_components(met, ["n", "shared", "pos"], can_link(percent), lambda pairs: linked(pairs, sets, percent),
+                               lambda rows: block_links(rows, sets, percent), "n - shared")
     placed = ids.join(member, ids.set_id == member.id, "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component", "set_id").alias("_c"))
     placed = staged(placed, "documents")
     some = beside_group(placed.where("n_shingles > 0"), ["_c"], [F.min("doc_id").alias("component_id")], placed.count())

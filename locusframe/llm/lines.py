@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import documents, linked_components, staged
+from .common import documents, linked_components, staged, tile_pairs
 from .jaccard import pack, texts_of, unpack
 from .repeats import SHARE, bucket_of, cut, keys_of, opened, packed
 from .shingles import PIECE, U, _stream, mixed, powers
@@ -56,18 +54,17 @@ def line_keys(lines: list[bytes], edits: int) -> Iterator[tuple[np.ndarray, np.n
         size += len(x)
         if size >= PIECE or i == len(lines) - 1:
             text = [points_of(lines[k]) for k in group]
-            row, key, kind, _, _ = segment_keys(numbers("".join(text)), np.array([len(x) for x in text]), edits)
+            row, key, kind = segment_keys(numbers("".join(text)), np.array([len(x) for x in text]), edits)
             yield np.array(group)[row], key, kind
             group, size = [], 0
 
 
-def segment_keys(points: np.ndarray, length: np.ndarray, edits: int, least: int = 0) -> tuple[np.ndarray, ...]:
-    """(index, key, whether it is an index key, start, size) of strings of these lengths, one after the other in points.
+def segment_keys(points: np.ndarray, length: np.ndarray, edits: int) -> tuple[np.ndarray, ...]:
+    """(index, key, whether it is an index key) of strings of these lengths, one after the other in points.
 
     A string is indexed by its edits + 1 segments under its length; it probes the indexes of all
-    lengths up to `edits` below its own, and at least `least`, with the substrings that the k-th
-    segment can have moved to: at most k places by edits on its left and at most edits - k by
-    those on its right.
+    lengths up to `edits` below its own with the substrings that the k-th segment can have moved
+    to: at most k places by edits on its left and at most edits - k by those on its right.
     """
     points = points.astype(U)
     begin = np.cumsum(length) - length
@@ -80,10 +77,10 @@ def segment_keys(points: np.ndarray, length: np.ndarray, edits: int, least: int
     def add(which: np.ndarray, start: np.ndarray, size: np.ndarray, of: np.ndarray, k: int, indexed: bool) -> None:
         a = begin[which] + start
         h = (sums[a + size] - sums[a]) * down[a] + of.astype(U) * KIND + np.array([k], U) * PLACE_IN
-        found.append((which, mixed(h), np.full(len(which), indexed), start, size))
+        found.append((which, mixed(h), np.full(len(which), indexed)))
 
     for below in range(edits + 1):
-        which = np.flatnonzero(length - below > max(edits, least - 1))
+        which = np.flatnonzero(length - below > edits)
         of = length[which] - below
         starts, sizes = segments(of, edits)
         for k in range(edits + 1):
@@ -97,73 +94,6 @@ def segment_keys(points: np.ndarray, length: np.ndarray, edits: int, least: int
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-#: Stand for a segment that is settled and for a place where any code point or none may be.
-SETTLED, ANY = 0xFFFFFFFF, 0xFFFFFFFE
-
-
-def patterns(x: tuple[int, ...], edits: int) -> set[tuple[int, ...]]:
-    """x with `edits` places open, be they its own or put in between; settled segments stay.
-
-    Two strings within `edits` have one in common, and all strings that have one are within `edits`.
-    """
-    found = set()
-    own = [i for i, c in enumerate(x) if c != SETTLED]
-    for many in range(min(edits, len(own)) + 1):
-        for which in combinations(own, many):
-            y = [ANY if i in which else c for i, c in enumerate(x)]
-            for gaps in combinations_with_replacement(range(len(y) + 1), edits - many):
-                z = list(y)
-                for g in reversed(gaps):
-                    z.insert(g, ANY)
-                found.add(tuple(z))
-    return found
-
-
-def finer_keys(rows: DataFrame, bodies: DataFrame, edits: int) -> DataFrame:
-    """Finer tokens for rows (token, set_id, ..., [rest]) of lines that share a token, with rest, what they leave open.
-
-    If two lines within `edits` share a segment that no edit touches, what is left of them, the
-    segment replaced by one sign, is within `edits` too and shares a segment in turn. So a finer
-    token is the old one and a segment of the rest. Rests shrink by each token; where they are too
-    short for segments of two places, their patterns() are the last tokens.
-    """
-    first = "rest" not in rows.columns
-    if first:
-        rows = rows.join(bodies.select(F.col("id").alias("_id"), F.col("body").alias("rest")), F.col("set_id") == F.col("_id")).drop("_id")
-    least = 2 * (edits + 1)
-    kept = [f for f in rows.schema if f.name not in ("token", "rest")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                token = b.column("token").to_numpy().view(U)
-                text = [numbers(points_of(x)) if first else np.frombuffer(x, np.uint32) for x in b.column("rest").to_pylist()]
-                of = np.arange(len(text))
-                if first:
-                    i, key, _, start, size = segment_keys(np.concatenate(text), np.array([len(x) for x in text]), edits)
-                    hit = key == token[i]
-                    of = i[hit]
-                    text = [np.concatenate([text[k][:s], [SETTLED], text[k][s + n :]]).astype(np.uint32) for k, s, n in zip(of, start[hit], size[hit], strict=True)]
-                out: list[tuple[int, int, bytes]] = []
-                if text:
-                    length = np.array([len(x) for x in text])
-                    i, key, _, start, size = segment_keys(np.concatenate(text), length, edits, least)
-                    key = mixed(key ^ token[of[i]])
-                    for k, t, s, n in zip(i.tolist(), key.view(np.int64).tolist(), start.tolist(), size.tolist(), strict=True):
-                        out.append((int(of[k]), t, np.concatenate([text[k][:s], [SETTLED], text[k][s + n :]]).astype(np.uint32).tobytes()))
-                    for k in np.flatnonzero(length < least + edits):
-                        for x in patterns(tuple(text[k].tolist()), edits):
-                            h = xxhash.xxh3_64_intdigest(np.array([int(token[of[k]]), *x], U).tobytes())
-                            out.append((int(of[k]), h - (1 << 64) if h >> 63 else h, b""))
-                index = pa.array([k for k, _, _ in out], pa.int64())
-                yield pa.RecordBatch.from_arrays([*[b.column(f.name).take(index) for f in kept], pa.array([t for _, t, _ in out], pa.int64()), pa.array([x for _, _, x in out], pa.binary())],
-                                                 names=[*[f.name for f in kept], "token", "rest"])
-
-    shape = T.StructType([*kept, T.StructField("token", T.LongType()), T.StructField("rest", T.BinaryType())])
-    return rows.where(F.octet_length("rest") > 0).mapInArrow(run, shape)
-
-
 def plain_distance(a: list[int], b: list[int]) -> int:
     """Edit distance row by row, for strings no longer than the band is wide."""
     row = list(range(len(b) + 1))
@@ -364,6 +294,67 @@ def near_lines(pairs: DataFrame, bodies: DataFrame, edits: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
 
 
+#: Lines, and letters, that a block compares on each side, about.
+ROWS, SIDE = 1024, 1 << 20
+
+
+def block_links(rows: DataFrame, bodies: DataFrame, edits: int) -> DataFrame:
+    """Links (a, b) that connect all lines within `edits` within each token of rows (token, set_id, component, n, c0, ...).
+
+    The lines of a token are dealt to cells by their length and by how many of their letters are
+    in half of the classes, both of which `edits` change by as much at most, so that linked lines
+    are in neighbouring cells. Each pair of tiles of such cells is a block: lengths and letters
+    are compared all at once, and what they leave in different components by edit distance. A
+    block gives back the links that joined components, never its pairs.
+    """
+    width = edits + 1
+    half = sum((F.col(f"c{k}") for k in range(0, LETTERS, 2)), F.lit(0))
+    cell = F.struct(F.floor(F.col("n") / width).cast("int").alias("x"), F.floor(half / width).cast("int").alias("y"))
+    names = ["component", "n", *[f"c{k}" for k in range(LETTERS)]]
+    near = F.array(*[F.struct((F.col("cell.x") + dx).alias("x"), (F.col("cell.y") + dy).alias("y")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    dealt = tile_pairs(rows.select("token", "set_id", *names, cell.alias("cell")), near, F.col("n"), SIDE, ROWS)
+    dealt = dealt.join(bodies.select(F.col("id").alias("_id"), "body"), F.col("set_id") == F.col("_id")).drop("_id")
+
+    def run(block: pa.Table) -> pa.Table:
+        ids, n, first = (block.column(c).to_numpy() for c in ("set_id", "n", "first"))
+        letters = np.stack([block.column(f"c{k}").to_numpy() for k in range(LETTERS)], axis=1)
+        body = [numbers(points_of(x)) for x in block.column("body").to_pylist()]
+        _, part = np.unique(block.column("component").to_numpy(), return_inverse=True)
+        root = np.arange(part.max() + 1)
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        left, right = np.flatnonzero(first), np.flatnonzero(~first)
+        alone = not len(right) or block.column("one")[0] == block.column("two")[0]
+        right = left if alone else right
+        links: list[tuple[int, int]] = []
+        for at in range(0, len(left), 128):
+            i = left[at : at + 128]
+            top = np.array([find(k) for k in range(len(root))])[part]
+            maybe = (np.abs(n[i][:, None] - n[right]) <= edits) & (top[i][:, None] != top[right])
+            if alone:
+                maybe &= i[:, None] < right
+            a, b = np.nonzero(maybe)
+            a, b = i[a], right[b]
+            near = np.abs(letters[a] - letters[b]).sum(axis=1) <= 2 * edits
+            a, b = a[near], b[near]
+            for k in range(0, len(a), 4096):
+                x, y = a[k : k + 4096], b[k : k + 4096]
+                yes = edit_within([body[j] for j in x], [body[j] for j in y], edits)
+                for u, v in zip(x[yes].tolist(), y[yes].tolist(), strict=True):
+                    p, q = find(part[u]), find(part[v])
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        links.append((int(ids[u]), int(ids[v])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+    return dealt.groupBy("token", "one", "two").applyInArrow(run, "a bigint, b bigint")
+
+
 def dedup_lines(docs: DataFrame, text: str = "text", edits: int = 2, shortest: int = 16, with_text: bool = True) -> DataFrame:
     """Rows (doc_id, n_lines, n_removed, kept_sha256[, removed, kept]), one per row of docs.
 
@@ -376,7 +367,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", edits: int = 2, shortest: i
     Distinct lines meet by segment keys; pairs that share one, and whose lengths and counts of
     letters allow a link, are verified by edit distance, with linked_components() so that a common
     segment isn't expanded into all pairs: where many lines that aren't linked share one, they
-    meet again by the segments of what is left of them. Lines are told apart by 64-bit hashes.
+    meet in blocks. Lines are told apart by 64-bit hashes.
 
     Null text counts as empty: one line, which stays. A byte that isn't UTF-8 counts as a code
     point of its own. Very long texts and lines are read whole. Rows alike in doc_id and text count as one
@@ -393,7 +384,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", edits: int = 2, shortest: i
     met = staged(met.join(counts, met.set_id == counts.id).drop("id"), "keys")
     apart = sum((F.abs(F.col(f"c{k}") - F.col(f"other_c{k}")) for k in range(LETTERS)), F.lit(0))
     close = (F.abs(F.col("n") - F.col("other_n")) <= edits) & (apart <= 2 * edits)
-    member = linked_components(met, ["n", *[f"c{k}" for k in range(LETTERS)]], close, lambda pairs: near_lines(pairs, bodies, edits), refine=lambda rows: finer_keys(rows, bodies, edits))
+    member = linked_components(met, ["n", *[f"c{k}" for k in range(LETTERS)]], close, lambda pairs: near_lines(pairs, bodies, edits), lambda rows: block_links(rows, bodies, edits))
     seen = stand.groupBy("id").agg(F.min(F.struct("ord", "line", "hash")).alias("first"), F.count("*").alias("times"))
     seen = seen.join(member.withColumnRenamed("id", "_i"), F.col("id") == F.col("_i"), "left").select("id", "first", "times", F.coalesce("component", "id").alias("class"))
     seen = staged(seen, "seen")

@@ -289,36 +289,18 @@ def test_common_segments_are_not_expanded(spark, monkeypatch):
     assert sum(pairs) < 100 * len(text)
 
 
-@pytest.mark.parametrize("few", [0, 8])
-def test_refined_lines_are_brute_force(spark, monkeypatch, few):
-    """Every group is refined down to patterns."""
+def test_blocked_lines_are_brute_force(spark, monkeypatch):
+    """Every group goes to blocks of a few lines each."""
     from locusframe.llm import common
 
-    monkeypatch.setattr(common, "FEW", few)
+    monkeypatch.setattr(common, "FEW", 0)
+    monkeypatch.setattr(lines, "ROWS", 10)
     rnd = random.Random(11)
     text = list(dict.fromkeys("xyxyxyxyxyxy" + "".join(rnd.choice("ab") for _ in range(rnd.randint(4, 9))) for _ in range(160)))
-    for edits in (1, 2):
-        of = components(len(text), [(a, b) for a in range(len(text)) for b in range(a) if distance(text[a], text[b]) <= edits])
-        first = {c: k for k, c in reversed(list(enumerate(of)))}
-        got = lines.dedup_lines(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"), edits=edits)
-        assert {r.doc_id for r in got.collect() if not r.n_removed} == set(first.values())
-
-
-def test_patterns():
-    rnd = random.Random(2)
-    pairs = [tuple(tuple(rnd.choice([1, 2, 3, lines.SETTLED]) for _ in range(rnd.randint(0, 6))) for _ in "ab") for _ in range(300)]
-    for a, b in pairs:
-        if a.count(lines.SETTLED) == b.count(lines.SETTLED):
-            # settled segments are neither edited nor put elsewhere: a prohibitive price
-            price = lambda c: 99 if c == lines.SETTLED else 1
-            cost = {(0, 0): 0}
-            for i in range(len(a) + 1):
-                for j in range(len(b) + 1):
-                    ways = [cost[i - 1, j] + price(a[i - 1])] if i else []
-                    ways += [cost[i, j - 1] + price(b[j - 1])] if j else []
-                    ways += [cost[i - 1, j - 1] + (a[i - 1] != b[j - 1]) * max(price(a[i - 1]), price(b[j - 1]))] if i and j else []
-                    cost[i, j] = min(ways, default=0)
-            assert bool(lines.patterns(a, 2) & lines.patterns(b, 2)) == (cost[len(a), len(b)] <= 2), (a, b)
+    of = components(len(text), [(a, b) for a in range(len(text)) for b in range(a) if distance(text[a], text[b]) <= 1])
+    first = {c: k for k, c in reversed(list(enumerate(of)))}
+    got = lines.dedup_lines(spark.createDataFrame(list(enumerate(text)), "doc_id long, text string"), edits=1)
+    assert {r.doc_id for r in got.collect() if not r.n_removed} == set(first.values())
 
 
 def test_lines_that_are_not_utf8(spark):
