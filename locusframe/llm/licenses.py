@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import count_runs, documents
+from .license_rules import Rule, table
 
 #: Separator bytes of the word contract, upper-case letters counted as word characters.
 SEP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
@@ -16,113 +16,20 @@ SEP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 
-class Rule(NamedTuple):
-    """A signature: the pattern is tried on lower-cased lines that contain the keyword.
-
-    keyword may give several, parted by |. A detection is dropped when it lies within one of a higher priority.
-    """
-
-    label: str
-    priority: int
-    confidence: float
-    keyword: str
-    pattern: str
-
-
-#: family: (keyword, pattern of its name, pattern of its address or None, versions).
-#: An empty version is the family without one.
-FAMILIES = {
-    "mit": ("mit", r"(?:the )?mit license|\bmit[- ]licensed\b", r"opensource\.org/licenses?/mit\b", ("",)),
-    "mit-0": ("mit", r"mit no attribution|\bmit-0\b", None, ("",)),
-    "apache": ("apache", r"apache(?: software)? licen[cs]e", r"apache\.org/licenses", ("1.0", "1.1", "2", "")),
-    "bsd-2-clause": ("bsd", r"(?:simplified|2[- ]clause|freebsd) bsd|bsd[- ](?:2[- ]clause|simplified)", None, ("",)),
-    "bsd-3-clause": ("bsd", r"(?:new|modified|revised|3[- ]clause) bsd|bsd[- ](?:3[- ]clause|new|revised)", None, ("",)),
-    "bsd-4-clause": ("bsd", r"(?:original|4[- ]clause) bsd|bsd[- ]4[- ]clause", None, ("",)),
-    "0bsd": ("bsd", r"zero[- ]clause bsd|\b0bsd\b", None, ("",)),
-    "bsd": ("bsd", r"bsd(?:[- ]style)? licen[cs]e", None, ("",)),
-    "gpl": ("gpl|general public", r"gnu general public licen[cs]e|\bgnu gpl\b|\bgpl\b", r"gnu\.org/licenses/(?:old-licenses/)?gpl", ("1", "2", "3", "")),
-    "lgpl": ("lgpl|lesser general|library general", r"gnu (?:lesser|library) general public licen[cs]e|\bgnu lgpl\b|\blgpl\b", r"gnu\.org/licenses/(?:old-licenses/)?lgpl", ("2", "2.1", "3", "")),
-    "agpl": ("agpl|affero", r"(?:gnu )?affero general public licen[cs]e|\bgnu agpl\b|\bagpl\b", r"gnu\.org/licenses/agpl", ("1", "3", "")),
-    "gfdl": ("gfdl|free documentation", r"gnu free documentation licen[cs]e|\bgfdl\b", r"gnu\.org/licenses/fdl", ("1.1", "1.2", "1.3", "")),
-    "mpl": ("mpl|mozilla", r"mozilla public licen[cs]e|\bmpl\b", r"mozilla\.org/(?:[a-z-]+/)?mpl", ("1.0", "1.1", "2.0", "")),
-    "epl": ("epl|eclipse", r"eclipse public licen[cs]e|\bepl\b", r"eclipse\.org/legal/epl", ("1.0", "2.0", "")),
-    "cddl": ("cddl|common development", r"common development and distribution licen[cs]e|\bcddl\b", None, ("1.0", "1.1", "")),
-    "cpl": ("common public", r"common public licen[cs]e", None, ("0.5", "1.0", "")),
-    "cpal": ("common public", r"common public attribution licen[cs]e", None, ("1.0", "")),
-    "eupl": ("eupl|european union", r"european union public licen[cs]e|\beupl\b", None, ("1.0", "1.1", "1.2", "")),
-    "osl": ("open software", r"open software licen[cs]e", None, ("1.0", "2.0", "2.1", "3.0", "")),
-    "afl": ("academic free", r"academic free licen[cs]e", None, ("1.1", "1.2", "2.0", "2.1", "3.0", "")),
-    "artistic": ("artistic", r"artistic licen[cs]e", r"perlfoundation\.org/artistic", ("1.0", "2.0", "")),
-    "lppl": ("lppl|latex project", r"latex project public licen[cs]e|\blppl\b", None, ("1.0", "1.1", "1.2", "1.3", "")),
-    "ms-pl": ("microsoft", r"microsoft public licen[cs]e", None, ("",)),
-    "ms-rl": ("microsoft", r"microsoft reciprocal licen[cs]e", None, ("",)),
-    "isc": ("isc", r"\bisc licen[cs]e", None, ("",)),
-    "zlib": ("zlib", r"zlib(?:/libpng)? licen[cs]e", None, ("",)),
-    "bsl": ("boost", r"boost software licen[cs]e", r"boost\.org/license", ("1.0", "")),
-    "busl": ("business source", r"business source licen[cs]e", None, ("1.1", "")),
-    "unlicense": ("unlicense", r"\bthe unlicense\b|\bunlicensed? into the public", r"unlicense\.org", ("",)),
-    "wtfpl": ("wtfpl", r"\bwtfpl\b", None, ("2", "")),
-    "cc0": ("cc0", r"\bcc0\b", None, ("1.0", "")),
-    "cc-by": ("cc by|cc-by|creative commons", r"creative commons attribution(?! ?-?(?:non|share|no))(?: licen[cs]e)?|\bcc[ -]by\b(?![ -](?:nc|sa|nd))", r"creativecommons\.org/licenses/by/", ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
-    "cc-by-sa": ("cc by|cc-by|creative commons", r"creative commons attribution[ -]share[ -]?alike|\bcc[ -]by[ -]sa\b", r"creativecommons\.org/licenses/by-sa/", ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
-    "cc-by-nd": ("cc by|cc-by|creative commons", r"creative commons attribution[ -]no[ -]?deriv[a-z]*|\bcc[ -]by[ -]nd\b", r"creativecommons\.org/licenses/by-nd/", ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
-    "cc-by-nc": ("cc by|cc-by|creative commons", r"creative commons attribution[ -]non[ -]?commercial(?![ -](?:share|no))|\bcc[ -]by[ -]nc\b(?![ -](?:sa|nd))", r"creativecommons\.org/licenses/by-nc/", ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
-    "cc-by-nc-sa": ("cc by|cc-by|creative commons", r"creative commons attribution[ -]non[ -]?commercial[ -]share[ -]?alike|\bcc[ -]by[ -]nc[ -]sa\b", r"creativecommons\.org/licenses/by-nc-sa/", ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
-    "cc-by-nc-nd": ("cc by|cc-by|creative commons", r"creative commons attribution[ -]non[ -]?commercial[ -]no[ -]?deriv[a-z]*|\bcc[ -]by[ -]nc[ -]nd\b", r"creativecommons\.org/licenses/by-nc-nd/", ("1.0", "2.0", "2.5", "3.0", "4.0", "")),
-    "odbl": ("odbl|open database", r"open database licen[cs]e|\bodbl\b", r"opendatacommons\.org/licenses/odbl", ("1.0", "")),
-    "odc-by": ("odc-by|open data commons", r"open data commons attribution|\bodc-by\b", None, ("1.0", "")),
-    "pddl": ("pddl|public domain ded", r"public domain dedication and licen[cs]e|\bpddl\b", None, ("1.0", "")),
-    "ofl": ("ofl|open font", r"sil open font licen[cs]e|\bofl\b", r"scripts\.sil\.org/ofl", ("1.0", "1.1", "")),
-    "ogl": ("open government", r"open government licen[cs]e", None, ("1.0", "2.0", "3.0", "")),
-    "openrail": ("rail", r"open ?rail(?:-m)? licen[cs]e|\bopenrail\b", None, ("",)),
-    "psf": ("python", r"python software foundation licen[cs]e", None, ("2", "")),
-    "php": ("php", r"\bphp licen[cs]e", None, ("3.0", "3.01", "")),
-    "w3c": ("w3c", r"w3c software (?:notice and )?licen[cs]e", None, ("",)),
-    "postgresql": ("postgresql", r"postgresql licen[cs]e", None, ("",)),
-    "openssl": ("openssl", r"openssl licen[cs]e", None, ("",)),
-    "vim": ("vim", r"\bvim licen[cs]e", None, ("",)),
-    "ncsa": ("ncsa", r"university of illinois/ncsa open source licen[cs]e|\bncsa licen[cs]e", None, ("",)),
-    "ecl": ("educational", r"educational community licen[cs]e", None, ("1.0", "2.0", "")),
-    "sspl": ("sspl|server side", r"server side public licen[cs]e|\bsspl\b", None, ("1", "")),
-    "elastic": ("elastic", r"elastic licen[cs]e", None, ("2.0", "")),
-    "upl": ("universal", r"universal permissive licen[cs]e", None, ("1.0", "")),
-    "beerware": ("beer", r"beer-?ware licen[cs]e", None, ("42", "")),
-    "public-domain": ("public domain", r"(?:in|into|to) the public domain|public domain dedication", None, ("",)),
-    "proprietary": ("reserved", r"all rights reserved", None, ("",)),
-    "copyright": ("copyright", r"copyright (?:\(c\) |© )?(?:19|20)\d\d", None, ("",)),
-    "unknown-license": ("licen", r"\b(?:licen[cs]ed|released|distributed|available) under\b", None, ("",)),
-}
-#: What may stand before a license's name.
-GRANT = r"\b(?:licen[cs]ed|released|distributed|available) under (?:the terms of )?(?:the )?"
-#: Families whose detections give way to any named license that contains them.
-GENERIC = ("bsd", "copyright", "proprietary", "unknown-license")
-#: Strings one of which every detection's line contains, the prefilter of whole documents; the short ones as words of their own.
-GATE = ("licen", "copyright", "spdx", "creative commons", "cc by", "cc-by", "public domain", "reserved", "mit no attribution", "open data commons", "perlfoundation", "openrail")
-SHORT = ("gpl", "gfdl", "mpl", "epl", "cddl", "lppl", "bsd", "mit-0", "odbl", "odc-by", "pddl", "ofl", "wtfpl", "cc0", "sspl", "eupl")
-SHORT_WORD = r"\b(?:[al]?gpl|gfdl|mpl|epl|cddl|lppl|0?bsd|mit-0|odbl|odc-by|pddl|ofl|wtfpl|cc0|sspl|eupl)"
+#: One of these is in every text that a rule or base phrase fits: somewhere, or of SHORT as SHORT_WORD has it.
+GATE = ("licen", "copyright", "spdx", "permission", "permitted", "redistribut", "reserved", "software", "misrepresented", "endorse", "advertising", "unencumbered", "proprietary", "unauthorized", "openrail", "wtfpl", "unlicense")
+SHORT = ("gpl", "gfdl", "mpl", "epl", "bsd", "mit", "apache", "cc", "cddl", "eupl", "lppl", "cecill", "odbl", "public", "commons", "invariant", "linking", "nasa", "rail", "beer", "eric", "terms", "eclipse.org", "sil.org", "gnu.org", "mulan", "perl", "ruby")
+SHORT_WORD = (r"\b(?:[al]?gpl|gfdl|mpl|epl|0?bsd|apache|cc0|cc[\s-]+by|cddl|eupl|lppl|cecill|odbl|public\s+domain|creative\s+commons|creativecommons|data\s+commons|opendatacommons"
+              r"|invariant\s+sections|linking\s+this|mit-0|mit\s+no\s+attribution|nasa\s+open|open\s+rail|beer|eric\s+young|terms\s+and\s+conditions|eclipse\.org|gnu\.org|mulan|perl|ruby|scripts\.sil\.org)")
+#: What folding makes one space, and the quotation marks that it makes straight.
+FOLDED = r"[ \t\n\x0B\f\r]+(?:(?:[*#/;|>!%]{1,3}|--)[ \t\n\x0B\f\r]+)*"
+MARKS = ("\u201c\u201d\u201e\u00ab\u00bb\u2018\u2019\u0060\u00b4", "\"\"\"\"\"\u0027\u0027\u0027\u0027")
 
 
 def rules() -> list[Rule]:
-    """The signature table, in order of priority: tags, versioned names and addresses, bare names."""
-    found = []
-    for family, (keyword, name, address, versions) in FAMILIES.items():
-        for v in versions:
-            label = f"{family}-{v}" if v else family
-            number = v.removesuffix(".0").replace(".", r"\.") + (r"(?:\.0)?" if v.endswith(".0") or v and "." not in v else "")
-            tag = family.replace("-", "[- ]") + (f"[- ]?v?{number}" if v else "")
-            found.append(Rule(label, 3, 0.99, "spdx", rf"spdx-license-identifier: ?{tag}(?:-only|-or-later|\+)?(?![\w.-])"))
-            if v:
-                found.append(Rule(label, 2, 0.95, keyword, rf"(?:{GRANT})?(?:{name})[,;( ]*(?:(?:version|v\.?|ver\.?|-) ?)?{number}(?![\d]|\.\d)"))
-                if address:
-                    found.append(Rule(label, 2, 0.9, "http", rf"(?:{address})[-/v]*(?:license-)?{number}(?![\d]|\.\d)"))
-            else:
-                low = 0.3 if family in GENERIC else 0.8
-                found.append(Rule(label, 0 if family in GENERIC else 1, low, keyword, rf"(?:{name})"))
-                found.append(Rule(label, 0 if family in GENERIC else 1, 0.85, keyword, rf"{GRANT}(?:{name})"))
-                if address:
-                    found.append(Rule(label, 1, 0.85, "http", rf"(?:{address})"))
-    found += [Rule(label, 3, 1.0, words.split()[-1], r"(?<![^%s])%s(?![^%s])" % (SEP, f"[{SEP}]+".join(words.split()), SEP)) for words, label in BASE]
-    return sorted(found, key=lambda r: -r.priority)
+    """The signature table and the base phrases, in order of priority."""
+    base = [Rule(label, 4, 1.0, (words.split()[-1],), r"(?<![^%s])%s(?![^%s])" % (SEP, f"[{SEP}]+".join(words.split()), SEP)) for words, label in BASE]
+    return base + table()
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -141,69 +48,76 @@ def gate(text: Column) -> Column:
     return any_of(text, GATE) | (any_of(text, SHORT) & F.rlike(text, F.lit(SHORT_WORD)))
 
 
-def detections(line: Column, table: Column) -> Column:
-    """array<struct<start, stop, priority, label, confidence>>: every match of every rule whose keyword the line has."""
-
-    def one(r: Column) -> Column:
-        gaps = F.split(line, r["pattern"], -1)
-        hits = F.regexp_extract_all(line, r["pattern"], F.lit(0))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
+def detections(text: str) -> str:
+    """SQL of array<struct<start, back, low, label, confidence>>: every match of every rule that a keyword of its lets through.
 
-        def step(acc: Column, i: Column) -> Column:
-            at = acc["at"] + F.length(F.get(gaps, i))
-            stop = at + F.length(F.get(hits, i))
-            return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), stop.alias("stop")))).alias("out"))
-
-        spans = F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step, lambda acc: acc["out"])
-        return F.when(F.rlike(line, r["pattern"]), F.transform(spans, lambda s: F.struct(
-            s["start"].alias("start"), (-s["stop"]).alias("back"), (-r["priority"]).alias("low"), r["label"].alias("label"), r["confidence"].alias("confidence")))).otherwise(
-            F.array().cast("array<struct<start:int,back:int,low:int,label:string,confidence:double>>"))
-
-    return F.flatten(F.transform(F.filter(table, lambda r: F.exists(r["keywords"], lambda k: F.contains(line, k))), one))
+    text: the name of the folded text. Patterns are literals, compiled once; rules with the same
+    keywords are behind one test for them. A match's place is what split() leaves before it.
+    """
+    behind: dict[tuple[str, ...], list[Rule]] = {}
+    for r in rules():
+        behind.setdefault(r.keywords, []).append(r)
+    groups = []
+    for keywords, some in behind.items():
+        one = ", ".join(
+            f"if({text} rlike r'{r.pattern}', named_struct('label', '{r.label}', 'low', {-r.priority}, 'confidence', {r.confidence}D, 'gaps', split({text}, r'{r.pattern}', -1), "
+            f"'hits', regexp_extract_all({text}, r'{r.pattern}', 0)), null)" for r in some)
+        groups.append(f"if({' or '.join(f"contains({text}, '{k}')" for k in keywords)}, array({one}), null)")
+    spans = """aggregate(sequence(0, size(r.hits) - 1), named_struct('at', 0, 'out', cast(array() as array<struct<start:int,back:int,low:int,label:string,confidence:double>>)),
+        (a, i) -> named_struct('at', a.at + length(get(r.gaps, i)) + length(get(r.hits, i)), 'out', array_append(a.out, named_struct(
+            'start', a.at + length(get(r.gaps, i)), 'back', -(a.at + length(get(r.gaps, i)) + length(get(r.hits, i))), 'low', r.low, 'label', r.label, 'confidence', r.confidence))), a -> a.out)"""
+    fits = f"filter(flatten(filter(array({', '.join(groups)}), g -> g is not null)), r -> r is not null)"
+    return f"flatten(transform({fits}, r -> {spans}))"
 
 
 def surviving(found: Column) -> Column:
-    """array<struct<label, confidence>> of the detections that no detection of a higher priority contains.
+    """array<struct<label, confidence>> of the detections that aren't suppressed.
 
-    Sorted by start, longest and highest first, one pass keeps the furthest stop seen per
-    priority: a detection lies within an earlier one exactly if that one's stop reaches its own.
+    A detection goes if a longer or equal interval of a higher priority, or a longer one of its
+    own, contains it. Sorted by start, longest and highest first, one pass keeps the furthest stop
+    seen of each priority and where the first such detection starts: what contains a detection
+    comes before it.
     """
-    none = F.lit(-1)
     kept = "array<struct<label:string,confidence:double>>"
-    start = F.struct(*[none.alias(f"p{k}") for k in (1, 2, 3)], F.array().cast(kept).alias("out"))
+    levels = range(5)
+    start = F.struct(*[F.lit(-1).alias(f"p{k}") for k in levels], *[F.lit(-1).alias(f"s{k}") for k in levels], F.array().cast(kept).alias("out"))
 
     def step(acc: Column, d: Column) -> Column:
         stop, priority = -d["back"], -d["low"]
-        above = F.greatest(*[F.when(priority < k, acc[f"p{k}"]).otherwise(none) for k in (1, 2, 3)], none)
-        out = F.when(above >= stop, acc["out"]).otherwise(F.array_union(acc["out"], F.array(F.struct(d["label"].alias("label"), d["confidence"].alias("confidence")))))
-        return F.struct(*[F.when(priority == k, F.greatest(acc[f"p{k}"], stop)).otherwise(acc[f"p{k}"]).alias(f"p{k}") for k in (1, 2, 3)], out.alias("out"))
+        over = F.lit(False)
+        for k in levels:
+            over = over | ((priority < k) & (acc[f"p{k}"] >= stop))
+            over = over | ((priority == k) & ((acc[f"p{k}"] > stop) | ((acc[f"p{k}"] == stop) & (acc[f"s{k}"] < d["start"]))))
+        out = F.when(over, acc["out"]).otherwise(F.array_union(acc["out"], F.array(F.struct(d["label"].alias("label"), d["confidence"].alias("confidence")))))
+        further = [(priority == k) & (stop > acc[f"p{k}"]) for k in levels]
+        return F.struct(*[F.when(further[k], stop).otherwise(acc[f"p{k}"]).alias(f"p{k}") for k in levels],
+                        *[F.when(further[k], d["start"]).otherwise(acc[f"s{k}"]).alias(f"s{k}") for k in levels], out.alias("out"))
 
     return F.aggregate(F.array_sort(found), start, step, lambda acc: acc["out"])
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the struct column `licenses` to docs, whose other columns stay as they are.
+def scan(docs: DataFrame, text: str = "text", column: str = "licenses") -> DataFrame:
+    """Add the struct `column` to docs; other columns stay, one of that name is replaced.
 
     licenses: n_words, n_base, first_word, last_word, base_labels, labels, score, found (the
     surviving (label, confidence) pairs). Words and base places follow the contract of op6. The
-    signature rules look at each distinct line that has a license word; a detection lies within
-    one line. Score: the highest confidence of what was found, 1 for a base place, else 0.
+    signature rules see the whole text, folded so that line ends and comment marks don't matter;
+    only texts with a license word are folded. Score: the highest confidence of what was found,
+    1 for a base place, else 0.
 
     Null or empty text: no words, no places, labels "" and score 0. Repeated rows are scanned each
-    for itself; very long texts are read whole.
+    for itself; very long texts are read whole. An empty table gives an empty result.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    body = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
     phrase = "|".join(f"[{SEP}]++".join(words.split()) for words, _ in BASE)
     phrase = rf"(?<![^{SEP}])(?i:{phrase})(?![^{SEP}])"
-    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r._asdict().items()], F.array(*map(F.lit, r.keyword.split("|"))).alias("keywords")) for r in rules()])
     hits = lambda low: F.when(any_of(low, ("license", "cc")), F.regexp_extract_all(body, F.lit(phrase), F.lit(0))).otherwise(F.array().cast("array<string>"))
     hit_label = lambda h: F.when(F.lower(h).like("u%"), F.lit("mit")).when(F.lower(h).like("a%"), F.lit("apache-2")).otherwise(F.lit("cc-by-nc"))
     hit_words = lambda h: F.when(F.lower(h).like("c%"), F.lit(3)).otherwise(F.lit(4))
     words = lambda t: count_runs(t, f"^{SEP}", SEP)
-    by_line = lambda low: F.transform(
-        F.array_distinct(F.filter(F.split(low, "\n"), gate)), lambda x: surviving(detections(x, table)))
     none = F.array().cast("array<struct<label:string,confidence:double>>")
-    found = lambda low: F.when(gate(low), F.array_distinct(F.flatten(by_line(low)))).otherwise(none)
+    folded = bind(F.lower(body), lambda low: F.when(gate(low), F.regexp_replace(F.translate(low, *MARKS), F.lit(FOLDED), F.lit(" "))))
+    every = F.expr(f"if(folded is null, null, element_at(transform(array(folded), t -> {detections('t')}), 1))")
 
     def result(h: Column, f: Column, n: Column) -> Column:
         some = F.size(h) > 0
@@ -218,7 +132,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             F.when(some, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform(f, lambda x: x["confidence"])), F.lit(0.0))).alias("score"),
             f.alias("found"))
 
-    return docs.withColumn("licenses", bind(F.lower(body), lambda low: bind(hits(low), lambda h: bind(found(low), lambda f: bind(words(body), lambda n: result(h, f, n))))))
+    x = docs.select(F.struct("*").alias("row")).withColumn("folded", folded).withColumn("found", F.coalesce(surviving(every), none))
+    found = bind(F.lower(body), lambda low: bind(hits(low), lambda h: bind(F.col("found"), lambda f: bind(words(body), lambda n: result(h, f, n)))))
+    return x.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() != column.lower()], found.alias(column))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,13 +193,58 @@ def test_license_words_and_places(messy):
         assert {x for _, x in hits} <= set(got.labels.split(",")) and 0 <= got.score <= 1
 
 
+def license_labels(text):
+    """Brute force: every match of every rule in the folded text, and what contains what."""
+    low = (text or "").lower().translate(str.maketrans(*licenses.MARKS))
+    low, found = re.sub(licenses.FOLDED, " ", low), []
+    for r in licenses.rules():
+        found += [(m.start(), m.end(), r) for m in re.finditer(r.pattern, low)]
+    stay = [(a, b, r) for a, b, r in found if not any(
+        x <= a and b <= y and (q.priority > r.priority or q.priority == r.priority and y - x > b - a) for x, y, q in found)]
+    return ",".join(sorted({r.label for _, _, r in stay})), max((r.confidence for _, _, r in stay), default=0.0)
+
+
+@pytest.mark.filterwarnings("ignore")
+def test_license_labels_are_brute_force(messy, spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    texts, samples = [t for t, in messy.select("text").collect()], []
+
+    for r in licenses.table():
+        @settings(max_examples=2, database=None, derandomize=True, suppress_health_check=list(HealthCheck))
+        @given(st.from_regex(r.pattern, fullmatch=True, alphabet=st.characters(min_codepoint=32, max_codepoint=126)))
+        def draw(t):
+            samples.append(t)
+
+        draw()
+    rnd = random.Random(9)
+    texts += samples
+    for _ in range(200):
+        texts.append(rnd.choice(["\n * ", " ", "\r\n# ", "\n// "]).join(w for t in rnd.sample(samples, 3) for w in t.split(" ")))
+    texts += [" ".join(x.upper() if rnd.random() < 0.3 else x for x in t.split(" ")) for t in rnd.sample(samples, 100)]
+    rows = licenses.scan(spark.createDataFrame([(t, 1) for t in texts], "text string, folded int")).collect()
+    hit = 0
+    for r in rows:
+        labels, score = license_labels(r.text)
+        if r.licenses.base_labels:  # the contract's phrases stay, whatever contains them
+            labels, score = ",".join(filter(None, [labels, r.licenses.base_labels])), 1.0
+        assert (set(r.licenses.labels.split(",")), r.licenses.score) == (set(labels.split(",")), score), r.text
+        hit += bool(labels)
+    assert hit > 700
+
+
 def test_license_rules(spark):
-    assert len(licenses.rules()) > 300
+    assert len(licenses.table()) > 400 and len({r.pattern for r in licenses.table()}) > 400
     cases = {
         "SPDX-License-Identifier: Apache-2.0": "apache-2", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3-clause", "released under the GNU GPL v3": "gpl-3",
         "Licensed under the GNU Lesser General Public License, version 2.1": "lgpl-2.1", "see https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa-4.0",
-        "Mozilla Public License 2.0": "mpl-2.0", "BSD license": "bsd", "Licensed under CC BY-NC 4.0.": "cc-by-nc,cc-by-nc-4.0", "we mitigate the apache attack": "", "dedicated to the public domain": "public-domain"}
-    found = {r.text: r.licenses.labels for r in licenses.scan(spark.createDataFrame([(t,) for t in cases], "text string")).collect()}
+        "Mozilla Public License 2.0": "mpl-2.0", "BSD license": "bsd", "Licensed under CC BY-NC 4.0.": "cc-by-nc,cc-by-nc-4.0", "we mitigate the apache attack": "", "dedicated to the public domain": "public-domain",
+        "released under the terms of the GNU General Public\nLicense version 3": "gpl-3", "# Licensed under the\n# GNU General\n#   Public License, version 3": "gpl-3", "Creative  Commons\n\nAttribution-ShareAlike": "cc-by-sa",
+        "www.apache.org/licenses/LICENSE-2.0": "apache-2", "opensource.org/licenses/mit": "mit",
+        "Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software and associated documentation files": "mit",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met": "bsd"}
+    found = {r.text: r.licenses.labels for r in licenses.scan(spark.createDataFrame([(t, "x") for t in cases], "text string, licenses string")).collect()}
     assert found == cases
 
 
@@ -364,6 +409,24 @@ def test_toxicity_learns_and_weighs_context(spark):
     assert found["abuse"] > 0.9 and found["typo"] > 0.3 and found["plain"] < 0.3 and found["empty"] == found["none"] < 0.3 and found["quote"] < found["abuse"]
 
 
+def test_quotations():
+    spans = lambda t: [t[a:b] for a, b in toxicity.quotations(t)]
+    long = "far " * 200
+    assert spans(f"he “{long}fool” no «a» „b“ or „c” then") == [f"“{long}fool”", "«a»", "„b“", "„c”"]
+    assert spans(f'say "{long}x" and "y\nz "w" “open “in” «never') == [f'"{long}x"', '"w"', "“in”"]
+    assert spans("«a “b” c» ” » «") == ["«a “b” c»"] and spans("") == []
+
+
+def test_toxicity_counts_copies_once(spark):
+    rnd = random.Random(4)
+    text = lambda: " ".join(f"w{rnd.randint(0, 200)}" for _ in range(30))
+    rows = [(i, text(), 0) for i in range(200)] + [(500 + i, "you blackguard " + text(), 1) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    once = toxicity.fit(docs, labels)
+    assert once.terms and toxicity.fit(docs.union(docs.where("doc_id < 100")).union(docs.where("doc_id > 520")), labels.union(labels)) == once
+
+
 def test_toxicity_without_labels(messy, spark):
     model = toxicity.fit(messy, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     scored = toxicity.score(messy, model)
