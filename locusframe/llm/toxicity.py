@@ -12,28 +12,56 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import documents, staged
 
 WORD = re.compile(r"[^\W_]+")
-#: Text between quotation marks of one kind, at most this many characters apart.
-QUOTED = re.compile(r"“[^”]{0,400}”|«[^»]{0,400}»|„[^“”]{0,400}[“”]|\"[^\"\n]{0,400}\"")
+#: Quotation marks, what closes each; straight ones pair within a line.
+MARK = re.compile("[“”«»„\"\n]")
+CLOSES = {"”": "“„", "“": "„", "»": "«"}
 #: Words that report what somebody said, and words that speak to somebody; fixed lists.
 REPORT = frozenset("said says say wrote writes called calls quote quoted quotes word term dit écrit appelle sagte sagt schrieb nannte dijo dice escribió llamó".split())
 ADDRESS = frozenset("you your yours youre u du dich dir dein deine ihr tu te toi vous votre ton usted tú ti tus".split())
 #: Words to each side of a term that make its context window.
 WINDOW = 5
-#: How much a quoted or reported term counts.
+#: How much a quoted or reported term counts where the labelled texts don't tell.
 QUOTE_WEIGHT = 0.3
 THRESHOLD = 0.3
-FEATURES = 5
+FEATURES = 7
 #: Lengths of stems that fit() tries.
 STEMS = range(4, 11)
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """The outermost spans between quotation marks that close each other, however far apart, in one pass."""
+    found: list[tuple[int, int]] = []
+    opened: list[tuple[str, int]] = []
+    straight = -1
+    for m in MARK.finditer(text):
+        c, at = m[0], m.start()
+        if c == "\n":
+            straight = -1
+        elif c == '"':
+            if straight >= 0:
+                found.append((straight, at + 1))
+            straight = -1 if straight >= 0 else at
+        else:
+            k = next((k for k in range(len(opened) - 1, -1, -1) if opened[k][0] in CLOSES.get(c, "")), -1)
+            if k >= 0 and (c != "“" or k == len(opened) - 1):
+                found.append((opened[k][1], at + 1))
+                del opened[k:]
+            elif c in "“«„":
+                opened.append((c, at))
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(found):
+        if not out or b > out[-1][1]:
+            out.append((a, b))
+    return out
+
+
 def edits(term: str) -> int:
     """Misspellings that a term bears: none in short words, one from 5 letters, two from 11."""
     return 0 if len(term) < 5 else 1 if len(term) < 11 else 2
@@ -160,12 +188,18 @@ class Scorer:
         return not some.isdisjoint(self.hit)
 
     def features(self, text: str) -> tuple[float, ...]:
-        """Exact and misspelled terms (log of 1 + weighed counts), their share of the words, share spoken to somebody, whether several."""
+        """What the terms of a text and their windows tell.
+
+        Log of 1 + the count of terms and of misspelled ones that are the text's own, then of those
+        that it quotes or reports; share of terms among the words, share of them spoken to
+        somebody, whether there are several, quoted ones weighed down.
+        """
         low = text.lower()
         if not self.trie.children[0] or not self.hits(words := WORD.findall(low)):
             return (0.0,) * FEATURES
-        marks = [m.span() for m in QUOTED.finditer(low)]
-        exact = near = spoken = 0.0
+        marks = quotations(low)
+        count = [[0, 0], [0, 0]]
+        spoken = 0.0
         at = 0
         for i, m in enumerate(WORD.finditer(low)):
             kind = self.hit.get(m[0])
@@ -175,11 +209,12 @@ class Scorer:
                 at += 1
             around = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
             quoted = at < len(marks) and marks[at][0] <= m.start() or not REPORT.isdisjoint(around)
-            weight = QUOTE_WEIGHT if quoted else 1.0
-            exact, near = exact + weight * kind, near + weight * (not kind)
-            spoken += weight * (not ADDRESS.isdisjoint(around))
-        share = (exact + near) / len(words)
-        return math.log1p(exact), math.log1p(near), min(1.0, 20 * share), spoken / (exact + near), float(exact + near >= 2)
+            count[quoted][not kind] += 1
+            spoken += (QUOTE_WEIGHT if quoted else 1.0) * (not ADDRESS.isdisjoint(around))
+        (exact, near), quoted_terms = count[0], count[1]
+        weight = exact + near + QUOTE_WEIGHT * sum(quoted_terms)
+        return (math.log1p(exact), math.log1p(near), math.log1p(quoted_terms[0]), math.log1p(quoted_terms[1]),
+                min(1.0, 20 * weight / len(words)), spoken / weight, float(weight >= 2))
 
     def score(self, text: str) -> float:
         z = float(np.dot(self.weights[:-1], self.features(text)) + self.weights[-1])
@@ -223,33 +258,34 @@ def contexts(text: str) -> dict[str, int]:
     return found
 
 
-def evidence(n: int, mask: int) -> int:
-    """How many texts speak for a token: copies of one text share its neighbours and count once."""
-    bits = mask.bit_count()
-    return n if bits > 56 else min(n, round(-63 * math.log(1 - bits / 63)))
-
-
-def lexicon(in_bad: dict[str, int], in_good: dict[str, int], base: float, tried: int, most: int) -> tuple[str, ...]:
-    """Terms by likelihood ratio, which has to beat the number of tokens tried; a stem needs three words of its own."""
-    gain, words_of = {}, Counter(w[:k] + "*" for w in in_bad if w[-1] != "*" for k in STEMS if k < len(w))
-    for w, c1 in in_bad.items():
-        if not c1:
-            continue
-        c0 = in_good.get(w, 0)
-        p = c1 / (c1 + c0)
-        stem = w[-1] == "*"
-        if p <= max(base, 0.9 if stem else 0.5) or len(w) < 3 or stem and words_of[w] < 3:
-            continue
-        ratio = c1 * math.log(p / base) + (c0 * math.log((1 - p) / (1 - base)) if c0 else 0.0)
-        if ratio >= math.log(tried + 1) + 3:
-            gain[w] = ratio
-    stems: list[str] = []
+def evidence(n: Column, mask: Column) -> Column:
+    """How many texts speak for a token: texts that have it between the same neighbours count once."""
+    bits = F.bit_count(mask)
+    return F.when(bits > 56, n).otherwise(F.least(n, F.round(-63 * F.log(1 - bits / 63)))).cast("long")
+
+
+def lexicon(bad: DataFrame, good: DataFrame, base: float) -> tuple[str, ...]:
+    """Terms by likelihood ratio, which has to beat the number of tokens tried; a stem needs three words of its own.
+
+    bad and good: rows (word, n[, mask]). All tokens are weighed in Spark; the terms alone come to
+    the driver.
+    """
+    bad = staged(bad.select("word", evidence(F.col("n"), F.col("mask")).alias("c1")), "bad")
+    bar = math.log(bad.count() + 1) + 3
+    stem = F.col("word").endswith("*")
+    stems = F.filter(F.transform(F.sequence(F.lit(STEMS[0]), F.lit(STEMS[-1])), lambda k: F.when(k < F.length("word"), F.concat(F.col("word").substr(F.lit(1), k), F.lit("*")))), lambda x: x.isNotNull())
+    own = bad.where(~stem).select(F.explode(stems).alias("_s")).groupBy("_s").agg(F.count("*").alias("own"))
+    p = F.col("c1") / (F.col("c1") + F.col("c0"))
+    ratio = F.col("c1") * F.log(p / base) + F.when(F.col("c0") > 0, F.col("c0") * F.log((1 - p) / (1 - base))).otherwise(0.0)
+    x = bad.where(F.length("word") >= 3).where("c1 > 0").join(good.select(F.col("word").alias("_w"), F.col("n").alias("c0")), F.col("word") == F.col("_w"), "left").withColumn("c0", F.coalesce("c0", F.lit(0)))
+    x = x.where((p > F.greatest(F.lit(base), F.when(stem, 0.9).otherwise(0.5))) & (ratio >= bar)).join(own, F.col("word") == F.col("_s"), "left")
+    gain = {r["word"]: r["ratio"] for r in x.where(~stem | (F.col("own") >= 3)).select("word", ratio.alias("ratio")).collect()}
+    chosen: list[str] = []
     for w in sorted((w for w in gain if w[-1] == "*"), key=lambda w: (-gain[w], w)):
-        if not any(w[:-1].startswith(x[:-1]) or x[:-1].startswith(w[:-1]) for x in stems):
-            stems.append(w)
-    heads = {x[:-1] for x in stems}
-    whole = [w for w in gain if w[-1] != "*" and not any(w[:k] in heads for k in STEMS if k < len(w))]
-    return tuple(sorted(sorted([*stems, *whole], key=lambda w: (-gain[w], w))[:most]))
+        if not any(w[:-1].startswith(x[:-1]) or x[:-1].startswith(w[:-1]) for x in chosen):
+            chosen.append(w)
+    heads = {x[:-1] for x in chosen}
+    return tuple(sorted([*chosen, *(w for w in gain if w[-1] != "*" and not any(w[:k] in heads for k in STEMS if k < len(w)))]))
 
 
 def counted(sample: DataFrame, words_of) -> DataFrame:
@@ -272,31 +308,26 @@ def counted(sample: DataFrame, words_of) -> DataFrame:
     return found.groupBy("word").agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, terms: int = 1_000, candidates: int = 200_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> Model:
     """Learn terms, harmless neighbours and weights from labelled rows outside the held-out fold.
 
-    At most `bound` labelled documents are read, those whose doc_id hashes lowest; at most
-    `candidates` of their most common words in toxic texts are weighed and `terms` kept, so what
-    reaches the driver is bounded. A word is a term if most texts that have it are toxic and the
-    likelihood ratio of that beats the number of words tried. Only texts and labels are used.
-    Rows without a label, or a corpus with one class or none, give a model of the base rate.
+    At most `bound` labelled doc_ids are read, those that hash lowest; of these, every token that
+    passes the test of lexicon() is a term: most texts that have it are toxic and the likelihood
+    ratio of that beats the number of tokens tried. Equal texts count once, toxic if one is, so
+    repeated rows change nothing. Only texts and labels are used, texts whole. Rows without a
+    label, or a corpus with one class or none, give a model of the base rate.
     """
     train = labels.where("toxic is not null and doc_id is not null and crc32(cast(doc_id as string)) % 4 != 2")
     train = train.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    sample = staged(docs.select("doc_id", F.col("text")).join(F.broadcast(train), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic")), "labelled")
+    sample = docs.select("doc_id", F.col("text")).join(F.broadcast(train), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int").alias("toxic"))
+    sample = staged(sample.groupBy("text").agg(F.max("toxic").alias("toxic")), "labelled")
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
         return Model((), (), (0.0,) * FEATURES + (4.0 if n1 else -4.0,))
     base = n1 / (n1 + n0)
     bad, good = sample.where("toxic = 1"), sample.where("toxic = 0")
-    every = counted(bad, contexts).persist()
-    tried = every.count()
-    in_bad = {r["word"]: evidence(r["n"], r["mask"]) for r in every.where("n >= 3").orderBy(F.desc("n"), "word").limit(candidates).collect()}
-    every.unpersist()
-    wanted = frozenset(in_bad)
-    in_good = {r["word"]: r["n"] for r in counted(good, lambda t: wanted & tokens(t)).collect()}
-    found = lexicon(in_bad, in_good, base, tried, terms)
+    found = lexicon(counted(bad, contexts), counted(good, tokens), base)
     blank = Model(found, (), (0.0,) * (FEATURES + 1))
 
     def neighbours(t: str) -> set[str]:
@@ -304,7 +335,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, terms: int = 1_
         s.hits(list(words))
         return {w for w in words if s.hit.get(w) is False}
 
-    near = counted(good, neighbours).orderBy(F.desc("n"), "word").limit(candidates).collect()
+    near = counted(good, neighbours).select("word").collect()
     model = Model(found, tuple(sorted(r["word"] for r in near)), blank.weights)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,6 +350,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000, terms: int = 1_
     w[:FEATURES] = np.maximum(w[:FEATURES], 0)  # a term never speaks for a text
     if not x[:, 1].any():  # no misspelling among the labelled texts: they count like half a term
         w[1] = w[0] / 2
+    for own, quoted in ((0, 2), (1, 3)):  # a quoted term never speaks more than one of the text's own
+        w[quoted] = min(w[own], w[quoted]) if x[:, quoted].sum() >= 5 else QUOTE_WEIGHT * w[own]
     return Model(model.terms, model.harmless, tuple(float(v) for v in w))
 
 
