@@ -150,11 +150,11 @@ def linked_components(met: DataFrame, extras: list[str], allowed: Column, verify
     pair = (F.least("set_id", "other").alias("a"), F.greatest("set_id", "other").alias("b"))
     other = [F.col("o.set_id").alias("other"), *[F.col(f"o.{x}").alias(f"other_{x}") for x in extras]]
     drawn = lambda first: F.min(F.struct(first.alias("r"), F.xxhash64("token", "set_id").alias("h"), "set_id", *extras)).alias("o")
-    spark, tried, links, member = met.sparkSession, None, None, None
+    spark, tried, member = met.sparkSession, None, None
 
     def compare(pairs: DataFrame) -> bool:
         """Verify the pairs not tried before; whether components changed."""
-        nonlocal tried, links, member
+        nonlocal tried, member
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -165,10 +165,13 @@ def linked_components(met: DataFrame, extras: list[str], allowed: Column, verify
         more = staged(verify(pairs), "links")
         if more.isEmpty():
             return False
-        links = more if links is None else links.union(more)
-        member = components(links)
+        member = joined(more)
         return True
 
+    def joined(more: DataFrame) -> DataFrame:
+        """Components with further links: those so far are stars already."""
+        return components(more if member is None else more.union(member.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+
     def unsettled(rows: DataFrame, count: int) -> DataFrame:
         """rows of the tokens whose items are in several components, with component, minor (whether not in the largest), o (one of that) and minors (how many aren't)."""
         if member is None:
@@ -199,7 +202,7 @@ def linked_components(met: DataFrame, extras: list[str], allowed: Column, verify
     if not rest.isEmpty():
         more = staged(blocks(rest), "links")
         if not more.isEmpty():
-            member = components(more if links is None else links.union(more))
+            member = joined(more)
     if member is None:
         return spark.createDataFrame([], "id bigint, component bigint")
     return member
