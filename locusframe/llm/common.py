@@ -59,12 +59,13 @@ def count_runs(text: Column, word: str, other: str) -> Column:
     return (F.length(packed) - F.length(F.regexp_extract(t, f"^[{other}]*+", 0))).cast("long")
 
 
-def beside_group(df: DataFrame, key: list[str], aggregates: list[Column], rows: int) -> DataFrame:
+def beside_group(df: DataFrame, key: list[str], aggregates: list[Column], rows: int, spread: str | None = None) -> DataFrame:
     """df with aggregates of each row's group beside it; no task holds the rows of a large group.
 
     rows: at least the number of rows of df. Of groups with more than a thousandth of that there
-    are fewer than a thousand: their aggregates are broadcast, and their rows spread out. Those of
-    the others meet their rows in a shuffle. Null keys are groups of their own.
+    are fewer than a thousand: their aggregates are broadcast, and their rows spread out, by the
+    column spread or all of them. Those of the others meet their rows in a shuffle. Null keys are
+    groups of their own.
     """
     grouped = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.count("*").alias("_n"), *aggregates)
     added = grouped.columns[len(key) + 1 :]
@@ -72,7 +73,7 @@ def beside_group(df: DataFrame, key: list[str], aggregates: list[Column], rows:
     same = lambda x: reduce(lambda c, i: c & F.col(key[i]).eqNullSafe(F.col(f"{x}{i}")), range(len(key)), F.lit(True))
     large = grouped.where(F.col("_n") * 1000 > rows).select(*[F.col(f"_k{i}").alias(f"_l{i}") for i in range(len(key))], F.col("_a").alias("_large"))
     out = df.join(F.broadcast(large), same("_l"), "left")
-    out = out.withColumn("_at", F.when(F.col("_large").isNull(), F.xxhash64(*key)).otherwise(F.xxhash64(*df.columns)))
+    out = out.withColumn("_at", F.when(F.col("_large").isNull(), F.xxhash64(*key)).otherwise(F.xxhash64(*([spread] if spread else df.columns))))
     out = out.join(grouped, (F.col("_at") == F.col("_h")) & same("_k"), "left")
     return out.select(*df.columns, *[F.when(F.col("_large").isNull(), F.col(f"_a.{c}")).otherwise(F.col(f"_large.{c}")).alias(c) for c in added])
 

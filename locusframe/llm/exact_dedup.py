@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, staged
+from .common import SPACE, beside_group, documents, staged
 
 #: Bytes of the first digit, and how much wider each further digit is.
 FIRST, GROWTH = 64, 16
-#: 64-bit words of the map that marks first digits with more than one row: 2 MB, whatever the input.
-WORDS = 1 << 18
+#: 64-bit words of the map that marks first digits with more than one row: 4 for each, a power of two up to this (8 MB).
+WORDS = 1 << 20
 
 
 def normalised(text: Column) -> Column:
@@ -27,12 +27,12 @@ def exact_groups(docs: DataFrame, text: str = "text", with_rows: bool = False) -
     are left. Counts per digit are summed before they are shuffled, so a group of a third of all
     rows arrives as one row per task, and the joins back can be split by adaptive execution. Only
     rows whose first digit others may share are shuffled with their text: a broadcast bit map of
-    fixed size marks such digits (it may mark too many, never too few). Equality compares bytes;
-    the digest is only returned.
+    at most WORDS words marks such digits (it may mark too many, never too few; beyond some 30
+    million shared digits it marks most). Equality compares bytes; the digest is only returned.
 
     Of equal texts the row with the smallest doc_id is kept, a null doc_id counting as largest; of
     repeated rows with that doc_id exactly one. Null text counts as empty, and all empty texts
-    are one group. An empty table gives an empty result. With with_rows, `row` is the struct of
+    are one group. Very long texts are split like others. An empty table gives an empty result. With with_rows, `row` is the struct of
     all columns of docs, whatever their names.
     """
     row = F.struct("*") if with_rows else F.struct("doc_id", F.col(text).alias(text))
@@ -40,7 +40,8 @@ def exact_groups(docs: DataFrame, text: str = "text", with_rows: bool = False) -
     d = docs.select(row.alias("row")).select("row", norm.alias("norm")).select(
         "row", F.octet_length("norm").alias("n"), F.substring(F.col("norm").cast("binary"), 1, FIRST).alias("head"), F.sha2("norm", 256).alias("sha"))
     several = staged(d.groupBy("n", "head").agg(F.count("*").alias("members")).where("members > 1"), "digit0")
-    word, bit = F.expr(f"xxhash64(n, head) >>> 6 & {WORDS - 1}"), F.expr("shiftleft(1L, cast(xxhash64(n, head) & 63 as int))")
+    words = min(WORDS, max(1 << 10, 1 << (4 * several.count()).bit_length()))
+    word, bit = F.expr(f"xxhash64(n, head) >>> 6 & {words - 1}"), F.expr("shiftleft(1L, cast(xxhash64(n, head) & 63 as int))")
     marks = several.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("marks"))
     d = d.withColumn("word", word).join(F.broadcast(marks), "word", "left").withColumn("maybe", F.coalesce(F.col("marks").bitwiseAND(bit) != 0, F.lit(False)))
     slim = F.col("row") if with_rows else F.when(F.col("maybe"), F.col("row")).otherwise(
@@ -52,18 +53,18 @@ def exact_groups(docs: DataFrame, text: str = "text", with_rows: bool = False) -
                         kept.alias("kept"), F.col("sha").alias("text_sha256"), *(["row"] if with_rows else []))
 
     parts = [result(first.where("not maybe"), F.col("row.doc_id"), F.lit(1), F.lit(True))]
-    some = first.where("maybe").join(several, ["n", "head"], "left").select(
-        "rid", "row", "sha", "n", F.coalesce("members", F.lit(1)).alias("members"), F.struct("n", "head", F.lit(-1).cast("long").alias("lead")).alias("grp"))
+    some = first.where("maybe")
+    some = beside_group(some.drop("maybe"), ["n", "head"], [F.count("*").alias("members")], some.count(), "rid").select(
+        "rid", "row", "sha", "n", "members", F.struct("n", "head", F.lit(-1).cast("long").alias("lead")).alias("grp"))
     some = staged(some, "digit")
     parts.append(result(some.where("members = 1"), F.col("row.doc_id"), F.lit(1), F.lit(True)))
     alive, seen, width = some.where("members > 1"), FIRST, FIRST
-    while not alive.isEmpty():
+    while count := alive.count():
         width *= GROWTH
         x = alive.select("rid", "row", "sha", "n", "grp", F.substring(norm.cast("binary"), seen + 1, width).alias("digit"))
         seen += width
         lead = F.min(F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "rid")).alias("best")
-        found = x.groupBy("grp", "digit").agg(F.count("*").alias("members"), lead)
-        x = staged(x.join(found, ["grp", "digit"]).select(
+        x = staged(beside_group(x, ["grp", "digit"], [F.count("*").alias("members"), lead], count, "rid").select(
             "rid", "row", "sha", "n", "members", "best",
             F.struct("n", F.lit(b"").alias("head"), F.col("best.rid").alias("lead")).alias("grp")), "digit")
         over = (F.col("members") == 1) | (F.col("n") <= seen)

@@ -17,8 +17,8 @@ from .repeats import SHARE, bucket_of, cut, keys_of, opened, packed
 from .shingles import PIECE, U, _stream, mixed, powers
 
 KIND, PLACE_IN = (U(x) for x in _stream(21, 2))
-#: Keys of lines that go out together, and words of the bit map that marks wanted lines.
-HELD, WORDS = 3_000_000, 1 << 18
+#: Keys of lines that go out together, and most words of the bit map that marks wanted lines (8 MB): 4 for each, a power of two.
+HELD, WORDS = 3_000_000, 1 << 20
 #: Classes of code points that are counted to rule pairs out.
 LETTERS = 12
 
@@ -250,7 +250,7 @@ def shared_keys(docs: DataFrame, text: str, shortest: int, edits: int, parts: in
 
 
 def line_texts(docs: DataFrame, text: str, shortest: int, wanted: DataFrame) -> DataFrame:
-    """Rows (id, body) of the wanted ids; a bit map of fixed size keeps most other lines out of the shuffle."""
+    """Rows (id, body) of the wanted ids; a bit map of bounded size keeps most other lines out of the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -259,7 +259,8 @@ def line_texts(docs: DataFrame, text: str, shortest: int, wanted: DataFrame) ->
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["id", "body"])
 
     every = docs.select(F.col(text).alias("text")).mapInArrow(run, "id bigint, body binary")
-    word, bit = F.expr(f"id >>> 6 & {WORDS - 1}"), F.expr("shiftleft(1L, cast(id & 63 as int))")
+    words = min(WORDS, max(1 << 10, 1 << (4 * wanted.count()).bit_length()))
+    word, bit = F.expr(f"id >>> 6 & {words - 1}"), F.expr("shiftleft(1L, cast(id & 63 as int))")
     marks = wanted.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("marks"))
     some = every.withColumn("word", word).join(F.broadcast(marks), "word").where(F.col("marks").bitwiseAND(bit) != 0).select("id", "body")
     once = some.groupBy("id").agg(F.first("body").alias("body"))
