@@ -61,19 +61,20 @@ def sainte_lague(items: DataFrame, group: list[str], order: str, votes: str, sea
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, block: int = 16, seed: int = 17,
-        shards: int = 64, shard_rows: int = 1024, payload: str | None = None) -> DataFrame:
+        shard_rows: int = 1024, payload: str | None = None) -> DataFrame:
     """Rows (doc_id, source, size, source_size, target, taken[, payload]) of docs(doc_id, text, source).
 
     Size is the number of `[^\\x20\\x09-\\x0D]+` runs of the text. Each source's words are dealt to
-    at most `shards` shards by a seeded hash of doc_id, lined up in hash order and cut into blocks
+    shards of about `shard_rows` documents by a seeded hash of doc_id, lined up in hash order and cut into blocks
     of `block` words. Sainte-Lague gives every source a number of blocks near its target and every
     shard its part; a shard passes all its blocks quota // blocks times and takes the rest once
     more at seeded, evenly spaced places. A document's `taken` is the words of those blocks that
     are its own, repeats counted: at most cap times its size.
 
     Null text or no word: size 0, taken 0. Null source is a source of its own, ordered last. A
-    null doc_id hashes as the word null. Repeated rows are mixed one by one. An empty table gives an empty table. Other
-    columns of docs are not read, whatever their names, except the struct named by payload.
+    null doc_id hashes as the word null. Repeated rows are mixed one by one. Very long texts are
+    counted whole. An empty table gives an empty table. The sources, and the shards of one source,
+    are lined up in one task each: rows of a few numbers. Other columns of docs are not read, whatever their names, except the struct named by payload.
     """
     keep = [payload] if payload else []
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
@@ -82,7 +83,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, blo
     src = water_fill(src, weights, cap).withColumn("one", F.lit(1))
     src = sainte_lague(src, ["one"], "pos", "target", F.floor(F.col("all_size") / block + 0.5))
     src = src.select(F.col("source").alias("s_source"), "pos", "source_size", "target", F.col("quota").alias("blocks"),
-                     F.least(F.lit(shards), F.ceil(F.col("n") / shard_rows)).alias("n_shards"))
+                     F.ceil(F.col("n") / shard_rows).alias("n_shards"))
     src = staged(src, "sources")
     shard = F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % F.col("n_shards")
     d = d.join(src, F.col("source").eqNullSafe(F.col("s_source"))).withColumn("shard", shard)
@@ -174,7 +175,7 @@ s4 as (select *, min(case when (all_size - before) * w <= most * w_rest then rk
 s5 as (select s4.*, case when s4.rk < s4.frk then cast(s4.most as double) else cast(s4.w * (s4.all_size - f.before) as double) / cast(f.w_rest as double) end as target
   from s4, (select before, w_rest from s4 where rk = frk) f),
 {_lague("s5", "one", "pos", "target", "floor(all_size / 16 + 0.5)", "s6")},
-s7 as (select source as s_source, pos, source_size, target, quota as blocks, least(64, cast(ceil(n / 1024) as bigint)) as n_shards from s6),
+s7 as (select source as s_source, pos, source_size, target, quota as blocks, cast(ceil(n / 1024) as bigint) as n_shards from s6),
 d1 as (select d.*, s7.*, cast('0x' || substr(key, 1, 8) as bigint) % n_shards as shard from d join s7 on d.source is not distinct from s7.s_source),
 p0 as (select pos, shard, cast(sum(size) as bigint) as shard_size, min(blocks) as blocks from d1 group by pos, shard),
 {_lague("p0", "pos", "shard", "shard_size", "blocks", "p1")},
