@@ -56,11 +56,11 @@ def shingle_ids(docs: DataFrame, text: str, width: int) -> DataFrame:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
                 n, ids = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
-                for i, s in shingle_sets(texts_of(b.column(text)), width):
+                for i, s in shingle_sets(texts_of(b.column("text")), width):
                     n[i], ids[i] = len(s), set_digest(s)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(ids)], names=["doc_id", "n_shingles", "set_id"])
 
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles bigint, set_id bigint")
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles bigint, set_id bigint")
 
 
 def postings(docs: DataFrame, text: str, width: int, ranges: int) -> DataFrame:

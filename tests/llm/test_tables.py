@@ -42,6 +42,18 @@ def test_chats_round_trip(spark):
     assert chat.format_chats(table.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("n,dim", [(600, 24), (3000, 24)])
+def test_recall_at_two_sizes(spark, n, dim):
+    rng = np.random.default_rng(n)
+    centers = rng.normal(size=(n // 6, dim))
+    x = centers[rng.integers(0, len(centers), n)] + rng.normal(size=(n, dim)) * rng.uniform(0, 0.25, (n, 1))
+    e = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (e @ e.T >= 0.98).sum() - n
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    found = embeddings.near_vectors(table).agg({"n_links": "sum"}).first()[0]
+    assert 0.9 * links <= found <= links
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(3)
     centers = rng.normal(size=(30, 16))
@@ -54,18 +66,31 @@ def test_near_vectors(spark):
     found = {r.vec_id: r for r in embeddings.near_vectors(table).collect()}
     assert len(found) == len(rows) + len(odd)
     links = hit = 0
+    least = {}
     for label in range(3):
         own = [r for r in rows if r[2] == label]
         e = np.array([r[1] for r in own])
         e /= np.linalg.norm(e, axis=1, keepdims=True)
-        n = (e @ e.T >= 0.98).sum(axis=1) - 1
+        linked = e @ e.T >= 0.98
+        n = linked.sum(axis=1) - 1
         links += n.sum()
         hit += sum(found[r[0]].n_links for r in own)
         assert all(found[r[0]].n_links <= k for r, k in zip(own, n))
+        reach = linked.copy()
+        while (further := reach @ reach).sum() > reach.sum():
+            reach = further
+        least |= {own[i][0]: own[int(np.flatnonzero(reach[i])[0])][0] for i in range(len(own))}
     assert hit >= 0.9 * links > 0
+    # every link between components found here is enough for the same components
+    assert sum(found[i].component_id == c for i, c in least.items()) >= 0.98 * len(least)
+    assert all(found[i].component_id >= c for i, c in least.items()) and all(r.kept == (r.component_id == i) for i, r in found.items())
     for i, *_ in odd:
         assert (found[i].n_links, found[i].component_id, found[i].kept) == (0, i, True)
     assert found[900].n_links >= 6 and found[900].component_id == 0 and not found[900].kept
+    other = [(2000, [1.0, 0.0, 0.0], 1), (2001, [1.0, 0.001, 0.0], 1), (None, [1.0, 0.0, 0.0], 1), (None, [0.0, 1.0], 5), (None, [0.0, 1.0], 5)]
+    short = embeddings.near_vectors(table.select("vec_id", "embedding", "label").union(spark.createDataFrame(other, "vec_id long, embedding array<double>, label int")), tile=64)
+    short = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in short.collect() if r.vec_id is None or r.vec_id >= 2000]
+    assert sorted(short, key=str) == sorted([(2000, 2, 2000, True), (2001, 2, 2000, False), (None, 2, 2000, False), (None, 1, None, True), (None, 1, None, True)], key=str)
     assert embeddings.near_vectors(table.where("false")).collect() == []
 
 
@@ -84,11 +109,33 @@ def test_pipeline(spark, messy, tmp_path):
         if name == "exact dedup":
             assert after.count() == len({re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "") for r in before.collect()})
         if name == "n-gram Jaccard join":
-            # doc_id 3 stands for two texts, whose components so share their name
-            assert jaccard.jaccard_components(after).where("n_shingles > 0 and doc_id != 3").groupBy("component_id").count().where("count > 1").count() == 0
+            sets = []
+            for r in after.collect():
+                w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+                sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+            assert not any(100 * len(x & y) >= 80 * len(x | y) for i, x in enumerate(sets) for y in sets[:i] if x)
+            every = {r.component_id for r in jaccard.jaccard_components(before).where("n_shingles > 0").collect()}
+            assert every == {r.component_id for r in jaccard.jaccard_components(after).where("n_shingles > 0").collect()}
         before = after
     coder = bpe.coder(bpe.tokenizer_path())
     rows = pipeline.run(spark, str(tmp_path)).collect()
     assert rows and all(r.n_tokens == len(r.ids) for r in rows)
     texts = {t for (t,) in docs.select("text").collect()}
     assert all(coder.decode(r.ids) in texts for r in rows)
+
+
+def test_pipeline_of_empty_tables(spark, messy, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    messy.where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_near_copies_leave_one_row_each(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    say = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, say), (7, say + " x"), (None, say + " y"), (None, say), (None, say), (3, "a b"), (3, "a b"), (3, "A b"), (None, "c d"), (None, "c d"), (4, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, times_ int")
+    kept = sorted((r.text or "", str(r.doc_id)) for r in pipeline.drop_near_copies(spark, docs, "").collect())
+    assert [x for x in kept if not x[0]] == [("", "4")] * 3
+    assert [(t.lower()[:3], i) for t, i in kept if t] in ([("a b", "3"), ("c d", "None"), ("w0 ", "7")],)
