@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,11 +35,13 @@ def cluster(df: DataFrame, gap: int = 0) -> DataFrame:
     return islands(df, ["chrom"], gap).withColumnRenamed("island", "cluster")
 
 
-def range_join(a: DataFrame, b: DataFrame, width: int, how: str = "inner", on: list[str] | None = None) -> DataFrame:
+def range_join(a: DataFrame, b: DataFrame, width: int, how: str = "inner", on: list[str] | None = None, key: list[str] | None = None) -> DataFrame:
     """Pairs of overlapping intervals, b's columns named b_*; how: inner, left_semi or left_anti.
 
     Both sides are dealt to buckets of `width`, of which the planner makes an equi-join; a pair is
     kept in the first bucket that both have, so nothing is compared twice or made distinct.
+    key: for the semi and the anti join, columns that tell a's intervals apart (all, if not
+    given); rows alike in them stay or go together.
     """
     on = on or ["chrom"]
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
@@ -50,9 +54,9 @@ def range_join(a: DataFrame, b: DataFrame, width: int, how: str = "inner", on: l
     if how == "inner":
         first = F.col("_bucket") == F.greatest(F.floor(F.col("start") / width), F.floor(F.col("b_start") / width))
         return left.join(right, meets & first).drop("_bucket", "_b_bucket")
-    rows = a.withColumn("_row", F.monotonically_increasing_id())
-    hit = rows.withColumn("_bucket", spread("start", "stop")).join(right, meets, "left_semi").select("_row").distinct()
-    return rows.join(hit, "_row", how).drop("_row")
+    key = key or a.columns
+    hit = left.join(right, meets, "left_semi").select(*[F.col(c).alias(f"_hit_{c}") for c in key]).distinct()
+    return a.join(hit, reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"_hit_{c}")), key, F.lit(True)), how)
 
 
 def intersect(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
@@ -80,11 +84,26 @@ def complement(df: DataFrame, genome: DataFrame) -> DataFrame:
     return gap.where("_s < _e").select("chrom", F.col("_s").alias("start"), F.col("_e").alias("stop"))
 
 
-def closest(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
+def carried(rows: DataFrame, at: str, mark: str, name: str, width: int, back: bool) -> DataFrame:
+    """Add name: the last mark that isn't null at or before each row's place on its chromosome (back), else the next one.
+
+    Seen within bins of `width`, in parallel along a chromosome; from bin to bin only one mark each is carried on.
+    """
+    key = F.col(at) if back else -F.col(at)
+    rows = rows.withColumn("_key", key).withColumn("_bin", F.floor(key / width))
+    line = W.partitionBy("chrom", "_bin").orderBy("_key", F.col(mark).isNull()).rowsBetween(W.unboundedPreceding, 0)
+    bins = rows.where(F.col(mark).isNotNull()).groupBy("chrom", "_bin").agg(F.max_by(mark, "_key").alias("_last"))
+    every = rows.select("chrom", "_bin").distinct().join(bins, ["chrom", "_bin"], "left")
+    before = every.select(F.col("chrom").alias("_c"), F.col("_bin").alias("_b"), F.last("_last", True).over(W.partitionBy("chrom").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)).alias("_carry"))
+    rows = rows.withColumn("_own", F.last(mark, True).over(line)).join(before, (F.col("chrom") == F.col("_c")) & (F.col("_bin") == F.col("_b")))
+    return rows.withColumn(name, F.coalesce("_own", "_carry")).drop("_key", "_bin", "_c", "_b", "_own", "_carry")
+
+
+def closest(a: DataFrame, b: DataFrame, width: int, bin_width: int = 1 << 16) -> DataFrame:
     """Rows of a(id, chrom, start, stop) with b_start, b_stop and distance of the nearest interval of b, 0 if they overlap.
 
     Ties go to the lowest (start, stop). Overlaps come from the range join; else the nearest on
-    each side is the last or next one seen in a running window, without any join.
+    each side is the last or next one carried along the chromosome, without any join of the two.
     """
     over = range_join(a, b, width).groupBy("id").agg(F.min(F.struct("b_start", "b_stop")).alias("o"))
     ends = b.groupBy("chrom", F.col("stop").alias("at")).agg(F.min("start").alias("other"))
@@ -93,9 +112,7 @@ def closest(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
     def seen(marks: DataFrame, at: str, name: str, start: Column, stop: Column, back: bool) -> DataFrame:
         rows = a.select("chrom", F.col(at).alias("at"), "id", F.lit(None).cast("struct<b_start:bigint,b_stop:bigint>").alias("m"))
         rows = rows.union(marks.select("chrom", "at", F.lit(None).cast(dict(a.dtypes)["id"]), F.struct(start.cast("long").alias("b_start"), stop.cast("long").alias("b_stop"))))
-        key = F.col("at") if back else -F.col("at")
-        line = W.partitionBy("chrom").orderBy(key, F.col("m").isNull()).rowsBetween(W.unboundedPreceding, 0)
-        return rows.withColumn(name, F.last("m", True).over(line)).where("m is null").select("id", name)
+        return carried(rows, "at", "m", name, bin_width, back).where("m is null").select("id", name)
 
     before = seen(ends, "start", "l", F.col("other"), F.col("at"), True)
     after = seen(starts, "stop", "r", F.col("at"), F.col("other"), False)
@@ -114,12 +131,18 @@ def windows(genome: DataFrame, size: int, step: int | None = None) -> DataFrame:
         "chrom", "start", F.least(F.col("start") + size, F.col("size")).alias("stop"))
 
 
-def coverage(df: DataFrame) -> DataFrame:
-    """Runs (chrom, start, stop, depth) of constant depth > 0: a running sum of starts less stops."""
+def coverage(df: DataFrame, bin_width: int = 1 << 16) -> DataFrame:
+    """Runs (chrom, start, stop, depth) of constant depth > 0: a running sum of starts less stops.
+
+    Summed within bins, in parallel along a chromosome, from what the bins before leave open.
+    """
     marks = df.select("chrom", F.col("start").alias("at"), F.lit(1).alias("d")).union(df.select("chrom", F.col("stop"), F.lit(-1)))
-    marks = marks.groupBy("chrom", "at").agg(F.sum("d").alias("d")).where("d != 0")
-    line = W.partitionBy("chrom").orderBy("at")
-    runs = marks.select("chrom", F.col("at").alias("start"), F.lead("at").over(line).alias("stop"), F.sum("d").over(line.rowsBetween(W.unboundedPreceding, 0)).alias("depth"))
+    marks = marks.groupBy("chrom", "at").agg(F.sum("d").alias("d")).where("d != 0").withColumn("bin", F.floor(F.col("at") / bin_width))
+    bins = W.partitionBy("chrom").orderBy("bin")
+    total = marks.groupBy("chrom", "bin").agg(F.sum("d").alias("t"), F.min("at").alias("first"))
+    total = total.select("chrom", "bin", (F.sum("t").over(bins) - F.col("t")).alias("open"), F.lead("first").over(bins).alias("next"))
+    line = W.partitionBy("chrom", "bin").orderBy("at")
+    runs = marks.join(total, ["chrom", "bin"]).select("chrom", F.col("at").alias("start"), F.coalesce(F.lead("at").over(line), "next").alias("stop"), (F.col("open") + F.sum("d").over(line.rowsBetween(W.unboundedPreceding, 0))).alias("depth"))
     return runs.where("depth > 0 and stop is not null")
 
 

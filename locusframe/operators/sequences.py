@@ -33,10 +33,6 @@ def kmer_codes(seq: str, k: int) -> np.ndarray:
     return code[bad[k:] == bad[:-k]]
 
 
-def spell(code: int, k: int) -> str:
-    return "".join("ACGT"[code >> 2 * (k - 1 - i) & 3] for i in range(k))
-
-
 def by_batch(df: DataFrame, columns: list[str], schema: str, rows: Callable[[list[tuple]], dict[str, list]]) -> DataFrame:
     """mapInArrow over Python tuples of the columns, 512 rows at a time."""
 
@@ -59,7 +55,7 @@ def kmer_counts(df: DataFrame, k: int) -> DataFrame:
     def rows(batch: list[tuple]) -> dict[str, list]:
         codes = [kmer_codes(s or "", k) for (s,) in batch]
         values, n = np.unique(np.concatenate(codes), return_counts=True)
-        return {"kmer": [spell(int(v), k) for v in values], "n": n.tolist()}
+        return {"kmer": spelled(values, k), "n": n.tolist()}
 
     return by_batch(df, ["seq"], "kmer string, n bigint", rows).groupBy("kmer").agg(F.sum("n").alias("n"))
 
@@ -81,22 +77,40 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def spelled(codes: np.ndarray, k: int) -> list[str]:
+    letters = np.frombuffer(b"ACGT", np.uint8)[codes[:, None] >> 2 * np.arange(k - 1, -1, -1) & 3]
+    return [x.decode("ascii") for x in np.ascontiguousarray(letters).view(f"S{k}").ravel().tolist()]
+
+
 def minimizers(df: DataFrame, k: int, window: int) -> DataFrame:
-    """Rows (id, at, kmer): the least-hash canonical k-mer, leftmost of ties, of every window of consecutive k-mers, once each."""
+    """Rows (id, at, kmer): the least-hash canonical k-mer, leftmost of ties, of every window of consecutive k-mers, once each.
+
+    at is its place in the sequence. A letter other than A, C, G and T ends a run of k-mers; windows lie within one run.
+    """
 
     def rows(batch: list[tuple]) -> dict[str, list]:
-        out: dict[str, list] = {"id": [], "at": [], "kmer": []}
-        for i, s in batch:
-            c = canonical(kmer_codes(s or "", k), k)
-            if len(c) < window:
-                continue
-            h = mix64(c)
-            at = np.lib.stride_tricks.sliding_window_view(h, window).argmin(axis=1) + np.arange(len(h) - window + 1)
-            at = np.unique(at)
-            out["id"] += [i] * len(at)
-            out["at"] += at.tolist()
-            out["kmer"] += [spell(int(x), k) for x in c[at]]
-        return out
+        text = "N".join((s or "") for _, s in batch)
+        x = CODE[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
+        none: dict[str, list] = {"id": [], "at": [], "kmer": []}
+        if len(x) < k + window - 1:
+            return none
+        code = np.zeros(len(x) - k + 1, np.int64)
+        for i in range(k):
+            code = code << 2 | x[i : len(x) - k + 1 + i] & 3
+        bad = np.concatenate([[0], np.cumsum(x > 3)])
+        whole = bad[k + window - 1 :] == bad[: len(bad) - (k + window - 1)]  # windows without a break
+        code = canonical(code, k)
+        h = mix64(code)
+        best, span = np.arange(len(h)), 1
+        while span < window:  # least of 2 * span, then of the window, from two that overlap
+            step = min(span, window - span)
+            left, right = best[: len(best) - step], best[step:]
+            best = np.where(h[right] < h[left], right, left)
+            span += step
+        at = np.unique(best[whole])
+        begin = np.cumsum([0] + [len(s or "") + 1 for _, s in batch])
+        of = np.searchsorted(begin, at, side="right") - 1
+        return {"id": [batch[i][0] for i in of.tolist()], "at": (at - begin[of]).tolist(), "kmer": spelled(code[at], k)}
 
     return by_batch(df, ["id", "seq"], f"id {dict(df.dtypes)['id']}, at bigint, kmer string", rows)
 

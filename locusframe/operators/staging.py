@@ -5,25 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the folder in spark.checkpoint.dir, which all executors share, and read it back.
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder in spark.checkpoint.dir, which the driver and all executors share; it goes when the application ends.
 
-    Rounds of an iteration then cost the same instead of redoing the ones before. Where the setting
-    is absent (tests in local mode) a temporary folder is set. The files go when the application ends.
+    Where the setting is absent a temporary folder is set, but only under a local master, where one
+    machine does all; elsewhere that is an error.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="locusframe-")
         spark.conf.set("spark.checkpoint.dir", base)
-    folder = f"{base.rstrip('/')}/rounds-{spark.sparkContext.applicationId}"
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path = f"{base.rstrip('/')}/{name}-{spark.sparkContext.applicationId}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(target)
     fs.deleteOnExit(target)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    return f"{path}/{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to a folder() and read it back: rounds of an iteration then cost the same instead of redoing the ones before."""
+    path = folder(df.sparkSession, "rounds")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -53,9 +53,9 @@ def merge_intervals_stranded_gap(spark, d):
     return I.merge(rows(spark, d), ["chrom", "strand"], 5, 256)
 
 
-@query(f"with {IV}, u as (select chrom, start, stop from a union all select chrom, start, stop from b where stop - start > 25), {merged('u', 'm')} select chrom, start, stop, n from m")
+@query(f"with {IV}, u as (select chrom, start, stop from a union all select chrom, start, stop from b), {merged('u', 'm')} select chrom, start, stop, n from m")
 def interval_union(spark, d):
-    return I.merge(even(spark, d).select("chrom", "start", "stop").union(odd(spark, d).where("stop - start > 25").select("chrom", "start", "stop")), bin_width=256)
+    return I.merge(even(spark, d).select("chrom", "start", "stop").union(odd(spark, d).select("chrom", "start", "stop")), bin_width=256)
 
 
 @query(f"with {IV} select a.chrom, greatest(a.start, b.start) as start, least(a.stop, b.stop) as stop, count(*) as n from a join b on a.chrom = b.chrom and a.start < b.stop and b.start < a.stop group by 1, 2, 3")
@@ -71,12 +71,12 @@ def range_join_counts(spark, d):
 
 @query(f"with {IV} select id, chrom, start, stop from a where exists (select 1 from b where a.chrom = b.chrom and a.start < b.stop and b.start < a.stop)")
 def interval_overlap_semi(spark, d):
-    return I.range_join(even(spark, d), odd(spark, d), WIDTH, "left_semi").select("id", "chrom", "start", "stop")
+    return I.range_join(even(spark, d), odd(spark, d), WIDTH, "left_semi", key=["id"]).select("id", "chrom", "start", "stop")
 
 
 @query(f"with {IV} select id, chrom, start, stop from a where not exists (select 1 from b where a.chrom = b.chrom and a.start < b.stop and b.start < a.stop)")
 def interval_overlap_anti(spark, d):
-    return I.range_join(even(spark, d), odd(spark, d), WIDTH, "left_anti").select("id", "chrom", "start", "stop")
+    return I.range_join(even(spark, d), odd(spark, d), WIDTH, "left_anti", key=["id"]).select("id", "chrom", "start", "stop")
 
 
 @query(f"""with {IV}, {merged('b', 'm')}, c as (select a.id, a.start as s, a.stop as e, m.start as bs, m.stop as be from a join m on a.chrom = m.chrom and a.start < m.stop and m.start < a.stop),
@@ -95,7 +95,7 @@ def interval_complement(spark, d):
 @query(f"""with {IV}, p as (select a.id, b.start as bs, b.stop as be, case when a.start < b.stop and b.start < a.stop then 0 when b.stop <= a.start then a.start - b.stop else b.start - a.stop end as dist from a join b on a.chrom = b.chrom),
 r as (select *, row_number() over (partition by id order by dist, bs, be) as k from p) select id, bs as b_start, be as b_stop, dist as distance from r where k = 1""")
 def interval_closest(spark, d):
-    return I.closest(even(spark, d), odd(spark, d), WIDTH).where("distance is not null").select("id", "b_start", "b_stop", "distance")
+    return I.closest(even(spark, d), odd(spark, d), WIDTH, 256).where("distance is not null").select("id", "b_start", "b_stop", "distance")
 
 
 @query(f"with {IV}, s as (select chrom, size, unnest(range(0, size, 500)) as start from genome) select chrom, start, least(start + 500, size) as stop from s")
@@ -114,7 +114,7 @@ c as (select chrom, pos as start, lead(pos) over (partition by chrom order by po
 
 @query(f"with {IV}, {COVER} select chrom, start, stop, depth from c where depth > 0 and stop is not null")
 def coverage_runs(spark, d):
-    return I.coverage(rows(spark, d))
+    return I.coverage(rows(spark, d), 256)
 
 
 @query(f"""with {IV}, {COVER}, t as (select chrom, sum(stop - start) as covered, sum((stop - start) * depth) as bases, max(depth) as md from c where depth > 0 and stop is not null group by 1)

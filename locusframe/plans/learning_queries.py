@@ -53,9 +53,9 @@ def tree_predictions(spark, d):
     return L.classify(x.where("fold != 0"), x.where("fold = 0"), "tree", maxDepth=4)
 
 
-@query(f"""with {EMB}, recursive_ as (select a.id, b.id as other from e a join e b on a.label = b.label and a.id <> b.id where sqrt({SQ}) <= 1.15), k as (select id from recursive_ group by 1 having count(*) + 1 >= 4),
- i as (select r.id, r.other from recursive_ r where r.id in (select id from k) and r.other in (select id from k)), l0 as (select id, id as c from k), {', '.join(f"l{n} as (select l.id, least(l.c, coalesce(min(m.c), l.c)) as c from l{n - 1} l left join i on i.id = l.id left join l{n - 1} m on m.id = i.other group by l.id, l.c)" for n in range(1, 7))},
- b as (select r.id, min(l6.c) as c from recursive_ r join l6 on l6.id = r.other where r.id not in (select id from k) group by 1), f as (select id, c from l6 union all select id, c from b) select e.id, coalesce(c, -1) as cluster from e left join f on f.id = e.id""")
+@query(f"""with recursive {EMB}, near as (select a.id, b.id as other from e a join e b on a.label = b.label and a.id <> b.id where sqrt({SQ}) <= 1.15), k as (select id from near group by 1 having count(*) + 1 >= 4),
+ i as (select r.id, r.other from near r where r.id in (select id from k) and r.other in (select id from k)), l as (select id, id as c from k union select i.other, l.c from l join i on i.id = l.id), l1 as (select id, min(c) as c from l group by 1),
+ b as (select r.id, min(l1.c) as c from near r join l1 on l1.id = r.other where r.id not in (select id from k) group by 1), f as (select id, c from l1 union all select id, c from b) select e.id, coalesce(c, -1) as cluster from e left join f on f.id = e.id""")
 def dbscan_clusters(spark, d):
     x = vectors(spark, d)
     return L.dbscan(V.pairwise(x, ["euclidean"], ["label"]).withColumnRenamed("euclidean", "distance"), x, 1.15, 4)
@@ -70,11 +70,8 @@ def community_labels(spark, d):
     return L.label_propagation(edges(spark, d), 4)
 
 
-def _core(k: int) -> str:
-    return f"s{k} as (select node from n{k - 1} group by 1 having count(*) >= 8), n{k} as (select node, other from n{k - 1} where node in (select node from s{k}) and other in (select node from s{k}))"
-
-
-@query(f"with {EDGES}, {NEXT.replace('n as (', 'n0 as (').replace('from n group', 'from n0 group')}, {', '.join(map(_core, range(1, 7)))} select node, count(*) as degree from n6 group by 1")
+@query(f"""with recursive {EDGES}, {NEXT}, r as (select node, other, 0 as i from n union all select node, other, i + 1 from (select *, count(*) over (partition by node) as d, count(*) over (partition by other) as e, 0 as one from r) x
+ where d >= 8 and e >= 8 and (select min(c) from (select count(*) as c from r group by node)) < 8), f as (select node, count(*) as degree from r where i = (select max(i) from r) group by 1) select * from f where (select min(degree) from f) >= 8""")
 def core_nodes(spark, d):
     return L.k_core(edges(spark, d), 8)
 

@@ -127,13 +127,13 @@ def event_stream(spark, d):
 
 @query("select time_bucket(interval '6 hours', ts, timestamp '1970-01-01') as start, event_type, count(*) as n, round(sum(value), 4) as total, round(avg(value), 6) as mean from events group by 1, 2")
 def streaming_windows(spark, d):
-    x = X.run_to_table(X.tumbling(event_stream(spark, d), "ts", "6 hours", "1 day", ["event_type"], "value"))
+    x = X.run_to_table(X.tumbling(event_stream(spark, d), "ts", "6 hours", "1 day", ["event_type"], "value"), ["start", "event_type"])
     return x.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"), F.round("mean", 6).alias("mean"))
 
 
 @query("select time_bucket(interval '1 day', ts, timestamp '1970-01-01') as start, event_type, count(*) as n, round((2.0 + count(*)) / 1.5, 6) as posterior_mean from events group by 1, 2")
 def streaming_gamma_poisson(spark, d):
-    x = X.run_to_table(X.gamma_poisson(event_stream(spark, d), "ts", "1 day", "1 day", ["event_type"], 2.0, 0.5))
+    x = X.run_to_table(X.gamma_poisson(event_stream(spark, d), "ts", "1 day", "1 day", ["event_type"], 2.0, 0.5), ["start", "event_type"])
     return x.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("posterior_mean", 6).alias("posterior_mean"))
 
 

@@ -114,7 +114,7 @@ def page_rank(spark, d):
     return R(G.page_rank(edges(spark, d), 6), 9)
 
 
-@query(f"""with recursive {EDGES}, {NEXT}, b as (select cast(1 as bigint) as node, 0 as distance union select n.other, distance + 1 from b join n on n.node = b.node where distance < 4) select node, min(distance) as distance from b group by 1""")
+@query(f"""with recursive {EDGES}, {NEXT}, b as (select cast(1 as bigint) as node, 0 as distance union select n.other, distance + 1 from b join n on n.node = b.node where distance < (select count(*) from k)) select node, min(distance) as distance from b group by 1""")
 def breadth_first_search(spark, d):
     return G.bfs(edges(spark, d), 1)
 
@@ -122,7 +122,7 @@ def breadth_first_search(spark, d):
 EV = "g as (select distinct user_id as src, 1000 + cast(floor(value) as bigint) as dst from events)"
 
 
-@query(f"""with recursive {EV}, {NEXT}, b as (select node, node as c, 0 as i from k union select n.other, c, i + 1 from b join n on n.node = b.node where i < 4) select node, min(c) as component from b group by 1""")
+@query(f"""with recursive {EV}, {NEXT}, b as (select node, node as c from k union select n.other, c from b join n on n.node = b.node) select node, min(c) as component from b group by 1""")
 def connected_components(spark, d):
     x = table(spark, d, "events").select(F.col("user_id").alias("src"), (F.lit(1000) + F.floor("value")).cast("long").alias("dst")).distinct()
     return G.label_components(x)

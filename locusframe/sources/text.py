@@ -221,10 +221,17 @@ def write_bed(df: DataFrame, path: str) -> None:
     write_lines(df, [F.col(c) for c in ("chrom", "start", "stop", "name", "score", "strand")], path)
 
 
-def write_vcf(df: DataFrame, path: str) -> None:
-    """The eight fixed columns; info is a map. The header goes into a part of its own that sorts first."""
+def with_head(head: list[str], body: DataFrame, path: str) -> None:
+    """Write lines: the head is a part of its own that sorts first, so the parts in order of name are the file."""
+    body.sparkSession.createDataFrame([("\n".join(head),)], "value string").coalesce(1).union(body.select("value")).write.text(path)
+
+
+def write_vcf(df: DataFrame, path: str, head: list[str] | None = None) -> None:
+    """The header (## lines, if given, after the file format) and the eight fixed columns; info is a map."""
     info = F.nullif(F.array_join(F.transform(F.array_sort(F.map_keys("info")), lambda k: F.concat(k, F.coalesce(F.concat(F.lit("="), F.col("info")[k]), F.lit("")))), ";"), F.lit(""))
-    write_lines(df, [F.col("chrom"), F.col("position"), F.col("id"), F.col("ref"), F.array_join("alts", ","), F.col("quality"), F.col("filter"), info], path)
+    cells = [F.col("chrom"), F.col("position"), F.col("id"), F.col("ref"), F.array_join("alts", ","), F.col("quality"), F.col("filter"), info]
+    body = df.select(F.concat_ws("\t", *[F.coalesce(c.cast("string"), F.lit(".")) for c in cells]).alias("value"))
+    with_head(["##fileformat=VCFv4.3", *(head or []), "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO"], body, path)
 
 
 def write_fasta(df: DataFrame, path: str) -> None:

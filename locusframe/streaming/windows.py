@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a temporary one where that isn't set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="locusframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from locusframe.operators.staging import folder
 
 
 def tumbling(events: DataFrame, time: str, width: str, late: str, by: list[str], value: str) -> DataFrame:
@@ -30,19 +20,20 @@ def gamma_poisson(events: DataFrame, time: str, width: str, late: str, by: list[
     return x.groupBy(F.window(time, width).alias("w"), *by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), *by, "n", ((F.lit(shape) + F.col("n")) / (F.lit(rate) + 1)).alias("posterior_mean"))
 
 
-def run_to_table(stream: DataFrame) -> DataFrame:
-    """Run a streaming DataFrame over what its sources hold now, in complete mode, and give the result.
+def run_to_table(stream: DataFrame, by: list[str]) -> DataFrame:
+    """Run a streaming aggregate over what its sources hold now, in update mode, and give its last rows by the columns `by`.
 
-    The sink is idempotent: each batch replaces the folder of its number, so a retried batch leaves
-    one result.
+    State behind the watermark is dropped, and so are the rows that come later than that. The sink
+    is idempotent: each batch replaces the folder of its number, so a retried batch leaves one result.
     """
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    place = folder(spark, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{place}/out/batch={number}")
 
-    q = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start()
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
-    x = spark.read.parquet(f"{folder}/out")
-    return x.join(F.broadcast(x.agg(F.max("batch").alias("_b"))), F.col("batch") == F.col("_b"), "left_semi").drop("batch")
+    x = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{place}/out")
+    rest = [c for c in stream.columns if c not in by]
+    return x.groupBy(*by).agg(F.max_by(F.struct(*rest), "batch").alias("_row")).select(*[F.col(c) if c in by else F.col(f"_row.{c}").alias(c) for c in stream.columns])

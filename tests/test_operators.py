@@ -123,7 +123,7 @@ def test_sequences(spark):
     assert r.r == seq[::-1].translate(str.maketrans("ACGT", "TGCA")) and r.n == 4 and r.gc == pytest.approx(9 / 27)
     assert {r.id: r.protein for r in sequences.translate(df).collect()}[1] == "MKR*XMF*H"
     k = sequences.kmer_codes("ACGTT", 3)
-    assert [sequences.spell(int(x), 3) for x in sequences.canonical(k, 3)] == ["ACG", "ACG", "AAC"]
+    assert [x for x in sequences.spelled(sequences.canonical(k, 3), 3)] == ["ACG", "ACG", "AAC"]
     a, b = ([r.sketch for r in sequences.sketches(spark.createDataFrame([(1, s)], "id long, seq string"), 3, 8).collect()][0] for s in ("ACGTACGA", "ACGTACGA"))
     assert sequences.sketch_jaccard(a, b, 8) == 1.0
     reads = spark.createDataFrame([(1, "AACCGGTTAD", [2, 30, 30, 30, 30, 30, 30, 5, 30, 2]), (2, "AC", [1, 1])], "id long, seq string, qual array<int>")
