@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ordering import running
 from .stats import div
 
 FIELDS = {"QUAL": "quality", "TYPE": "type", "CHROM": "chrom", "FILTER": "filter", "POS": "position"}
@@ -145,6 +146,53 @@ def fst(df: DataFrame, locus: str = "locus", pop: str = "pop") -> DataFrame:
     return t.select("loci", "hs", "ht", F.greatest(F.lit(0.0), F.least(F.lit(1.0), div(F.col("ht") - F.col("hs"), F.col("ht")))).alias("fst"))
 
 
+def hudson_fst(df: DataFrame, locus: str, pop: str, gt: str, first, second) -> DataFrame:  # noqa: ANN001
+    """Hudson's Fst of two populations, the ratio of sums over loci: (num, den, fst). Genotypes are 0, 1 or 2; null is missing."""
+    n = lambda k: F.count(F.when(F.col(pop) == k, F.col(gt))).cast("double")
+    p = lambda k: F.avg(F.when(F.col(pop) == k, F.col(gt))) / 2
+    x = df.groupBy(locus).agg(n(first).alias("n1"), n(second).alias("n2"), p(first).alias("p1"), p(second).alias("p2")).where("n1 > 0 and n2 > 0")
+    a, b, m, k = F.col("p1"), F.col("p2"), 2 * F.col("n1"), 2 * F.col("n2")
+    x = x.select((F.pow(a - b, 2) - a * (1 - a) / (m - 1) - b * (1 - b) / (k - 1)).alias("num"), (a * (1 - b) + b * (1 - a)).alias("den"))
+    return x.agg(F.count("*").alias("loci"), F.sum("num").alias("num"), F.sum("den").alias("den")).withColumn("fst", div(F.col("num"), F.col("den")))
+
+
+def weir_cockerham(df: DataFrame, locus: str, pop: str, gt: str) -> DataFrame:
+    """Weir and Cockerham's theta per locus from variance components within individuals, among them and among populations: (a, b, c, theta)."""
+    s = df.where(F.col(gt).isNotNull()).groupBy(locus, pop).agg(F.count("*").cast("double").alias("n"), (F.avg(gt) / 2).alias("p"), F.avg((F.col(gt) == 1).cast("double")).alias("h"))
+    t = s.groupBy(locus).agg(F.count("*").alias("r"), F.sum("n").alias("sum"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.sum(F.col("n") * F.col("p")).alias("np"), F.sum(F.col("n") * F.col("h")).alias("nh"),
+                             F.sum(F.col("n") * F.col("p") * F.col("p")).alias("npp")).where("r > 1")
+    r, total = F.col("r"), F.col("sum")
+    mean, p, h = total / r, F.col("np") / total, F.col("nh") / total
+    nc = (total - F.col("squares") / total) / (r - 1)
+    s2 = (F.col("npp") - total * p * p) / ((r - 1) * mean)
+    inner = p * (1 - p) - (r - 1) / r * s2
+    x = t.select(locus, (mean / nc * (s2 - (inner - h / 4) / (mean - 1))).alias("a"), (mean / (mean - 1) * (inner - (2 * mean - 1) / (4 * mean) * h)).alias("b"), (h / 2).alias("c"))
+    return x.withColumn("theta", div(F.col("a"), F.col("a") + F.col("b") + F.col("c")))
+
+
+def normalise_variants(df: DataFrame) -> DataFrame:
+    """Variants (position, ref, alt, ...) trimmed to their shortest form: common last letters go first, then common first ones, one letter each stays."""
+    def shared(a: Column, b: Column) -> Column:
+        """How many first letters a and b share, leaving one of the shorter."""
+        n = F.least(F.length(a), F.length(b)) - 1
+        steps = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+        return F.when(n > 0, F.coalesce(F.array_min(F.filter(F.transform(steps, lambda i: F.when(a.substr(i, F.lit(1)) != b.substr(i, F.lit(1)), i - 1)), lambda i: i.isNotNull())), n)).otherwise(0)
+
+    tail = shared(F.reverse("ref"), F.reverse("alt"))
+    x = df.withColumn("_k", tail).withColumn("ref", F.expr("left(ref, length(ref) - _k)")).withColumn("alt", F.expr("left(alt, length(alt) - _k)")).drop("_k")
+    x = x.withColumn("_k", shared(F.col("ref"), F.col("alt")))
+    return x.withColumn("position", F.col("position") + F.col("_k")).withColumn("ref", F.expr("substr(ref, _k + 1)")).withColumn("alt", F.expr("substr(alt, _k + 1)")).drop("_k")
+
+
+def merge_sets(sets: dict[str, DataFrame], key: list[str]) -> DataFrame:
+    """All variants of several sets once each, with the names of the sets that have them and their best quality; one shuffle."""
+    every = None
+    for name, df in sets.items():
+        x = df.select(*key, "quality", F.lit(name).alias("_set"))
+        every = x if every is None else every.union(x)
+    return every.groupBy(*key).agg(F.array_sort(F.collect_set("_set")).alias("sets"), F.max("quality").alias("quality"))
+
+
 def linkage(df: DataFrame, distance: int) -> DataFrame:
     """Genotype r squared of pairs of loci (integers) at most `distance` apart, over samples that have both.
 
@@ -183,25 +231,27 @@ def kaplan_meier(df: DataFrame, by: list[str]) -> DataFrame:
 
 
 def log_rank(df: DataFrame, group: str) -> DataFrame:
-    """Observed and expected events per group and the statistic, the sum of (O - E)^2 / E."""
-    t = df.groupBy("time").agg(F.count("*").alias("n"), F.count_if(F.col("event")).alias("d")).withColumn("risk", F.sum("n").over(W.orderBy(F.desc("time"))))
+    """Observed and expected events per group and the statistic, the sum of (O - E)^2 / E.
+
+    Rows at risk are running counts over range partitions; a group's own start where it starts. Event
+    times and groups are paired, which is what the expected counts sum over.
+    """
+    t = df.groupBy("time").agg(F.count("*").alias("n"), F.count_if(F.col("event")).alias("d"))
+    times = running(t, [F.desc("time")], {"risk": ("sum", F.col("n"))}).where("d > 0").select("time", "risk", "d")
+    groups = df.groupBy(group).agg(F.count("*").alias("size"), F.count_if(F.col("event")).alias("observed"))
+    groups = groups.withColumn("before", F.coalesce(F.sum("size").over(W.orderBy(group).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     at = df.groupBy(group, "time").agg(F.count("*").alias("n"))
-    times = t.where("d > 0").select("time", "risk", "d")
-    every = times.crossJoin(df.select(group).distinct())
-    grid = every.select(group, "time", F.lit(0).cast("long").alias("n"), "risk", "d").union(at.select(group, "time", "n", F.lit(None).cast("long"), F.lit(None).cast("long")))
-    own = F.sum("n").over(W.partitionBy(group).orderBy(F.desc("time")).rangeBetween(W.unboundedPreceding, 0))
-    e = grid.withColumn("own", own).where("risk is not null").groupBy(group).agg(F.sum(F.col("own") * F.col("d") / F.col("risk")).alias("expected"))
-    o = df.groupBy(group).agg(F.count_if(F.col("event")).alias("observed"))
-    return o.join(e, group).select(group, "observed", "expected", (F.pow(F.col("observed") - F.col("expected"), 2) / F.col("expected")).alias("part"))
+    grid = times.crossJoin(F.broadcast(groups.select(group))).select(group, "time", F.lit(0).cast("long").alias("n"), "risk", "d").union(at.select(group, "time", "n", F.lit(None).cast("long"), F.lit(None).cast("long")))
+    own = running(grid, [F.asc(group), F.desc("time"), F.desc("n")], {"own": ("sum", F.col("n"))}).where("risk is not null")
+    e = own.join(F.broadcast(groups), group).groupBy(group).agg(F.first("observed").alias("observed"), F.sum((F.col("own") - F.col("before")) * F.col("d") / F.col("risk")).alias("expected"))
+    return e.select(group, "observed", "expected", (F.pow(F.col("observed") - F.col("expected"), 2) / F.col("expected")).alias("part"))
 
 
 def q_values(df: DataFrame, score: str, decoy: str, tie: str) -> DataFrame:
     """Add fdr (decoys over targets so far, best score first, targets before decoys) and q, its least value from a row on."""
-    best = W.orderBy(F.desc(score), decoy, tie)
-    run = best.rowsBetween(W.unboundedPreceding, 0)
-    x = df.withColumn("fdr", F.sum(F.col(decoy).cast("int")).over(run) / F.greatest(F.lit(1), F.sum((~F.col(decoy)).cast("int")).over(run)))
-    back = W.orderBy(F.asc(score), F.desc(decoy), F.desc(tie)).rowsBetween(W.unboundedPreceding, 0)
-    return x.withColumn("q", F.least(F.lit(1.0), F.min("fdr").over(back)))
+    n = running(df, [F.desc(score), F.asc(decoy), F.asc(tie)], {"_decoys": ("sum", F.col(decoy).cast("int")), "_targets": ("sum", (~F.col(decoy)).cast("int"))})
+    x = n.withColumn("fdr", F.col("_decoys") / F.greatest(F.lit(1), F.col("_targets"))).drop("_decoys", "_targets")
+    return running(x, [F.asc(score), F.desc(decoy), F.desc(tie)], {"q": ("min", F.col("fdr"))}).withColumn("q", F.least(F.lit(1.0), F.col("q")))
 
 
 def enrichment_score(df: DataFrame, by: list[str], score: str, hit: str, tie: str) -> DataFrame:
@@ -227,18 +277,15 @@ def n50(df: DataFrame, length: str, by: list[str]) -> DataFrame:
 def roc(df: DataFrame, score: str, positive: str) -> DataFrame:
     """One point per distinct score, best first: fpr, tpr and precision, after the start point (infinity, 0, 0, 1)."""
     t = df.groupBy(F.col(score).cast("double").alias("threshold")).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("n"))
-    run = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
-    every = W.partitionBy()
-    x = t.withColumn("tp", F.sum("p").over(run)).withColumn("fp", F.sum("n").over(run)).withColumn("all_p", F.sum("p").over(every)).withColumn("all_n", F.sum("n").over(every))
+    x = running(t, [F.desc("threshold")], {"tp": ("sum", F.col("p")), "fp": ("sum", F.col("n"))}).crossJoin(F.broadcast(t.agg(F.sum("p").alias("all_p"), F.sum("n").alias("all_n"))))
     x = x.select("threshold", div(F.col("fp").cast("double"), F.col("all_n")).alias("fpr"), div(F.col("tp").cast("double"), F.col("all_p")).alias("tpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
     return x.union(df.sparkSession.createDataFrame([(float("inf"), 0.0, 0.0, 1.0)], "threshold double, fpr double, tpr double, precision double"))
 
 
 def area(points: DataFrame, x: str, y: str) -> DataFrame:
     """Trapezoid area under points ordered by threshold, best first."""
-    line = W.orderBy(F.desc("threshold"))
-    step = (F.col(x) - F.lag(x).over(line)) * (F.col(y) + F.lag(y).over(line)) / 2
-    return points.select(step.alias("s")).agg(F.sum("s").alias("auc"))
+    before = running(points, [F.desc("threshold")], {"_x": ("lag", F.col(x)), "_y": ("lag", F.col(y))})
+    return before.agg(F.sum((F.col(x) - F.col("_x")) * (F.col(y) + F.col("_y")) / 2).alias("auc"))
 
 
 def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:

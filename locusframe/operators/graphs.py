@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .staging import cut
@@ -135,24 +134,31 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return deg.join(inner, "label", "left").crossJoin(F.broadcast(m)).agg(F.sum(F.coalesce("e", F.lit(0)) / F.col("m") - F.pow(F.col("d") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
-def random_walk(edges: DataFrame, seeds: DataFrame, rounds: int, restart: float) -> DataFrame:
-    """Random walk with restart from seeds(node), row-normalised, for a fixed number of rounds."""
+def random_walk(edges: DataFrame, seeds: DataFrame, rounds: int, restart: float, tolerance: float = 0.0) -> DataFrame:
+    """Random walk with restart from seeds(node), row-normalised, until no node moves by more than tolerance, for at most `rounds`.
+
+    Lineage is cut every three rounds.
+    """
     n = neighbours(edges)
     d = n.groupBy("node").agg(F.count("*").alias("k"))
-    n = n.join(d, "node")
-    nodes = d.select("node")
-    s = nodes.join(seeds.select(F.col("node").alias("_s")).distinct(), F.col("node") == F.col("_s"), "left").withColumn("w", F.when(F.col("_s").isNotNull(), 1.0).otherwise(0.0))
-    base = s.select("node", (F.col("w") / F.sum("w").over(W.partitionBy())).alias("p0"))
+    n = cut(n.join(d, "node"))
+    s = d.select("node").join(seeds.select(F.col("node").alias("_s")).distinct(), F.col("node") == F.col("_s"), "left").withColumn("w", F.when(F.col("_s").isNotNull(), 1.0).otherwise(0.0))
+    base = cut(s.crossJoin(F.broadcast(s.agg(F.sum("w").alias("_t")))).select("node", div(F.col("w"), F.col("_t")).alias("p0")))
     p = base.select("node", F.col("p0").alias("p"))
-    for _ in range(rounds):
+    for i in range(rounds):
         flow = n.join(p, "node").groupBy(F.col("other").alias("node")).agg(F.sum(F.col("p") / F.col("k")).alias("f"))
-        p = base.join(flow, "node", "left").select("node", ((1 - restart) * F.coalesce("f", F.lit(0.0)) + restart * F.col("p0")).alias("p"))
+        after = base.join(flow, "node", "left").select("node", ((1 - restart) * F.coalesce("f", F.lit(0.0)) + restart * F.col("p0")).alias("p"))
+        if i % 3 == 2 or tolerance:
+            after = cut(after)
+        if tolerance and (after.join(p.withColumnRenamed("p", "_p"), "node").agg(F.max(F.abs(F.col("p") - F.col("_p")))).first()[0] or 0.0) <= tolerance:
+            return after
+        p = after
     return p
 
 
 def moran(points: DataFrame, pairs: DataFrame) -> DataFrame:
     """Moran's I and Geary's C of points(id, x) with binary weights on directed pairs(src, dst)."""
-    z = points.withColumn("z", F.col("x") - F.avg("x").over(W.partitionBy()))
+    z = points.crossJoin(F.broadcast(points.agg(F.avg("x").alias("_m")))).withColumn("z", F.col("x") - F.col("_m"))
     total = z.agg(F.count("*").alias("n"), F.sum(F.col("z") * F.col("z")).alias("ss"))
     p = pairs.join(z.select(F.col("id").alias("src"), F.col("z").alias("a")), "src").join(z.select(F.col("id").alias("dst"), F.col("z").alias("b")), "dst")
     s = p.agg(F.count("*").alias("w"), F.sum(F.col("a") * F.col("b")).alias("ab"), F.sum(F.pow(F.col("a") - F.col("b"), 2)).alias("d2"))

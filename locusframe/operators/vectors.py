@@ -60,21 +60,25 @@ def centroids(df: DataFrame, label: str) -> DataFrame:
 
 
 def assign(df: DataFrame, centers: DataFrame) -> DataFrame:
-    """The nearest of centers(label, c array<double>), a small table, for each row; ties by label."""
-    best = F.min_by(F.struct("label", "_d"), F.struct("_d", "label"))
-    x = df.crossJoin(F.broadcast(centers)).withColumn("_d", F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, y: t + y))
-    return x.groupBy("id").agg(best.alias("b")).select("id", "b.label", F.col("b._d").alias("squared"))
+    """Rows (id, label, squared, v): the nearest of centers(label, c array<double>), k rows, for each row of df(id, v); ties by label.
+
+    The centers are one array beside every row, so nothing is shuffled.
+    """
+    every = F.broadcast(centers.agg(F.collect_list(F.struct("label", "c")).alias("_all")))
+    gap = lambda c: F.aggregate(F.zip_with("v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, y: t + y)
+    best = F.array_min(F.transform("_all", lambda s: F.struct(gap(s["c"]).alias("squared"), s["label"].alias("label"))))
+    return df.crossJoin(every).withColumn("_b", best).select("id", "_b.label", "_b.squared", "v")
 
 
 def kmeans(df: DataFrame, seeds: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
     """Lloyd's algorithm from seeds(label, c) for a fixed number of rounds: (assignment, centers). The centers are k rows."""
     centers = seeds
     for _ in range(rounds):
-        placed = assign(df, centers).join(df, "id").select("label", F.posexplode("v").alias("dim", "x"))
+        placed = assign(df, centers).select("label", F.posexplode("v").alias("dim", "x"))
         means = placed.groupBy("label", "dim").agg(F.avg("x").alias("m")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("c"))
         rows = centers.join(means.withColumnRenamed("c", "_c"), "label", "left").select("label", F.coalesce("_c", "c").alias("c")).collect()
         centers = df.sparkSession.createDataFrame([(r["label"], list(r["c"])) for r in rows], seeds.schema)
-    return assign(df, centers), centers
+    return assign(df, centers).drop("v"), centers
 
 
 def distance_sums(df: DataFrame, label: str, tile: int = 1024) -> DataFrame:
