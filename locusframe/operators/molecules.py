@@ -143,10 +143,11 @@ def fragment_ions(peptide: Column) -> Column:
     """array<struct<ion, number, mz>> of singly charged b and y ions."""
     mass = F.create_map(*[F.lit(x) for kv in RESIDUE_MASS.items() for x in kv])
     masses = F.transform(F.filter(F.split(peptide, ""), lambda c: c != ""), lambda c: mass[c])
-    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda t, x: t + x)
-    return F.when(F.length(peptide) > 1, F.flatten(F.transform(F.sequence(F.lit(1), F.length(peptide) - 1), lambda i: F.array(
-        F.struct(F.lit("b").alias("ion"), i.alias("number"), (total(F.slice(masses, 1, i)) + PROTON).alias("mz")),
-        F.struct(F.lit("y").alias("ion"), i.alias("number"), (total(F.slice(masses, F.length(peptide) - i + 1, i)) + WATER + PROTON).alias("mz"))))))
+    sums = F.aggregate(masses, F.array(F.lit(0.0)), lambda t, x: F.array_append(t, F.element_at(t, -1) + x))  # of the first 0, 1, ... residues
+    ions = F.transform(F.array(sums), lambda s: F.flatten(F.transform(F.sequence(F.lit(1), F.length(peptide) - 1), lambda i: F.array(
+        F.struct(F.lit("b").alias("ion"), i.alias("number"), (F.get(s, i) + PROTON).alias("mz")),
+        F.struct(F.lit("y").alias("ion"), i.alias("number"), (F.element_at(s, -1) - F.get(s, F.length(peptide) - i) + WATER + PROTON).alias("mz"))))))
+    return F.when(F.length(peptide) > 1, F.get(ions, F.lit(0)))
 
 
 def tolerance_join(a: DataFrame, b: DataFrame, ppm: float) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.functions.sequence import codons
+from locusframe.functions.sequence import GENETIC_CODE
 
 CODE = np.full(256, 255, np.uint8)
 for _i, _c in enumerate("ACGT"):
@@ -131,12 +131,25 @@ def sketch_jaccard(a: list[int], b: list[int], size: int) -> float:
     return float(len(np.intersect1d(np.intersect1d(x, y), both)) / len(both)) if len(both) else 0.0
 
 
+LETTER = np.full(256, 64, np.uint8)
+for _i, _c in enumerate("TCAG"):
+    LETTER[[ord(_c), ord(_c.lower())]] = _i
+LETTER[[ord("U"), ord("u")]] = 0
+
+
+def codon_codes(seq: str, frame: int = 0) -> np.ndarray:
+    """Numbers of the codons of a reading frame in the order of GENETIC_CODE, 64 for those with other letters."""
+    x = LETTER[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)][frame:]
+    x = x[: len(x) // 3 * 3].reshape(-1, 3).astype(np.int64)
+    return np.where((x < 64).all(axis=1), 16 * x[:, 0] + 4 * x[:, 1] + x[:, 2], 64)
+
+
 def translate(df: DataFrame) -> DataFrame:
     """Add protein, the first reading frame in one-letter code; codons with other letters are X."""
-    code = codons()
+    residues = np.frombuffer((GENETIC_CODE + "X").encode("ascii"), np.uint8)
 
     def rows(batch: list[tuple]) -> dict[str, list]:
-        return {"id": [i for i, _ in batch], "protein": ["".join(code.get(s[p : p + 3].upper().replace("U", "T"), "X") for p in range(0, len(s) - 2, 3)) for s in ((s or "") for _, s in batch)]}
+        return {"id": [i for i, _ in batch], "protein": [residues[codon_codes(s or "")].tobytes().decode("ascii") for _, s in batch]}
 
     return by_batch(df, ["id", "seq"], f"id {dict(df.dtypes)['id']}, protein string", rows)
 
@@ -146,26 +159,27 @@ def reading_frames(df: DataFrame, least: int) -> DataFrame:
 
     Places count on the given strand, half-open; nested starts are part of the first one's frame.
     """
-    stops = {"TAA", "TAG", "TGA"}
-    flip = str.maketrans("ACGT", "TGCA")
+    start = GENETIC_CODE.index("M")
+    stops = np.array([c == "*" for c in GENETIC_CODE] + [False])
+    flip = str.maketrans("ACGTacgtUu", "TGCAtgcaAa")
 
     def rows(batch: list[tuple]) -> dict[str, list]:
         out: dict[str, list] = {c: [] for c in ("id", "strand", "frame", "start", "stop")}
         for i, s in batch:
-            s = (s or "").upper()
+            s = s or ""
             for strand, t in (("+", s), ("-", s[::-1].translate(flip))):
                 for frame in range(3):
-                    begin = None
-                    for p in range(frame, len(t) - 2, 3):
-                        codon = t[p : p + 3]
-                        if begin is None and codon == "ATG":
-                            begin = p
-                        elif begin is not None and codon in stops:
-                            if p + 3 - begin >= least:
-                                a, b = (begin, p + 3) if strand == "+" else (len(t) - p - 3, len(t) - begin)
-                                for c, v in zip(out, (i, strand, frame, a, b), strict=True):
-                                    out[c].append(v)
-                            begin = None
+                    code = codon_codes(t, frame)
+                    starts, ends = np.flatnonzero(code == start), np.flatnonzero(stops[code])
+                    if not len(starts) or not len(ends):
+                        continue
+                    first = np.searchsorted(starts, np.concatenate([[-1], ends[:-1]]), side="right")
+                    begin = np.append(starts, len(code))[first]
+                    ok = (begin < ends) & (3 * (ends + 1 - begin) >= least)
+                    a, b = frame + 3 * begin[ok], frame + 3 * (ends[ok] + 1)
+                    a, b = (a, b) if strand == "+" else (len(t) - b, len(t) - a)
+                    for c, v in zip(out, ([i] * len(a), [strand] * len(a), [frame] * len(a), a.tolist(), b.tolist()), strict=True):
+                        out[c] += v
         return out
 
     return by_batch(df, ["id", "seq"], f"id {dict(df.dtypes)['id']}, strand string, frame int, start bigint, stop bigint", rows)

@@ -27,7 +27,11 @@ def chi_squared_p_values(spark, d):
     return R(x.select("l_suppkey", D.column(D.chi2_p)("h", "df").alias("p")))
 
 
-@query()
+_CHOOSE = "lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1)"
+
+
+@query(f"""with n as (select count(*) as t, count(*) filter (p_retailprice > 950) as h from part), g as (select p_brand, count(*) as d, count(*) filter (p_retailprice > 950) as k from part group by 1), i as (select p_brand, d, h, t, unnest(range(greatest(k, d + h - t, 0), least(d, h) + 1)) as i from g, n)
+ select p_brand, round(least(1, sum(exp({_CHOOSE.format(n='h', k='i')} + {_CHOOSE.format(n='(t - h)', k='(d - i)')} - ({_CHOOSE.format(n='t', k='d')})))), 9) as p from i group by 1""")
 def hypergeometric_enrichment(spark, d):
     x = table(spark, d, "part").withColumn("hit", F.col("p_retailprice") > 950)
     n = x.agg(F.count("*").alias("total"), F.count_if("hit").alias("hits"))

@@ -69,12 +69,12 @@ def tanimoto_pairs(spark, d):
     return R(M.similar_sets(x, 0.02))
 
 
-@query(f"""with {PROT}, p as (select unnest(string_split(regexp_replace(replace(replace(seq, 'KP', 'kP'), 'RP', 'rP'), '([KR])', '\\1|', 'g'), '|')) as p from s), q as (select distinct upper(p) as peptide from p where length(p) between 2 and 12),
+@query(f"""with {PROT}, p as (select unnest(string_split(regexp_replace(replace(replace(seq, 'KP', 'kP'), 'RP', 'rP'), '([KR])', '\\1|', 'g'), '|')) as p from s), q as (select distinct upper(p) as peptide from p where length(p) >= 2),
  m as (select * from (values {', '.join(f"('{a}', {w})" for a, w in Q.RESIDUE_MASS.items())}) v(aa, w)), r as (select peptide, i, w from (select peptide, unnest(range(1, length(peptide) + 1)) as i from q) join m on aa = peptide[i]),
  c as (select peptide, i, sum(w) over (partition by peptide order by i) as b, sum(w) over (partition by peptide order by i desc) as y, length(peptide) as n from r)
  select peptide, 'b' as ion, cast(i as int) as number, round(cast(b as double) + 1.00728, 5) as mz from c where i < n union all select peptide, 'y', cast(n - i + 1 as int), round(cast(y as double) + 18.01056 + 1.00728, 5) from c where i > 1""")
 def peptide_fragments(spark, d):
-    x = sequences(spark, d, PROTEIN).select(F.explode(Q.peptides(F.col("seq"))).alias("peptide")).where("length(peptide) between 2 and 12").distinct()
+    x = sequences(spark, d, PROTEIN).select(F.explode(Q.peptides(F.col("seq"))).alias("peptide")).where("length(peptide) >= 2").distinct()
     x = x.select("peptide", F.explode(M.fragment_ions(F.col("peptide"))).alias("f"))
     return x.select("peptide", "f.ion", "f.number", F.round("f.mz", 5).alias("mz"))
 
@@ -107,7 +107,9 @@ def bond_angles(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.round(M.angle(p, q, r), 5).alias("angle"))
 
 
-@query()
+@query("""with e as (select vec_id as id, list_transform(embedding, lambda x: x::double) as v from embeddings), u as (select id, v[4]-v[1] as ax, v[5]-v[2] as ay, v[6]-v[3] as az, v[7]-v[4] as bx, v[8]-v[5] as by_, v[9]-v[6] as bz, v[10]-v[7] as cx, v[11]-v[8] as cy, v[12]-v[9] as cz from e),
+ n as (select *, ay*bz - az*by_ as px, az*bx - ax*bz as py, ax*by_ - ay*bx as pz, by_*cz - bz*cy as qx, bz*cx - bx*cz as qy, bx*cy - by_*cx as qz from u)
+ select id, round(degrees(atan2(((py*qz - pz*qy)*bx + (pz*qx - px*qz)*by_ + (px*qy - py*qx)*bz) / sqrt(bx*bx + by_*by_ + bz*bz), px*qx + py*qy + pz*qz)), 5) as dihedral from n""")
 def dihedral_angles(spark, d):
     v = F.col("embedding").cast("array<double>")
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.round(M.dihedral(*[[v[3 * k + i] for i in range(3)] for k in range(4)]), 5).alias("dihedral"))

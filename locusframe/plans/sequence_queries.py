@@ -85,7 +85,12 @@ def melting_temperatures(spark, d):
     return sequences(spark, d).select("id", F.round(Q.melting_temperature(F.col("seq")), 5).alias("tm"))
 
 
-@query()
+FRAMES = """t as (select id, '+' as strand, seq, length(seq) as n from s union all select id, '-', reverse(translate(seq, 'ACGT', 'TGCA')), length(seq) from s), c as (select id, strand, n, (p - 1) % 3 as frame, p - 1 as p, substr(seq, p, 3) as codon from (select *, unnest(range(1, n - 1)) as p from t)),
+ e as (select id, strand, n, frame, p, codon, coalesce(max(case when codon in ('TAA', 'TAG', 'TGA') then p end) over (partition by id, strand, frame order by p rows between unbounded preceding and 1 preceding), -1) as prior from c where codon in ('TAA', 'TAG', 'TGA', 'ATG')),
+ f as (select id, strand, n, frame, prior, min(case when codon = 'ATG' then p end) as a, max(case when codon <> 'ATG' then p end) + 3 as b from e group by 1, 2, 3, 4, 5)"""
+
+
+@query(f"with {SEQ}, {FRAMES} select id, strand, cast(frame as int) as frame, case when strand = '+' then a else n - b end as start, case when strand = '+' then b else n - a end as stop from f where a < b and b - a >= 60")
 def open_reading_frames(spark, d):
     return S.reading_frames(sequences(spark, d), 60)
 
@@ -100,6 +105,12 @@ def minhash_sketches(spark, d):
     return S.sketches(sequences(spark, d), 15, 64)
 
 
-@query()
+def _odds(letter: str) -> str:
+    import math
+
+    return " + ".join(f"case when substr(seq, p + {k}, 1) = '{x}' then {math.log2(8.5 / 10 / 0.25)!r} else {math.log2(0.5 / 10 / 0.25)!r} end" for k, x in enumerate(letter))
+
+
+@query(f"""with {SEQ}, p as (select id, p - 1 as "at", {_odds('TATAAT')} as score from (select id, seq, unnest(range(1, length(seq) - 4)) as p from s)) select id, "at", round(score, 6) as score from p where score >= 8""")
 def motif_matrix_hits(spark, d):
     return R(S.scan_matrix(sequences(spark, d), [{x: 8} for x in "TATAAT"], 8.0))
