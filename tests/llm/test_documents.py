@@ -223,6 +223,7 @@ def test_license_labels_are_brute_force(messy, spark):
     for _ in range(200):
         texts.append(rnd.choice(["\n * ", " ", "\r\n# ", "\n// "]).join(w for t in rnd.sample(samples, 3) for w in t.split(" ")))
     texts += [" ".join(x.upper() if rnd.random() < 0.3 else x for x in t.split(" ")) for t in rnd.sample(samples, 100)]
+    texts += [" ".join(["plain words"] * rnd.randint(300, 1500) + rnd.sample(samples, 2) + ["more"] * rnd.randint(1, 2000) + rnd.sample(samples, 2)) for _ in range(40)]
     rows = licenses.scan(spark.createDataFrame([(t, 1) for t in texts], "text string, folded int")).collect()
     hit = 0
     for r in rows:
