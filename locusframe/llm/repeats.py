@@ -363,7 +363,7 @@ def packed(docs: DataFrame, text: str, parts: int) -> DataFrame:
                     sink = pa.BufferOutputStream()
                     with pa.ipc.new_stream(sink, b.schema) as w:
                         w.write_batch(b.take(pa.array(by[x:y])))
-                    rows.append({"part": p, "documents": zstandard.compress(sink.getvalue(), 1)})
+                    rows.append({"part": p, "documents": zstandard.compress(sink.getvalue(), 3)})
                 yield from table(rows, ["part", "documents"]).to_batches()
 
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, schema(["part", "documents"]))
@@ -409,13 +409,14 @@ def contexts(texts: DataFrame, marked: DataFrame, length: int, parts: int) -> Da
         del got
         part = (mixed(sum(rows[:, reach + k].astype(U) * PLACES[k] for k in range(GRAM))) % U(parts)).astype(np.int64)
         whole = mixed(sum((rows[:, k].astype(U) * PLACES[k % 256] + U(k) for k in range(width)), begin.astype(U) * PLACES[254] + end.astype(U) * PLACES[255]))
-        by = np.lexsort((whole, part))
+        alike = sum(rows[:, reach + k].astype(U) << U(56 - 8 * k) for k in range(8))  # contexts that begin alike side by side pack better
+        by = np.lexsort((whole, alike, part))
         out = []
         for v, a, b in cut(part[by]):
             i = by[a:b]
             head = np.concatenate([[True], (rows[i[1:]] != rows[i[:-1]]).any(axis=1) | (begin[i[1:]] != begin[i[:-1]]) | (end[i[1:]] != end[i[:-1]])])
             at = np.flatnonzero(head)
-            out.append({"part": v, "contexts": zstandard.compress(np.ascontiguousarray(rows[i[at]]).tobytes(), 1), "begins": pack(begin[i[at]].astype(np.uint32)), "ends": pack(end[i[at]].astype(np.uint32)),
+            out.append({"part": v, "contexts": zstandard.compress(np.ascontiguousarray(rows[i[at]]).tobytes(), 3), "begins": pack(begin[i[at]].astype(np.uint32)), "ends": pack(end[i[at]].astype(np.uint32)),
                         "counts": pack(np.diff(at, append=len(i)).astype(np.uint32)), "orders": pack(o[i]), "hashes": pack(h[i]), "places": pack(p[i].astype(np.uint32))})
         return table(out, WANTED)
 
