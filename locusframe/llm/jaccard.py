@@ -48,44 +48,74 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [t if t is not None else b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
+#: A shingle is common if one in so many documents or more has it.
+COMMON = 100
+
+
 def shingle_ids(docs: DataFrame, text: str, width: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, set_id): the size of each document's set and its digest."""
+    """Rows (doc_id, n_shingles, set_id, token, count): the size of each document's set and its digest, or a shingle hash that is common among some documents and how many of these have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "n_shingles", "set_id", "token", "count"]
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                n, ids = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+                n, ids, sets = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), {}
                 for i, s in shingle_sets(texts_of(b.column("text")), width):
                     n[i], ids[i] = len(s), set_digest(s)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(ids)], names=["doc_id", "n_shingles", "set_id"])
+                    sets[int(ids[i])] = s
+                tokens, count = np.unique(np.concatenate([*sets.values()]) >> U(64 - BITS), return_counts=True)
+                some = count >= max(2, b.num_rows // COMMON + 1)
+                none = pa.nulls(b.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(ids), none, none], names=names)
+                none = pa.nulls(int(some.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(none), b.schema.field("doc_id").type), none, none, pa.array(tokens[some].astype(np.int64)), pa.array(count[some].astype(np.int64))], names=names)
 
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles bigint, set_id bigint")
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles bigint, set_id bigint, token bigint, count bigint")
 
 
-def postings(docs: DataFrame, text: str, width: int, ranges: int) -> DataFrame:
-    """Rows (part, tokens, at, ids, sizes): a block's incidence columns of one range of hashes.
+def common_shingles(counted: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of the common shingles of rows (token, count).
+
+    Only counts of 1024 documents among which a shingle is common are summed. So all that one in 50
+    of all documents has are here, and at most COMMON for each shingle of a document of mean length.
+    """
+    found = counted.where("token is not null").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") * COMMON >= documents).orderBy("token").collect()
+    return np.array([r["token"] for r in found], U), np.array([r["c"] for r in found], np.uint32)
+
+
+def postings(docs: DataFrame, text: str, width: int, ranges: int, parts: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Rows (part, tokens, at, ids, sizes, df): a block's incidence columns of one range of hashes.
 
     tokens: differences of the sorted 48-bit shingle hashes; at: which of the block's sets each is
-    in; ids and sizes: those sets. Equal sets of a block go out once.
+    in; ids and sizes: those sets. Equal sets of a block go out once. Common shingles needn't meet,
+    as it is known that they are shared: they go out by set as rows of shared(), their parts after
+    the ranges, so that no task gets all that have one.
     """
+    hot, hot_df = common
 
     def flush(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
         ids = np.array(list(sets), np.int64)
         sizes = np.array([len(s) for s in sets.values()], np.uint32)
         tokens = np.concatenate([*sets.values()]) >> U(64 - BITS)
         at = np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
+        rows = []
+        if len(hot):
+            place = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+            known = hot[place] == tokens
+            i, n, t, df = ids[at[known]], sizes[at[known]], tokens[known], hot_df[place[known]]
+            rows += [(ranges + p, t, count, i, n, df) for p, i, n, count, t, df in by_set(i, n, t, df, parts)]
+            tokens, at = tokens[~known], at[~known]
         order = np.argsort(tokens)
         tokens, at = tokens[order], at[order]
         part = ((tokens * U(ranges)) >> U(BITS)).astype(np.int64)
         cuts = np.flatnonzero(np.diff(part, prepend=-1))
-        rows = []
         for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
             used, local = np.unique(at[a:b], return_inverse=True)
-            rows.append((int(part[a]), pack(np.diff(tokens[a:b], prepend=U(0))), pack(local.astype(np.uint32)), pack(ids[used]), pack(sizes[used])))
+            rows.append((int(part[a]), pack(np.diff(tokens[a:b], prepend=U(0))), pack(local.astype(np.uint32)), pack(ids[used]), pack(sizes[used]), None))
         cols = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int32()] + [pa.binary()] * 4, strict=True)],
-                                         names=["part", "tokens", "at", "ids", "sizes"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int32()] + [pa.binary()] * 5, strict=True)],
+                                         names=["part", "tokens", "at", "ids", "sizes", "df"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, np.ndarray] = {}
@@ -102,17 +132,35 @@ def postings(docs: DataFrame, text: str, width: int, ranges: int) -> DataFrame:
         if sets:
             yield from flush(sets)
 
-    return docs.select(text).mapInArrow(run, "part int, tokens binary, at binary, ids binary, sizes binary")
+    return docs.select(text).mapInArrow(run, "part int, tokens binary, at binary, ids binary, sizes binary, df binary")
+
+
+def by_set(i: np.ndarray, n: np.ndarray, t: np.ndarray, df: np.ndarray, parts: int) -> list[tuple]:
+    """(part, ids, sizes, counts, tokens, df) of the shingles t of sets i, dealt by set."""
+    if not len(i):
+        return []
+    part = (i.view(U) % U(parts)).astype(np.int64)
+    order = np.lexsort((t, i, part))
+    t, i, n, df, part = t[order], i[order], n[order], df[order], part[order]
+    rows = []
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+        begin = np.flatnonzero(np.diff(i[a:b], prepend=i[a] ^ 1))
+        rows.append((int(part[a]), pack(i[a:b][begin]), pack(n[a:b][begin]), pack(np.diff(begin, append=b - a).astype(np.uint32)), pack(t[a:b]), pack(df[a:b])))
+    return rows
 
 
-def shared(posted: DataFrame, parts: int) -> DataFrame:
+def shared(posted: DataFrame, ranges: int, parts: int) -> DataFrame:
     """Rows (part, ids, sizes, counts, tokens, df): shingles of two sets or more, dealt by set.
 
     The number of sets that have a shingle is its df; shingles of a single set can't overlap and
-    end here.
+    end here. Common ones, which are dealt by set already, are passed on.
     """
+    names = ["part", "ids", "sizes", "counts", "tokens", "df"]
 
     def run(table: pa.Table) -> pa.Table:
+        if (p := table.column("part")[0].as_py()) >= ranges:
+            return pa.table([pa.array([p - ranges] * table.num_rows, pa.int32()), *(table.column(c) for c in ("ids", "sizes", "at", "tokens", "df"))], names=names)
         tokens, ids, sizes = [], [], []
         for row in table.select(["tokens", "at", "ids", "sizes"]).to_pylist():
             at = unpack(row["at"], np.uint32)
@@ -139,16 +187,9 @@ def shared(posted: DataFrame, parts: int) -> DataFrame:
         df = np.repeat(df, df)
         keep = df > 1
         t, i, n, df = t[keep], i[keep], n[keep], df[keep].astype(np.uint32)
-        part = (i.view(U) % U(parts)).astype(np.int64)
-        order = np.lexsort((t, i, part))
-        t, i, n, df, part = t[order], i[order], n[order], df[order], part[order]
-        rows = []
-        cuts = np.flatnonzero(np.diff(part, prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
-            begin = np.flatnonzero(np.diff(i[a:b], prepend=i[a] ^ 1))
-            rows.append((int(part[a]), pack(i[a:b][begin]), pack(n[a:b][begin]), pack(np.diff(begin, append=b - a).astype(np.uint32)), pack(t[a:b]), pack(df[a:b])))
+        rows = by_set(i, n, t, df, parts)
         cols = list(zip(*rows, strict=True)) or [[]] * 6
-        return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int32()] + [pa.binary()] * 5, strict=True)], names=["part", "ids", "sizes", "counts", "tokens", "df"])
+        return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int32()] + [pa.binary()] * 5, strict=True)], names=names)
 
     return posted.groupBy("part").applyInArrow(run, "part int, ids binary, sizes binary, counts binary, tokens binary, df binary")
 
@@ -169,8 +210,11 @@ def candidates(dealt: DataFrame, percent: int) -> DataFrame:
                                    unpack(row["tokens"], U), unpack(row["df"], np.uint32)), strict=True):
                 c.append(x)
         i, n, t, df = map(np.concatenate, cols)
-        order = np.argsort(i, kind="stable")
+        order = np.lexsort((t, i))
         i, n, t, df = i[order], n[order].astype(np.int64), t[order], df[order]
+        new = np.ones(len(i), bool)  # equal sets of several blocks
+        new[1:] = (i[1:] != i[:-1]) | (t[1:] != t[:-1])
+        i, n, t, df = i[new], n[new], t[new], df[new]
         begin = np.flatnonzero(np.diff(i, prepend=i[0] ^ 1))
         count = np.diff(begin, append=len(i))
         out: list[tuple] = []
@@ -301,7 +345,8 @@ def jaccard_components(docs: DataFrame, text: str = "text", width: int = 5, perc
     shingles (words are runs of non-space bytes, A-Z taken as a-z); component_id is the smallest
     doc_id reachable by links. Equal sets are one class from the start. Then, in blocks:
 
-    1. Shingle hashes with their sets, by range of hash; those of a single set end there.
+    1. Shingle hashes with their sets, by range of hash; those of a single set end there. Shingles
+       that are common from the start don't meet, see common_shingles().
     2. By set: sets with too few shared shingles for any partner end; the others give a prefix.
     3. Sets that share a prefix shingle are compared, first with the one of fewest single shingles,
        if sizes and positions allow a link, then where they are still in several components; see
@@ -316,17 +361,18 @@ def jaccard_components(docs: DataFrame, text: str = "text", width: int = 5, perc
     table gives an empty result.
     """
     spark = docs.sparkSession
-    ids = staged(shingle_ids(docs, text, width), "sets")
-    total = ids.agg(F.sum("n_shingles")).first()[0] or 0
+    every = staged(shingle_ids(docs, text, width), "sets")
+    ids = every.where("token is null").drop("token", "count")
+    total, count = ids.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARE))
-    dealt = shared(postings(docs, text, width, parts), parts)
+    dealt = shared(postings(docs, text, width, parts, parts, common_shingles(every, count)), parts, parts)
     sets = staged(candidates(dealt, percent), "candidates")
     met = staged(sets.select("set_id", "n", "shared", F.explode("prefix").alias("p")).select("set_id", "n", "shared", "p.token", "p.pos"), "prefixes")
     member = linked_components(met, ["n", "shared", "pos"], can_link(percent), lambda pairs: linked(pairs, sets, percent),
                                lambda rows: block_links(rows, sets, percent), "n - shared")
     placed = ids.join(member, ids.set_id == member.id, "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component", "set_id").alias("_c"))
     placed = staged(placed, "documents")
-    some = beside_group(placed.where("n_shingles > 0"), ["_c"], [F.min("doc_id").alias("component_id")], placed.count())
+    some = beside_group(placed.where("n_shingles > 0"), ["_c"], [F.min("doc_id").alias("component_id")], count)
     return some.select("doc_id", "n_shingles", "set_id", "component_id").union(
         placed.where("n_shingles = 0").select("doc_id", "n_shingles", "set_id", F.col("doc_id").alias("component_id")))
 
