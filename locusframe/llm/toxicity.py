@@ -162,7 +162,7 @@ class Model:
 
 class Scorer:
     #: Words a worker remembers before it starts afresh.
-    MEMO = 500_000
+    MEMO = 200_000
 
     def __init__(self, model: Model):
         self.trie = FuzzyTrie(model.terms)
@@ -221,7 +221,7 @@ class Scorer:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
 def scorer(model: Model) -> Scorer:
     """One per model and Python worker."""
     return Scorer(model)
@@ -292,17 +292,18 @@ def counted(sample: DataFrame, words_of) -> DataFrame:
     """Rows (word, n, mask): in how many texts of sample words_of finds each word, and its bits if it gives any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n: Counter = Counter()
-            mask: dict[str, int] = {}
-            for t in b.column("text").to_pylist():
-                found = words_of(t or "")
-                n.update(list(found))
-                if isinstance(found, dict):
-                    for w, bits in found.items():
-                        mask[w] = mask.get(w, 0) | bits
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([mask.get(w, 0) for w in n], pa.int64())], names=["word", "n", "mask"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                n: Counter = Counter()
+                mask: dict[str, int] = {}
+                for t in whole.slice(at, 512).column("text").to_pylist():
+                    found = words_of(t or "")
+                    n.update(list(found))
+                    if isinstance(found, dict):
+                        for w, bits in found.items():
+                            mask[w] = mask.get(w, 0) | bits
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([mask.get(w, 0) for w in n], pa.int64())], names=["word", "n", "mask"])
 
     found = sample.select("text").mapInArrow(run, "word string, n bigint, mask bigint")
     return found.groupBy("word").agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"))
