@@ -131,7 +131,11 @@ def scan(docs: DataFrame, text: str = "text", column: str = "licenses") -> DataF
     Null or empty text: no words, no places, labels "" and score 0. Repeated rows are scanned each
     for itself; very long texts are read whole. An empty table gives an empty result.
     """
-    body = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
+    own = "_scan"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own = "_" + own
+    row, low_, folded_, found_ = (f"{own}_{c}" for c in ("row", "low", "folded", "found"))
+    body = F.coalesce(F.col(f"{row}.`{text}`"), F.lit(""))
     phrase = "|".join(f"[{SEP}]++".join(words.split()) for words, _ in BASE)
     phrase = rf"(?<![^{SEP}])(?i:{phrase})(?![^{SEP}])"
     hits = lambda low: F.when(any_of(low, ("license", "cc")), F.regexp_extract_all(body, F.lit(phrase), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -140,8 +144,8 @@ def scan(docs: DataFrame, text: str = "text", column: str = "licenses") -> DataF
     words = lambda t: count_runs(t, f"^{SEP}", SEP)
     none = F.array().cast("array<struct<label:string,confidence:double>>")
     low = F.lower(body)
-    folded = F.when(gate(F.col("low")), pieces(F.regexp_replace(F.translate(F.col("low"), *MARKS), F.lit(FOLDED), F.lit(" "))))
-    every = F.expr(f"flatten(transform(folded, p -> {detections('p')}))")
+    folded = F.when(gate(F.col(low_)), pieces(F.regexp_replace(F.translate(F.col(low_), *MARKS), F.lit(FOLDED), F.lit(" "))))
+    every = F.expr(f"flatten(transform({folded_}, p -> {detections('p')}))")
 
     def result(h: Column, f: Column, n: Column) -> Column:
         some = F.size(h) > 0
@@ -156,9 +160,9 @@ def scan(docs: DataFrame, text: str = "text", column: str = "licenses") -> DataF
             F.when(some, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform(f, lambda x: x["confidence"])), F.lit(0.0))).alias("score"),
             f.alias("found"))
 
-    x = docs.select(F.struct("*").alias("row")).withColumn("low", low).withColumn("folded", folded).withColumn("found", F.coalesce(surviving(every), none))
-    found = bind(hits(F.col("low")), lambda h: bind(F.col("found"), lambda f: bind(words(body), lambda n: result(h, f, n))))
-    return x.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c.lower() != column.lower()], found.alias(column))
+    x = docs.select(F.struct("*").alias(row)).withColumn(low_, low).withColumn(folded_, folded).withColumn(found_, F.coalesce(surviving(every), none))
+    found = bind(hits(F.col(low_)), lambda h: bind(F.col(found_), lambda f: bind(words(body), lambda n: result(h, f, n))))
+    return x.select(*[F.col(f"{row}.`{c}`").alias(c) for c in docs.columns if c.lower() != column.lower()], found.alias(column))
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

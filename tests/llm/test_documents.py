@@ -37,8 +37,9 @@ def components(n, links):
     return [find(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("width,percent", [(4, 85), (5, 80), (2, 50)])
-def test_jaccard_components(messy, width, percent):
+@pytest.mark.parametrize("width,percent,common", [(4, 85, 100), (5, 80, 1), (2, 50, 100), (2, 50, 2)])
+def test_jaccard_components(messy, monkeypatch, width, percent, common):
+    monkeypatch.setattr(jaccard, "COMMON", common)
     rows = messy.select("doc_id", "text").collect()
     sets = []
     for _, t in rows:
@@ -181,7 +182,8 @@ def test_bpe_automaton_is_merging_in_order():
 
 def test_license_words_and_places(messy):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-    for r in licenses.scan(messy.select("text", "size")).collect():
+    assert licenses.scan(messy).columns == messy.columns[:-2] + [messy.columns[-1], "licenses"]
+    for r in licenses.scan(messy.select("text", "size", "row")).collect():
         words, hits = pattern.findall(lower(r.text)), []
         for phrase, label in licenses.BASE:
             p = phrase.split()
