@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, beside_group, documents, staged
+from .common import SPACE, documents, staged
 
 #: Bytes of the first digit, and how much wider each further digit is.
 FIRST, GROWTH = 64, 16
@@ -17,6 +17,25 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"[{SPACE}]+", " ")
 
 
+#: Parts that the rows of a large group are dealt to.
+SALTS = 32
+
+
+def beside_digits(x: DataFrame, key: list[str], aggregates: list[Column], rows: int) -> DataFrame:
+    """x with aggregates of each row's group beside it, and none of them met by all rows of a large group.
+
+    Groups with more than a thousandth of all rows, fewer than a thousand, are told by a broadcast
+    of their 64-bit hashes; their rows are dealt by rid to SALTS parts, and their aggregates go to
+    each. Rows and aggregates meet by the bytes of the key, which are never broadcast.
+    """
+    found = x.groupBy(*key).agg(F.count("*").alias("members"), *aggregates).withColumn("_h", F.xxhash64(*key))
+    large = F.broadcast(found.where(F.col("members") * 1000 > rows).select(F.col("_h").alias("_l")).distinct())
+    salted = lambda df: df.join(large, F.col("_h") == F.col("_l"), "left")
+    left = salted(x.withColumn("_h", F.xxhash64(*key))).withColumn("_salt", F.when(F.col("_l").isNull(), 0).otherwise(F.pmod(F.xxhash64("rid"), F.lit(SALTS))).cast("int"))
+    right = salted(found).withColumn("_salt", F.explode(F.when(F.col("_l").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    return left.drop("_h", "_l").join(right.drop("_h", "_l"), [*key, "_salt"]).drop("_salt")
+
+
 def exact_groups(docs: DataFrame, text: str = "text", with_rows: bool = False) -> DataFrame:
     """Rows (doc_id, keep_id, group_size, kept, text_sha256[, row]), one per row of docs.
 
@@ -54,7 +73,7 @@ def exact_groups(docs: DataFrame, text: str = "text", with_rows: bool = False) -
 
     parts = [result(first.where("not maybe"), F.col("row.doc_id"), F.lit(1), F.lit(True))]
     some = first.where("maybe")
-    some = beside_group(some.drop("maybe"), ["n", "head"], [F.count("*").alias("members")], some.count(), "rid").select(
+    some = beside_digits(some.drop("maybe"), ["n", "head"], [], some.count()).select(
         "rid", "row", "sha", "n", "members", F.struct("n", "head", F.lit(-1).cast("long").alias("lead")).alias("grp"))
     some = staged(some, "digit")
     parts.append(result(some.where("members = 1"), F.col("row.doc_id"), F.lit(1), F.lit(True)))
@@ -64,7 +83,7 @@ def exact_groups(docs: DataFrame, text: str = "text", with_rows: bool = False) -
         x = alive.select("rid", "row", "sha", "n", "grp", F.substring(norm.cast("binary"), seen + 1, width).alias("digit"))
         seen += width
         lead = F.min(F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "rid")).alias("best")
-        x = staged(beside_group(x, ["grp", "digit"], [F.count("*").alias("members"), lead], count, "rid").select(
+        x = staged(beside_digits(x, ["grp", "digit"], [lead], count).select(
             "rid", "row", "sha", "n", "members", "best",
             F.struct("n", F.lit(b"").alias("head"), F.col("best.rid").alias("lead")).alias("grp")), "digit")
         over = (F.col("members") == 1) | (F.col("n") <= seen)
