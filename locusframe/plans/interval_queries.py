@@ -1,4 +1,4 @@
-"""Interval algebra over lineitem: a part is a chromosome, a shipping day a position, the quantity a length."""
+"""Interval algebra over lineitem, a part is a chromosome, a shipping day a position, the quantity a length, and over orders by customer."""
 
 from __future__ import annotations
 
@@ -11,19 +11,20 @@ from .registry import query, table
 WIDTH, SIZE = 64, 2700
 
 
-def rows(spark, d, where="true"):
+def rows(spark, d):
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
-    return table(spark, d, "lineitem").where(where).select(
+    return table(spark, d, "lineitem").select(
         F.col("l_partkey").cast("string").alias("chrom"), day.alias("start"), (day + F.col("l_quantity").cast("long")).alias("stop"),
         F.when(F.col("l_linenumber") % 2 == 0, "+").otherwise("-").alias("strand"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", day, F.col("l_quantity").cast("long")).alias("id"))
 
 
-def even(spark, d):
-    return rows(spark, d, "l_orderkey % 2 = 0").distinct()
+def shipped(spark, d):
+    return rows(spark, d).distinct()
 
 
-def odd(spark, d):
-    return rows(spark, d, "l_orderkey % 2 = 1")
+def ordered(spark, d):
+    day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
+    return table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("chrom"), day.alias("start"), (day + 20 + F.col("o_orderkey") % 30).alias("stop"), F.lit("+").alias("strand"), F.col("o_orderkey").cast("string").alias("id"))
 
 
 def genome(spark, d):
@@ -33,7 +34,8 @@ def genome(spark, d):
 IV = """iv as (select cast(l_partkey as varchar) as chrom, cast(datediff('day', date '1992-01-01', cast(l_shipdate as date)) as bigint) as start,
   cast(datediff('day', date '1992-01-01', cast(l_shipdate as date)) + cast(l_quantity as bigint) as bigint) as stop, case when l_linenumber % 2 = 0 then '+' else '-' end as strand,
   concat_ws('-', l_orderkey, l_linenumber, l_partkey, datediff('day', date '1992-01-01', cast(l_shipdate as date)), cast(l_quantity as bigint)) as id, l_orderkey from lineitem),
-a as (select distinct * from iv where l_orderkey % 2 = 0), b as (select * from iv where l_orderkey % 2 = 1),
+a as (select distinct chrom, start, stop, strand, id from iv), b as (select cast(o_custkey as varchar) as chrom, cast(datediff('day', date '1992-01-01', cast(o_orderdate as date)) as bigint) as start,
+  cast(datediff('day', date '1992-01-01', cast(o_orderdate as date)) + 20 + o_orderkey % 30 as bigint) as stop, '+' as strand, cast(o_orderkey as varchar) as id from orders),
 genome as (select cast(p_partkey as varchar) as chrom, cast(2700 as bigint) as size from part)"""
 
 
@@ -55,35 +57,35 @@ def merge_intervals_stranded_gap(spark, d):
 
 @query(f"with {IV}, u as (select chrom, start, stop from a union all select chrom, start, stop from b), {merged('u', 'm')} select chrom, start, stop, n from m")
 def interval_union(spark, d):
-    return I.merge(even(spark, d).select("chrom", "start", "stop").union(odd(spark, d).select("chrom", "start", "stop")), bin_width=256)
+    return I.merge(shipped(spark, d).select("chrom", "start", "stop").union(ordered(spark, d).select("chrom", "start", "stop")), bin_width=256)
 
 
 @query(f"with {IV} select a.chrom, greatest(a.start, b.start) as start, least(a.stop, b.stop) as stop, count(*) as n from a join b on a.chrom = b.chrom and a.start < b.stop and b.start < a.stop group by 1, 2, 3")
 def interval_intersect(spark, d):
-    return I.intersect(even(spark, d), odd(spark, d), WIDTH).groupBy("chrom", "start", "stop").agg(F.count("*").alias("n"))
+    return I.intersect(shipped(spark, d), ordered(spark, d), WIDTH).groupBy("chrom", "start", "stop").agg(F.count("*").alias("n"))
 
 
 @query(f"with {IV} select a.id, count(*) as n, cast(sum(least(a.stop, b.stop) - greatest(a.start, b.start)) as bigint) as bases from a join b on a.chrom = b.chrom and a.start < b.stop and b.start < a.stop group by 1")
 def range_join_counts(spark, d):
-    x = I.range_join(even(spark, d), odd(spark, d), WIDTH)
+    x = I.range_join(shipped(spark, d), ordered(spark, d), WIDTH)
     return x.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.least("stop", "b_stop") - F.greatest("start", "b_start")).alias("bases"))
 
 
 @query(f"with {IV} select id, chrom, start, stop from a where exists (select 1 from b where a.chrom = b.chrom and a.start < b.stop and b.start < a.stop)")
 def interval_overlap_semi(spark, d):
-    return I.range_join(even(spark, d), odd(spark, d), WIDTH, "left_semi", key=["id"]).select("id", "chrom", "start", "stop")
+    return I.range_join(shipped(spark, d), ordered(spark, d), WIDTH, "left_semi", key=["id"]).select("id", "chrom", "start", "stop")
 
 
 @query(f"with {IV} select id, chrom, start, stop from a where not exists (select 1 from b where a.chrom = b.chrom and a.start < b.stop and b.start < a.stop)")
 def interval_overlap_anti(spark, d):
-    return I.range_join(even(spark, d), odd(spark, d), WIDTH, "left_anti", key=["id"]).select("id", "chrom", "start", "stop")
+    return I.range_join(shipped(spark, d), ordered(spark, d), WIDTH, "left_anti", key=["id"]).select("id", "chrom", "start", "stop")
 
 
 @query(f"""with {IV}, {merged('b', 'm')}, c as (select a.id, a.start as s, a.stop as e, m.start as bs, m.stop as be from a join m on a.chrom = m.chrom and a.start < m.stop and m.start < a.stop),
 p as (select id, coalesce(lag(be) over (partition by id order by bs), s) as start, bs as stop from c union all select id, max(be), max(e) from c group by id
 union all select id, start, stop from a where id not in (select id from c)) select id, start, stop from p where start < stop""")
 def interval_subtract(spark, d):
-    return I.subtract(even(spark, d).select("id", "chrom", "start", "stop"), odd(spark, d), WIDTH).select("id", "start", "stop")
+    return I.subtract(shipped(spark, d).select("id", "chrom", "start", "stop"), ordered(spark, d), WIDTH).select("id", "start", "stop")
 
 
 @query(f"""with {IV}, {merged('iv', 'm')}, u as (select chrom, start, stop from m union all select chrom, size, size from genome),
@@ -95,7 +97,7 @@ def interval_complement(spark, d):
 @query(f"""with {IV}, p as (select a.id, b.start as bs, b.stop as be, case when a.start < b.stop and b.start < a.stop then 0 when b.stop <= a.start then a.start - b.stop else b.start - a.stop end as dist from a join b on a.chrom = b.chrom),
 r as (select *, row_number() over (partition by id order by dist, bs, be) as k from p) select id, bs as b_start, be as b_stop, dist as distance from r where k = 1""")
 def interval_closest(spark, d):
-    return I.closest(even(spark, d), odd(spark, d), WIDTH, 256).where("distance is not null").select("id", "b_start", "b_stop", "distance")
+    return I.closest(shipped(spark, d), ordered(spark, d), WIDTH, 256).where("distance is not null").select("id", "b_start", "b_stop", "distance")
 
 
 @query(f"with {IV}, s as (select chrom, size, unnest(range(0, size, 500)) as start from genome) select chrom, start, least(start + 500, size) as stop from s")
@@ -126,7 +128,7 @@ def coverage_statistics(spark, d):
 @query(f"""with {IV}, {merged('a', 'm')}, {merged('b', 'n')}, i as (select sum(least(m.stop, n.stop) - greatest(m.start, n.start)) as shared from m join n on m.chrom = n.chrom and m.start < n.stop and n.start < m.stop),
 x as (select (select sum(stop - start) from m) + (select sum(stop - start) from n) as s) select cast(shared as bigint) as shared, cast(s - shared as bigint) as either, round(shared / (s - shared), 9) as jaccard from i, x""")
 def interval_jaccard(spark, d):
-    return I.jaccard(even(spark, d), odd(spark, d), WIDTH).withColumn("jaccard", F.round("jaccard", 9))
+    return I.jaccard(shipped(spark, d), ordered(spark, d), WIDTH).withColumn("jaccard", F.round("jaccard", 9))
 
 
 @query(f"with {IV} select id, greatest(0, start - 10) as start, least(size, stop + 20) as stop from iv join genome using (chrom)")
