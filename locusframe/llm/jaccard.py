@@ -50,6 +50,8 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 #: A shingle is common if one in so many documents or more has it.
 COMMON = 100
+#: Shingles that are held at once to count them, or on each side of a block of the product, about.
+SIDE = 1_000_000
 
 
 def shingle_ids(docs: DataFrame, text: str, width: int) -> DataFrame:
@@ -57,19 +59,32 @@ def shingle_ids(docs: DataFrame, text: str, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_shingles", "set_id", "token", "count"]
+
+        def common(sets: dict[int, np.ndarray], documents: int, kind: pa.DataType) -> pa.RecordBatch:
+            tokens, count = np.unique(np.concatenate([*sets.values()]) >> U(64 - BITS), return_counts=True)
+            some = count >= max(2, documents // COMMON + 1)
+            none = pa.nulls(int(some.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.nulls(len(none), kind), none, none, pa.array(tokens[some].astype(np.int64)), pa.array(count[some].astype(np.int64))], names=names)
+
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
-                n, ids, sets = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), {}
+                kind = b.schema.field("doc_id").type
+                n, ids = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+                sets, held, documents = {}, 0, 0
                 for i, s in shingle_sets(texts_of(b.column("text")), width):
                     n[i], ids[i] = len(s), set_digest(s)
-                    sets[int(ids[i])] = s
-                tokens, count = np.unique(np.concatenate([*sets.values()]) >> U(64 - BITS), return_counts=True)
-                some = count >= max(2, b.num_rows // COMMON + 1)
+                    documents += 1
+                    if int(ids[i]) not in sets:
+                        sets[int(ids[i])] = s
+                        held += len(s)
+                    if held > SIDE:
+                        yield common(sets, documents, kind)
+                        sets, held, documents = {}, 0, 0
+                if sets:
+                    yield common(sets, documents, kind)
                 none = pa.nulls(b.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(ids), none, none], names=names)
-                none = pa.nulls(int(some.sum()), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(none), b.schema.field("doc_id").type), none, none, pa.array(tokens[some].astype(np.int64)), pa.array(count[some].astype(np.int64))], names=names)
 
     return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles bigint, set_id bigint, token bigint, count bigint")
 
@@ -77,7 +92,7 @@ def shingle_ids(docs: DataFrame, text: str, width: int) -> DataFrame:
 def common_shingles(counted: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, counts) of the common shingles of rows (token, count).
 
-    Only counts of 1024 documents among which a shingle is common are summed. So all that one in 50
+    Only counts of up to 1024 documents among which a shingle is common are summed. So all that one in 50
     of all documents has are here, and at most COMMON for each shingle of a document of mean length.
     """
     found = counted.where("token is not null").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") * COMMON >= documents).orderBy("token").collect()
@@ -270,8 +285,8 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-#: Shingles and sets that a block of the product has on each side, about.
-SIDE, ROWS = 1_000_000, 1024
+#: Sets that a block of the product has on each side, about.
+ROWS = 1024
 #: Sets that have a shingle from which on its column counts as dense.
 DENSE = 32
 
