@@ -232,3 +232,23 @@ def trim_reads(df: DataFrame, adapter: str, quality: int, window: int, least: in
         return out
 
     return by_batch(df, ["id", "seq", "qual"], f"id {dict(df.dtypes)['id']}, seq string, qual array<int>", rows)
+
+
+def approximate_hits(df: DataFrame, pattern: str, mismatches: int) -> DataFrame:
+    """Rows (id, start, mismatches): every place where a pattern of plain letters stands with at most so many letters changed."""
+    p = np.frombuffer(pattern.encode("ascii"), np.uint8)
+
+    def rows(batch: list[tuple]) -> dict[str, list]:
+        out: dict[str, list] = {"id": [], "start": [], "mismatches": []}
+        for i, s in batch:
+            x = np.frombuffer((s or "").encode("ascii", "replace"), np.uint8)
+            if len(x) < len(p):
+                continue
+            n = sum((x[k : len(x) - len(p) + 1 + k] != p[k]).astype(np.int64) for k in range(len(p)))
+            at = np.flatnonzero(n <= mismatches)
+            out["id"] += [i] * len(at)
+            out["start"] += at.tolist()
+            out["mismatches"] += n[at].tolist()
+        return out
+
+    return by_batch(df, ["id", "seq"], f"id {dict(df.dtypes)['id']}, start bigint, mismatches bigint", rows)

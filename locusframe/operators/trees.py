@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
@@ -154,3 +156,34 @@ def newick_nodes(df: DataFrame) -> DataFrame:
         return {c: [r[k] for r in found] for k, c in enumerate(("id", "node", "parent", "name", "length"))}
 
     return by_batch(df, ["id", "newick"], f"id {dict(df.dtypes)['id']}, node int, parent int, name string, length double", rows)
+
+
+def agglomerate(df: DataFrame, by: str, count: int, method: str = "average") -> DataFrame:
+    """Rows (by, id, cluster) of rows (by, id, v array<double>): each group's vectors joined, nearest clusters first, until `count` are left.
+
+    Distances are Euclidean; method single, complete or average, updated by Lance and Williams'
+    formula; ties go to the lowest pair. Clusters are numbered by their smallest id from 0. A group
+    is one task with a matrix of its distances, so groups should be of thousands at most.
+    """
+    kinds = dict(df.dtypes)
+
+    def run(group: pa.Table) -> pa.Table:
+        order = np.argsort(np.array(group.column("id").to_pylist(), object), kind="stable")
+        x = np.array(group.column("v").to_pylist(), float)[order]
+        d = np.sqrt(np.maximum(0, ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))) if len(x) <= 256 else np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T))
+        np.fill_diagonal(d, np.inf)
+        size, label = np.ones(len(x)), np.arange(len(x))
+        for _ in range(max(0, len(x) - count)):
+            i, j = divmod(int(d.argmin()), len(x))
+            i, j = min(i, j), max(i, j)
+            a, b = d[i], d[j]
+            joined = np.minimum(a, b) if method == "single" else np.maximum(a, b) if method == "complete" else (size[i] * a + size[j] * b) / (size[i] + size[j])
+            d[i], d[:, i] = joined, joined
+            d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
+            size[i] += size[j]
+            label[label == j] = i
+        _, cluster = np.unique(label, return_inverse=True)
+        index = pa.array(order)
+        return pa.table({by: group.column(by).take(index), "id": group.column("id").take(index), "cluster": pa.array(cluster.astype(np.int64))})
+
+    return df.select(by, "id", "v").groupBy(by).applyInArrow(run, f"{by} {kinds[by]}, id {kinds['id']}, cluster bigint")

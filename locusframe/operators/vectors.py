@@ -70,6 +70,25 @@ def assign(df: DataFrame, centers: DataFrame) -> DataFrame:
     return df.crossJoin(every).withColumn("_b", best).select("id", "_b.label", "_b.squared", "v")
 
 
+def spread_seeds(df: DataFrame, k: int, seed: str = "0") -> DataFrame:
+    """k starting centers (label, c) of rows (id, v) as k-means++ draws them: each with odds of its squared distance to the nearest so far.
+
+    A draw is the greatest of log(squared distance) plus Gumbel noise of a hash of seed, round and
+    id, so a round is one pass with a maximum, the same in every run. The centers are k rows.
+    """
+    chosen: list[list[float]] = []
+    for i in range(k):
+        u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{i}:"), F.col("id").cast("string"))), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+        gaps = [F.aggregate(F.zip_with("v", F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, y: t + y) for c in chosen]
+        least = F.least(*gaps) if len(gaps) > 1 else gaps[0] if gaps else F.lit(1.0)
+        draw = F.when(least > 0, F.log(least) - F.log(-F.log(u)))
+        best = df.agg(F.max_by(F.col("v"), F.struct(draw, F.col("id"))).alias("v"), F.max(draw).alias("d")).first()
+        if best is None or best["d"] is None:
+            break  # fewer distinct rows than k
+        chosen.append([float(x) for x in best["v"]])
+    return df.sparkSession.createDataFrame(list(enumerate(chosen)), "label long, c array<double>")
+
+
 def kmeans(df: DataFrame, seeds: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
     """Lloyd's algorithm from seeds(label, c) for a fixed number of rounds: (assignment, centers). The centers are k rows."""
     centers = seeds

@@ -6,12 +6,18 @@ from pyspark.sql import functions as F
 
 from locusframe.operators import omics as O
 from locusframe.operators import quality as Q
+from locusframe.operators import communities as C
+from locusframe.operators import sequences as N
 from locusframe.operators import stats as S
+from locusframe.operators import trees as T
+from locusframe.operators import vectors as V
+from locusframe.operators.staging import folder
 
 from .omics_queries import CELL, ERF, cells
 from .registry import query, table
 from .sequence_queries import DNA, LETTERS, SEQ, sequences
 from .stats_queries import R
+from .vector_graph_queries import EMB, edges, vectors
 
 QUAL = "r as (select l_orderkey as id, list(cast(l_quantity as int) order by l_linenumber, l_partkey, l_suppkey, l_quantity) as qual from lineitem group by 1)"
 
@@ -54,3 +60,51 @@ def adjusted_expression_tests(spark, d):
     x = S.two_samples(x.withColumn("g", F.col("cluster")), "v", "g", ["gene"])
     x = x.select("gene", (-F.col("welch_t")).alias("z")).withColumn("p", F.round(O.normal_p(F.col("z")), 9)).withColumn("one", F.lit(1))
     return R(S.adjust(x, "p", ["one"]).select("gene", "z", "p", "bh"))
+
+
+@query(f"""with {SEQ}, p as (select id, i - 1 as start, {' + '.join(f"cast(substr(seq, i + {k}, 1) <> '{c}' as int)" for k, c in enumerate('GATTACA'))} as mismatches from (select id, seq, unnest(range(1, length(seq) - 5)) as i from s)) select id, start, cast(mismatches as bigint) as mismatches from p where mismatches <= 1""")
+def approximate_motif_hits(spark, d):
+    return N.approximate_hits(sequences(spark, d), "GATTACA", 1)
+
+
+@query()
+def louvain_communities(spark, d):
+    return C.louvain(edges(spark, d))
+
+
+@query()
+def hierarchical_clusters(spark, d):
+    return T.agglomerate(vectors(spark, d), "label", 4, "complete")
+
+
+def _seed(i: int) -> str:
+    u = f"(cast('0x' || substr(md5('0:{i}:' || cast(e.id as varchar)), 1, 8) as bigint)::double + 0.5) / 4294967296"
+    if not i:
+        return f"c0 as (select v from (select e.v, -ln(-ln({u})) as d, id from e) order by d desc, id desc limit 1)"
+    gaps = [f"(select list_sum(list_transform(range(1, 65), lambda i: (a.v[i] - c{k}.v[i]) ** 2)) from c{k})" for k in range(i)]
+    low = f"least({', '.join(gaps)})" if i > 1 else gaps[0]
+    return f"c{i} as (select v from (select a.v, ln(low) - ln(-ln({u.replace('e.id', 'a.id')})) as d, id from (select a.*, {low} as low from e a) a where low > 0) order by d desc, id desc limit 1)"
+
+
+@query(f"with {EMB}, {', '.join(map(_seed, range(4)))} {' union all '.join(f'select cast({i} as bigint) as label, list_transform(v, lambda x: round(x, 6)) as c from c{i}' for i in range(4))}")
+def spread_seeds(spark, d):
+    return V.spread_seeds(vectors(spark, d).select("id", "v"), 4).select("label", F.transform("c", lambda x: F.round(x, 6)).alias("c"))
+
+
+@query("select c_custkey, c_name, c_acctbal, c_mktsegment from customer")
+def csv_round_trip(spark, d):
+    at = folder(spark, "formats-csv")
+    x = table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    x.write.option("header", True).csv(at)
+    return spark.read.option("header", True).schema(x.schema).csv(at)
+
+
+@query("with x as (select p_type, p_brand, count(*) as n from part group by 1, 2), t as (select count(*)::double as t from part), m as (select p_type, p_brand, n, sum(n) over (partition by p_type) as a, sum(n) over (partition by p_brand) as b from x) select p_type, p_brand, round(n / t * ln(n * t / (a * b)), 9) as mi from m, t order by mi desc, p_type, p_brand limit 12")
+def top_mutual_information(spark, d):
+    from locusframe.operators.ordering import top
+
+    x = table(spark, d, "part").groupBy("p_type", "p_brand").agg(F.count("*").alias("n"))
+    a, b = (x.groupBy(F.col(c).alias(f"_{c}")).agg(F.sum("n").alias(k)) for c, k in (("p_type", "a"), ("p_brand", "b")))
+    x = x.join(a, F.col("p_type") == F.col("_p_type")).join(b, F.col("p_brand") == F.col("_p_brand")).crossJoin(F.broadcast(x.agg(F.sum("n").cast("double").alias("t"))))
+    x = x.select("p_type", "p_brand", F.round(F.col("n") / F.col("t") * F.ln(F.col("n") * F.col("t") / (F.col("a") * F.col("b"))), 9).alias("mi"))
+    return top(x, [F.desc("mi"), F.asc("p_type"), F.asc("p_brand")], 12)
