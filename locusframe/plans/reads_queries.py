@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from locusframe.operators import effects as E
 from locusframe.operators import genetics as G
 from locusframe.operators import ordering as O
 from locusframe.operators import profiles as P
@@ -227,3 +228,38 @@ def recent_event_windows(spark, d):
     x = table(spark, d, "events").withColumn("_t", F.unix_micros(F.col("ts").cast("timestamp")))
     line = W.partitionBy("user_id").orderBy("_t").rangeBetween(-6 * 3_600_000_000, 0)
     return x.select("event_id", F.count("*").over(line).alias("recent"), F.round(F.sum("value").over(line), 5).alias("total"))
+
+
+def transcripts(spark, d):
+    """Made transcripts of three exons, 30 bases each, 10 apart; the coding part leaves 6 bases at either end."""
+    k, a = F.col("p_partkey"), F.col("p_partkey") * 40
+    exons = F.array(*[F.struct((a + 40 * i).alias("start"), (a + 40 * i + 30).alias("stop")) for i in range(3)])
+    return table(spark, d, "part").select(F.concat(F.lit("t"), k.cast("string")).alias("transcript"), F.concat(F.lit("chr"), (F.col("p_size") % 3).cast("string")).alias("chrom"), a.alias("start"), (a + 110).alias("stop"), F.when(k % 2 == 0, "+").otherwise("-").alias("strand"),
+                                          (k % 7 != 0).alias("coding"), exons.alias("exons"), (a + 6).alias("cds_start"), (a + 104).alias("cds_stop"), F.expr("concat('ATG', repeat('GCA', 24), 'TAA')").alias("cds"))
+
+
+@query()
+def variant_consequences(spark, d):
+    k = F.col("o_orderkey")
+    v = table(spark, d, "orders").select(k.alias("id"), F.concat(F.lit("chr"), (k % 3).cast("string")).alias("chrom"), (k % 80_000 + 1).alias("position"), F.lit("A").alias("ref"), F.expr("substr('CGTCAGTT', cast(o_orderkey % 5 + 1 as int), cast(1 + o_orderkey % 11 div 10 as int))").alias("alt"))
+    return E.variant_effects(v, transcripts(spark, d), 20, 128)
+
+
+@query(f"with {READ} select rname, count(*) as n, min(pos) as first, max(pos) as last, round(avg(mapq), 6) as mapq, count(distinct qname) as names from reads group by 1")
+def read_summaries(spark, d):
+    return R(reads(spark, d).groupBy("rname").agg(F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.avg("mapq").alias("mapq"), F.count_distinct("qname").alias("names")))
+
+
+@query("with i as (select l_partkey as chrom, cast(l_quantity as bigint) as size from lineitem) select chrom, count(*) as n, cast(sum(size) as bigint) as bases, min(size) as shortest, max(size) as longest, round(avg(size), 6) as mean, round(median(size), 6) as median from i group by 1")
+def interval_summaries(spark, d):
+    x = table(spark, d, "lineitem").select(F.col("l_partkey").alias("chrom"), F.col("l_quantity").cast("long").alias("size"))
+    return R(x.groupBy("chrom").agg(F.count("*").alias("n"), F.sum("size").alias("bases"), F.min("size").alias("shortest"), F.max("size").alias("longest"), F.avg("size").alias("mean"), F.percentile("size", 0.5).alias("median")))
+
+
+@query("""with q as (select l_orderkey as id, list(cast(l_quantity as int)) as q from lineitem group by 1) select count(*) as reads, cast(sum(len(q)) as bigint) as bases, round(sum(list_sum(q)) / sum(len(q)), 6) as mean_quality,
+ round(sum(len(list_filter(q, lambda x: x >= 20))) / sum(len(q)), 6) as q20, round(sum(len(list_filter(q, lambda x: x >= 30))) / sum(len(q)), 6) as q30, min(len(q)) as shortest, max(len(q)) as longest from q""")
+def quality_summary(spark, d):
+    x = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity").cast("int")).alias("q"))
+    share = lambda t: (F.sum(F.size(F.filter("q", lambda v: v >= t))) / F.sum(F.size("q")))
+    return R(x.agg(F.count("*").alias("reads"), F.sum(F.size("q")).alias("bases"), (F.sum(F.aggregate("q", F.lit(0), lambda t, v: t + v)) / F.sum(F.size("q"))).alias("mean_quality"), share(20).alias("q20"), share(30).alias("q30"),
+                   F.min(F.size("q")).cast("long").alias("shortest"), F.max(F.size("q")).cast("long").alias("longest")))

@@ -73,3 +73,79 @@ def test_alignments_of_a_batch_are_those_of_each_pair():
     for a, b in pairs:
         near = a[: len(a) // 2] + "G" + a[len(a) // 2 :]
         assert alignment.align(a, near, band=3)[0] == alignment.align(a, near)[0] and alignment.align(a, b, band=0)[0] <= alignment.align(a, b)[0]
+
+
+def consequence(v, t, beside=5000, splice=8):
+    """One variant on one transcript, base by base."""
+    from locusframe.functions.sequence import codons
+
+    _, chrom, position, ref, alt = v
+    name, c, start, stop, strand, coding, exons, cs, ce, cds = t
+    p, back = position - 1, strand == "-"
+    if chrom != c or not start - beside <= p < stop + beside:
+        return None
+    if p < start:
+        return "downstream" if back else "upstream"
+    if p >= stop:
+        return "upstream" if back else "downstream"
+    if not coding:
+        return "non_coding"
+    inside = [q for a, b in exons for q in range(a, b)]
+    if p not in inside:
+        left, right = max((p - q for q in inside if q < p), default=99) and min(p - q for q in inside if q < p) - 1, min(q - p for q in inside if q > p) - 1
+        donor, acceptor = (right, left) if back else (left, right)
+        return "splice_donor" if donor < 2 else "splice_acceptor" if acceptor < 2 else "splice_region" if min(left, right) < splice else "intron"
+    if not cs <= p < ce:
+        return "utr_5" if (p < cs) != back else "utr_3"
+    bases = [q for q in inside if cs <= q < ce]
+    at = (bases[::-1] if back else bases).index(p)
+    if len(ref) != 1 or len(alt) != 1:
+        grown = len(alt) - len(ref)
+        return "frameshift" if grown % 3 else "inframe_insertion" if grown > 0 else "inframe_deletion" if grown < 0 else "block_substitution"
+    old = cds[at // 3 * 3 : at // 3 * 3 + 3]
+    letter = alt.translate(str.maketrans("ACGT", "TGCA")) if back else alt
+    new = old[: at % 3] + letter + old[at % 3 + 1 :]
+    a, b = (codons()[x] for x in (old, new))
+    return "start_lost" if at < 3 and a != b else "synonymous" if a == b else "stop_gained" if b == "*" else "stop_lost" if a == "*" else "missense"
+
+
+def test_consequences_base_by_base(spark):
+    from locusframe.operators import effects
+
+    rnd = random.Random(9)
+    t = []
+    for i in range(4):
+        start = 100 + 150 * i
+        exons = [(start, start + 30), (start + 60, start + 95), (start + 97, start + 120)]
+        cds = "ATG" + "".join(rnd.choice(["GCA", "TTG", "AAA", "TAT", "CAG"]) for _ in range(24)) + "TAA"
+        bases = [q for a, b in exons for q in range(a, b)]
+        t.append((f"t{i}", "c1" if i < 3 else "c2", start, start + 120, "+-"[i % 2], i != 2, exons, bases[3], bases[3 + 78 - 1] + 1, cds))
+    v = [(i, rnd.choice(["c1", "c2"]), rnd.randint(60, 720), *rnd.choice([("A", "C"), ("A", "G"), ("C", "T"), ("G", "A"), ("T", "A"), ("A", "AC"), ("ACGT", "A"), ("A", "ACGT"), ("AC", "GT")])) for i in range(700)]
+    df = spark.createDataFrame(v, "id long, chrom string, position long, ref string, alt string")
+    tt = spark.createDataFrame(t, "transcript string, chrom string, start long, stop long, strand string, coding boolean, exons array<struct<start:long,stop:long>>, cds_start long, cds_stop long, cds string")
+    found = {(r.id, r.transcript): r.effect for r in effects.variant_effects(df, tt, 20, 64).collect()}
+    expected = {(x[0], y[0]): e for x in v for y in t if (e := consequence(x, y, 20))}
+    assert found == expected and len(set(expected.values())) >= 14
+
+
+def test_bam_is_read(spark, tmp_path):
+    import gzip
+    import struct
+
+    from locusframe.sources import bam
+
+    def record(name, flag, ref, pos, mapq, ops, mate, mate_pos, tlen, seq, qual):
+        packed = bytes((bam.BASES.index(a) << 4 | (bam.BASES.index(b) if b else 0)) for a, b in zip(seq[::2], [*seq[1::2], ""] if len(seq) % 2 else seq[1::2]))
+        body = struct.pack("<iiBBHHHiiii", ref, pos - 1, len(name) + 1, mapq, 0, len(ops), flag, len(seq), mate, mate_pos - 1, tlen) + name.encode() + b"\0"
+        body += b"".join(struct.pack("<I", n << 4 | bam.OPERATIONS.index(o)) for n, o in ops) + packed + (bytes(qual) if qual else b"\xff" * len(seq)) + b"XXi\1\0\0\0"
+        return struct.pack("<i", len(body)) + body
+
+    head = b"BAM\1" + struct.pack("<i", 5) + b"@HD\tX" + struct.pack("<i", 2) + b"".join(struct.pack("<i", 5) + n + b"\0" + struct.pack("<i", 1000) for n in (b"chr1", b"chr2"))
+    reads_ = [record(f"r{i}", 99, 0, 7 + i, 30, [(3, "M"), (2, "D"), (2, "S")], 0, 37, 39, "ACGTN", [1, 2, 3, 4, 40]) for i in range(300)]
+    reads_ += [record("m", 1, 1, 5, 9, [(4, "M")], 0, 2, 0, "ACGT", None), record("u", 4, -1, 0, 0, [], -1, 0, 0, "", None)]
+    data = head + b"".join(reads_)
+    (tmp_path / "a.bam").write_bytes(b"".join(gzip.compress(data[i : i + 4000]) for i in range(0, len(data), 4000)) + gzip.compress(b""))
+    found = {r.qname: r for r in bam.read_bam(spark, str(tmp_path / "a.bam")).collect()}
+    assert len(found) == 302 and tuple(found["r2"]) == ("r2", 99, "chr1", 9, 30, "3M2D2S", "=", 37, 39, "ACGTN", "\"#$%I")
+    assert tuple(found["m"])[:9] == ("m", 1, "chr2", 5, 9, "4M", "chr1", 2, 0) and found["m"].quality is None
+    assert tuple(found["u"]) == ("u", 4, "*", 0, 0, "*", "*", 0, 0, "*", None)
