@@ -22,7 +22,7 @@ WORD = re.compile(r"[^\W_]+")
 #: Quotation marks, what closes each; straight ones pair within a line.
 MARK = re.compile("[“”«»„\"\n]")
 CLOSES = {"”": "“„", "“": "„", "»": "«"}
-#: Words that report what somebody said, and words that speak to somebody; fixed lists.
+#: Words that report what somebody said, and words that speak to somebody; fixed lists, to which fit() adds.
 REPORT = frozenset("said says say wrote writes called calls quote quoted quotes word term dit écrit appelle sagte sagt schrieb nannte dijo dice escribió llamó".split())
 ADDRESS = frozenset("you your yours youre u du dich dir dein deine ihr tu te toi vous votre ton usted tú ti tus".split())
 #: Words to each side of a term that make its context window.
@@ -153,11 +153,13 @@ class FuzzyTrie:
 
 @dataclass(frozen=True)
 class Model:
-    """What fit() learned: terms, harmless neighbours of terms, weights of features() and last their intercept."""
+    """What fit() learned: terms, harmless neighbours of terms, weights of features() and last their intercept, words whose windows report a term and words whose windows address somebody."""
 
     terms: tuple[str, ...]
     harmless: tuple[str, ...]
     weights: tuple[float, ...]
+    report: tuple[str, ...] = ()
+    address: tuple[str, ...] = ()
 
 
 class Scorer:
@@ -168,6 +170,7 @@ class Scorer:
         self.trie = FuzzyTrie(model.terms)
         self.harmless = frozenset(model.harmless)
         self.weights = np.array(model.weights)
+        self.report, self.address = REPORT.union(model.report), ADDRESS.union(model.address)
         self.seen: set[str] = set()
         self.hit: dict[str, bool] = {}
 
@@ -208,14 +211,21 @@ class Scorer:
             while at < len(marks) and marks[at][1] <= m.start():
                 at += 1
             around = words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW]
-            quoted = at < len(marks) and marks[at][0] <= m.start() or not REPORT.isdisjoint(around)
+            quoted = at < len(marks) and marks[at][0] <= m.start() or not self.report.isdisjoint(around)
             count[quoted][not kind] += 1
-            spoken += (QUOTE_WEIGHT if quoted else 1.0) * (not ADDRESS.isdisjoint(around))
+            spoken += (QUOTE_WEIGHT if quoted else 1.0) * (not self.address.isdisjoint(around))
         (exact, near), quoted_terms = count[0], count[1]
         weight = exact + near + QUOTE_WEIGHT * sum(quoted_terms)
         return (math.log1p(exact), math.log1p(near), math.log1p(quoted_terms[0]), math.log1p(quoted_terms[1]),
                 min(1.0, 20 * weight / len(words)), spoken / weight, float(weight >= 2))
 
+    def around(self, text: str) -> set[str]:
+        """Words that stand in a window of a term."""
+        words = WORD.findall(text.lower())
+        if not self.trie.children[0] or not self.hits(words):
+            return set()
+        return {x for i, w in enumerate(words) if w in self.hit for x in words[max(0, i - WINDOW) : i] + words[i + 1 : i + 1 + WINDOW] if x not in self.hit}
+
     def score(self, text: str) -> float:
         z = float(np.dot(self.weights[:-1], self.features(text)) + self.weights[-1])
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
@@ -288,6 +298,14 @@ def lexicon(bad: DataFrame, good: DataFrame, base: float) -> tuple[str, ...]:
     return tuple(sorted([*chosen, *(w for w in gain if w[-1] != "*" and not any(w[:k] in heads for k in STEMS if k < len(w)))]))
 
 
+def leaning(here: DataFrame, there: DataFrame, odds: float) -> tuple[str, ...]:
+    """Words of rows (word, n) that stand here so much oftener than odds that the likelihood ratio beats the number of words tried."""
+    x = here.join(there.select(F.col("word").alias("_w"), F.col("n").alias("c0")), F.col("word") == F.col("_w"), "left").withColumn("c0", F.coalesce("c0", F.lit(0)))
+    p = F.col("n") / (F.col("n") + F.col("c0"))
+    ratio = F.col("n") * F.log(p / odds) + F.when(F.col("c0") > 0, F.col("c0") * F.log((1 - p) / (1 - odds))).otherwise(0.0)
+    return tuple(sorted(r["word"] for r in x.where((p > odds) & (ratio >= math.log(here.count() + 1) + 3)).select("word").collect()))
+
+
 def counted(sample: DataFrame, words_of) -> DataFrame:
     """Rows (word, n, mask): in how many texts of sample words_of finds each word, and its bits if it gives any."""
 
@@ -338,6 +356,13 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> Model:
 
     near = counted(good, neighbours).select("word").collect()
     model = Model(found, tuple(sorted(r["word"] for r in near)), blank.weights)
+    # a window's words and, as "", that there is one
+    toxic, clean = (staged(counted(x, lambda t: (w := scorer(model).around(t)) and w | {""}), "windows") for x in (bad, good))
+    windows = [(x.where("word = ''").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]) for x in (toxic, clean)]
+    if all(windows):
+        share = windows[0] / sum(windows)
+        toxic, clean = toxic.where("word != ''"), clean.where("word != ''")
+        model = Model(model.terms, model.harmless, model.weights, leaning(clean, toxic, 1 - share), leaning(toxic, clean, share))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = scorer(model)
@@ -353,7 +378,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> Model:
         w[1] = w[0] / 2
     for own, quoted in ((0, 2), (1, 3)):  # a quoted term never speaks more than one of the text's own
         w[quoted] = min(w[own], w[quoted]) if x[:, quoted].sum() >= 5 else QUOTE_WEIGHT * w[own]
-    return Model(model.terms, model.harmless, tuple(float(v) for v in w))
+    return Model(model.terms, model.harmless, tuple(float(v) for v in w), model.report, model.address)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score") -> DataFrame:

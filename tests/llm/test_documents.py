@@ -420,6 +420,18 @@ def test_quotations():
     assert spans("«a “b” c» ” » «") == ["«a “b” c»"] and spans("") == []
 
 
+def test_toxicity_learns_contexts(spark):
+    rnd = random.Random(6)
+    say = lambda n: " ".join(f"w{rnd.randint(0, 300)}" for _ in range(n))
+    bad = [f"{say(8)} listen blackguard {say(8)} blackguard moronic {say(6)}" for _ in range(150)]
+    good = [f"{say(10)} blackguard glossary {say(10)}" for _ in range(60)] + [say(25) + " listen " * (k % 2) for k in range(500)]
+    rows = [(i, t, int(i < len(bad))) for i, t in enumerate(bad + good)]
+    model = toxicity.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert "blackguard" in model.terms and model.report == ("glossary",) and "listen" in model.address
+    scorer = toxicity.Scorer(model)
+    assert scorer.score("a blackguard glossary of the trade") < scorer.score("listen blackguard the trade is")
+
+
 def test_toxicity_counts_copies_once(spark):
     rnd = random.Random(4)
     text = lambda: " ".join(f"w{rnd.randint(0, 200)}" for _ in range(30))
