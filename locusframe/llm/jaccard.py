@@ -286,7 +286,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 #: Sets that a block of the product has on each side, about.
-ROWS = 1024
+ROWS = 384
 #: Sets that have a shingle from which on its column counts as dense.
 DENSE = 32
 
@@ -300,7 +300,7 @@ def product(tokens: list[np.ndarray]) -> np.ndarray:
     t, row = t[by], row[by]
     begin = np.flatnonzero(np.diff(t, prepend=t[:1] ^ U(1)) != 0)
     df = np.diff(begin, append=len(t))
-    out = np.zeros((n, n))
+    out = np.zeros((n, n), np.float32)  # counts under 2 ** 24
     rare = np.repeat(df < DENSE, df)
     a, r = t[rare], row[rare]
     for d in range(1, min(DENSE, len(a))):
@@ -311,12 +311,12 @@ def product(tokens: list[np.ndarray]) -> np.ndarray:
     out += out.T
     column = np.repeat(np.cumsum(df >= DENSE) - 1, df)[~rare]
     r = row[~rare]
-    for k in range(0, int((df >= DENSE).sum()), 4096):
-        here = slice(*np.searchsorted(column, [k, k + 4096]))
-        x = np.zeros((n, 4096), np.float32)
+    for k in range(0, int((df >= DENSE).sum()), 1024):
+        here = slice(*np.searchsorted(column, [k, k + 1024]))
+        x = np.zeros((n, 1024), np.float32)
         x[r[here], column[here] - k] = 1
         out += x @ x.T
-    return out.astype(np.int64)
+    return out.astype(np.int32)
 
 
 def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
