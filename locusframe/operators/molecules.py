@@ -6,6 +6,7 @@ import re
 import zlib
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from locusframe.functions.sequence import RESIDUE_MASS, WATER
@@ -150,6 +151,17 @@ def fragment_ions(peptide: Column) -> Column:
     return F.when(F.length(peptide) > 1, F.get(ions, F.lit(0)))
 
 
+def fragment_table(df: DataFrame) -> DataFrame:
+    """Rows (peptide, ion, number, mz): the singly charged b and y ions of distinct peptides of a column `peptide`, by running sums of residues."""
+    mass = F.create_map(*[F.lit(x) for kv in RESIDUE_MASS.items() for x in kv])
+    x = df.select("peptide", F.length("peptide").alias("n"), F.posexplode(F.filter(F.split("peptide", ""), lambda c: c != "")).alias("i", "aa")).withColumn("m", mass[F.col("aa")])
+    part = W.partitionBy("peptide")
+    b, all_ = F.sum("m").over(part.orderBy("i").rowsBetween(W.unboundedPreceding, 0)), F.sum("m").over(part)
+    x = x.withColumn("b", b).withColumn("y", all_ - F.col("b")).where(F.col("i") + 1 < F.col("n"))
+    ions = F.array(F.struct(F.lit("b").alias("ion"), (F.col("i") + 1).alias("number"), (F.col("b") + PROTON).alias("mz")), F.struct(F.lit("y").alias("ion"), (F.col("n") - F.col("i") - 1).alias("number"), (F.col("y") + WATER + PROTON).alias("mz")))
+    return x.select("peptide", F.explode(ions).alias("f")).select("peptide", "f.ion", "f.number", "f.mz")
+
+
 def tolerance_join(a: DataFrame, b: DataFrame, ppm: float) -> DataFrame:
     """Pairs of a(id, mz) and b(id, mz), b's columns named b_*, within ppm of b's mz; an equi-join on logarithmic buckets."""
     width = ppm * 1.1e-6

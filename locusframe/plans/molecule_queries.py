@@ -75,8 +75,7 @@ def tanimoto_pairs(spark, d):
  select peptide, 'b' as ion, cast(i as int) as number, round(cast(b as double) + 1.00728, 5) as mz from c where i < n union all select peptide, 'y', cast(n - i + 1 as int), round(cast(y as double) + 18.01056 + 1.00728, 5) from c where i > 1""")
 def peptide_fragments(spark, d):
     x = sequences(spark, d, PROTEIN).select(F.explode(Q.peptides(F.col("seq"))).alias("peptide")).where("length(peptide) >= 2").distinct()
-    x = x.select("peptide", F.explode(M.fragment_ions(F.col("peptide"))).alias("f"))
-    return x.select("peptide", "f.ion", "f.number", F.round("f.mz", 5).alias("mz"))
+    return M.fragment_table(x).withColumn("mz", F.round("mz", 5))
 
 
 @query("select o_orderkey as id, c_custkey as b_id from orders join customer on abs(o_totalprice / 50 - c_acctbal) <= c_acctbal * 20 * 1e-6 where c_acctbal > 0 and o_totalprice > 0")

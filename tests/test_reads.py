@@ -149,3 +149,12 @@ def test_bam_is_read(spark, tmp_path):
     assert len(found) == 302 and tuple(found["r2"]) == ("r2", 99, "chr1", 9, 30, "3M2D2S", "=", 37, 39, "ACGTN", "\"#$%I")
     assert tuple(found["m"])[:9] == ("m", 1, "chr2", 5, 9, "4M", "chr1", 2, 0) and found["m"].quality is None
     assert tuple(found["u"]) == ("u", 4, "*", 0, 0, "*", "*", 0, 0, "*", None)
+
+
+def test_fragment_rows_are_those_of_the_column(spark):
+    from locusframe.operators import molecules
+
+    x = spark.createDataFrame([("PEPTIDE",), ("K",), ("GG",), ("",)], "peptide string")
+    rows = {(r.peptide, r.ion, r.number): r.mz for r in molecules.fragment_table(x).collect()}
+    column = x.select("peptide", F.explode(molecules.fragment_ions(F.col("peptide"))).alias("f")).collect()
+    assert rows == {(r.peptide, r.f.ion, r.f.number): pytest.approx(r.f.mz) for r in column} and len(rows) == 14
