@@ -23,7 +23,7 @@ _WS = r"\t-\r " + "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 SPLIT = regex.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Words whose encoding a Python worker keeps; beyond that it starts afresh.
-MEMO = 400_000
+MEMO = 120_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -155,7 +155,14 @@ class Automaton:
             table[up[below], by[below]] = below
             shorter[own[here][own[here] >= 0]] = longest[suffix[here]][own[here] >= 0]
             longest[here] = np.where(own[here] >= 0, own[here], longest[suffix[here]])
-        self.step = memoryview(table.ravel())
+        # a place that nothing follows goes on like its longest suffix: it needs no row of its own
+        inner = np.zeros(len(child), bool)
+        inner[up[1:]] = True
+        row = np.cumsum(inner) - 1
+        for d in range(1, int(depth.max()) + 1):
+            here = np.flatnonzero((depth == d) & ~inner)
+            row[here] = row[suffix[here]]
+        self.step, self.row = memoryview(table[inner].ravel()), memoryview(row.astype(np.int32))
         self.longest, self.shorter = longest.tolist(), shorter.tolist()
         size = [0] * len(self.number)
         for word, t in tokens.items():
@@ -174,11 +181,11 @@ class Automaton:
         Exactly one path spells each prefix, so the state that it ends in is the one token that
         ends there, longest first, to which an arc leads from the state before it.
         """
-        step, longest, shorter, size, joins = self.step, self.longest, self.shorter, self.size, self.joins
+        step, row, longest, shorter, size, joins = self.step, self.row, self.longest, self.shorter, self.size, self.joins
         ends: list[int] = []
         place = 0
         for i, c in enumerate(word):
-            place = step[place << 8 | c]
+            place = step[row[place] << 8 | c]
             t = longest[place]
             while size[t] <= i and not joins(ends[i - size[t]], t):
                 t = shorter[t]

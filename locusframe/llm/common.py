@@ -201,7 +201,10 @@ def linked_components(met: DataFrame, extras: list[str], allowed: Column, verify
     compare(one.join(every, "token").where(apart & allowed).select(*pair))
     rest = open_.where(F.col("minors") > FEW).drop("o", "minors", "minor")
     if not rest.isEmpty():
-        more = staged(blocks(rest), "links")
+        # of tokens with the same items, told by their number and the sum of their hashes, one is enough
+        alike = rest.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).alias("h"), F.min("set_id").alias("i"))
+        one = alike.groupBy("n", "h", "i").agg(F.min("token").alias("_t")).select("_t")
+        more = staged(blocks(rest.join(one, F.col("token") == F.col("_t"), "left_semi")), "links")
         if not more.isEmpty():
             member = joined(more)
     if member is None:

@@ -14,7 +14,7 @@ from .common import beside_group, documents, linked_components, staged, tile_pai
 from .shingles import U, set_digest, shingle_sets
 
 #: Bytes of text whose postings go out together, and postings that one range or set partition gets.
-BLOCK, SHARE = 6 << 20, 2_000_000
+BLOCK, SHARE = 6 << 20, 1_000_000
 BITS = 48
 
 

@@ -9,7 +9,7 @@ import xxhash
 
 U = np.uint64
 #: Bytes hashed in one go; longer texts are hashed piece by piece.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 
 def _stream(seed: int, n: int) -> list[int]:
