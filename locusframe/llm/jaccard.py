@@ -44,6 +44,13 @@ def large(b: bytes) -> np.ndarray:
     return x.view(U).ravel()
 
 
+def cut(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, begin, end) of the runs of a sorted array of numbers from 0."""
+    if len(part):
+        at = np.flatnonzero(np.diff(part, prepend=-1))
+        yield from zip(part[at].tolist(), at.tolist(), [*at[1:].tolist(), len(part)], strict=True)
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     return [t if t is not None else b"" for t in column.cast(pa.binary()).to_pylist()]
 
@@ -123,12 +130,10 @@ def postings(docs: DataFrame, text: str, width: int, ranges: int, parts: int, co
             tokens, at = tokens[~known], at[~known]
         order = np.argsort(tokens)
         tokens, at = tokens[order], at[order]
-        part = ((tokens * U(ranges)) >> U(BITS)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(part, prepend=-1))
-        for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+        for p, a, b in cut(((tokens * U(ranges)) >> U(BITS)).astype(np.int64)):
             used, local = np.unique(at[a:b], return_inverse=True)
-            rows.append((int(part[a]), pack(np.diff(tokens[a:b], prepend=U(0))), pack(local.astype(np.uint32)), pack(ids[used]), pack(sizes[used]), None))
-        cols = zip(*rows, strict=True)
+            rows.append((p, pack(np.diff(tokens[a:b], prepend=U(0))), pack(local.astype(np.uint32)), pack(ids[used]), pack(sizes[used]), None))
+        cols = list(zip(*rows, strict=True)) or [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int32()] + [pa.binary()] * 5, strict=True)],
                                          names=["part", "tokens", "at", "ids", "sizes", "df"])
 
@@ -152,16 +157,13 @@ def postings(docs: DataFrame, text: str, width: int, ranges: int, parts: int, co
 
 def by_set(i: np.ndarray, n: np.ndarray, t: np.ndarray, df: np.ndarray, parts: int) -> list[tuple]:
     """(part, ids, sizes, counts, tokens, df) of the shingles t of sets i, dealt by set."""
-    if not len(i):
-        return []
     part = (i.view(U) % U(parts)).astype(np.int64)
     order = np.lexsort((t, i, part))
     t, i, n, df, part = t[order], i[order], n[order], df[order], part[order]
     rows = []
-    cuts = np.flatnonzero(np.diff(part, prepend=-1))
-    for a, b in zip(cuts, [*cuts[1:], len(part)], strict=True):
+    for p, a, b in cut(part):
         begin = np.flatnonzero(np.diff(i[a:b], prepend=i[a] ^ 1))
-        rows.append((int(part[a]), pack(i[a:b][begin]), pack(n[a:b][begin]), pack(np.diff(begin, append=b - a).astype(np.uint32)), pack(t[a:b]), pack(df[a:b])))
+        rows.append((p, pack(i[a:b][begin]), pack(n[a:b][begin]), pack(np.diff(begin, append=b - a).astype(np.uint32)), pack(t[a:b]), pack(df[a:b])))
     return rows
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, linked_components, staged, tile_pairs
-from .jaccard import pack, texts_of, unpack
-from .repeats import SHARE, bucket_of, cut, keys_of, opened, packed
+from .jaccard import cut, pack, texts_of, unpack
+from .repeats import SHARE, bucket_of, keys_of, opened, packed
 from .shingles import PIECE, U, _stream, mixed, powers
 
 KIND, PLACE_IN = (U(x) for x in _stream(21, 2))

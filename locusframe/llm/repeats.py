@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, staged
-from .jaccard import pack, texts_of, unpack
+from .jaccard import cut, pack, texts_of, unpack
 from .shingles import U, _stream, mixed, powers
 
 #: Bytes of a gram; a repeat of `length` bytes holds one that is the least of its grams.
@@ -250,12 +250,6 @@ def bucket_of(order: np.ndarray, hashed: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(order.view(U) * OTHER + hashed.view(U)) % U(parts)).astype(np.int64)
 
 
-def cut(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(value, begin, end) of the runs of a sorted array."""
-    at = np.flatnonzero(np.diff(part, prepend=-1))
-    yield from zip(part[at].tolist(), at.tolist(), [*at[1:].tolist(), len(part)], strict=True)
-
-
 def table(rows: list[dict], names: list[str]) -> pa.Table:
     return pa.table({n: pa.array([r[n] for r in rows], pa.int32() if n == "part" else pa.binary()) for n in names})
 
