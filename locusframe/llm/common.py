@@ -125,12 +125,12 @@ def tile_pairs(rows: DataFrame, near: Column, weight: Column, side: int, many: i
         "_t", "_c", "_tiles", "_near", "_own", "_other", "cell")
 
 
-#: Items outside a token's largest component that are compared with all others there pair by pair.
+#: Items outside a token's largest component that are compared with all others there pair by pair, if not said otherwise.
 FEW = 32
 
 
 def linked_components(met: DataFrame, extras: list[str], allowed: Column, verify: Callable[[DataFrame], DataFrame],
-                      blocks: Callable[[DataFrame], DataFrame], rank: str = "0") -> DataFrame:
+                      blocks: Callable[[DataFrame], DataFrame], rank: str = "0", few: int | None = None) -> DataFrame:
     """Components (id, component) of all pairs of items that share a token, are allowed and pass verify.
 
     met: rows (token, set_id, *extras). allowed: a condition on a pair, the second item's extras
@@ -140,8 +140,8 @@ def linked_components(met: DataFrame, extras: list[str], allowed: Column, verify
     1. Each token's items are compared with its item of least rank, ties drawn per token by hash.
     2. Where the items of a token are still in several components, those outside its largest
        component are compared with one drawn from that.
-    3. Where they still are, and at most FEW are outside the largest, these are compared with all
-       others there.
+    3. Where they still are, and at most `few` (FEW) are outside the largest, these are compared
+       with all others there that are allowed.
     4. The rows of the other tokens, with component, go to blocks, which returns links (a, b) that
        connect what is linked within each token.
 
@@ -194,12 +194,13 @@ def linked_components(met: DataFrame, extras: list[str], allowed: Column, verify
     open_ = unsettled(met, count)
     if compare(open_.where("minor").select("set_id", *extras, *other).where(allowed).select(*pair)):
         open_ = unsettled(met, count)
-    few = open_.where(F.col("minors") <= FEW)
-    one = few.where("minor").select("token", "set_id", "component", *extras)
-    every = few.select("token", F.col("set_id").alias("other"), "minor", F.col("component").alias("other_component"), *[F.col(x).alias(f"other_{x}") for x in extras])
+    most = FEW if few is None else few
+    some = open_.where(F.col("minors") <= most)
+    one = some.where("minor").select("token", "set_id", "component", *extras)
+    every = some.select("token", F.col("set_id").alias("other"), "minor", F.col("component").alias("other_component"), *[F.col(x).alias(f"other_{x}") for x in extras])
     apart = (F.col("component") != F.col("other_component")) & (~F.col("minor") | (F.col("set_id") < F.col("other")))
     compare(one.join(every, "token").where(apart & allowed).select(*pair))
-    rest = open_.where(F.col("minors") > FEW).drop("o", "minors", "minor")
+    rest = open_.where(F.col("minors") > most).drop("o", "minors", "minor")
     if not rest.isEmpty():
         # of tokens with the same items, told by their number and the sum of their hashes, one is enough
         alike = rest.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("set_id").cast("decimal(20,0)")).alias("h"), F.min("set_id").alias("i"))

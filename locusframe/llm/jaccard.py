@@ -287,8 +287,9 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
-#: Sets that a block of the product has on each side, about.
-ROWS = 384
+#: Sets that a block of the product has on each side, about, and how many of a shingle's sets are compared pair by pair instead:
+#: sizes and positions leave few pairs of these.
+ROWS, FEW = 384, 1024
 #: Sets that have a shingle from which on its column counts as dense.
 DENSE = 32
 
@@ -386,7 +387,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", width: int = 5, perc
     sets = staged(candidates(dealt, percent), "candidates")
     met = staged(sets.select("set_id", "n", "shared", F.explode("prefix").alias("p")).select("set_id", "n", "shared", "p.token", "p.pos"), "prefixes")
     member = linked_components(met, ["n", "shared", "pos"], can_link(percent), lambda pairs: linked(pairs, sets, percent),
-                               lambda rows: block_links(rows, sets, percent), "n - shared")
+                               lambda rows: block_links(rows, sets, percent), "n - shared", FEW)
     placed = ids.join(member, ids.set_id == member.id, "left").select("doc_id", "n_shingles", "set_id", F.coalesce("component", "set_id").alias("_c"))
     placed = staged(placed, "documents")
     some = beside_group(placed.where("n_shingles > 0"), ["_c"], [F.min("doc_id").alias("component_id")], count)

@@ -368,6 +368,7 @@ def test_common_shingles_are_not_expanded(spark, monkeypatch):
     found = jaccard.linked
     monkeypatch.setattr(jaccard, "linked", lambda p, *rest: pairs.append(p.count()) or found(p, *rest))
     monkeypatch.setattr(jaccard, "ROWS", 64)
+    monkeypatch.setattr(jaccard, "FEW", 8)
     passages = [" ".join(f"p{k}w{i}" for i in range(12)) for k in range(30)]
     text = [" ".join(passages[k] for k in sorted(rnd.sample(range(30), 6))) for _ in range(600)]
     text += [t + " more words here" for t in text[:100]]
