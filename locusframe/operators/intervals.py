@@ -177,9 +177,10 @@ def liftover(df: DataFrame, blocks: DataFrame, width: int, least_share: float =
     """Map intervals(id, chrom, start, stop) through blocks(chrom, start, stop, t_chrom, t_start, strand, t_size).
 
     Mapped bases of a row's blocks on one target and strand are joined; a row whose mapped share
-    is under `least_share` or that falls on several targets is not returned.
+    is under `least_share` or that falls on several targets is not returned. Blocks are long, so
+    their buckets are many times the rows the planner knows of: they are sorted, never broadcast.
     """
-    x = range_join(df, blocks, width).withColumn("s", F.greatest("start", "b_start")).withColumn("e", F.least("stop", "b_stop"))
+    x = range_join(df, blocks.hint("merge"), width).withColumn("s", F.greatest("start", "b_start")).withColumn("e", F.least("stop", "b_stop"))
     shift = F.col("s") - F.col("b_start") + F.col("b_t_start")
     size = F.col("e") - F.col("s")
     forward = F.col("b_strand") == "+"
