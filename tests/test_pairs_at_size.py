@@ -1,6 +1,13 @@
 """Operators on pairs: results by brute force, and plans that don't grow with the pairs."""
 
-from locusframe.operators import intervals
+import itertools
+import math
+import random
+import time
+
+import pytest
+
+from locusframe.operators import intervals, learning, molecules, omics, trees, vectors
 
 
 def plan(df):
@@ -13,3 +20,26 @@ def test_liftover_never_broadcasts_its_buckets(spark):
     x = intervals.liftover(a, blocks, 64)
     assert "Broadcast" not in plan(x)
     assert [tuple(r) for r in x.collect()] == [(1, "t", 1010, 1030, "+")]
+
+
+@pytest.fixture(scope="module")
+def points(spark):
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice([1, 2, None]), [rnd.randrange(12) / 4 for _ in range(2)]) for i in range(90)]
+    return rows, spark.createDataFrame(rows, "id long, g int, v array<double>")
+
+
+def near_rows(rows, eps):
+    return {a: {b for b, h, y in rows if b != a and g is not None and g == h and math.dist(x, y) <= eps} for a, g, x in rows}
+
+
+def test_pairwise_by_tiles(spark, points):
+    rows, df = points
+    expected = {(g, a, b, math.dist(x, y), sum(abs(p - q) for p, q in zip(x, y))) for (a, g, x), (b, h, y) in itertools.combinations(rows, 2) if g is not None and g == h}
+    for tile in (7, 2048):
+        x = vectors.pairwise(df, ["euclidean", "manhattan"], ["g"], tile)
+        assert "MapInArrow" in plan(x)
+        assert sorted((r.g, r.id_a, r.id_b, pytest.approx(r.euclidean), pytest.approx(r.manhattan)) for r in x.collect()) == sorted(expected)
+    odd = spark.createDataFrame([(1, 1, [1.0, 2.0]), (2, 1, [1.0]), (3, 1, None), (4, 1, [0.0, 0.0]), (5, 1, [2.0])], "id long, g int, v array<double>")
+    found = {(r.id_a, r.id_b): (r.euclidean, r.cosine) for r in vectors.pairwise(odd, ["euclidean", "cosine"], ["g"]).collect()}
+    assert len(found) == 10 and found[1, 2] == found[1, 3] == (None, None) and found[2, 5] == (1.0, 0.0) and found[1, 4] == (math.sqrt(5), 1.0)
