@@ -43,3 +43,14 @@ def test_pairwise_by_tiles(spark, points):
     odd = spark.createDataFrame([(1, 1, [1.0, 2.0]), (2, 1, [1.0]), (3, 1, None), (4, 1, [0.0, 0.0]), (5, 1, [2.0])], "id long, g int, v array<double>")
     found = {(r.id_a, r.id_b): (r.euclidean, r.cosine) for r in vectors.pairwise(odd, ["euclidean", "cosine"], ["g"]).collect()}
     assert len(found) == 10 and found[1, 2] == found[1, 3] == (None, None) and found[2, 5] == (1.0, 0.0) and found[1, 4] == (math.sqrt(5), 1.0)
+
+
+def test_knn_by_tiles(spark, points):
+    rows, df = points
+    expected = {(a, b, k + 1) for a, g, x in rows for k, (_, b) in enumerate(sorted((math.dist(x, y), b) for b, h, y in rows if b != a and g is not None and g == h)[:4])}
+    for tile in (7, 2048):
+        x = vectors.knn_join(df, df, 4, ["g"], tile=tile)
+        assert "MapInArrow" in plan(x)
+        assert {(r.id, r.neighbour, r["rank"]) for r in x.collect()} == expected
+    some = vectors.knn_join(df.where("id % 10 = 0"), df, 4, ["g"], tile=7)
+    assert {(r.id, r.neighbour, r["rank"]) for r in some.collect()} == {e for e in expected if e[0] % 10 == 0}
