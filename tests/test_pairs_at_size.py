@@ -54,3 +54,12 @@ def test_knn_by_tiles(spark, points):
         assert {(r.id, r.neighbour, r["rank"]) for r in x.collect()} == expected
     some = vectors.knn_join(df.where("id % 10 = 0"), df, 4, ["g"], tile=7)
     assert {(r.id, r.neighbour, r["rank"]) for r in some.collect()} == {e for e in expected if e[0] % 10 == 0}
+
+
+def test_density_core_by_tiles(spark, points):
+    rows, df = points
+    near = near_rows(rows, 0.5)  # distances of exactly 0.5 occur
+    x = vectors.density_core(df, ["g"], 0.5, 5)
+    assert "MapInArrow" in plan(x)
+    assert {(r.id, r.neighbours, r.core) for r in x.collect()} == {(a, len(n) + 1, len(n) >= 4) for a, n in near.items()}
+    assert {r.id: r.k for r in vectors.neighbour_counts(df, ["g"], 0.5, 7).collect()} == {a: len(n) for a, n in near.items() if n}
