@@ -64,7 +64,7 @@ def tree_predictions(spark, d):
  b as (select r.id, min(l1.c) as c from near r join l1 on l1.id = r.other where r.id not in (select id from k) group by 1), f as (select id, c from l1 union all select id, c from b) select e.id, coalesce(c, -1) as cluster from e left join f on f.id = e.id""")
 def dbscan_clusters(spark, d):
     x = vectors(spark, d)
-    return L.dbscan(V.pairwise(x, ["euclidean"], ["label"]).withColumnRenamed("euclidean", "distance"), x, 1.15, 4)
+    return L.dbscan_vectors(x, ["label"], 1.15, 4)
 
 
 def _vote(k: int) -> str:

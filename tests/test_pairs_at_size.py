@@ -63,3 +63,15 @@ def test_density_core_by_tiles(spark, points):
     assert "MapInArrow" in plan(x)
     assert {(r.id, r.neighbours, r.core) for r in x.collect()} == {(a, len(n) + 1, len(n) >= 4) for a, n in near.items()}
     assert {r.id: r.k for r in vectors.neighbour_counts(df, ["g"], 0.5, 7).collect()} == {a: len(n) for a, n in near.items() if n}
+
+
+def test_dbscan_of_vectors_by_tiles(spark, points):
+    rows, df = points
+    for eps, least in ((0.25, 4), (0.5, 5), (0.3, 1)):
+        near = near_rows(rows, eps)
+        core = {a for a, n in near.items() if len(n) + 1 >= least}
+        name = {a: a for a in core}
+        for _ in rows:
+            name = {a: min([name[a], *(name[b] for b in near[a] & core)]) for a in core}
+        expected = {a: name[a] if a in core else min((name[b] for b in n & core), default=-1) for a, n in near.items()}
+        assert {r.id: r.cluster for r in learning.dbscan_vectors(df, ["g"], eps, least, 7).collect()} == expected
