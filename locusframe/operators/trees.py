@@ -163,23 +163,40 @@ def agglomerate(df: DataFrame, by: str, count: int, method: str = "average") ->
 
     Distances are Euclidean; method single, complete or average, updated by Lance and Williams'
     formula; ties go to the lowest pair. Clusters are numbered by their smallest id from 0. A group
-    is one task with a matrix of its distances, so groups should be of thousands at most.
+    is one task with a matrix of its distances (800 MB for 10,000 rows); each row's nearest is kept, so a join looks at
+    the rows that it changes, not at the whole matrix.
     """
     kinds = dict(df.dtypes)
 
     def run(group: pa.Table) -> pa.Table:
         order = np.argsort(np.array(group.column("id").to_pylist(), object), kind="stable")
         x = np.array(group.column("v").to_pylist(), float)[order]
-        d = np.sqrt(np.maximum(0, ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))) if len(x) <= 256 else np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (x * x).sum(1) - 2 * x @ x.T))
+        if len(x) <= 256:
+            d = np.sqrt(np.maximum(0, ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)))
+        else:
+            squares = (x * x).sum(1)
+            d = 2 * x @ x.T
+            for k in range(len(x)):  # row by row: one matrix is held, not three
+                d[k] = np.sqrt(np.maximum(0, squares[k] + squares - d[k]))
         np.fill_diagonal(d, np.inf)
         size, label = np.ones(len(x)), np.arange(len(x))
+        nearest = d.argmin(axis=1) if len(x) else np.zeros(0, int)
+        least = d[np.arange(len(x)), nearest]
         for _ in range(max(0, len(x) - count)):
-            i, j = divmod(int(d.argmin()), len(x))
+            i = int(least.argmin())
+            j = int(nearest[i])
             i, j = min(i, j), max(i, j)
             a, b = d[i], d[j]
             joined = np.minimum(a, b) if method == "single" else np.maximum(a, b) if method == "complete" else (size[i] * a + size[j] * b) / (size[i] + size[j])
             d[i], d[:, i] = joined, joined
             d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
+            stale = (nearest == i) | (nearest == j)
+            nearer = (d[i] < least) | ((d[i] == least) & (i < nearest))
+            nearest[nearer], least[nearer] = i, d[i][nearer]
+            stale[[i, j]] = True
+            for k in np.nonzero(stale & (least < np.inf))[0].tolist():
+                nearest[k] = d[k].argmin()
+                least[k] = d[k, nearest[k]]
             size[i] += size[j]
             label[label == j] = i
         _, cluster = np.unique(label, return_inverse=True)

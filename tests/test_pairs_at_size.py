@@ -75,3 +75,11 @@ def test_dbscan_of_vectors_by_tiles(spark, points):
             name = {a: min([name[a], *(name[b] for b in near[a] & core)]) for a in core}
         expected = {a: name[a] if a in core else min((name[b] for b in n & core), default=-1) for a, n in near.items()}
         assert {r.id: r.cluster for r in learning.dbscan_vectors(df, ["g"], eps, least, 7).collect()} == expected
+
+
+def test_agglomerate_of_thousands(spark):
+    rnd = random.Random(4)
+    df = spark.createDataFrame([(1, i, [100.0 * (i % 4) + rnd.random(), rnd.random()]) for i in range(5000)], "g int, id int, v array<double>")
+    started = time.monotonic()
+    assert {(r.id % 4, r.cluster) for r in trees.agglomerate(df, "g", 4, "complete").collect()} == {(k, k) for k in range(4)}
+    assert time.monotonic() - started < 30
