@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from locusframe.functions.sequence import RESIDUE_MASS, WATER
 
+from . import tiles
+from .staging import cut
+
 #: Standard atomic weights and usual valences.
 WEIGHT = {"H": 1.008, "B": 10.81, "C": 12.011, "N": 14.007, "O": 15.999, "F": 18.998, "Na": 22.990, "Mg": 24.305, "Si": 28.085, "P": 30.974, "S": 32.06, "Cl": 35.45, "K": 39.098, "Ca": 40.078, "Br": 79.904, "I": 126.904}
 VALENCE = {"B": (3,), "C": (4,), "N": (3, 5), "O": (2,), "F": (1,), "P": (3, 5), "S": (2, 4, 6), "Cl": (1,), "Br": (1,), "I": (1,)}
@@ -132,12 +136,22 @@ def tanimoto(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
 
 
-def similar_sets(df: DataFrame, least: float) -> DataFrame:
-    """Pairs id_a < id_b of rows (id, bits) with Tanimoto >= least > 0, through an equi-join on bits."""
-    x = df.select("id", F.size(F.array_distinct("bits")).alias("n"), F.explode(F.array_distinct("bits")).alias("bit"))
-    a = x.select(F.col("id").alias("id_a"), F.col("n").alias("na"), "bit")
-    p = a.join(x.select(F.col("id").alias("id_b"), F.col("n").alias("nb"), "bit"), "bit").where("id_a < id_b").groupBy("id_a", "id_b", "na", "nb").agg(F.count("*").alias("s"))
-    return p.select("id_a", "id_b", (F.col("s") / (F.col("na") + F.col("nb") - F.col("s"))).alias("tanimoto")).where(F.col("tanimoto") >= least)
+def similar_sets(df: DataFrame, least: float, tile: int = 4096) -> DataFrame:
+    """Pairs id_a < id_b of rows (id, bits) with Tanimoto >= least > 0: tiles of sets are multiplied, so shared bits are never shuffled by pair."""
+    kind = dict(df.dtypes)["id"]
+    sets = cut(df.select("id", F.array_distinct("bits").alias("bits")))
+    bits = cut(sets.select(F.explode("bits").alias("bit")).where("bit is not null").distinct().withColumn("k", F.monotonically_increasing_id()))
+    coded = sets.select("id", F.size("bits").alias("n"), F.explode("bits").alias("bit")).join(bits, "bit").groupBy("id", "n").agg(F.collect_list(F.struct("k")).alias("items"))
+
+    def run(a: tiles.Tile, b: tiles.Tile, same: bool) -> Iterator[dict]:
+        n, m = (t.field("n").to_numpy(zero_copy_only=False) for t in (a, b))
+        for at in tiles.stripes(a, b, 1 << 21):
+            shared, _ = tiles.products(a, b, at)
+            score = shared / (n[at, None] + m - shared)
+            i, j, out = tiles.ordered(a, b, same, at, (shared > 0) & (score >= least))
+            yield out | {"tanimoto": score[i, j]}
+
+    return tiles.tile_pairs(coded.withColumn("_g", F.lit(0)), ["_g"], run, f"id_a {kind}, id_b {kind}, tanimoto double", tile).drop("_g")
 
 
 def fragment_ions(peptide: Column) -> Column:

@@ -83,3 +83,14 @@ def test_agglomerate_of_thousands(spark):
     started = time.monotonic()
     assert {(r.id % 4, r.cluster) for r in trees.agglomerate(df, "g", 4, "complete").collect()} == {(k, k) for k in range(4)}
     assert time.monotonic() - started < 30
+
+
+def test_similar_sets_by_tiles(spark):
+    rnd = random.Random(5)
+    rows = [(i, [f"b{rnd.randrange(30)}" for _ in range(rnd.randrange(9))]) for i in range(60)] + [(60, None)]
+    df = spark.createDataFrame(rows, "id long, bits array<string>")
+    expected = {(a, b, round(len(set(x) & set(y)) / len(set(x) | set(y)), 9)) for (a, x), (b, y) in itertools.combinations(rows[:60], 2) if set(x) & set(y)}
+    for tile in (7, 4096):
+        x = molecules.similar_sets(df, 0.2, tile)
+        assert "MapInArrow" in plan(x)
+        assert {(r.id_a, r.id_b, round(r.tanimoto, 9)) for r in x.collect()} == {e for e in expected if e[2] >= 0.2}
