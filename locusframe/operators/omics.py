@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import tiles
 from .stats import div
 
 
@@ -132,13 +134,21 @@ def ligand_receptor(df: DataFrame, pairs: DataFrame) -> DataFrame:
     return a.join(pairs, "ligand").join(b, "receptor").select("ligand", "receptor", "sender", "receiver", (F.col("x") * F.col("y")).alias("score"))
 
 
-def spectrum_cosine(df: DataFrame, width: float) -> DataFrame:
-    """Cosine of binned spectra (id, mz, intensity) for pairs id_a < id_b that share a bin."""
+def spectrum_cosine(df: DataFrame, width: float, tile: int = 4096) -> DataFrame:
+    """Cosine of binned spectra (id, mz, intensity) for pairs id_a < id_b that share a bin, by products of tiles of spectra."""
     x = df.groupBy("id", F.floor(F.col("mz") / width).alias("bin")).agg(F.sum("intensity").alias("v"))
     n = x.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("n"))
     x = x.join(n, "id").withColumn("u", div(F.col("v"), F.col("n")))
-    a, b = x.select(F.col("id").alias("id_a"), "bin", F.col("u").alias("p")), x.select(F.col("id").alias("id_b"), "bin", F.col("u").alias("q"))
-    return a.join(b, "bin").where("id_a < id_b").groupBy("id_a", "id_b").agg(F.count("*").alias("shared"), F.sum(F.col("p") * F.col("q")).alias("cosine"))
+    kind = dict(df.dtypes)["id"]
+
+    def run(a: tiles.Tile, b: tiles.Tile, same: bool) -> Iterator[dict]:
+        for at in tiles.stripes(a, b, 1 << 20):
+            shared, dot = tiles.products(a, b, at)
+            i, j, out = tiles.ordered(a, b, same, at, shared > 0)
+            yield out | {"shared": shared[i, j], "cosine": dot[i, j]}
+
+    x = x.where("bin is not null").groupBy("id").agg(F.collect_list(F.struct(F.col("bin").alias("k"), "u")).alias("items")).withColumn("_g", F.lit(0))
+    return tiles.tile_pairs(x, ["_g"], run, f"id_a {kind}, id_b {kind}, shared bigint, cosine double", tile).drop("_g")
 
 
 def overlap_enrichment(df: DataFrame, chosen: str, groups: list[str]) -> DataFrame:

@@ -94,3 +94,18 @@ def test_similar_sets_by_tiles(spark):
         x = molecules.similar_sets(df, 0.2, tile)
         assert "MapInArrow" in plan(x)
         assert {(r.id_a, r.id_b, round(r.tanimoto, 9)) for r in x.collect()} == {e for e in expected if e[2] >= 0.2}
+
+
+def test_spectra_by_tiles(spark):
+    rnd = random.Random(6)
+    rows = [(i, float(rnd.randrange(20)), float(rnd.randrange(1, 50))) for i in range(40) for _ in range(rnd.randrange(6))]
+    spectra = {}
+    for i, mz, v in rows:
+        spectra.setdefault(i, {}).setdefault(mz // 2, []).append(v)
+    unit = {i: {k: sum(v) / math.sqrt(sum(sum(w) ** 2 for w in s.values())) for k, v in s.items()} for i, s in spectra.items()}
+    expected = {(a, b, len(unit[a].keys() & unit[b].keys()), round(sum(unit[a][k] * unit[b][k] for k in unit[a].keys() & unit[b].keys()), 9)) for a, b in itertools.combinations(sorted(unit), 2) if unit[a].keys() & unit[b].keys()}
+    df = spark.createDataFrame(rows, "id long, mz double, intensity double")
+    for tile in (7, 4096):
+        x = omics.spectrum_cosine(df, 2.0, tile)
+        assert "MapInArrow" in plan(x)
+        assert {(r.id_a, r.id_b, r.shared, round(r.cosine, 9)) for r in x.collect()} == expected
