@@ -6,7 +6,6 @@ import hashlib
 import json
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, held, lean
 
 #: The fixed pre-split of byte-level BPE, with white space spelled out as Unicode has it.
 _WS = r"\t-\r " + "".join(map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -240,10 +239,9 @@ class Coder:
         return b"".join(map(self.spell.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=2)
 def coder(path: str) -> Coder:
-    """One per Python worker."""
-    return Coder(path)
+    """One per Python worker, see held()."""
+    return held("bpe", path, lambda: Coder(path))
 
 
 def tokenizer_path() -> str:
@@ -283,7 +281,7 @@ def encode(docs: DataFrame, text: str = "text", path: str | None = None, digests
     schema = T.StructType([f for f in docs.schema if f.name not in new])
     for n in new:
         schema.add(n, T.LongType() if n == "n_tokens" else T.ArrayType(T.IntegerType()) if n == "ids" else T.StringType())
-    return docs.mapInArrow(ids_of, schema)
+    return docs.mapInArrow(lean(ids_of), schema)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:

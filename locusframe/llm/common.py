@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import reduce, wraps
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,6 +111,67 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+#: Tables that this Python worker holds, by owner: key, tables, and how many tasks it did since it used them last.
+_held: dict[str, list] = {}
+#: After so many tasks without a use tables go.
+UNUSED = 8
+
+
+def held(owner: str, key: Any, build: Callable[[], Any]) -> Any:
+    """The tables that build() gives for key, one of an owner at a time in a Python worker, until lean tasks don't use them."""
+    if owner not in _held or _held[owner][0] != key:
+        _held.pop(owner, None)
+        _held[owner] = [key, build(), 0]
+    mine = _held[owner]
+    mine[0], mine[2] = key, 0  # the same object compares fast
+    return mine[1]
+
+
+def drop_unused() -> None:
+    """Count a task; drop tables that have gone UNUSED tasks without a use."""
+    for owner, mine in list(_held.items()):
+        mine[2] += 1
+        if mine[2] > UNUSED:
+            del _held[owner]
+
+
+def give_back() -> None:
+    """Return memory that this process has freed to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow: workers outlive their tasks, so each gives back at its end what it has freed, and tables long unused.
+
+    Else a worker keeps the most that any earlier task took, and the tables of all operators before.
+    """
+
+    @wraps(run)
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_unused()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return call
+
+
+def lean_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """run, for applyInArrow: after groups of a MB or more what was freed is given back."""
+
+    @wraps(run)
+    def call(table: pa.Table) -> pa.Table:
+        out = run(table)
+        if table.nbytes >> 20:
+            give_back()
+        return out
+
+    return call
+
+
 def tile_pairs(rows: DataFrame, near: Column, weight: Column, side: int, many: int) -> DataFrame:
     """Rows of (token, set_id, cell, ...) with (one, two, first): each pair of tiles that the item's tile is in, and whether it is one.
 

@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import beside_group, documents, linked_components, staged, tile_pairs
+from .common import beside_group, documents, lean, lean_group, linked_components, staged, tile_pairs
 from .shingles import U, set_digest, shingle_sets
 
 #: Bytes of text whose postings go out together, and postings that one range or set partition gets.
@@ -93,7 +93,7 @@ def shingle_ids(docs: DataFrame, text: str, width: int) -> DataFrame:
                 none = pa.nulls(b.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(ids), none, none], names=names)
 
-    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles bigint, set_id bigint, token bigint, count bigint")
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(lean(run), f"doc_id {dict(docs.dtypes)['doc_id']}, n_shingles bigint, set_id bigint, token bigint, count bigint")
 
 
 def common_shingles(counted: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +152,7 @@ def postings(docs: DataFrame, text: str, width: int, ranges: int, parts: int, co
         if sets:
             yield from flush(sets)
 
-    return docs.select(text).mapInArrow(run, "part int, tokens binary, at binary, ids binary, sizes binary, df binary")
+    return docs.select(text).mapInArrow(lean(run), "part int, tokens binary, at binary, ids binary, sizes binary, df binary")
 
 
 def by_set(i: np.ndarray, n: np.ndarray, t: np.ndarray, df: np.ndarray, parts: int) -> list[tuple]:
@@ -208,7 +208,7 @@ def shared(posted: DataFrame, ranges: int, parts: int) -> DataFrame:
         cols = list(zip(*rows, strict=True)) or [[]] * 6
         return pa.table([pa.array(c, k) for c, k in zip(cols, [pa.int32()] + [pa.binary()] * 5, strict=True)], names=names)
 
-    return posted.groupBy("part").applyInArrow(run, "part int, ids binary, sizes binary, counts binary, tokens binary, df binary")
+    return posted.groupBy("part").applyInArrow(lean_group(run), "part int, ids binary, sizes binary, counts binary, tokens binary, df binary")
 
 
 def candidates(dealt: DataFrame, percent: int) -> DataFrame:
@@ -247,7 +247,7 @@ def candidates(dealt: DataFrame, percent: int) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int64())]))]
         return pa.table([pa.array(c, k) for c, k in zip(cols2, kinds, strict=True)], names=["set_id", "n", "shared", "tokens", "prefix"])
 
-    return dealt.groupBy("part").applyInArrow(run, "set_id bigint, n bigint, shared bigint, tokens binary, prefix array<struct<token:bigint,pos:bigint>>")
+    return dealt.groupBy("part").applyInArrow(lean_group(run), "set_id bigint, n bigint, shared bigint, tokens binary, prefix array<struct<token:bigint,pos:bigint>>")
 
 
 def can_link(percent: int) -> Column:
@@ -284,7 +284,7 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yes = 100 * overlap >= percent * (na + nb - overlap)
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(yes)), b.column("b").filter(pa.array(yes))], names=["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ta", "tb").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 #: Sets that a block of the product has on each side, about, and how many of a shingle's sets are compared pair by pair instead:
@@ -353,7 +353,7 @@ def block_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         some = np.flatnonzero(top != np.arange(len(ids)))
         return pa.table({"a": ids[top[some]], "b": ids[some]})
 
-    return rows.select("token", "set_id", "one", "two", "n", "tokens").groupBy("token", "one", "two").applyInArrow(run, "a bigint, b bigint")
+    return rows.select("token", "set_id", "one", "two", "n", "tokens").groupBy("token", "one", "two").applyInArrow(lean_group(run), "a bigint, b bigint")
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:

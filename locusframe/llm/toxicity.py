@@ -8,7 +8,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, staged
+from .common import documents, held, lean, staged
 
 WORD = re.compile(r"[^\W_]+")
 #: Quotation marks, what closes each; straight ones pair within a line.
@@ -231,10 +230,9 @@ class Scorer:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-@lru_cache(maxsize=1)
 def scorer(model: Model) -> Scorer:
-    """One per model and Python worker."""
-    return Scorer(model)
+    """One per Python worker, see held()."""
+    return held("toxicity", model, lambda: Scorer(model))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 40) -> np.ndarray:
@@ -323,7 +321,7 @@ def counted(sample: DataFrame, words_of) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([mask.get(w, 0) for w in n], pa.int64())], names=["word", "n", "mask"])
 
-    found = sample.select("text").mapInArrow(run, "word string, n bigint, mask bigint")
+    found = sample.select("text").mapInArrow(lean(run), "word string, n bigint, mask bigint")
     return found.groupBy("word").agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask"))
 
 
@@ -371,7 +369,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(FEATURES)] + [b.column("toxic")], names=[*names, "toxic"])
 
     names = [f"x{i}" for i in range(FEATURES)]
-    x = sample.mapInArrow(features, ", ".join(f"{c} double" for c in names) + ", toxic int").toPandas().sort_values([*names, "toxic"]).to_numpy()
+    x = sample.mapInArrow(lean(features), ", ".join(f"{c} double" for c in names) + ", toxic int").toPandas().sort_values([*names, "toxic"]).to_numpy()
     w = logistic(x[:, :FEATURES], x[:, FEATURES])
     w[:FEATURES] = np.maximum(w[:FEATURES], 0)  # a term never speaks for a text
     if not x[:, 1].any():  # no misspelling among the labelled texts: they count like half a term
@@ -395,7 +393,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
             values = pa.array([s.score(t or "") for t in b.column(text).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(f.name) for f in fields] + [values], names=[f.name for f in fields] + [column])
 
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField(column, T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*fields, T.StructField(column, T.DoubleType())]))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from locusframe.llm import chat, common, embeddings
+from locusframe.llm import bpe, chat, common, embeddings, jaccard
 
 
 def test_components(spark):
@@ -139,3 +140,20 @@ def test_near_copies_leave_one_row_each(spark):
     kept = sorted((r.text or "", str(r.doc_id)) for r in pipeline.drop_near_copies(spark, docs, "").collect())
     assert [x for x in kept if not x[0]] == [("", "4")] * 3
     assert [(t.lower()[:3], i) for t, i in kept if t] in ([("a b", "3"), ("c d", "None"), ("w0 ", "7")],)
+
+
+def test_workers_drop_what_earlier_operators_left(spark):
+    def probe(batches):
+        import gc
+
+        from locusframe.llm.bpe import Coder
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(isinstance(x, Coder) for x in gc.get_objects())])], names=["n"])
+
+    docs = spark.range(400).selectExpr("id as doc_id", "concat('some words of text ', id) as text")
+    left = lambda: docs.repartition(16).select("doc_id").mapInArrow(probe, "n long").groupBy().sum("n").first()[0]
+    assert bpe.encode(docs.repartition(8)).where("size(ids) > 0").count() == 400
+    assert left()
+    assert jaccard.shingle_ids(docs.repartition(160), "text", 5).where("token is null").count() == 400
+    assert not left()
