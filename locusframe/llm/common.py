@@ -81,6 +81,10 @@ def beside_group(df: DataFrame, key: list[str], aggregates: list[Column], rows:
     return out.select(*df.columns, *[F.when(F.col("_large").isNull(), F.col(f"_a.{c}")).otherwise(F.col(f"_large.{c}")).alias(c) for c in added])
 
 
+#: Edges in a file of a round of components(), about: a file costs more than these do, most on disks where its mode is set by a process.
+ROWS = 100_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the undirected edges (a, b): rows (id, component), the smallest id.
 
@@ -88,6 +92,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     node's neighbours meet in one task. Nodes without an edge are absent. Self-loops and repeated
     edges are harmless.
     """
+    spark = edges.sparkSession
     e = edges.select(
         F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")
     ).where("u != v").distinct()
@@ -100,7 +105,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.select(F.when(F.col("v") > F.col("u"), F.col("v")).otherwise(F.col("u")).alias("u"), F.least("u", "m").alias("v")).where("u != v").distinct()
         small = beside_group(large, ["u"], low, 2 * state[0])
         small = small.select(F.when(F.col("v") != F.col("m"), F.col("v")).otherwise(F.col("u")).alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
-        e = staged(small, "stars")
+        e = staged(small.coalesce(max(spark.sparkContext.defaultParallelism, state[0] // ROWS)), "stars")
         now = e.agg(*check).first()
         if now == state:
             break

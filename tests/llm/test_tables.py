@@ -1,6 +1,7 @@
 """Chat formatting, embeddings, the shared components and the pipeline."""
 
 import re
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -157,3 +158,19 @@ def test_workers_drop_what_earlier_operators_left(spark):
     assert left()
     assert jaccard.shingle_ids(docs.repartition(160), "text", 5).where("token is null").count() == 400
     assert not left()
+
+
+def test_rounds_of_few_edges_are_few_files(spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    stars = lambda: set(Path(common.work_dir(spark).removeprefix("file://")).glob("stars-*/part-*"))
+    before = stars()
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 64)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = common.components(spark.range(500).selectExpr("id as a", "id + 500 as b")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert {(r.id, r.component) for r in found} == {(i, i % 500) for i in range(1000)}
+    new = stars() - before
+    assert 0 < len(new) <= spark.sparkContext.defaultParallelism * len({f.parent for f in new})
